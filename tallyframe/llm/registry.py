@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup
+from . import bpe, dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": dedup.op8_exact_dedup}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op8_exact_dedup": dedup.op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
