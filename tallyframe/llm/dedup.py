@@ -144,7 +144,8 @@ def _equal_bytes(own: DataFrame, positives: DataFrame) -> DataFrame:
     """Digests of positives whose two representatives have the same bytes."""
     ends = positives.select("digest", F.explode(F.array("top.id", "old_top.id")).alias("end_id")).distinct()
     texts = own.select("id", F.coalesce("own_text", F.lit("")).alias("own_text"))
-    texts = texts.join(ends, F.col("id").eqNullSafe(F.col("end_id"))).filter(F.unhex(F.sha2("own_text", 256)) == F.col("digest"))
+    # the same join at every size: a side that is small now is not small later
+    texts = texts.join(ends.hint("merge"), F.col("id").eqNullSafe(F.col("end_id"))).filter(F.unhex(F.sha2("own_text", 256)) == F.col("digest"))
     return texts.groupBy("digest").agg((F.min("own_text") == F.max("own_text")).alias("equal")).filter("equal").select("digest")
 
 
