@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup
+from . import avi, bpe, dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op8_exact_dedup": dedup.op8_exact_dedup,
+        "op9_avi": avi.op9_avi,
     }
 
 
