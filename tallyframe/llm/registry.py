@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, dedup, quality
+from . import avi, bpe, dedup, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_avi": avi.op9_avi,
