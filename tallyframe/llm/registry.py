@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, dedup, jaccard, mixing, quality
+from . import avi, bpe, dedup, jaccard, linkgraph, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_avi": avi.op9_avi,
+        "op10_url_filters": linkgraph.op10_url_filters,
     }
 
 
