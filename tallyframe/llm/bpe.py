@@ -206,6 +206,22 @@ def digest_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each document its token ids, and whether they decode to its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            texts, n, ids, same = batch.column(1).to_pylist(), [], [], []
+            for text, joined in zip(texts, bpe.joined(texts), strict=True):
+                ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
+                n.append(len(ids[-1]))
+                same.append(bpe.decode_joined(joined) == (text or ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decodes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
