@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, dedup, jaccard, linkgraph, mixing, pii, quality
+from . import avi, bpe, dedup, jaccard, linkgraph, mixing, pii, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
         "op5_pii": pii.op5_pii,
+        "op6_token_counts": tokencount.op6_token_counts,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_avi": avi.op9_avi,
