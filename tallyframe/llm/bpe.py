@@ -39,7 +39,7 @@ class Bpe:
     """A vocabulary file of the tokenizers library (byte-level, without prefix space)."""
 
     #: Known pre-tokens that a worker keeps, and characters of text that it works on at once.
-    KEEP, AT_ONCE = 300_000, 1 << 20
+    KEEP, AT_ONCE = 120_000, 1 << 20
 
     def __init__(self, path: str, pattern: str | None = None):
         with open(path, encoding="utf-8") as f:

@@ -38,7 +38,7 @@ SLOTS = ROWS * BANDS
 #: Largest set of each class of sizes, and the bins of a permutation there; a class has SLOTS / bins permutations.
 SIZES = ((16, 1), (64, 4), (256, 15), (1024, 60), (1 << 62, 120))
 #: Words that a worker keeps hashed, and bytes of text that it works on at once.
-KEEP, WORK = 400_000, 1 << 20
+KEEP, WORK = 200_000, 1 << 20
 
 _random = np.random.default_rng(5)
 _FACTORS = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
