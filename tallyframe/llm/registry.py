@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, dedup, jaccard, linkgraph, mixing, pii, quality, tokencount
+from . import avi, bpe, dedup, jaccard, licenses, linkgraph, mixing, pii, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
+        "op4_licenses": licenses.op4_licenses,
         "op5_pii": pii.op5_pii,
         "op6_token_counts": tokencount.op6_token_counts,
         "op7_jaccard": jaccard.op7_jaccard,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": dedup.OP8_SQL}
+    return {"op4_licenses": licenses.OP4_SQL, "op8_exact_dedup": dedup.OP8_SQL}
