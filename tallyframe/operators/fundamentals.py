@@ -225,14 +225,15 @@ def best_method(rows: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, key: list[str] = COMPANY) -> DataFrame:
-    """Each left row with the right row of its key whose date is nearest, within so many days either way; a tie goes to the later date.
-
-    The range join has the key as equi key; of the matches one is kept with an aggregate that is partial before it moves."""
-    rows = left.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in left.columns else left
-    near = rows.select("_id", *key, F.col(left_date).alias("_at")).join(right.withColumn("_row", F.struct(*(c for c in right.columns if c not in key))), key)
-    gap = F.abs(F.datediff(F.col(right_date), F.col("_at")))
-    best = near.filter(gap <= days).groupBy("_id").agg(F.min_by("_row", F.struct(gap, -F.unix_date(right_date))).alias("_row"))
-    return rows.join(best, "_id", "left").select("*", *(F.col("_row")[c].alias(c) for c in right.columns if c not in key and c not in left.columns)).drop("_row", "_id")
+    """Each left row (different in key and date) with the right row of its key whose date is nearest, within so many days either way; a tie goes to the later date.
+
+    The range join has the key as equi key; a left row without a match stays, with nulls."""
+    near = right.withColumn("_reach", F.explode(F.sequence(F.floor(F.unix_date(right_date) / days) - 1, F.floor(F.unix_date(right_date) / days) + 1)))
+    rows = left.withColumn("_reach", F.floor(F.unix_date(left_date) / days))
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*key, "_reach"]] + [F.abs(F.datediff(f"r.{right_date}", f"l.{left_date}")) <= days]
+    pairs = rows.alias("l").join(near.alias("r"), reduce(lambda a, b: a & b, on), "left")
+    pairs = pairs.select(*(f"l.{c}" for c in left.columns), *(f"r.{c}" for c in right.columns if c not in left.columns))
+    return _first(pairs, [*key, left_date], F.abs(F.datediff(right_date, left_date)), F.desc(right_date))
 
 
 def combined(income: DataFrame, cash_flow: DataFrame, balance: DataFrame, days: int = 90) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fundamentals
+from . import fundamentals, relational
 
-MODULES = (fundamentals,)
+MODULES = (fundamentals, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
