@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fundamentals, relational
+from . import fundamentals, prices, relational
 
-MODULES = (fundamentals, relational)
+MODULES = (fundamentals, relational, prices)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
