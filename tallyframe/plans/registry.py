@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fundamentals, prices, relational
+from . import fundamentals, prices, relational, retrieval
 
-MODULES = (fundamentals, relational, prices)
+MODULES = (fundamentals, relational, prices, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
