@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHINGLE, BANDS, LEAST = 5, 64, 0.75
-CUES = ("licensed", "license", "permission", "redistribution")
+CUES = ("licensed", "license", "permission", "granted", "obtaining", "redistribution", "binary", "modification", "mozilla")
 #: Fixed values: (license, words of its notice).
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
