@@ -4,7 +4,7 @@ Each source's documents, shuffled by a hash, form one stream of words, cut into
 A slot of the schedule takes one block. Slot i is the golden-ratio point frac(i * 0.618...), mapped through the cumulative
 quotas of the sources, so that every stretch of the schedule has the right shares; slots are ranked within their source,
 and rank r takes block r modulo the number of blocks (a repeat for each time round). What discrepancy leaves over or
-short of a quota is cut off, or added at the end, so each source's words are within one block of its target.
+short of a quota is cut off, or added at the end, so each source's words are within half a block of its target.
 
 Nothing is gathered by source: offsets and ranks are prefix sums in two levels (within a bucket or chunk, and over the
 sums of these), and what holds for a source reaches its documents through the table of buckets. Only the table of sources
@@ -55,10 +55,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def quotas(aimed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """With n_blocks, and quota: blocks to take of each source; and first, where its quota begins among all."""
-    n = F.ceil(F.col("source_size") / block).cast("long")
-    quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("n_blocks") * F.col("target") / F.col("source_size")).cast("long"), F.col("n_blocks") * MOST)).otherwise(0)
-    out = aimed.withColumn("n_blocks", n).withColumn("quota", quota)
+    """With n_blocks, and quota: blocks to take of each source, in order and round and round, so that their words come nearest to the target; and first, where its quota begins among all.
+
+    The first blocks of a source are a word longer than the others."""
+    out = aimed.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    base, long = F.expr("source_size div greatest(n_blocks, 1)"), F.expr("source_size % greatest(n_blocks, 1)")
+    rounds = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
+    rest = F.col("target") - rounds * F.col("source_size")
+    last = F.when(rest <= long * (base + 1), F.round(rest / (base + 1))).otherwise(long + F.round((rest - long * (base + 1)) / F.greatest(base, F.lit(1))))
+    quota = F.when(F.col("source_size") > 0, F.least((rounds * F.col("n_blocks") + last).cast("long"), F.col("n_blocks") * MOST)).otherwise(0)
+    out = out.withColumn("quota", quota)
     return out.withColumn("first", F.coalesce(F.sum("quota").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
