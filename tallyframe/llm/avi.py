@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 UNIT, COLS, ROWS, FPS = 192, 16, 12, 25
 #: Payload bytes that a task works on at once.
@@ -325,7 +325,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(files, pa.binary())], ["doc_id", "media"])
                 done += len(part)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, media binary")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                     rows.append((doc, k, a, b - 1, a * head["frame_us"] // 1000, b * head["frame_us"] // 1000, int(samples[a:b].sum(dtype=np.int64)) * 1000 // samples[a:b].size))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, list(CLIP))
 
-    return media.select("doc_id", "media").mapInArrow(run, ", ".join(f"{c} long" for c in CLIP))
+    return mapped(media.select("doc_id", "media"), run, ", ".join(f"{c} long" for c in CLIP))
 
 
 CLIP = ("doc_id", "clip", "first_frame", "last_frame", "start_ms", "end_ms", "luma_thousandths")
@@ -374,7 +374,7 @@ def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 done += len(part)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

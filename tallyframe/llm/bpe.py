@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 NONE = np.int64(1) << 40
 
@@ -187,7 +187,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: s
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     source = named.withColumn("__text", F.col(f"c{docs.columns.index(text_col)}"))
     schema = ", ".join([*(f"{n} {t}" for n, t in named.dtypes), "__ids array<int>"])
-    return source.mapInArrow(run, schema).toDF(*docs.columns, out_col)
+    return mapped(source, run, schema).toDF(*docs.columns, out_col)
 
 
 def digest_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +203,7 @@ def digest_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 text_sha.append(hashlib.sha256(bpe.decode_joined(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +219,7 @@ def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 same.append(bpe.decode_joined(joined) == (text or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decodes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
 
 
 def vocabulary() -> str:

@@ -28,6 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of an Arrow batch to a Python worker, unless the session sets its own: texts are long, and memory is shared with the JVM.
+BATCH = "8m"
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow() with batches of BATCH bytes."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: this cuts the lineage, and a lost executor costs nothing but its running tasks."""
     path = f"{shared_folder(df.sparkSession)}/tallyframe/{label}-{uuid.uuid4().hex}"

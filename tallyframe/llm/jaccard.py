@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, table
+from .common import drop_stored, mapped, stored, table
 from .components import components
 
 SHINGLE, ROWS, BANDS, BITS, TILE = 5, 3, 40, 2048, 512
@@ -135,7 +135,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 bits.append(bitmap(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["rid", "doc_id", "n", "sig", "keys", "bits"])
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, sig binary, keys array<long>, bits binary")
+    return mapped(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), run, "rid long, doc_id long, n long, sig binary, keys array<long>, bits binary")
 
 
 def near(n: np.ndarray, m: np.ndarray, xor: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def _bound(pairs: DataFrame) -> DataFrame:
             keep = near(np.asarray(batch.column(2)), np.asarray(batch.column(4)), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "n", "bits", "m", "bits_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b", "n", "bits", "m", "bits_b"), run, "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -184,7 +184,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
                 keep.append(linked(known[s], known[t]))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b", "text", "text_b"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame | None, bounded: bool) -> DataFrame:
@@ -203,6 +203,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     banded = members.withColumn("band", band)
     counts = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"))
     whole = counts.groupBy("key").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / TILE).cast("int").alias("subs")))).alias("subs"))
+    whole = stored(whole, "groups")  # so that the join below has exchanges of its own, which AQE can split
     own = banded.join(whole, "key")
     small = own.filter(F.col("all") <= TILE).select("node", "label", "n", "bits", F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
     large = own.filter(F.col("all") > TILE).withColumn("i", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band"))).cast("int"))
@@ -267,7 +268,7 @@ def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
             yield flush(held)
 
     tiles = _tiles(members).withColumn("tile", F.xxhash64("tile"))
-    return tiles.repartition("tile").sortWithinPartitions("tile").select("tile", "node", "label", "n", "bits", "side", "lone").mapInArrow(run, "a long, b long").distinct()
+    return mapped(tiles.repartition("tile").sortWithinPartitions("tile").select("tile", "node", "label", "n", "bits", "side", "lone"), run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -315,7 +316,7 @@ def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     wanted = nodes.select("node", F.col("doc_id").alias("node_id"), "sig").hint("merge")
-    return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "sig", "text").mapInArrow(run, "node long, text string")
+    return mapped(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "sig", "text"), run, "node long, text string")
 
 
 def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,3 +341,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     """Every document's set size and component of near copies."""
     return connected(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+held AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cut WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM held a JOIN held b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_.n >= 75 * (x.n + y.n - both_.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kth_largest, sortable, stored, table, uniform
+from .common import kth_largest, mapped, sortable, stored, table, uniform
 
 FIT_ROWS, HEAT, SEED = 4000, 0.02, 20240
 #: A document counts as explained down to this log-ratio: rare good forms (a key, a licence line) are few in a bounded sample.
@@ -121,7 +121,7 @@ def _count(docs: DataFrame, good: str, text: str) -> DataFrame:
         cell = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(raw[cell]), pa.array(target[cell])], ["cell", "raw", "target"])
 
-    return docs.select(text, good).mapInArrow(run, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return mapped(docs.select(text, good), run, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, which: Column | None = None) -> np.ndarray:
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, model: np.ndarray, text_col: str = "text", out_col:
 
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join([*(f"{n} {t}" for n, t in named.dtypes), "ratio double"])
-    return named.mapInArrow(run, schema).toDF(*docs.columns, out_col)
+    return mapped(named, run, schema).toDF(*docs.columns, out_col)
 
 
 def gumbel_key(log_ratio: Column, ident: Column) -> Column:
