@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fundamentals, prices, relational, retrieval
+from . import fundamentals, prices, relational, retrieval, sources
 
-MODULES = (fundamentals, relational, prices, retrieval)
+MODULES = (fundamentals, relational, prices, retrieval, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
