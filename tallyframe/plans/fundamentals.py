@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.formula import with_virtual_fields
 from ..operators import facts, fundamentals as fu
-from .views import oracle, view
+from .views import oracle, shared, view
 
 INCOME = "total_revenue cost_of_revenue gross_profit sales_general_and_admin sales_and_marketing general_and_administrative research_and_development total_operating_expenses operating_income interest_income interest_expense other_income income_before_taxes income_tax_expense net_income".split()
 CASH = "net_cash_from_operating_activities depreciation_and_amortization depreciation amortization capital_expenditures net_cash_from_investing_activities net_cash_from_financing_activities net_change_in_cash cash_beginning_of_period cash_end_of_period".split()
@@ -137,11 +137,11 @@ ltm_ AS (SELECT {KEY}, calculation_method, {", ".join(fields)}{keep} FROM standa
 
 
 def ltm_income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.ltm(view(spark, sf_dir, "income")).select(*fu.HEAD, "calculation_method", *INCOME, SHARES)
+    return fu.ltm(shared(spark, sf_dir, "income")).select(*fu.HEAD, "calculation_method", *INCOME, SHARES)
 
 
 def ltm_cash_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.ltm(view(spark, sf_dir, "cash_flow"), "cash_flow").select(*fu.HEAD, "calculation_method", *CASH)
+    return fu.ltm(shared(spark, sf_dir, "cash_flow"), "cash_flow").select(*fu.HEAD, "calculation_method", *CASH)
 
 
 _LTM_INCOME = _ltm_sql("income", INCOME, fu.REQUIRED["income"], SHARES)
@@ -150,7 +150,7 @@ LTM_CASH = oracle(f"WITH {_ltm_sql('cash_flow', CASH, fu.REQUIRED['cash_flow'],
 
 
 def ltm_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fu.repaired(fu.ltm(view(spark, sf_dir, "income")))
+    out = fu.repaired(fu.ltm(shared(spark, sf_dir, "income")))
     return out.select("cik", "period_end_date", "gross_profit", "operating_income", "income_before_taxes", "net_income", fu.rounded(F.col("earnings_per_share_basic")).alias("eps"))
 
 
@@ -168,7 +168,7 @@ SELECT cik, period_end_date, gross_profit, operating_income, income_before_taxes
 
 
 def ltm_method_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    income = view(spark, sf_dir, "income")
+    income = shared(spark, sf_dir, "income")
     return fu.best_method(fu.ltm(income).unionByName(fu.year_rows(income))).select("cik", "period_end_date", "period_type", "calculation_method", "total_revenue")
 
 
@@ -249,7 +249,7 @@ RATIO_INPUTS = oracle(f"WITH {_PERIODS} SELECT cik, period_end_date, CAST(net_in
 
 
 def growth_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.growth(fu.best_method(fu.ltm(view(spark, sf_dir, "income"))), ["total_revenue", "operating_income"])
+    return fu.growth(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))).persist(), ["total_revenue", "operating_income"])
 
 
 GROWTH_YOY = oracle(f"""
@@ -261,8 +261,8 @@ SELECT cik, ticker, field, period_end_date, prior_date, floor((value - prior) /
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten companies whose trailing revenue has grown most, at their latest quarter."""
-    income = view(spark, sf_dir, "income").select(*fu.HEAD, "total_revenue", *[n for n in fu.REQUIRED["income"] if n != "total_revenue"])
-    rows = fu.growth(fu.best_method(fu.ltm(income)), ["total_revenue"])
+    income = shared(spark, sf_dir, "income").select(*fu.HEAD, "total_revenue", *[n for n in fu.REQUIRED["income"] if n != "total_revenue"])
+    rows = fu.growth(fu.best_method(fu.ltm(income)).persist(), ["total_revenue"])
     last = rows.groupBy("cik", "ticker").agg(F.max("period_end_date").alias("period_end_date"), F.max_by("growth", "period_end_date").alias("growth"))
     return last.orderBy(F.desc("growth"), "cik").limit(10)
 

@@ -9,7 +9,7 @@ from ..functions import period
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..operators import facts, fundamentals as fu, relational as re_
 from . import fundamentals
-from .views import oracle, view
+from .views import oracle, shared, view
 
 
 def scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ _RANKED = "SELECT cik, period_end_date, fiscal_year, fiscal_quarter, total_reven
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    income = view(spark, sf_dir, "income")
+    income = shared(spark, sf_dir, "income")
     own = income.select("cik", "period_end_date", "fiscal_year", "period_type", "total_revenue", F.lit("income").alias("statement_type"), F.lit("filed").alias("data_source"))
     last = fu.ltm(income).select("cik", "period_end_date", "fiscal_year", "period_type", "total_revenue", F.lit("income").alias("statement_type"), F.lit("LTM").alias("data_source"))
     return own.unionByName(last)

@@ -93,3 +93,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     heads = [f"{n} AS ({VIEWS[n]})" for n in _needed(text)]
     text = ("WITH " + ", ".join(heads) + " " if heads else "") + text
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, key: str = "cik") -> DataFrame:
+    """A view that a plan reads several times (a few rows a company and period, however many sales they sum up): dealt out by company once and kept, so that the sales are scanned once, and windows and joins by company need no further exchange. What an executor loses is computed again; unpersist() gives it up."""
+    return view(spark, sf_dir, name).repartition(key).persist()
