@@ -16,9 +16,13 @@ METRICS = {
 }
 #: Contexts of a question and their words.
 CONTEXTS = {
-    "performance": ["revenue", "earnings", "margin", "growth", "decline"], "forward_looking": ["outlook", "guidance", "forecast", "estimates"], "capital": ["repurchase", "buyback", "dividend", "capex", "cash flow"],
-    "operations": ["supply chain", "inventory", "demand", "pricing"], "market": ["competition", "market share", "expansion", "acquisition"],
-}
+    "performance": ["revenue", "earnings", "margin", "growth", "decline"],
+    "forward_looking": ["outlook", "guidance", "forecast", "estimates"],
+    "capital_allocation": ["repurchase", "buyback", "dividend", "capex"],
+    "operations": ["supply chain", "inventory", "demand", "pricing"],
+    "market": ["competition", "market share", "expansion"],
+    "financial_health": ["cash flow", "EBITDA", "leverage", "working capital"],
+}
 
 
 def filters_of(question: str, given: dict | None = None) -> dict:
@@ -72,7 +76,11 @@ def metric(name: str, columns: list[str]) -> str | None:
     return METRICS[plain] if METRICS.get(plain) in columns else None
 
 
-def contexts(question: str) -> dict[str, list[str]]:
-    """Contexts that a question touches, and their words."""
-    low = question.lower()
-    return {c: words for c, words in CONTEXTS.items() if any(w in low for w in words)}
+def contexts(question: str, synonyms: dict[str, list[str]], most: int = 3) -> dict[str, list[str]]:
+    """Contexts that a question touches, by a term or one of its synonyms, and the first synonyms of each such term."""
+    low, out = question.lower(), {}
+    for context, terms in CONTEXTS.items():
+        for term in terms:
+            if any(w.lower() in low for w in [term, *synonyms.get(term, [])]) and term in synonyms:
+                out.setdefault(context, []).extend(synonyms[term][:most])
+    return out

@@ -63,14 +63,30 @@ def missing_years(index: DataFrame, key: list[str], first: int, last: int) -> Da
     return out.filter("size(missing) > 0")
 
 
-def interpretation(category: Column, value: Column) -> Column:
-    """What a ratio's value says, by its category."""
-    return (
-        F.when(value.isNull(), "no value")
-        .when(category == "liquidity", F.when(value >= 1.5, "comfortable").when(value >= 1, "adequate").otherwise("tight"))
-        .when(category == "leverage", F.when(value <= 0.5, "low").when(value <= 2, "moderate").otherwise("high"))
-        .otherwise(F.when(value > 0.15, "strong").when(value > 0, "positive").otherwise("negative"))
-    )
+#: What ratios say, by name, else by category.
+SAYS = {
+    "roe": "How efficiently equity is turned into profit; higher is better.",
+    "roa": "How efficiently assets are turned into profit; higher is better.",
+    "current_ratio": "Whether short-term debts can be paid; above 1.0 they can.",
+    "quick_ratio": "Whether short-term debts can be paid without inventory; above 1.0 they can.",
+    "debt_to_equity": "Debt against equity; lower is less risk.",
+    "gross_margin": "What is left of revenue after the cost of goods; higher is more pricing power.",
+    "net_margin": "What is left of revenue after all expenses; higher is better.",
+    "asset_turnover": "Sales made with assets; higher is better.",
+    "inventory_turnover": "How fast inventory is sold and replaced; higher is better.",
+}
+SAYS_OF_CATEGORY = {
+    "profitability": "Profit relative to revenue, assets or equity.",
+    "liquidity": "Ability to meet short-term obligations.",
+    "leverage": "Use of debt, and the risk of it.",
+    "efficiency": "How efficiently assets and resources are used.",
+}
+
+
+def interpretation(name: Column, category: Column) -> Column:
+    """What a ratio says: by its name, else by its category. The texts are constants of the plan."""
+    pick = lambda c, texts: F.element_at(F.create_map(*(F.lit(x) for kv in texts.items() for x in kv)), c)
+    return F.coalesce(pick(F.lower(name), SAYS), pick(category, SAYS_OF_CATEGORY), F.lit("Helps to analyse the performance of a company."))
 
 
 def consecutive_growth(years: DataFrame, value: str) -> DataFrame:

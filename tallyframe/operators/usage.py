@@ -24,26 +24,24 @@ def rollup(usage: DataFrame, prices: dict[str, tuple[float, float]], *keys: str)
 
 
 def trend(rows: DataFrame, key: list[str], date: str, value: str, n: int = 4, band: float = 0.05) -> DataFrame:
-    """improving, declining or stable: last against first of the n newest values, with a band of 5 %."""
+    """improving, declining or stable: the last of the n newest values (by date) against the first of them, with a band of 5 %; insufficient_data for fewer than two."""
     newest = Window.partitionBy(*key).orderBy(F.desc(date))
     last = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
     out = last.groupBy(*key).agg(F.min_by(value, date).alias("first"), F.max_by(value, date).alias("last"), F.count(F.lit(1)).alias("n"))
-    change = (F.col("last") - F.col("first")) / F.when(F.col("first") != 0, F.abs("first"))
-    return out.withColumn("trend", F.when((F.col("n") < 2) | change.isNull(), "insufficient_data").when(change > band, "improving").when(change < -band, "declining").otherwise("stable"))
+    first, end = F.col("first").cast("double"), F.col("last").cast("double")
+    return out.withColumn("trend", F.when(F.col("n") < 2, "insufficient_data").when(end > first * (1 + band), "improving").when(end < first * (1 - band), "declining").otherwise("stable"))
 
 
 def confidence(level: Column) -> Column:
-    return F.when(level == "high", 0.9).when(level == "medium", 0.7).otherwise(0.4)
+    """3, 2 or 1 for high, medium and anything else."""
+    return F.when(level == "high", 3).when(level == "medium", 2).otherwise(1)
 
 
 def confidence_level(mean: Column) -> Column:
-    return F.when(mean >= 0.8, "high").when(mean >= 0.6, "medium").otherwise("low")
+    return F.when(mean >= 2.5, "high").when(mean >= 1.5, "medium").otherwise("low")
 
 
-def quality(metrics: Column, peers: Column, chunks: Column, errors: Column) -> Column:
-    """0 to 100: 40 for metrics, 40 for peers, 20 for texts, 10 less for each error."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(metrics > 0, 40).otherwise(0) + F.when(peers > 0, 40).otherwise(0) + F.when(chunks > 0, 20).otherwise(0) - errors * 10))
-
-
-def mean(c: Column) -> Column:
-    return rounded(F.avg(c))
+def quality(metrics: Column, ratios: Column, peers: Column, errors: Column) -> Column:
+    """0 to 1: up to 0.4 for ten metrics, up to 0.4 for eight ratios, 0.2 for any peers, 0.1 less for each error (0.3 at most)."""
+    score = F.least(metrics / 10.0, F.lit(1.0)) * 0.4 + F.least(ratios / 8.0, F.lit(1.0)) * 0.4 + F.when(peers > 0, 0.2).otherwise(0.0)
+    return rounded(F.greatest(F.lit(0.0), score - F.least(errors * 0.1, F.lit(0.3))), 2)

@@ -140,7 +140,7 @@ def trend_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREND = oracle("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY period_end_date DESC) AS k FROM income WHERE period_length_months = 3 AND total_revenue IS NOT NULL), g AS (SELECT cik, min_by(total_revenue, period_end_date) AS first, max_by(total_revenue, period_end_date) AS last, count(*) AS n FROM r WHERE k <= 4 GROUP BY cik)
-SELECT cik, first, last, n, CASE WHEN n < 2 OR first = 0 THEN 'insufficient_data' WHEN (last - first) / abs(first) > 0.05 THEN 'improving' WHEN (last - first) / abs(first) < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM g""")
+SELECT cik, first, last, n, CASE WHEN n < 2 THEN 'insufficient_data' WHEN CAST(last AS DOUBLE) > CAST(first AS DOUBLE) * CAST(1.05 AS DOUBLE) THEN 'improving' WHEN CAST(last AS DOUBLE) < CAST(first AS DOUBLE) * CAST(0.95 AS DOUBLE) THEN 'declining' ELSE 'stable' END AS trend FROM g""")
 
 
 def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ FETCH = oracle("SELECT cik, CAST(q // 4 AS INT) AS year, CAST(q % 4 + 1 AS INT)
 
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "usage").groupBy("run_id").agg(F.count_if(F.col("agent_type") == "analyst").alias("m"), F.count_if(F.col("agent_type") == "reviewer").alias("p"), F.count_if(F.col("agent_type") == "master").alias("c"), F.count_if(F.col("input_tokens") < 40).alias("e"))
-    return rows.select("run_id", us.quality(F.col("m"), F.col("p"), F.col("c"), F.col("e")).cast("long").alias("score"))
+    return rows.select("run_id", us.quality(F.col("m"), F.col("p"), F.col("c"), F.col("e")).alias("score"))
 
 
 QUERIES = {
@@ -215,7 +215,7 @@ QUERIES = {
     "news_summary": (lambda s, d: nw.summary(_news(s, d)), oracle("SELECT count(*) AS n, count(DISTINCT company) AS companies, min(published) AS first, max(published) AS last FROM news")),
     "cost_rollup": (lambda s, d: us.rollup(view(s, d, "usage"), PRICES, "run_id", "agent_type"), oracle("WITH g AS (SELECT run_id, agent_type, model_id, sum(input_tokens) AS i, sum(output_tokens) AS o, count(*) AS c FROM usage GROUP BY ALL), p AS (SELECT *, CAST(round((i / 1000000 * CASE model_id WHEN 'm0' THEN 3.0 WHEN 'm1' THEN 0.25 ELSE 0 END + o / 1000000 * CASE model_id WHEN 'm0' THEN 15.0 WHEN 'm1' THEN 1.25 ELSE 0 END) * 1000000) AS BIGINT) AS m FROM g) SELECT run_id, agent_type, CAST(sum(c) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(m) AS BIGINT) / 1000000 AS cost FROM p GROUP BY ALL")),
     "trend_last_n": (trend_last_n, TREND),
-    "quality_score": (quality_score, oracle("WITH g AS (SELECT run_id, count(*) FILTER (agent_type = 'analyst') AS m, count(*) FILTER (agent_type = 'reviewer') AS p, count(*) FILTER (agent_type = 'master') AS c, count(*) FILTER (input_tokens < 40) AS e FROM usage GROUP BY run_id) SELECT run_id, greatest(0, least(100, CASE WHEN m > 0 THEN 40 ELSE 0 END + CASE WHEN p > 0 THEN 40 ELSE 0 END + CASE WHEN c > 0 THEN 20 ELSE 0 END - e * 10)) AS score FROM g")),
+    "quality_score": (quality_score, oracle("WITH g AS (SELECT run_id, count(*) FILTER (agent_type = 'analyst') AS m, count(*) FILTER (agent_type = 'reviewer') AS p, count(*) FILTER (agent_type = 'master') AS c, count(*) FILTER (input_tokens < 40) AS e FROM usage GROUP BY run_id) SELECT run_id, floor(greatest(0e0, least(m / 10e0, 1e0) * 0.4e0 + least(p / 8e0, 1e0) * 0.4e0 + CASE WHEN c > 0 THEN 0.2e0 ELSE 0e0 END - least(e * 0.1e0, 0.3e0)) * 100e0 + 0.5e0) / 100e0 AS score FROM g")),
     "latest_reports": (latest_reports, LATEST),
     "fiscal_dates": (fiscal_dates, FISCAL),
     "quarters_to_fetch": (quarters_to_fetch, FETCH),

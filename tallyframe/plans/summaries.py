@@ -57,11 +57,12 @@ def formula_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fu.ratios(fundamentals._periods(spark, sf_dir), [r for r in RATIOS if r[1] in ("liquidity", "leverage")], VIRTUAL)
-    return rows.groupBy("category", su.interpretation(F.col("category"), F.col("ratio_value")).alias("says")).agg(F.count(F.lit(1)).alias("n"))
+    rows = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL).groupBy("ratio_name", "category").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("ratio_name", "n", su.interpretation(F.col("ratio_name"), F.col("category")).alias("says"))
 
 
-INTERPRET = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), r AS (SELECT category, floor(v * 1e6 + 0.5) / 1e6 AS v FROM long_ WHERE v IS NOT NULL AND category IN ('liquidity', 'leverage')) SELECT category, CASE WHEN category = 'liquidity' THEN CASE WHEN v >= 1.5 THEN 'comfortable' WHEN v >= 1 THEN 'adequate' ELSE 'tight' END WHEN v <= 0.5 THEN 'low' WHEN v <= 2 THEN 'moderate' ELSE 'high' END AS says, count(*) AS n FROM r GROUP BY ALL")
+_SAYS = "CASE lower(ratio_name) " + " ".join(f"WHEN '{n}' THEN '" + t.replace("'", "''") + "'" for n, t in su.SAYS.items()) + " ELSE CASE category " + " ".join(f"WHEN '{n}' THEN '" + t.replace("'", "''") + "'" for n, t in su.SAYS_OF_CATEGORY.items()) + " ELSE 'Helps to analyse the performance of a company.' END END"
+INTERPRET = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), r AS (SELECT ratio_name, category, count(*) AS n FROM long_ WHERE v IS NOT NULL GROUP BY ALL) SELECT ratio_name, n, {_SAYS} AS says FROM r")
 
 
 def metadata_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +105,5 @@ QUERIES = {
     "period_summaries": (lambda s, d: rel.by_period(rel.cluster_quarters(view(s, d, "balance").filter("cik <= 8").select(F.lit("x").alias("ratio_name"), "ticker", "period_end_date", F.col("inventory").cast("double").alias("ratio_value")))).select("ratio_name", "period_number", "center", F.size("values").alias("companies")), None),
     "speakers": (lambda s, d: tr.question_chunks(view(s, d, "entry").withColumn("speaker", F.initcap("speaker"))).select("conv_id", "group", F.array_join(tr.speakers_of(F.col("text")), ",").alias("speakers")).filter("speakers <> ''").groupBy("speakers").agg(F.count(F.lit(1)).alias("n")), None),
     "news_key_points": (lambda s, d: nw.key_points(view(s, d, "news").join(view(s, d, "chunk").select(F.col("id").alias("chunk_id"), "content"), "chunk_id"), "content").select("chunk_id", "point"), oracle("WITH r AS (SELECT chunk_id, published, content FROM news JOIN (SELECT id AS chunk_id, content FROM chunk) USING (chunk_id) ORDER BY published DESC, chunk_id LIMIT 10) SELECT chunk_id, trim(split_part(content, '.', 1)) AS point FROM r WHERE length(trim(split_part(content, '.', 1))) > 20 ORDER BY published DESC, chunk_id LIMIT 8")),
-    "confidence_level": (lambda s, d: nw.sentiment(view(s, d, "news"), ["company"]).select("company", us.confidence(F.col("confidence")).alias("c")).agg(us.confidence_level(F.avg("c")).alias("level")), oracle("SELECT CASE WHEN avg(c) >= 0.8 THEN 'high' WHEN avg(c) >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM (SELECT CASE WHEN count(*) >= 5 THEN 0.9 WHEN count(*) >= 2 THEN 0.7 ELSE 0.4 END AS c FROM news GROUP BY company)")),
+    "confidence_level": (lambda s, d: nw.sentiment(view(s, d, "news"), ["company"]).select("company", us.confidence(F.col("confidence")).alias("c")).agg(us.confidence_level(F.avg("c")).alias("level")), oracle("SELECT CASE WHEN avg(c) >= 2.5 THEN 'high' WHEN avg(c) >= 1.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT CASE WHEN count(*) >= 5 THEN 3 WHEN count(*) >= 2 THEN 2 ELSE 1 END AS c FROM news GROUP BY company)")),
 }
