@@ -6,8 +6,10 @@ import re
 
 #: Words of a question and the section that they point to.
 SECTION_HINTS = {"risk": "Risk Factors", "md&a": "Management's Discussion and Analysis", "discussion": "Management's Discussion and Analysis", "financial statement": "Financial Statements", "balance sheet": "Financial Statements", "business": "Business"}
-ANNUAL_WORDS = ("annual", "yearly", "full year", "fiscal year", "10-k")
-ANALYSIS_WORDS = ("growth", "trend", "compare", "comparison", "analysis", "analyze", "performance", "change")
+ANNUAL_WORDS = ("annual", "year-over-year", "yearly", "full year")
+SECTION_WORDS = ("growth", "driver", "performance", "revenue", "analysis", "cause", "factor", "strategy", "trend")
+DETAIL_WORDS = ("growth", "driver", "performance", "analysis", "cause", "factor", "strategy", "trend", "insight")
+ANALYSIS_SECTIONS = ["Management's Discussion and Analysis of Financial Condition and Results of Operations", "Financial Statements and Supplementary Data"]
 #: What metrics are called.
 METRICS = {
     "revenue": "total_revenue", "sales": "total_revenue", "turnover": "total_revenue", "cogs": "cost_of_revenue", "cost of goods sold": "cost_of_revenue", "gross profit": "gross_profit", "r&d": "research_and_development", "sg&a": "sales_general_and_admin",
@@ -28,7 +30,8 @@ CONTEXTS = {
 def filters_of(question: str, given: dict | None = None) -> dict:
     """Filters that a question names and that aren't given: years, quarters, sections; a yearly report where it asks for years and no quarter.
 
-    Quarters and years are kept as pairs where both are named. Questions on growth or analysis that name no section look at the discussion and the statements."""
+    Quarters and years are kept as pairs where both are named. Questions on growth or analysis that name no section look at the
+    discussion and the statements, and at small chunks."""
     out, low = dict(given or {}), question.lower()
     years = sorted(set(re.findall(r"\b(20[12]\d)\b", low)))
     quarters = sorted(set(re.findall(r"\bq([1-4])\b", low)) | {str(k) for k, w in enumerate(("first", "second", "third", "fourth"), 1) if re.search(rf"\b{w} quarter\b", low)})
@@ -42,10 +45,12 @@ def filters_of(question: str, given: dict | None = None) -> dict:
         out["form_type"] = "10-K"
     if "section_name" not in out:
         named = list(dict.fromkeys(s for w, s in SECTION_HINTS.items() if w in low))
-        if not named and any(w in low for w in ANALYSIS_WORDS):
-            named = ["Management's Discussion and Analysis", "Financial Statements"]
+        if not named and any(w in low for w in SECTION_WORDS):
+            named = list(ANALYSIS_SECTIONS)
         if named:
             out["section_name"] = named if len(named) > 1 else named[0]
+    if "granularity" not in out and any(w in low for w in DETAIL_WORDS):
+        out["granularity"] = "micro"
     return last_quarter_is_the_year(single(out))
 
 

@@ -42,30 +42,36 @@ def parse(text: str) -> Period:
 
 
 def canonical(text: str) -> str:
-    """What users write for a period, in the little language: 3 years or 3y -> last 12 quarters, 8q -> last 8 quarters, a bare number up to 20 -> years."""
-    t = text.strip().lower()
+    """What users write for a period, in the little language.
+
+    n years or ny -> last 4n quarters; n quarters or nq -> last n quarters; latest, current, last -> latest; another number is years up to 20, else
+    quarters; anything else is three years. The result may be beyond what parse() takes."""
+    t = " ".join(text.strip().lower().split())
     try:
         parse(t)
         return t
     except ValueError:
         pass
-    if m := re.fullmatch(r"(?:last )?(\d+)\s*(?:y|yr|yrs|year|years)", t):
-        return f"last {min(4 * int(m[1]), MOST_QUARTERS)} quarters"
-    if m := re.fullmatch(r"(?:last )?(\d+)\s*(?:q|qtr|qtrs|quarter|quarters)", t):
-        return f"last {min(int(m[1]), MOST_QUARTERS)} quarters"
-    if re.fullmatch(r"\d+", t) and 1 <= int(t) <= 20:
-        return f"last {min(4 * int(t), MOST_QUARTERS)} quarters"
-    return "latest"
+    if t in ("latest", "current", "last"):
+        return "latest"
+    if m := re.search(r"(\d+)\s*(years?|quarters?)", t):
+        return f"last {int(m[1]) * (4 if m[2].startswith('year') else 1)} quarters"
+    if m := re.fullmatch(r"(\d+)([yq])", t):
+        return f"last {int(m[1]) * (4 if m[2] == 'y' else 1)} quarters"
+    if m := re.search(r"(\d+)", t):
+        return f"last {int(m[1]) * (1 if int(m[1]) > 20 else 4)} quarters"
+    return "last 12 quarters"
+
+
+REPORT_PERIODS = ("latest", "latest_10k_and_10q", "latest_10k", "latest_10q", "last_n_reports")
 
 
 def report_period(text: str) -> str:
-    """Periods of a search for reports: last 3 years -> last_3_reports; latest, latest_10k and latest_10q stay; a number n -> last_n_reports."""
-    t = re.sub(r"[\s-]+", "_", text.strip().lower())
-    if t in ("latest", "latest_10k", "latest_10q"):
-        return {"latest_10k": "latest_10k", "latest_10q": "latest_10q"}.get(t, "latest")
-    if m := re.search(r"(\d+)", t):
-        return f"last_{int(m[1])}_reports"
-    return "latest"
+    """Periods of a search for reports: last n, last n years, n years and n reports -> last_n_reports; those known stay; anything else is latest."""
+    t = text.strip()
+    if m := re.fullmatch(r"last\s+(\d+)(?:\s+years?)?|(\d+)\s+(?:years?|reports?)", t.lower()):
+        return f"last_{m[1] or m[2]}_reports"
+    return t if t in REPORT_PERIODS or re.fullmatch(r"last_\d+_reports", t) else "latest"
 
 
 def quarter_index(year: Column, quarter: Column) -> Column:

@@ -200,8 +200,8 @@ def test_period_language():
     for bad in ("", "Q5-2024", "FY1999", "FY2031", "last 41 quarters", "last 0 quarters", "last 11 financial years", "2024"):
         with pytest.raises(ValueError):
             period.parse(bad)
-    assert [period.canonical(t) for t in ("3 years", "8q", "5", "FY2024", "rubbish", "30")] == ["last 12 quarters", "last 8 quarters", "last 20 quarters", "fy2024", "latest", "latest"]
-    assert [period.report_period(t) for t in ("last 3 years", "latest_10k", "latest")] == ["last_3_reports", "latest_10k", "latest"]
+    assert [period.canonical(t) for t in ("3 years", "8q", "2Y", "5", "FY2024", "rubbish", "30", "current", "past 6 quarters")] == ["last 12 quarters", "last 8 quarters", "last 8 quarters", "last 20 quarters", "fy2024", "last 12 quarters", "last 30 quarters", "latest", "last 6 quarters"]
+    assert [period.report_period(t) for t in ("last 3 years", "last 2", "5 reports", "latest_10k", "last_4_reports", "soon")] == ["last_3_reports", "last_2_reports", "last_5_reports", "latest_10k", "last_4_reports", "latest"]
 
 
 def test_tags_are_found_in_any_case(spark):
