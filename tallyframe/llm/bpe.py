@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """A vocabulary file of the tokenizers library (byte-level, without prefix space)."""
 
-    #: Known pre-tokens that a worker keeps, and characters of text that it works on at once.
+    #: Pre-tokens of a generation (a worker keeps two: what was met of late stays), and characters of text that it works on at once.
     KEEP, AT_ONCE = 120_000, 1 << 20
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -63,6 +63,7 @@ class Bpe:
         raw = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.bytes_of = {str(i): b for i, b in raw.items()}
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where the pair doesn't merge (or an id is -1)."""
@@ -147,8 +148,11 @@ class Bpe:
 
     def _join(self, group: list[list[list[str] | str]]) -> Iterator[str]:
         if len(self.known) > self.KEEP:
-            self.known.clear()
-        new = list(set().union(*(p for parts in group for p in parts if isinstance(p, list))) - self.known.keys())
+            self.known, self.older = {}, self.known
+        met = set().union(*(p for parts in group for p in parts if isinstance(p, list))) - self.known.keys()
+        again = met & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(met - again)
         for word, ids in zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
             self.known[word] = ",".join(map(str, ids.tolist()))
         of = self.known.__getitem__
