@@ -37,7 +37,7 @@ CELLS = SPACES * (1 << CELL_BITS) + 16
 #: Counts that every cell has beforehand, as a share of the mean count.
 SMOOTH = 0.01
 #: Bytes of text that a task works on at once.
-WORK = 1 << 20
+WORK = 1 << 18
 
 
 def _classes() -> np.ndarray:
