@@ -102,3 +102,33 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return verdicts(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same in SQL; the scores take all ROUNDS (the operator stops when they move by no more than EPSILON)."""
+    names = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    rest = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    link = LINK.replace("'", "''")
+    spread = lambda name, mass, a, b: f"""
+{name}_share AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM links),
+{name} AS (SELECT 0 AS i, host, {mass} * {1 - DAMPING!r} AS score FROM seeds UNION ALL
+  SELECT n.i, s.host, s.{mass} * {1 - DAMPING!r} + {DAMPING} * coalesce(n.came, 0) FROM seeds s JOIN (SELECT h.host, max(k.i) + 1 AS i, sum(e.share * r.score) AS came FROM seeds h CROSS JOIN (SELECT max(i) AS i FROM {name}) k LEFT JOIN {name}_share e ON e.b = h.host LEFT JOIN {name} r ON r.host = e.a GROUP BY h.host) n ON n.host = s.host WHERE n.i <= {ROUNDS})"""
+    return f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {names}) r(verdict, name, start)),
+cut AS (SELECT page_id, html, {rest} AS rest FROM pages),
+page AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+place AS (SELECT DISTINCT host, path FROM page),
+fit AS (SELECT host, path, arg_max(name || start, length(name || start)) AS rule, arg_max(verdict, length(name || start)) AS ruled FROM place JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path),
+judged AS (SELECT page.*, rule, ruled FROM page LEFT JOIN fit USING (host, path)),
+found AS (SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html, '{link}', 1))), '{UPPER}', '{LOWER}') AS dst FROM page),
+links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT host FROM page WHERE host <> '' UNION SELECT src FROM links UNION SELECT dst FROM links),
+seeds AS (SELECT h.host, coalesce(count(*) FILTER (ruled = 'allow') / nullif(count(j.host), 0), 0) AS good, coalesce(count(*) FILTER (ruled = 'block') / nullif(count(j.host), 0), 0) AS bad FROM hosts h LEFT JOIN judged j ON j.host = h.host GROUP BY h.host),
+{spread("trust", "good", "src", "dst").strip()},
+{spread("distrust", "bad", "dst", "src").strip()},
+final AS (SELECT host, round(t.score / {1 - DAMPING!r}, 9) AS trust, round(d.score / {1 - DAMPING!r}, 9) AS distrust FROM (SELECT * FROM trust WHERE i = {ROUNDS}) t JOIN (SELECT * FROM distrust WHERE i = {ROUNDS}) d USING (host))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust >= {THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN final USING (host)
+"""
+
+
+OP10_SQL = _sql()

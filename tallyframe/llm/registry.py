@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.OP4_SQL, "op7_jaccard": jaccard.OP7_SQL, "op8_exact_dedup": dedup.OP8_SQL}
+    return {"op4_licenses": licenses.OP4_SQL, "op7_jaccard": jaccard.OP7_SQL, "op8_exact_dedup": dedup.OP8_SQL, "op10_url_filters": linkgraph.OP10_SQL}
