@@ -11,8 +11,10 @@ with few bins, large ones few permutations with many); two sets at the threshold
    other, in which bitmap signatures bound the difference from below (7 * xor bits <= |x| + |y| must hold); first only
    the nearest of each class goes on, then everything that the bound leaves.
 
+Links are counted afterwards, tile by tile within each component (link_counts()).
+
 Each candidate is verified on the sets of the whole texts, computed anew. A tile is bounded, groups of any size are split
-into tiles, and no pair of copies within a class or of classes already connected is looked at. A hot key or class is a
+into tiles, and no pair of copies within a class is looked at, nor, for components, one of classes already connected. A hot key or class is a
 skewed join, which AQE splits, or a partial minimum. Tables between rounds are written to the shared folder.
 
 Defined results: null text counts as empty; an empty set is linked with nothing; texts are read whole; repeated rows are
@@ -23,6 +25,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +199,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame | None, bound
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """members (key, node, label, n, bits) with tile, side and lone: rows to compare are those of a tile (on different sides if not lone).
+    """members (key, node, n, ...) with tile, side and lone: rows to compare are those of a tile (on different sides if not lone).
 
     Groups of at most TILE rows are one tile. Larger ones are dealt by size band and hash; a tile pair is of one band or of two next to each other."""
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
@@ -205,7 +208,8 @@ def _tiles(members: DataFrame) -> DataFrame:
     whole = counts.groupBy("key").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / TILE).cast("int").alias("subs")))).alias("subs"))
     whole = stored(whole, "groups")  # so that the join below has exchanges of its own, which AQE can split
     own = banded.join(whole, "key")
-    small = own.filter(F.col("all") <= TILE).select("node", "label", "n", "bits", F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
+    carried = [c for c in members.columns if c != "key"]
+    small = own.filter(F.col("all") <= TILE).select(*carried, F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
     large = own.filter(F.col("all") > TILE).withColumn("i", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band"))).cast("int"))
     pair = lambda low, i, high, j, side, lone: F.struct(F.struct("key", low.alias("band"), i.alias("i"), high.alias("other"), j.alias("j")).alias("tile"), side.alias("side"), lone.alias("lone"))
     upto = lambda at: F.sequence(F.lit(0), F.element_at("subs", at) - 1)
@@ -214,7 +218,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     none = F.slice(same, 1, 0)
     up = F.when(F.map_contains_key("subs", above), F.transform(upto(above), lambda j: pair(F.col("band"), F.col("i"), above, j, F.lit(0), F.lit(False)))).otherwise(none)
     down = F.when(F.map_contains_key("subs", below), F.transform(upto(below), lambda j: pair(below, j, F.col("band"), F.col("i"), F.lit(1), F.lit(False)))).otherwise(none)
-    dealt = large.withColumn("part", F.explode(F.concat(same, up, down))).select("node", "label", "n", "bits", "part.tile", "part.side", "part.lone")
+    dealt = large.withColumn("part", F.explode(F.concat(same, up, down))).select(*carried, "part.tile", "part.side", "part.lone")
     return small.unionByName(dealt)
 
 
@@ -240,18 +244,11 @@ def _compare(rows: list[np.ndarray], nearest: bool) -> tuple[np.ndarray, np.ndar
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
-    """Different pairs (a, b) that share a key, carry different labels and pass the bound; of each class in each tile only its nearest, if asked for."""
+def _by_tile(members: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """work(rows of one tile) for every tile of members, one after the other; a tile has 2 * TILE rows or so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows)
-            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            a, b = _compare([np.asarray(t["node"]), np.asarray(t["label"]), np.asarray(t["n"]), bits, np.asarray(t["side"]), bool(t["lone"][0].as_py())], nearest)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         last = None
         for batch in batches:
             if not batch.num_rows:
@@ -260,22 +257,70 @@ def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
             cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and tile[a] != last:
-                    yield flush(held)
+                    yield work(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tile[a]
         if held:
-            yield flush(held)
+            yield work(pa.Table.from_batches(held))
 
     tiles = _tiles(members).withColumn("tile", F.xxhash64("tile"))
-    return mapped(tiles.repartition("tile").sortWithinPartitions("tile").select("tile", "node", "label", "n", "bits", "side", "lone"), run, "a long, b long").distinct()
+    return mapped(tiles.repartition("tile").sortWithinPartitions("tile").select("tile", *columns, "side", "lone"), run, schema)
+
+
+def _bits(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
+    """Different pairs (a, b) that share a key, carry different labels and pass the bound; of each class in each tile only its nearest, if asked for."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        a, b = _compare([np.asarray(rows["node"]), np.asarray(rows["label"]), np.asarray(rows["n"]), _bits(rows), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())], nearest)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    return _by_tile(members, ["node", "label", "n", "bits"], work, "a long, b long").distinct()
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): rid, doc_id, n, sig of each row; sig, node, low (smallest doc_id) and label of each different set. Sets of one label are connected by links."""
+
+def _links_of_tile(rows: pa.Table) -> pa.RecordBatch:
+    """node, links: how many documents the classes of a tile are linked with in it."""
+    node, n, size, side, lone = np.asarray(rows["node"]), np.asarray(rows["n"]), np.asarray(rows["size"]), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())
+    bits, links = _bits(rows), np.zeros(len(rows), np.int64)
+    sets = list(shingle_sets(rows["text"].cast(pa.binary()).to_pylist()))
+    every, local = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    ids, mark = np.split(local, ends[:-1]), np.zeros(len(every), bool)
+    place = np.arange(len(rows))
+    for i in range(len(rows)):
+        ok = near(n[i], n, np.bitwise_count(bits[i] ^ bits).sum(axis=1, dtype=np.int64)) & (place > i)
+        if not lone:
+            ok &= side != side[i]
+        others = np.flatnonzero(ok)
+        if not len(others):
+            continue
+        mark[ids[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([ids[j] for j in others])].astype(np.int64), np.concatenate([[0], np.cumsum(n[others])[:-1]]))
+        mark[ids[i]] = False
+        found = others[100 * both >= 75 * (n[i] + n[others] - both)]
+        links[i] += size[found].sum()
+        links[found] += size[i]
+    return pa.RecordBatch.from_arrays([rows["node"].combine_chunks(), pa.array(links)], ["node", "links"])
+
+
+class Classes(NamedTuple):
+    """documents: rid, doc_id, n, sig of each row. kinds: sig, node, low (smallest doc_id), size (rows) and label of each different set; sets of one label are connected by links. nodes: node, n, bits. texts: node and text of the sets that may have links."""
+
+    documents: DataFrame
+    kinds: DataFrame
+    nodes: DataFrame
+    texts: DataFrame
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classes:
+    """Classes of equal sets, and how links connect them."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = stored(_sketch(own), "sketches")
-    kinds = stored(sketches.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low")), "classes")
+    kinds = stored(sketches.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
     nodes = stored(sketches.join(kinds.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").withColumnRenamed("rid", "node"), "nodes")
     documents = stored(sketches.select("rid", "doc_id", "n", "sig"), "documents")
     drop_stored(sketches)
@@ -303,7 +348,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         higher = components(joined, "labels")
         every = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
         labels = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels")
-    return documents, kinds.join(labels, "node", "left").select("sig", "node", "low", F.coalesce("label", "node").alias("label"))
+    labelled = stored(kinds.join(labels, "node", "left").select("sig", "node", "low", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    return Classes(documents, labelled, nodes.select("node", "n", "bits"), texts)
+
+
+def link_counts(found: Classes) -> DataFrame:
+    """node, links: the number of documents of other classes that each class is linked with (classes without any are left out).
+
+    Links never leave a component, so the classes of a component are dealt into tiles, each with its text once for each pair of tiles, and what a
+    tile counts is added up; no pair is ever a row."""
+    inside = found.kinds.withColumnRenamed("label", "key").join(found.kinds.groupBy(F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key"), "key", "left_semi")
+    members = stored(inside.select("key", "node", "size").join(found.nodes, "node").join(found.texts, "node").dropDuplicates(["node"]), "members")  # rows that repeat a document give its text twice
+    return _by_tile(members, ["node", "n", "size", "bits", "text"], _links_of_tile, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -319,14 +375,16 @@ def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "sig", "text"), run, "node long, text string")
 
 
-def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
-    documents, kinds = classes(docs, id_col, text_col)
-    kinds = stored(kinds, "labelled")
-    lows = kinds.groupBy("label").agg(F.min("low").alias("component_id"))
-    of = kinds.join(lows, "label").select("sig", "component_id")
-    out = documents.join(of, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; with counts also n_links, the number of other rows that it is linked with."""
+    found = classes(docs, id_col, text_col)
+    lows = found.kinds.groupBy("label").agg(F.min("low").alias("component_id"))
+    of = found.kinds.join(lows, "label").select("sig", "node", "size", "component_id")
+    if counts:
+        of = stored(of.join(link_counts(found), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1), "counted")
+    out = found.documents.join(of, "sig", "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,8 +397,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Every document's set size and component of near copies."""
-    return connected(table(spark, sf_dir, "documents"))
+    """Every document's set size, component of near copies, and number of links."""
+    return connected(table(spark, sf_dir, "documents"), counts=True)
 
 
 OP7_SQL = r"""
@@ -351,5 +409,6 @@ both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM held a JOIN he
 links AS (SELECT a, b FROM both_ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_.n >= 75 * (x.n + y.n - both_.n)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM edges GROUP BY a) USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """

@@ -253,7 +253,7 @@ def test_token_count_rows(spark):
 
 
 # 7 ----------------------------------------------------------------------------------------------------------------
-def brute_links(rows):
+def brute_links(rows, counts=False):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -270,11 +270,13 @@ def brute_links(rows):
             y = sets[j]
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 root[find(i)] = find(j)
+    if counts:
+        links = [sum(bool(x and y and i != j and 100 * len(x & y) >= 75 * len(x | y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
     low = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
-    return collections.Counter((d, len(x), d if not x else low.get(find(i))) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True)))
+    return collections.Counter((d, len(x), d if not x else low.get(find(i)), *([links[i]] if counts else [])) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True)))
 
 
 def near_rows():
@@ -286,6 +288,7 @@ def near_rows():
             for _ in range(r.randrange(1 + len(w) // 25)):
                 w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
             rows.append((1000 + 100 * g + k, " ".join(w if k % 3 else w[: max(1, len(w) * 9 // 10)])))
+    rows += [rows[20], rows[20], rows[45]]  # rows that repeat a document, among near copies
     passage = words(9, 60)
     rows += [(5000 + i, " ".join(words(7000 + i, 120, 5000) + passage)) for i in range(40)]
     return rows
@@ -295,13 +298,15 @@ def test_jaccard_equals_brute_force(spark):
     rows = near_rows()
     out = jaccard.connected(documents(spark, rows, clash=True)).collect()
     assert collections.Counter(tuple(r) for r in out) == brute_links(rows)
-    assert jaccard.connected(documents(spark, [])).count() == 0
+    counted = jaccard.connected(documents(spark, rows, clash=True), counts=True).collect()
+    assert collections.Counter(tuple(r) for r in counted) == brute_links(rows, True)
+    assert jaccard.connected(documents(spark, [])).count() == 0 and jaccard.connected(documents(spark, []), counts=True).count() == 0
 
 
 def test_jaccard_tiles_split_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 4)
     rows = near_rows()
-    assert collections.Counter(tuple(r) for r in jaccard.connected(documents(spark, rows)).collect()) == brute_links(rows)
+    assert collections.Counter(tuple(r) for r in jaccard.connected(documents(spark, rows), counts=True).collect()) == brute_links(rows, True)
 
 
 def test_jaccard_bound_never_rules_out_a_link():
