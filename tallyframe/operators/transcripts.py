@@ -75,11 +75,25 @@ def parsed(raw: DataFrame, call: str, text_col: str) -> DataFrame:
     return own.withColumn("speaker", F.coalesce(F.last("named", ignorenulls=True).over(_upto(call, "seq")), F.lit("Unknown"))).select(call, "seq", "speaker", "content")
 
 
+#: What cleaning replaces, one after the other.
+CLEANING = (
+    (r"\s+", " "),
+    (r"\[.*?\](?=\s|$)", ""),  # stage directions
+    (r"\(.*?\)(?=\s|$)", ""),  # notes in parentheses
+    (r"([.!?])\s*([A-Z])", "$1 $2"),
+    (r"\s*:\s*", ": "),
+    (r"\.{3,}", "..."),
+    (r"-{2,}", "--"),
+    ("[\u201c\u201d]", '"'),
+    ("[\u2018\u2019]", "'"),
+)
+
+
 def cleaned(text: Column) -> Column:
-    """Without stage directions, time marks and double spaces."""
-    out = F.regexp_replace(text, r"\[[^\]]*\]", " ")
-    out = F.regexp_replace(out, r"\(\d{1,2}:\d{2}(:\d{2})?\)", " ")
-    return tx.collapsed(out)
+    """Text of a call without stage directions and notes, with even spaces, dashes and quotes."""
+    for pattern, by in CLEANING:
+        text = F.regexp_replace(text, pattern, by)
+    return F.trim(text)
 
 
 def missing_quarters(expected: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:

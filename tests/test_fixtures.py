@@ -380,3 +380,14 @@ def test_trend_is_by_date(spark):
 def test_numbers_in_cells(spark):
     df = spark.createDataFrame([("$1,234.5",), ("n/a",), (None,), ("-7%",)], "t string")
     assert [r[0] for r in df.select(tx.number_in(F.col("t"))).collect()] == [1234.5, None, None, -7.0]
+
+
+def test_cleaned_calls(spark):
+    df = spark.createDataFrame([("Hello  [AUDIO CUT] there.Next (laughs) one :  yes ..... well ---- \u201cfine\u201d",)], "t string")
+    assert df.select(transcripts.cleaned(F.col("t"))).first()[0] == "Hello  there. Next  one: yes ... well -- \"fine\""
+
+
+def test_parsed_speakers(spark):
+    df = spark.createDataFrame([(1, "Noise first\nJane Doe: Good morning.\nAnd more.\n\nOperator: Next."), (2, "")], "call int, text string")
+    rows = transcripts.parsed(df, "call", "text").orderBy("seq").collect()
+    assert [(r.speaker, r.content) for r in rows] == [("Unknown", "Noise first"), ("Jane Doe", "Good morning."), ("Jane Doe", "And more."), ("Operator", "Next.")]
