@@ -118,7 +118,7 @@ FORWARD = oracle("""SELECT cik, period_end_date, year_end, least(fy, cap) AS fis
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "company").filter("cik <= 20").select(F.col("cik").alias("company_id"), F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("category")) for n, c, _ in RATIOS[:5]))))
+    rows = view(spark, sf_dir, "company").select(F.col("cik").alias("company_id"), F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("category")) for n, c, _ in RATIOS[:5]))))
     return rows.filter("(company_id + length(name)) % 3 = 0")
 
 
@@ -128,7 +128,7 @@ def override_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = ", ".join(f"('{n}', '{c}', {k})" for k, (n, c, _) in enumerate(RATIOS[:8]))
-_DEFS = f"names AS (SELECT * FROM (VALUES {_NAMES}) x(name, category, k)), own AS (SELECT cik AS company_id, n.name, n.category FROM company c, names n WHERE cik <= 20 AND k < 5 AND (cik + length(n.name)) % 3 = 0)"
+_DEFS = f"names AS (SELECT * FROM (VALUES {_NAMES}) x(name, category, k)), own AS (SELECT cik AS company_id, n.name, n.category FROM company c, names n WHERE k < 5 AND (cik + length(n.name)) % 3 = 0)"
 
 
 def scoped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +169,10 @@ def mode_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = view(spark, sf_dir, "income").filter("period_type = 'FY'").select("cik", "fiscal_year", "gross_profit", "net_income")
-    return rows.filter("fiscal_year <= 1999"), rows.filter("fiscal_year >= 1998 and cik % 2 = 0").withColumn("net_income", F.col("net_income") + 1).withColumn("gross_profit", F.when(F.col("cik") % 4 != 0, F.col("gross_profit")))
+    return rows.filter("fiscal_year <= 1999"), rows.filter("fiscal_year >= 1998 and net_income is not null").withColumn("net_income", F.col("net_income") + 1)
 
 
-_ON = "old AS (SELECT cik, fiscal_year, gross_profit, net_income FROM income WHERE period_type = 'FY' AND fiscal_year <= 1999), new_ AS (SELECT cik, fiscal_year, CASE WHEN cik % 4 <> 0 THEN gross_profit END AS gross_profit, net_income + 1 AS net_income FROM income WHERE period_type = 'FY' AND fiscal_year >= 1998 AND cik % 2 = 0)"
+_ON = "old AS (SELECT cik, fiscal_year, gross_profit, net_income FROM income WHERE period_type = 'FY' AND fiscal_year <= 1999), new_ AS (SELECT cik, fiscal_year, gross_profit, net_income + 1 AS net_income FROM income WHERE period_type = 'FY' AND fiscal_year >= 1998 AND net_income IS NOT NULL)"
 _KEY = ["cik", "fiscal_year"]
 
 
@@ -187,15 +187,18 @@ def _wanted() -> str:
 
 
 def cluster_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return re_.cluster_quarters(_aligned(spark, sf_dir, "balance"), most=12)
+    """Inventories of all companies, a peer group being a sector."""
+    return re_.cluster_quarters(_aligned(spark, sf_dir))
 
 
 def align_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return re_.align_years(_aligned(spark, sf_dir, "balance").filter("month(period_end_date) in (11, 12, 1, 2, 3)").dropDuplicates(["ratio_name", "ticker", "period_end_date"]))
+    """The last balance sheet of each fiscal year of all companies."""
+    return re_.align_years(_aligned(spark, sf_dir, "quarter = 4"))
 
 
-def _aligned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return view(spark, sf_dir, name).filter("cik <= 12").select(F.lit("current").alias("ratio_name"), "ticker", "period_end_date", (F.col("inventory") / 100).cast("double").alias("ratio_value"))
+def _aligned(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    rows = view(spark, sf_dir, "balance").withColumn("quarter", F.quarter(F.date_sub("period_end_date", (F.col("cik") % 5).cast("int") * 40 - 80))).filter(which)
+    return rows.join(view(spark, sf_dir, "company").select("cik", "sector"), "cik").select(F.col("sector").alias("ratio_name"), "ticker", "period_end_date", (F.col("inventory") / 100).cast("double").alias("ratio_value"))
 
 
 _PLAIN = "SELECT cik, period_end_date, fiscal_year, fiscal_quarter, total_revenue FROM r WHERE "

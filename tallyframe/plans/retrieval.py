@@ -144,11 +144,11 @@ SELECT cik, first, last, n, CASE WHEN n < 2 THEN 'insufficient_data' WHEN CAST(l
 
 
 def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "income").filter("period_length_months in (3, 12)").select("cik", "fiscal_year", F.when(F.col("period_type") != "FY", F.substring("period_type", 2, 1).cast("int")).alias("fiscal_quarter"), "period_end_date", F.when(F.col("period_type") == "FY", "10-K").otherwise("10-Q").alias("form_type")).filter("fiscal_year < 2000 + cik % 3 or form_type = '10-Q'")
+    rows = view(spark, sf_dir, "income").filter("period_length_months in (3, 12)").select("cik", "fiscal_year", F.when(F.col("period_type") != "FY", F.substring("period_type", 2, 1).cast("int")).alias("fiscal_quarter"), "period_end_date", F.when(F.col("period_type") == "FY", "10-K").otherwise("10-Q").alias("form_type"), F.col("gross_profit").isNotNull().alias("known")).filter("known or form_type = '10-Q'").drop("known")
     return fiscal.latest_year_and_quarter(rows, ["cik"])
 
 
-LATEST = oracle("""WITH r AS (SELECT * FROM (SELECT cik, fiscal_year, CAST(CASE WHEN period_type <> 'FY' THEN substr(period_type, 2, 1) END AS INT) AS q, period_end_date AS d, CASE WHEN period_type = 'FY' THEN '10-K' ELSE '10-Q' END AS f FROM income WHERE period_length_months IN (3, 12)) WHERE fiscal_year < 2000 + cik % 3 OR f = '10-Q'),
+LATEST = oracle("""WITH r AS (SELECT * FROM (SELECT cik, fiscal_year, CAST(CASE WHEN period_type <> 'FY' THEN substr(period_type, 2, 1) END AS INT) AS q, period_end_date AS d, CASE WHEN period_type = 'FY' THEN '10-K' ELSE '10-Q' END AS f, gross_profit IS NOT NULL AS known FROM income WHERE period_length_months IN (3, 12)) WHERE known OR f = '10-Q'),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY fiscal_year DESC, d DESC) AS rn FROM r WHERE f = '10-K') WHERE rn = 1), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY fiscal_year DESC, q DESC, d DESC) AS rn FROM r WHERE f = '10-Q') WHERE rn = 1)
 SELECT cik, k.fiscal_year AS latest_year, k.d AS year_end, p.fiscal_year AS quarter_year, p.q AS latest_quarter, p.d AS quarter_end, CASE WHEN k.cik IS NULL OR p.d > k.d THEN '10-Q' ELSE '10-K' END AS newest FROM k FULL JOIN p USING (cik)""")
 
@@ -164,13 +164,13 @@ FISCAL = oracle("SELECT cik, d AS period_end_date, CAST(year(d) + CASE WHEN strf
 
 
 def quarters_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = view(spark, sf_dir, "company").filter("cik <= 30").select("cik", F.to_date(F.lit("1998-05-01")).alias("a"), F.to_date(F.lit("2002-02-01")).alias("b"))
+    span = view(spark, sf_dir, "company").select("cik", F.to_date(F.lit("1998-05-01")).alias("a"), F.to_date(F.lit("2002-02-01")).alias("b"))
     expected = fiscal.quarters_between(span, "a", "b", 1996).select("cik", "year", "quarter")
-    held = view(spark, sf_dir, "balance").filter("cik % 2 = 1 or fiscal_year < 2000").select("cik", F.col("fiscal_year").alias("year"), F.substring("fiscal_quarter", 2, 1).cast("int").alias("quarter"))
+    held = view(spark, sf_dir, "balance").filter("total_assets is not null").select("cik", F.col("fiscal_year").alias("year"), F.substring("fiscal_quarter", 2, 1).cast("int").alias("quarter"))
     return tr.missing_quarters(expected, held, ["cik", "year", "quarter"])
 
 
-FETCH = oracle("SELECT cik, CAST(q // 4 AS INT) AS year, CAST(q % 4 + 1 AS INT) AS quarter FROM company, range(1998 * 4 + 1, 2002 * 4 + 1) t(q) WHERE cik <= 30 AND NOT EXISTS (SELECT 1 FROM balance b WHERE b.cik = company.cik AND (b.cik % 2 = 1 OR b.fiscal_year < 2000) AND b.fiscal_year = q // 4 AND CAST(substr(b.fiscal_quarter, 2, 1) AS INT) = q % 4 + 1)")
+FETCH = oracle("SELECT cik, CAST(q // 4 AS INT) AS year, CAST(q % 4 + 1 AS INT) AS quarter FROM company, range(1998 * 4 + 1, 2002 * 4 + 1) t(q) WHERE NOT EXISTS (SELECT 1 FROM balance b WHERE b.cik = company.cik AND b.total_assets IS NOT NULL AND b.fiscal_year = q // 4 AND CAST(substr(b.fiscal_quarter, 2, 1) AS INT) = q % 4 + 1)")
 
 
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
