@@ -95,12 +95,12 @@ def best_rows(df: DataFrame, key: list[str], start: str, columns: list[str], *th
 
 
 # periods of companies with other fiscal years -----------------------------------------------------------------------
-def _quarters(days: int, most: int):
+def _quarters(days: int, most: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Greedy, from the newest: the newest period left over is the anchor; of each company the period nearest to it, within so many days."""
         pdf = pdf.assign(day=pd.to_datetime(pdf.period_end_date)).sort_values(["day", "ticker"], ascending=[False, True], kind="stable").reset_index(drop=True)
         left, out, number = pdf, [], 0
-        while len(left) and number < most:
+        while len(left) and (most is None or number < most):
             number += 1
             gap = (left.day - left.day.iloc[0]).abs().dt.days
             near = left.assign(gap=gap)[gap <= days].sort_values(["gap", "day"], ascending=[True, False], kind="stable").drop_duplicates("ticker")
@@ -113,12 +113,12 @@ def _quarters(days: int, most: int):
     return run
 
 
-def _years(days: int, most: int):
+def _years(days: int, most: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """The k-th newest year of each company, if it is within so many days of the mean date of those taken before; at least two companies, or it ends."""
         pdf = pdf.assign(day=pd.to_datetime(pdf.period_end_date)).sort_values(["day", "ticker"], ascending=[False, True], kind="stable")
         rows, out, number = {t: g.to_dict("records") for t, g in pdf.groupby("ticker")}, [], 0
-        while number < most:
+        while most is None or number < most:
             heads = sorted((g[0] for g in rows.values() if g), key=lambda r: (-r["day"].value, r["ticker"]))
             taken, mean = [], 0.0
             for r in heads:
@@ -141,13 +141,13 @@ def _years(days: int, most: int):
 ALIGNED = "ratio_name string, period_number int, center date, ticker string, period_end_date date, ratio_value double"
 
 
-def cluster_quarters(values: DataFrame, days: int = 45, most: int = 40) -> DataFrame:
-    """Quarters of a peer group (ratio_name, ticker, period_end_date, ratio_value) side by side. Greedy, hence in order; a group is the periods of one ratio in one comparison."""
+def cluster_quarters(values: DataFrame, days: int = 45, most: int | None = None) -> DataFrame:
+    """Quarters of a peer group (ratio_name, ticker, period_end_date, ratio_value) side by side: all, or the `most` newest for a request of the last n. Greedy, hence in order; a group is the periods of one ratio in one comparison."""
     return values.groupBy("ratio_name").applyInPandas(_quarters(days, most), ALIGNED)
 
 
-def align_years(values: DataFrame, days: int = 180, most: int = 10) -> DataFrame:
-    """Fiscal years of a peer group side by side."""
+def align_years(values: DataFrame, days: int = 180, most: int | None = None) -> DataFrame:
+    """Fiscal years of a peer group side by side: all, or the `most` newest for a request of the last n."""
     return values.groupBy("ratio_name").applyInPandas(_years(days, most), ALIGNED)
 
 

@@ -242,6 +242,18 @@ def test_clusters(spark):
     assert sorted((r.period_number, r.ticker) for r in got) == [(1, "A"), (1, "B"), (2, "A"), (2, "B")]
 
 
+def test_clusters_lose_no_period(spark):
+    """60 quarters and 15 years of two companies; a number is a request of the last n."""
+    schema = "ratio_name string, ticker string, period_end_date date, ratio_value double"
+    quarters = spark.createDataFrame([("r", t, D("2024-12-31") - dt.timedelta(days=91 * k + 10 * (t == "B")), float(k)) for t in "AB" for k in range(60)], schema)
+    out = rel.cluster_quarters(quarters).collect()
+    assert sorted((r.ticker, r.ratio_value, r.period_number) for r in out) == [(t, float(k), k + 1) for t in "AB" for k in range(60)]
+    assert rel.cluster_quarters(quarters, most=4).count() == 8
+    years = spark.createDataFrame([("r", t, D("2024-12-31") - dt.timedelta(days=365 * k), float(k)) for t in "AB" for k in range(15)], schema)
+    assert sorted((r.ticker, r.ratio_value, r.period_number) for r in rel.align_years(years).collect()) == [(t, float(k), k + 1) for t in "AB" for k in range(15)]
+    assert rel.align_years(years, most=3).count() == 6
+
+
 # prices -----------------------------------------------------------------------------------------------------------
 def test_gaps_end_at_weekends(spark):
     days = [d for d in (D("2024-01-01") + dt.timedelta(days=n) for n in range(12)) if d.weekday() < 5 and str(d) not in ("2024-01-04", "2024-01-05", "2024-01-08")]
