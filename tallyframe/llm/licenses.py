@@ -7,7 +7,7 @@ its window; of BANDS single minima at least one agrees with a probability of 1 -
 bands retrieve is verified: shingles of the template in the window, over those of the template, at least 0.75.
 
 Only windows around a cue word are hashed. Cues lose nothing: so many shingles of each template hold one that no 0.75 of them do without
-(a test holds the catalogue against this). Templates are a catalogue of fixed size, hence broadcast. Windows stay in
+(a test holds the catalogue against this). A notice of fewer words than a shingle is sought whole, as one sequence, in every text. Templates are a catalogue of fixed size, hence broadcast. Windows stay in
 the task that read the document; only matches move, a row for each document and license. A lost executor costs its tasks.
 
 Defined results: null, empty and short text matches nothing; whole texts are read; a license that is found in several
@@ -17,6 +17,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,13 @@ def width_of(n: int) -> int:
     return width
 
 
+def sequence_of(notice: str) -> list[str]:
+    """words_of() of a notice."""
+    return re.findall("[a-z0-9]+", notice.lower())
+
+
 def catalogue(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """template, license, width and the shingles wanted."""
+    """template, license, width and the shingles wanted, of the notices that have a shingle."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, notice string")
     wanted = rows.select("template", "license", F.array_distinct(shingles_of(words_of(F.col("notice")))).alias("wanted")).filter("size(wanted) > 0")
     widths = F.lit(2)
@@ -74,7 +81,29 @@ def catalogue(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Data
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, cues: tuple[str, ...] = CUES) -> DataFrame:
-    """doc_id, license, containment (of the best template) and first_word (where the first window with it begins), a row for each document and license."""
+    """doc_id, license, containment (of the best template) and first_word (where the first window with it, or a notice shorter than a shingle, begins), a row for each document and license."""
+    short = tuple((name, text) for name, text in templates if len(sequence_of(text)) < SHINGLE)
+    templates = tuple(x for x in templates if x not in short)
+    parts = [_banded_matches(docs, id_col, text_col, templates, cues)] if templates or not short else []
+    if short:
+        parts.append(_whole_matches(docs, id_col, text_col, short))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
+
+
+def _whole_matches(docs: DataFrame, id_col: str, text_col: str, short: tuple[tuple[str, str], ...]) -> DataFrame:
+    """doc_id, license, containment and first_word of notices that are shorter than a shingle."""
+    wanted = [(name, f" {' '.join(sequence_of(text))} ") for name, text in short]
+    if any(not w.strip() for _, w in wanted):
+        raise ValueError("a notice without words")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), F.array_join(words_of(F.col(text_col)), " "), F.lit(" ")).alias("line"))
+    before = lambda w: F.length(F.regexp_replace(F.substring_index("line", w, 1), "[^ ]+", ""))
+    hits = F.array(*(F.when(F.col("line").contains(w), F.struct(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), before(w).alias("first_word"))) for name, w in wanted))
+    return own.select("doc_id", F.inline(F.filter(hits, lambda x: x.isNotNull())))
+
+
+def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tuple[tuple[str, str], ...], cues: tuple[str, ...]) -> DataFrame:
+    """doc_id, license, containment and first_word of each window that holds a template."""
     known = catalogue(docs.sparkSession, templates)
     sizes = sorted({width_of(max(1, len(t.split()) - SHINGLE + 1 + extra)) for _, t in templates for extra in range(-1, 4)})
     low = F.lower(F.col(text_col))
@@ -87,8 +116,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     of = known.select("template", "license", "wanted", F.col("width").alias("t_width"), F.posexplode(minima(F.col("wanted"))).alias("t_band", "t_low"))
     met = banded.join(F.broadcast(of), (F.col("width") == F.col("t_width")) & (F.col("band") == F.col("t_band")) & (F.col("low") == F.col("t_low")))
     inside = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    found = met.withColumn("containment", inside).filter(F.col("containment") >= LEAST)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
+    return met.withColumn("containment", inside).filter(F.col("containment") >= LEAST).select("doc_id", "license", "containment", "first_word")
 
 
 def _windows_around(width: int) -> Column:

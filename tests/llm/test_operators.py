@@ -190,6 +190,16 @@ def test_license_matches(spark):
     assert licenses.matches(documents(spark, [])).count() == 0
 
 
+def test_short_license_notices_are_sought_whole(spark):
+    """Notices of fewer words than a shingle."""
+    rows = ODD + [(30, "(c) 2020 A. Body.\nAll  rights\nRESERVED."), (31, "all rights are reserved, small rights reserved"), (32, "All rights reserved. Released under the MIT License. All rights reserved."), (33, "ISC")]
+    templates = (*licenses.TEMPLATES, ("proprietary", "All rights reserved."), ("isc", "ISC"))
+    found = {(r.doc_id, r.license, r.containment, r.first_word) for r in licenses.matches(documents(spark, rows, clash=True), templates=templates).collect()}
+    assert found == {(30, "proprietary", 1.0, 4), (32, "proprietary", 1.0, 0), (32, "mit", 1.0, 2), (33, "isc", 1.0, 0)}
+    only = licenses.matches(documents(spark, rows), templates=templates[-2:-1]).collect()
+    assert {r.doc_id for r in only} == {30, 32}
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------
 def one(spark, text, key=pii.KEY):
     return spark.createDataFrame([(text,)], "text string").select(pii.pseudonymised(F.col("text"), key)).first()[0]
