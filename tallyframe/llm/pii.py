@@ -27,13 +27,23 @@ KEY = "pseudonyms-1"
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
+#: With an area code in brackets; +1; 1 or none before groups parted by dots, dashes and spaces; by spaces only (an area and an office that are issued); + and another country's code, 8 to 15 digits.
+PHONE = "|".join((
+    r"(?:\+1[ .-]?|(?<![0-9]|[0-9][.-])1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    r"\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    r"(?<![0-9-]|[0-9]\.)(?:1[ .-])?[0-9]{3}(?:[.-][0-9]{3}[ .-]| [0-9]{3}[.-])[0-9]{4}(?![0-9-]|\.[0-9])",
+    r"(?<![0-9]|[0-9][ .-])(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9]|[ .-][0-9])",
+    r"(?<![0-9A-Za-z_+])\+[2-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
+))
+#: Codes of one and two digits; the others have three.
+COUNTRY = "^(7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+DATE = "|".join(rf"(?<![0-9{s}])(?:[0-9]{{4}}{s}[0-9]{{2}}{s}[0-9]{{2}}|[0-9]{{2}}{s}[0-9]{{2}}{s}[0-9]{{4}})(?!{s}?[0-9]{end})" for s, end in (("-", "|-"), ("/", "|/"), (r"\.", "")))
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])(?:[0-9]{4} ){3}[0-9]{4}(?![0-9])|(?<![0-9])(?:[0-9]{4}-){3}[0-9]{4}(?![0-9])"
+CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])(?:[0-9]{4} ){3}[0-9]{4}(?![0-9])|(?<![0-9])(?:[0-9]{4}-){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{4} [0-9]{6} [0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{4}-[0-9]{6}-[0-9]{4,5}(?![0-9])"
 FOUND = "|".join((MAIL, IP, PHONE, DATE, SSN, CARD))
 #: Nothing is found in a text without one of these.
-HINT = "[0-9]{3}|@|[0-9]\\."
+HINT = "[0-9]{3}|@|[0-9]\\.|\\+[0-9]"
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)
 
 
@@ -61,6 +71,12 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
+def _filled(m: Column, digits: Column) -> Column:
+    """The value with other digits in the places of its own."""
+    at = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9]", ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)).between("0", "9"), F.substring(digits, at(i), F.lit(1))).otherwise(F.substring(m, i, F.lit(1)))), "")
+
+
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[ -]", "")
     n = F.length(digits) - 1
@@ -69,13 +85,13 @@ def _card(m: Column, key: str) -> Column:
     new = lambda y: F.concat(_padded(y["l"], high), _padded(y["r"], low))
     y = feistel(F.substring(digits, F.lit(1), high).cast("long"), F.substring(digits, high + 1, low).cast("long"), _power(high), _power(low), key, "card")
     check = lambda body: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda c: F.call_function("luhn_check", c)), 1)
-    gap = F.when(m.contains(" "), "$1 ").when(m.contains("-"), "$1-").otherwise("$1")
-    made = F.regexp_replace(_with(_with(y, new), check), F.lit("([0-9]{4})(?=[0-9])"), gap)
+    made = _with(_with(_with(y, new), check), lambda c: _filled(m, c))
     return F.when(F.call_function("luhn_check", digits), made).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    digits = F.substring(F.regexp_replace(m, "[^0-9]", ""), -10, 10)
+    given = F.regexp_replace(m, "[^0-9]", "")
+    digits = F.substring(given, -10, 10)
     area, office, line = (F.substring(digits, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
     issued = (area >= 200) & (office >= 200)
     # numbers that are never issued are permuted among themselves: no area code below 200, or else no office
@@ -87,8 +103,18 @@ def _phone(m: Column, key: str) -> Column:
         upper = F.when(issued, (F.floor(y["l"] / 800) + 200) * 1000 + y["l"] % 800 + 200).when(at < 0, y["l"]).otherwise((F.floor(at / 200) + 200) * 1000 + at % 200)
         return F.concat(_padded(upper, 6), _padded(y["r"], 4))
 
-    shape = F.when(m.startswith("+"), "+1 ($1) $2-$3").when(m.startswith("("), "($1) $2-$3").otherwise("$1-$2-$3")
-    return F.regexp_replace(_with(y, parts), F.lit("^([0-9]{3})([0-9]{3})([0-9]{4})$"), shape)
+    own = _with(_with(y, parts), lambda d: _filled(m, F.concat(F.substring(given, F.lit(1), F.length(given) - 10), d)))
+    return F.when(m.rlike("^\\+[2-9]"), _phone_abroad(m, given, key)).otherwise(own)
+
+
+def _phone_abroad(m: Column, given: Column, key: str) -> Column:
+    """The country's code stays."""
+    code = F.regexp_extract(given, COUNTRY, 1)
+    national = F.substring(given, F.length(code) + 1, F.length(given))
+    low = F.floor(F.length(national) / 2).cast("int")
+    high = F.length(national) - low
+    y = feistel(F.substring(national, F.lit(1), high).cast("long"), F.substring(national, high + 1, low).cast("long"), _power(high), _power(low), key, "phone")
+    return _with(_with(y, lambda y: F.concat(code, _padded(y["l"], high), _padded(y["r"], low))), lambda d: _filled(m, d))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -112,15 +138,16 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso = F.substring(m, 5, 1) == "-"
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(F.try_to_date(m, "MM/dd/yyyy"), F.try_to_date(m, "dd/MM/yyyy")))
-    shape = F.when(iso, "yyyy-MM-dd").when(F.try_to_date(m, "MM/dd/yyyy").isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    year_first, by_month, by_day = F.substring(m, 5, 1).rlike("[^0-9]"), F.try_to_date(digits, "MMddyyyy"), F.try_to_date(digits, "ddMMyyyy")
+    month_first = F.when(m.contains("."), by_day.isNull()).otherwise(by_month.isNotNull())
+    day = F.when(year_first, F.try_to_date(digits, "yyyyMMdd")).when(month_first, by_month).otherwise(by_day)
     first = F.to_date(F.lit(FIRST_DAY))
     at = F.datediff(day, first).cast("long")
     a, b = DAYS
     made = lambda y: F.date_add(first, (y["l"] * b + y["r"]).cast("int"))
     new = _with(feistel(F.floor(at / b), at % b, F.lit(a), F.lit(b), key, "date"), made)
-    out = F.when(shape == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(shape == "MM/dd/yyyy", F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    out = _with(F.when(year_first, F.date_format(new, "yyyyMMdd")).when(month_first, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy")), lambda d: _filled(m, d))
     return F.when((at >= 0) & (at < a * b), out).otherwise(m)
 
 
