@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 
-NONE = np.int64(1) << 40
+#: Above every rank (ids and ranks have 20 bits), and so small that NONE * leaves fits 64 bits for any text.
+NONE = np.int64(1) << 20
 
 
 def byte_letters() -> dict[int, str]:

@@ -63,6 +63,14 @@ def test_bpe_merges_leftmost_lowest_rank():
     assert [x.tolist() for x in own.encode_words(made)] == [by_hand(w) for w in made]
 
 
+def test_bpe_merges_whatever_the_leaves():
+    """As many leaves as a pre-token of over 4 MiB has."""
+    own, word = bpe.Bpe(bpe.vocabulary()), b" the same thing"
+    few, many = (own._forest([word], leaves)[0].tolist() for leaves in (1 << 4, 1 << 23))
+    assert many == few and len(few) < len(word)
+    assert len(own.ranks) <= bpe.NONE and int(own.ranks.max()) < bpe.NONE
+
+
 def test_bpe_rows(spark, tokenizer):
     rows = bpe.digest_rows(documents(spark, ODD, clash=True), bpe.vocabulary()).collect()
     assert len(rows) == len(ODD)
