@@ -1,23 +1,28 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams: the target (labelled good text, of FIT_ROWS rows at most, those whose ids hash
-lowest) and the raw corpus (every document, in full). The log-ratio of the two, summed over a document, is its log
-importance weight; documents are drawn without replacement by Gumbel top-k from the weights to the power of 1 / HEAT,
-k being the number of documents that the target model explains as well as the raw one (or short of that by MARGIN).
-
-N-grams are of byte classes (letters, capitals, digits, space, line end, punctuation marks), NARROW and WIDE ones, and the
-pattern of words that repeat the word before. Grams of the letters themselves told languages apart where the labelled sample
-had other shares of them than the corpus, and so rejected good text; they are left out. Counts are partial for each partition, hence CELLS rows a partition at most move, and
-the model that goes to the executors has CELLS entries whatever the input. Log-ratios are whole numbers of 2**-16, so sums
-don't depend on how rows are dealt out. No document moves: two scans (counts, scores), and the k-th key is found by counting.
-
-Defined results: null or very short text has no n-gram, log-ratio 0, and counts as explained; texts are read whole; equal
-keys at the threshold all stay; rows of a repeated doc_id share their noise; an empty table gives an empty result; labels
-without a document, null labels and repeated labels are of no effect; other columns pass through untouched.
+lowest) and the raw corpus (every document, in full). Four kinds of gram have models of their own: tokens (a run of letters
+and digits, or of other marks) and pairs of tokens that follow each other, hashed to 2 ** CELL_BITS cells, and how many places before
+the same token, and the same pair, was last met in the text (powers of two). The log-ratio of the two models, summed over the grams of a document and divided by the
+square root of their number, is its log importance weight: what chance makes of clean text is then of like size for short and long texts.
+
+Documents are drawn without replacement by Gumbel top-k, from the weights to the power of 1 / HEAT. k is a share of the documents: that of the
+good ones among all labelled documents, at the upper end of its confidence interval of SIGMAS standard errors, so that an error
+of the share loses no clean text. HEAT is 1: noise of about 1.3 meets log weights of which clean text has -1 to 2 and junk -8 to -40, so what lies
+between is drawn by lot, and no threshold on the weight gives the same documents.
+
+Counts are partial for each partition, hence CELLS rows a partition at most move, and the model that goes to the executors has CELLS entries whatever
+the input. Log-ratios are whole numbers of 2**-16, so sums don't depend on how rows are dealt out. No document moves: two scans (counts, scores),
+and the k-th key is found by counting.
+
+Defined results: null or empty text has no gram and log weight 0; texts are read whole, in pieces of PIECE bytes (grams across two pieces
+don't count); equal keys at the threshold all stay; rows of a repeated doc_id share their noise; an empty table gives an empty result; labels
+without a document, null labels and repeated labels are of no effect; without labels all rows stay; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,80 +31,91 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kth_largest, mapped, sortable, stored, table, uniform
-
-FIT_ROWS, HEAT, SEED = 4000, 0.02, 20240
-#: A document counts as explained down to this log-ratio: rare good forms (a key, a licence line) are few in a bounded sample.
-MARGIN = 24.0
-NARROW, WIDE, CELL_BITS = 4, 6, 14
-SPACES = 2
-CELLS = SPACES * (1 << CELL_BITS) + 16
-#: Counts that every cell has beforehand, as a share of the mean count.
-SMOOTH = 0.01
-#: Bytes of text that a task works on at once.
-WORK = 1 << 18
-
-
-def _classes() -> np.ndarray:
-    of = np.zeros(256, np.uint64)
-    of[[*range(97, 123), *range(128, 256)]] = 1
-    of[65:91], of[48:58] = 2, 3
-    rest = [b for b in range(33, 127) if not of[b]]
-    of[rest] = 6 + np.arange(len(rest)) % 26
-    of[[32, 10, 13, 9]] = 4, 5, 5, 4
-    return of
-
-
-CLASS = _classes()
-GAPS = np.zeros(256, bool)
-GAPS[[32, *range(9, 14)]] = True
+from .common import drop_stored, kth_largest, mapped, sortable, stored, table, uniform
+
+FIT_ROWS, HEAT, SIGMAS, SEED = 4000, 1.0, 3.0, 20240
+CELL_BITS, GAP_BITS = 14, 4
+HASHED = 2 << CELL_BITS
+CELLS = HASHED + (2 << (GAP_BITS + 1))
+#: First and last cell of each kind of gram.
+KINDS = [(0, 1 << CELL_BITS), (1 << CELL_BITS, HASHED), (HASHED, HASHED + (2 << GAP_BITS)), (HASHED + (2 << GAP_BITS), CELLS)]
+#: Grams of each cell that the target has beforehand, dealt as those of the raw text are; and the least share of a cell, of the mean one.
+PRIOR, SMOOTH = 1.0, 0.01
+#: Bytes of text that a task works on at once, and of a piece of a long text.
+WORK = PIECE = 1 << 18
+
+SPACES, WORDS, MARKS = 0, 1, 2
+
+
+def _kinds_of_bytes() -> np.ndarray:
+    kind = np.full(256, MARKS, np.uint8)
+    kind[[32, *range(9, 14)]] = SPACES
+    kind[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = WORDS
+    return kind
+
+
+_KIND = _kinds_of_bytes()
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def _hashed(values: np.ndarray, space: int) -> np.ndarray:
-    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int32) + space * (1 << CELL_BITS)
+def _cell(values: np.ndarray, kind: int) -> np.ndarray:
+    return ((values * _ODD) >> np.uint64(64 - CELL_BITS)).astype(np.int64) + KINDS[kind][0]
+
+
+def _recency(values: np.ndarray, text: np.ndarray, kind: int) -> np.ndarray:
+    """Cells of how many places before each value was last met in its text, and whether the value before it came as many places after its like."""
+    order = np.lexsort((values, text))
+    same = (values[order[1:]] == values[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    gap = np.zeros(len(values), np.int64)
+    gap[order[1:][same]] = (order[1:] - order[:-1])[same]
+    steady = np.zeros(len(values), np.int64)
+    steady[1:] = (gap[1:] == gap[:-1]) & (gap[1:] > 0) & (text[1:] == text[:-1])
+    return KINDS[kind][0] + (np.minimum(np.frexp(gap.astype(np.float64))[1], (1 << GAP_BITS) - 1) << 1 | steady)
 
 
 def grams(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, cells) of all n-grams in joined texts; ends: of each text; places: where an n-gram starts."""
-    stop = np.repeat(ends, np.diff(ends, prepend=0))  # of the text that a byte belongs to
-    classes = CLASS[data]
-    for space, n in enumerate((NARROW, WIDE)):
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        value = classes[:m].copy()
-        for k in range(1, n):
-            value |= classes[k : k + m] << np.uint64(5 * k)
-        places = np.flatnonzero(np.arange(m) + n <= stop[:m])
-        yield places, _hashed(value[places], space)
-    gap = GAPS[data]
-    first = np.zeros(len(data), bool)
-    first[ends[:-1][ends[:-1] < len(data)]] = True
-    first[:1] = True
-    inside = ~gap
-    starts = np.flatnonzero(inside & (first | np.concatenate([[True], gap[:-1]])))
+    """(text, cells) of all grams of joined texts, kind by kind; ends: of each text; text: its number."""
+    kind = _KIND[data]
+    begins = np.zeros(len(data), bool)
+    begins[:1] = True
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[ends[:-1][ends[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return
-    run = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))])
-    word = np.add.reduceat(np.where(inside, data.astype(np.uint64) * _PLACE[run & 63] + np.uint64(1), np.uint64(0)), starts)
-    same = np.zeros(len(starts), np.int32)
-    same[1:] = (word[1:] == word[:-1]) & (stop[starts[1:]] == stop[starts[:-1]])
-    pattern = same.copy()
-    for k in (1, 2, 3):
-        pattern[k:] |= (same[:-k] << k) * (stop[starts[k:]] == stop[starts[:-k]])
-    yield starts, SPACES * (1 << CELL_BITS) + pattern
-
-
-def joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, ends) of runs of rows of a string column."""
+    lengths = np.diff(starts, append=len(data))
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    token = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _PLACE[place & 63], starts)
+    token = (token ^ (token >> np.uint64(31))) * _ODD
+    solid = kind[starts] != SPACES
+    token, text = token[solid], np.searchsorted(ends, starts[solid], "right")
+    if not len(token):
+        return
+    yield text, _cell(token, 0)
+    yield text, _recency(token, text, 2)
+    next_to = np.flatnonzero(text[1:] == text[:-1])
+    pair = token[next_to] * np.uint64(3) + token[next_to + 1]
+    pair ^= pair >> np.uint64(29)
+    if len(pair):
+        yield text[next_to], _cell(pair, 1)
+        yield text[next_to], _recency(pair, text[next_to], 3)
+
+
+def joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ends, rows) of runs of pieces of a string column: where each piece ends, and its row."""
     column = pc.fill_null(column.cast(pa.binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + WORK, "right")) - 1)
-        yield data[offsets[row] : offsets[stop]], offsets[row + 1 : stop + 1] - offsets[row]
+        if stop == row + 1:
+            for at in range(offsets[row], max(offsets[stop], offsets[row] + 1), PIECE):
+                part = data[at : min(at + PIECE, offsets[stop])]
+                yield part, np.array([len(part)]), np.array([row])
+        else:
+            yield data[offsets[row] : offsets[stop]], offsets[row + 1 : stop + 1] - offsets[row], np.arange(row, stop)
         row = stop
 
 
@@ -110,14 +126,12 @@ def _count(docs: DataFrame, good: str, text: str) -> DataFrame:
         raw, target = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
         for batch in batches:
             chosen = np.asarray(pc.fill_null(batch.column(1), False))
-            at = 0
-            for data, ends in joined(batch.column(0)):
-                picked = np.repeat(chosen[at : at + len(ends)], np.diff(ends, prepend=0))
-                at += len(ends)
-                for places, cells in grams(data, ends):
+            for data, ends, rows in joined(batch.column(0)):
+                picked = chosen[rows]
+                for text, cells in grams(data, ends):
                     raw += np.bincount(cells, minlength=CELLS)
                     if picked.any():
-                        target += np.bincount(cells[picked[places]], minlength=CELLS)
+                        target += np.bincount(cells[picked[text]], minlength=CELLS)
         cell = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(raw[cell]), pa.array(target[cell])], ["cell", "raw", "target"])
 
@@ -136,47 +150,58 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not target.sum():
         return np.zeros(CELLS, np.int64)
     ratio = np.zeros(CELLS)
-    for a, b in [(k << CELL_BITS, (k + 1) << CELL_BITS) for k in range(SPACES)] + [(SPACES << CELL_BITS, CELLS)]:
-        shares = [(x[a:b] + SMOOTH * max(x[a:b].mean(), 1e-9)) / (x[a:b].sum() + SMOOTH * max(x[a:b].sum(), 1e-9)) for x in (target, raw)]
-        ratio[a:b] = np.log(shares[0] / shares[1])
+    for a, b in KINDS:
+        if raw[a:b].sum():
+            of_raw = (raw[a:b] + SMOOTH * raw[a:b].mean()) / (raw[a:b].sum() * (1 + SMOOTH))
+            ratio[a:b] = np.log((target[a:b] + PRIOR * (b - a) * of_raw) / (target[a:b].sum() + PRIOR * (b - a)) / of_raw)
     return np.rint(ratio * 65536).astype(np.int64)
 
 
-def log_ratios(column: pa.Array, model: np.ndarray) -> np.ndarray:
-    """The log-ratio of each text, in 2**-16."""
-    out = []
-    for data, ends in joined(column):
-        score = np.zeros(len(ends), np.int64)
-        for places, cells in grams(data, ends):
+def share(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", which: Column | None = None, sigmas: float = SIGMAS) -> float:
+    """The share of good ones among the labelled documents, at the upper end of its confidence interval (Wilson); 1 without labels."""
+    usable = labels.filter(F.col(label_col).isin(0, 1) & (F.lit(True) if which is None else which)).select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("good")).distinct()
+    known = usable.join(docs.select(F.col(id_col).cast("long").alias("label_id")), "label_id", "left_semi")
+    n, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if not n:
+        return 1.0
+    p, z = good / n, sigmas**2 / n
+    return min(1.0, (p + z / 2 + sigmas * math.sqrt(p * (1 - p) / n + z / (4 * n))) / (1 + z))
+
+
+def log_weights(column: pa.Array, model: np.ndarray) -> np.ndarray:
+    """The log importance weight of each text."""
+    total, number = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+    for data, ends, rows in joined(column):
+        for text, cells in grams(data, ends):
+            counts = np.bincount(text, minlength=len(rows))
             sums = np.concatenate([[0], np.cumsum(model[cells])])
-            cuts = sums[np.searchsorted(places, np.concatenate([[0], ends]))]
-            score += np.diff(cuts)
-        out.append(score)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            last = np.cumsum(counts)
+            total[rows] += sums[last] - sums[last - counts]
+            number[rows] += counts
+    return total / 65536.0 / np.sqrt(np.maximum(number, 1))
 
 
-def scored(docs: DataFrame, model: np.ndarray, text_col: str = "text", out_col: str = "log_ratio") -> DataFrame:
+def scored(docs: DataFrame, model: np.ndarray, text_col: str = "text", out_col: str = "log_weight") -> DataFrame:
     """docs with the log importance weight of each row."""
-    model = model.astype(np.int32)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_ratios(batch.column(at), model) / 65536.0)], [*batch.schema.names, "ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_weights(batch.column(at), model))], [*batch.schema.names, "weight"])
 
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    schema = ", ".join([*(f"{n} {t}" for n, t in named.dtypes), "ratio double"])
+    schema = ", ".join([*(f"{n} {t}" for n, t in named.dtypes), "weight double"])
     return mapped(named, run, schema).toDF(*docs.columns, out_col)
 
 
-def gumbel_key(log_ratio: Column, ident: Column) -> Column:
+def gumbel_key(log_weight: Column, ident: Column, heat: float = HEAT, seed: int = SEED) -> Column:
     """The key by which the largest k are a sample without replacement, as a sortable long."""
-    return sortable(log_ratio / F.lit(HEAT) - F.log(-F.log(uniform(ident, seed=SEED))))
+    return sortable(log_weight / F.lit(heat) - F.log(-F.log(uniform(ident, seed=seed))))
 
 
-def threshold(light: DataFrame) -> int | None:
-    """The k-th largest key of a table (log_ratio, key), k being the number of rows that count as explained."""
-    return kth_largest(light, "key", light.filter(F.col("log_ratio") >= -MARGIN).count())
+def threshold(light: DataFrame, part: float) -> int | None:
+    """The k-th largest key of a table (key), k being this part of the rows, rounded up."""
+    return kth_largest(light, "key", math.ceil(light.count() * part))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,18 +210,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = fit(docs, labels, id_col, text_col)
     own = docs.toDF(*names)
     ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    key = gumbel_key(F.col("log_ratio"), F.col(ident))
-    light = stored(scored(own.select(ident, text), model, text).select("log_ratio", key.alias("key")), "weights")
-    least = threshold(light)
+    key = gumbel_key(F.col("log_weight"), F.col(ident))
+    light = stored(scored(own.select(ident, text), model, text).select(key.alias("key")), "weights")
+    least = threshold(light, share(docs, labels, id_col))
+    drop_stored(light)
     kept = scored(own, model, text).filter(key >= F.lit(least)) if least is not None else own.limit(0)
     return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's log importance weight and whether the sample takes it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    weights = scored(docs, model).select("doc_id", "log_ratio", gumbel_key(F.col("log_ratio"), F.col("doc_id")).alias("key"))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    weights = scored(docs, fit(docs, labels)).select("doc_id", "log_weight", gumbel_key(F.col("log_weight"), F.col("doc_id")).alias("key"))
     light = stored(weights, "weights")
-    least = threshold(light)
-    return light.select("doc_id", "log_ratio", F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(least)).alias("kept") if least is not None else F.lit(False).alias("kept"))
+    least = threshold(light, share(docs, labels))
+    return light.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(least)).alias("kept") if least is not None else F.lit(False).alias("kept"))
