@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import kept_by, mapped, table
 
 #: Above every rank (ids and ranks have 20 bits), and so small that NONE * leaves fits 64 bits for any text.
 NONE = np.int64(1) << 20
@@ -40,7 +40,7 @@ class Bpe:
     """A vocabulary file of the tokenizers library (byte-level, without prefix space)."""
 
     #: Pre-tokens of a generation (a worker keeps two: what was met of late stays), and characters of text that it works on at once.
-    KEEP, AT_ONCE = 120_000, 1 << 20
+    KEEP, AT_ONCE = 60_000, 1 << 19
 
     def __init__(self, path: str, pattern: str | None = None):
         with open(path, encoding="utf-8") as f:
@@ -171,6 +171,7 @@ class Bpe:
 
 
 _loaded: dict[str, Bpe] = {}
+kept_by(__name__, _loaded.clear)
 
 
 def loaded(path: str) -> Bpe:

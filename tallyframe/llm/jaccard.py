@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mapped, stored, table
+from .common import drop_stored, kept_by, mapped, stored, table
 from .components import components
 
 SHINGLE, ROWS, BANDS, BITS, TILE = 5, 3, 40, 2048, 512
@@ -41,7 +41,7 @@ SLOTS = ROWS * BANDS
 #: Largest set of each class of sizes, and the bins of a permutation there; a class has SLOTS / bins permutations.
 SIZES = ((16, 1), (64, 4), (256, 15), (1024, 60), (1 << 62, 120))
 #: Words that a worker keeps hashed, and bytes of text that it works on at once.
-KEEP, WORK = 200_000, 1 << 20
+KEEP, WORK = 100_000, 1 << 19
 
 _random = np.random.default_rng(5)
 _FACTORS = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +57,7 @@ class _Words(dict):
 
 
 _words = _Words()
+kept_by(__name__, _words.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
