@@ -342,25 +342,44 @@ def test_phone_pseudonyms_are_different(spark):
 
 
 # 6 ----------------------------------------------------------------------------------------------------------------
-def test_token_counts_are_the_best_segmentation():
-    counter, r = tokencount.Counter(bpe.vocabulary()), random.Random(4)
-    score = counter.model.score
+def best_segmentation(score, word):
+    """Pieces of the best segmentation: all last pieces of all prefixes."""
+    best = [0] + [None] * len(word)
+    for i in range(1, len(word) + 1):
+        best[i] = max(best[j] + score[word[j:i]] for j in range(max(0, i - 130), i) if word[j:i] in score)
+    return -best[-1] % tokencount.PIECE
 
-    def by_hand(word):
-        best = [0] + [None] * len(word)
-        for i in range(1, len(word) + 1):
-            best[i] = max(best[j] + score[word[j:i]] for j in range(i) if word[j:i] in score)
-        return -best[-1] % tokencount.PIECE
 
+def test_token_counts_are_the_best_segmentation():
+    r = random.Random(4)
+    counter = tokencount.Counter(bpe.vocabulary(), np.array([r.randrange(1000) for _ in range(50257)]))
+    score = counter.model.score
     made = [bytes(r.choice(b"aethion sXY9") for _ in range(r.randrange(1, 40))) for _ in range(300)]
-    assert [counter.trie.insert(w) for w in made] == [by_hand(w) for w in made]
-    texts = [None, "", "the the  them", "é" * 500]
-    assert list(counter.counts(texts)) == [(sum(by_hand(p.encode()) for p in counter.split(t or "")), len(counter.split(t or ""))) for t in texts]
+    want = [best_segmentation(score, w) for w in made]
+    assert [counter.trie.insert(w) for w in made] == want and [counter.trie.alone(w) for w in made] == want
+    texts = [None, "", "the the  them", "é" * 500, "ab" * 2000, "ab" * 2000 + " ab"]
+    assert list(counter.counts(texts)) == [(sum(best_segmentation(score, p.encode()) for p in counter.split(t or "")), len(counter.split(t or ""))) for t in texts]
+    nodes = len(counter.trie.forward)
+    assert list(counter.counts(["x" * 1_000_000]))[0][1] == 1 and len(counter.trie.forward) == nodes
+
 
+def test_token_count_rows(spark, tokenizer):
+    """Model and counts by hand."""
+    import math
 
-def test_token_count_rows(spark):
-    rows = tokencount.token_counts(documents(spark, ODD, clash=True), bpe.vocabulary()).collect()
-    assert len(rows) == len(ODD) and {r.doc_id: r.n_tokens for r in rows}[2] == 0 and tokencount.token_counts(documents(spark, []), bpe.vocabulary()).count() == 0
+    rows = [*ODD, (12, "the words of a long text " * 40_000)]
+    got = tokencount.token_counts(documents(spark, rows, clash=True), bpe.vocabulary()).collect()
+    seen = collections.Counter()
+    for i, t in rows:
+        if i is not None:
+            seen.update(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    pieces = {i: b for i, b in tokencount._spec(bpe.vocabulary()).items() if b}
+    total = sum(seen[i] + tokencount.PRIOR for i in pieces)
+    score = {b: round(math.log((seen[i] + tokencount.PRIOR) / total) * tokencount.UNIT) * tokencount.PIECE - 1 for i, b in pieces.items()}
+    split, known = tokencount.Counter(bpe.vocabulary()).split, {}
+    count = lambda t: sum(known.setdefault(p, None) or known.__setitem__(p, best_segmentation(score, p.encode())) or known[p] for p in split(t or ""))
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_pretokens) for r in got) == collections.Counter((i, count(t), len(split(t or ""))) for i, t in rows)
+    assert tokencount.token_counts(documents(spark, []), bpe.vocabulary()).count() == 0
 
 
 # 7 ----------------------------------------------------------------------------------------------------------------
