@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's documents, shuffled by a hash, form one stream of words, cut into blocks of equal size (about BLOCK words).
-A slot of the schedule takes one block. Slot i is the golden-ratio point frac(i * 0.618...), mapped through the cumulative
-quotas of the sources, so that every stretch of the schedule has the right shares; slots are ranked within their source,
-and rank r takes block r modulo the number of blocks (a repeat for each time round). What discrepancy leaves over or
-short of a quota is cut off, or added at the end, so each source's words are within half a block of its target.
+Each source's documents, shuffled by a hash, form one stream of words, cut into blocks of equal size: about BLOCK words, or a part in
+MOST_BLOCKS of the source if that is more, so blocks grow with the input and their number doesn't.
+A slot of the schedule takes one block. Slot i is the golden-ratio point frac(i * 0.618...), in whole numbers of 2**-POINT_BITS
+so that points stay apart however many slots there are, mapped through the cumulative quotas of the sources: every stretch of the schedule has the
+right shares. Slots are ranked within their source, and rank r takes block r modulo the number of blocks (a repeat for each time round). What
+discrepancy leaves over or short of a quota is cut off, or added at the end, so each source's words are within half a block of its target.
 
 Nothing is gathered by source: offsets and ranks are prefix sums in two levels (within a bucket or chunk, and over the
 sums of these), and what holds for a source reaches its documents through the table of buckets. Only the table of sources
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, table
 
-WEIGHTS, MOST, BLOCK, SEED = (5, 2, 1), 3, 64, 77
-GOLDEN = 0.6180339887498949
-#: Documents of a bucket, slots of a chunk, cells of the map from points to sources, least buckets.
-BUCKET_DOCS, CHUNK, CELLS, LEAST_BUCKETS = 1 << 16, 1 << 13, 1 << 10, 64
+WEIGHTS, MOST, BLOCK, MOST_BLOCKS, SEED = (5, 2, 1), 3, 64, 1 << 20, 77
+#: Bits of a point, and the golden ratio's part in them: floor(2 ** 62 * (5 ** 0.5 - 1) / 2).
+POINT_BITS, GOLDEN = 62, 0x278DDE6E5FD29F05
+#: Documents of a bucket, slots of a chunk, bits of the cells of the map from points to sources, least buckets.
+BUCKET_DOCS, CHUNK, CELL_BITS, LEAST_BUCKETS = 1 << 16, 1 << 13, 10, 64
 
 
 def source_key(source: Column) -> Column:
@@ -54,29 +56,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return leveled.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(first * F.col("weight"), F.col("cap").cast("double")))).select("skey", "source_size", "weight", "target")
 
 
-def quotas(aimed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """With n_blocks, and quota: blocks to take of each source, in order and round and round, so that their words come nearest to the target; and first, where its quota begins among all.
+def quotas(aimed: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """With n_blocks, and quota: blocks to take of each source, in order and round and round, so that their words come nearest to the target; and low and high, the points that are its own.
 
     The first blocks of a source are a word longer than the others."""
-    out = aimed.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    words = F.greatest(F.lit(block), F.expr(f"source_size div {most_blocks}"))
+    out = aimed.withColumn("n_blocks", F.ceil(F.col("source_size") / words).cast("long"))
     base, long = F.expr("source_size div greatest(n_blocks, 1)"), F.expr("source_size % greatest(n_blocks, 1)")
     rounds = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
     rest = F.col("target") - rounds * F.col("source_size")
     last = F.when(rest <= long * (base + 1), F.round(rest / (base + 1))).otherwise(long + F.round((rest - long * (base + 1)) / F.greatest(base, F.lit(1))))
     quota = F.when(F.col("source_size") > 0, F.least((rounds * F.col("n_blocks") + last).cast("long"), F.col("n_blocks") * MOST)).otherwise(0)
     out = out.withColumn("quota", quota)
-    return out.withColumn("first", F.coalesce(F.sum("quota").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = F.coalesce(F.sum("quota").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.greatest(F.sum("quota").over(Window.partitionBy()), F.lit(1))
+    bound = lambda at: (at.cast("decimal(18,0)") * F.lit(1 << POINT_BITS).cast("decimal(20,0)") / whole.cast("decimal(18,0)")).cast("decimal(38,0)").cast("long")
+    return out.withColumn("low", bound(before)).withColumn("high", bound(before + F.col("quota")))
+
+
+def point_of(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2 ** POINT_BITS, in parts that don't overflow; slot has 40 bits at most."""
+    mask = F.lit((1 << POINT_BITS) - 1)
+    part = lambda shift, bits: slot * F.lit(GOLDEN >> shift & ((1 << bits) - 1))
+    first = part(0, 21) + F.shiftleft(part(21, 21).bitwiseAND(F.lit((1 << 41) - 1)), 21)
+    return (first.bitwiseAND(mask) + F.shiftleft(part(42, 20).bitwiseAND(F.lit((1 << 20) - 1)), 42)).bitwiseAND(mask)
 
 
 def schedule(quota: DataFrame) -> DataFrame:
     """slot, skey, rank, n_blocks: the order in which blocks are taken; rank counts within the source."""
     spark = quota.sparkSession
     n = quota.agg(F.sum("quota")).first()[0] or 0
-    width = max(1, -(-n // CELLS))
-    point = F.least(F.floor(F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)) * F.lit(float(n))).cast("long"), F.lit(max(n - 1, 0)))
-    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.expr(f"point div {width}"))
-    spans = quota.filter("quota > 0").select("skey", "n_blocks", "quota", "first", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"(first + quota - 1) div {width}"))).alias("cell"))
-    placed = slots.join(spans, "cell").filter("point >= first and point < first + quota").select("slot", "skey", "n_blocks", "quota", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    shift = POINT_BITS - CELL_BITS
+    slots = spark.range(n).select(F.col("id").alias("slot"), point_of(F.col("id")).alias("point")).withColumn("cell", F.shiftright("point", shift))
+    spans = quota.filter("quota > 0").select("skey", "n_blocks", "quota", "low", "high", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))).alias("cell"))
+    placed = slots.join(spans, "cell").filter("point >= low and point < high").select("slot", "skey", "n_blocks", "quota", F.expr(f"slot div {CHUNK}").alias("chunk"))
     placed = stored(placed, "slots")
     chunks = placed.groupBy("skey", "chunk").agg(F.count(F.lit(1)).alias("n"))
     chunks = chunks.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -88,12 +101,12 @@ def schedule(quota: DataFrame) -> DataFrame:
     return ranked.filter("rank < quota").select("slot", "skey", "rank", "n_blocks").unionByName(tail)
 
 
-def mixed(light: DataFrame) -> DataFrame:
+def mixed(light: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """rid, doc_id, size, source_size, target and taken (words, repeats counted) for a stored table of sized()."""
     buckets = max(LEAST_BUCKETS, -(-light.count() // BUCKET_DOCS))
     light = light.withColumn("bucket", F.pmod("place", F.lit(buckets)))
     sums = stored(light.groupBy("skey", "bucket").agg(F.sum("size").alias("words")), "bucketsums")
-    quota = stored(quotas(targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")))), "quotas")
+    quota = stored(quotas(targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size"))), block, most_blocks), "quotas")
     times = schedule(quota).groupBy("skey", F.expr("rank % n_blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sums.withColumn("ahead", ahead).join(quota.select("skey", "source_size", "target", "n_blocks"), "skey")

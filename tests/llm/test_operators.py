@@ -124,6 +124,70 @@ def waterfill(sizes):
         capped |= {s: 3 * sizes[s] for s in over}
 
 
+def mix_by_hand(rows, block, most_blocks):
+    """{(doc_id, size): taken} of rows (doc_id, text, source): streams, blocks and slots one by one. Documents have different ids."""
+    import struct
+    from fractions import Fraction
+
+    import xxhash
+
+    place = lambda i: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)))
+    streams = collections.defaultdict(list)
+    for i, t, s in rows:
+        streams["n" if s is None else "s" + s].append((place(i) % mixing.LEAST_BUCKETS, place(i), i, len((t or "").split())))
+    sizes = {k: sum(x[-1] for x in v) for k, v in streams.items()}
+    want = waterfill({None if k == "n" else k[1:]: v for k, v in sizes.items()})
+    starts, quota = {}, {}
+    for k, size in sizes.items():
+        n = -(-size // max(block, size // most_blocks))
+        cuts = [0]
+        for b in range(n):
+            cuts.append(cuts[-1] + size // n + (b < size % n))
+        starts[k] = cuts
+        words = lambda q, n=n, cuts=cuts: q // n * cuts[-1] + cuts[q % n] if n else 0
+        target = want[None if k == "n" else k[1:]]
+        quota[k] = min(range(3 * n + 1), key=lambda q: (abs(words(q) - target), q))
+    total, taken, at = sum(quota.values()), collections.Counter(), {}
+    bounds, before = {}, 0
+    for k in sorted(quota):
+        bounds[k] = (round(Fraction(before << 62, total)), round(Fraction((before + quota[k]) << 62, total)))
+        before += quota[k]
+    ranks = collections.Counter()
+    for slot in range(total):
+        point = slot * mixing.GOLDEN % (1 << 62)
+        (k,) = (k for k, (low, high) in bounds.items() if low <= point < high)
+        ranks[k] += 1
+    blocks = collections.Counter((k, r % (len(starts[k]) - 1)) for k, q in quota.items() for r in range(q))  # what discrepancy cuts off or adds
+    assert all(abs(ranks[k] - q) <= 4 for k, q in quota.items())
+    for k, docs in streams.items():
+        at = 0
+        for _, _, i, size in sorted(docs):
+            for b, times in ((b, t) for (key, b), t in blocks.items() if key == k):
+                taken[i] += times * max(0, min(at + size, starts[k][b + 1]) - max(at, starts[k][b]))
+            at += size
+    return taken
+
+
+@pytest.mark.parametrize(("block", "most_blocks"), [(64, 1 << 20), (16, 50)])
+def test_mixing_by_hand(spark, block, most_blocks):
+    rows = [(i, " ".join(words(i, 20 + i * 37 % 150)), None if i % 7 == 6 else f"s{i % 7}") for i in range(120)] + [(500, None, "s0"), (501, "x " * 3000, "s1"), (502, "a", "tiny")]
+    light = common.stored(mixing.sized(documents(spark, rows, clash=True)), "t")
+    sizes = light.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    quota = mixing.quotas(mixing.targets(sizes), block, most_blocks)
+    assert quota.agg(F.max("n_blocks")).first()[0] <= max(most_blocks + most_blocks // 2, 0) or block == 64
+    got = {r.doc_id: r.taken for r in mixing.mixed(light, block, most_blocks).collect()}
+    want = mix_by_hand(rows, block, most_blocks)
+    assert got == {i: want[i] for i, _, _ in rows}
+
+
+def test_points_stay_apart(spark):
+    slots = [0, 1, 2, 5, 10**6, 10**9 + 7, (1 << 38) - 1, (1 << 40) - 1]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in slots], "s long").select(mixing.point_of(F.col("s"))).collect()]
+    assert got == [s * mixing.GOLDEN % (1 << mixing.POINT_BITS) for s in slots] and mixing.GOLDEN == int((5**0.5 - 1) / 2 * 2**20) << 42 | mixing.GOLDEN & ((1 << 42) - 1)
+    far = spark.range(1 << 38, (1 << 38) + 100_000).select(F.shiftright(mixing.point_of(F.col("id")), 62 - 30).alias("p"))
+    assert far.distinct().count() == 100_000
+
+
 def test_mixing_documents(spark):
     rows = [(i, " ".join(words(i, 50)), f"s{i % 3}") for i in range(90)]
     docs = documents(spark, rows, clash=True)
