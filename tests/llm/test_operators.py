@@ -609,18 +609,40 @@ def test_rules(spark):
 
 def test_propagation_equals_dense(spark):
     r = random.Random(3)
-    edges = collections.Counter((r.randrange(15), r.randrange(15)) for _ in range(60))
-    mass = [r.random() for _ in range(15)]
-    e = spark.createDataFrame([(f"h{a}", f"h{b}", n) for (a, b), n in edges.items()], "a string, b string, n long")
-    s = spark.createDataFrame([(f"h{i}", m) for i, m in enumerate(mass)], "host string, mass double")
-    got = {x.host: x.score for x in linkgraph.propagate(e, s, rounds=100).collect()}
-    out = np.zeros(15)
-    for (a, _), n in edges.items():
-        out[a] += n
-    score = np.array(mass) * 0.15
-    for _ in range(200):
-        score = np.array(mass) * 0.15 + 0.85 * np.array([sum(score[a] * n / out[a] for (a, b), n in edges.items() if b == i) for i in range(15)])
-    assert all(abs(got[f"h{i}"] - score[i]) < 1e-4 for i in range(15))
+    n = 15
+    links = collections.Counter((r.randrange(n - 3), r.randrange(n)) for _ in range(60))  # the last three link to nothing
+    e = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in links.items()], "src string, dst string, n long")
+    mass = np.array([r.random() if i % 3 else 0.0 for i in range(n)])
+    s = spark.createDataFrame([(f"h{i}", float(m)) for i, m in enumerate(mass)], "host string, mass double")
+    step = np.zeros((n, n))
+    for (a, b), k in links.items():
+        step[a, b] = k
+    out = step.sum(axis=1)
+    loose = out == 0
+    step[~loose] /= out[~loose, None]
+    trust, distrust = mass.copy(), mass.copy()
+    for _ in range(400):
+        trust = 0.15 * mass + 0.85 * (step.T @ trust + trust[loose].sum() * mass / mass.sum())
+        distrust = mass + (1 - mass) * 0.85 * (step @ distrust)
+    shares = linkgraph._shares(e)
+    got = [{x.host: x.score for x in f(shares, s).collect()} for f in (linkgraph.trust_of, linkgraph.distrust_of)]
+    assert all(abs(got[0][f"h{i}"] - trust[i]) < 1e-5 and abs(got[1][f"h{i}"] - distrust[i]) < 1e-5 for i in range(n))
+    assert sum(got[0].values()) == pytest.approx(mass.sum()) and max(got[1].values()) <= 1
+
+
+def test_verdict_does_not_depend_on_the_number_of_linkers(spark):
+    for farm in (1, 2, 100):
+        rows = [(i, f"http://f{i}.org/", '<a href="http://bad.net/es/">x</a>') for i in range(farm)] + [(1000, "http://bad.net/es/1", None), (1001, "http://mixed.org/", '<a href="http://bad.net/">x</a><a href="http://a.org/">y</a><a href="http://b.org/">y</a>')]
+        hosts = {r.host: r.verdict for r in linkgraph.host_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(hosts[f"f{i}.org"] == "block" for i in range(farm)) and hosts["mixed.org"] == hosts["a.org"] == "allow"
+
+
+def test_url_verdicts_of_odd_rows(spark):
+    """Clashing columns, repeated rows, nulls."""
+    rows = [(1, "http://x.net/es/", "t"), (1, "http://x.net/es/", "t"), (None, "http://x.net/en/", None), (2, None, '<a href="//y.org">'), (3, "http://y.org/" + "a" * 2_000_000, "<p>" * 1_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "verdict", "score", "mass", "n", "src")})
+    out = collections.Counter((r.page_id, r.host, r.rule, r.verdict) for r in linkgraph.verdicts(pages).collect())
+    assert out == collections.Counter({(1, "x.net", "net/es/", "block"): 2, (None, "x.net", None, "block"): 1, (2, "", None, "allow"): 1, (3, "y.org", None, "allow"): 1})
 
 
 def test_distrust_goes_against_links(spark):
