@@ -1,17 +1,19 @@
 """Format-preserving pseudonyms for personal data. DataFrame functions only.
 
 Numbers and dates that pass validation are permuted within their own format by a keyed Feistel network, so a value gets the
-same pseudonym in every document and two values never get the same one: card numbers (Luhn; the check digit is made anew),
-phone numbers, social security numbers (no area, group or serial that is never issued), IPv4 addresses and dates (of 1900
-to 2100). A value is a pair (l, r) below (a, b); each round adds a hash of the key and one half to the other half,
-modulo its bound, which is a bijection for any bounds and needs no cycle walking. Mail names, which are no numbers,
-get a keyed name that links but isn't a permutation; their domain stays.
+same pseudonym in every document and two values of a format never get the same one: card numbers (Luhn; the check digit is made anew),
+phone numbers, social security numbers (no area, group or serial that is never issued), IPv4 addresses (without leading zeros) and dates.
+Days are permuted among those of 1900 to 2099 where every day can be told from the format's usual order (yyyy-MM-dd, MM/dd/yyyy, dd.MM.yyyy); what can only be
+read the other way round (dd/MM/yyyy and MM.dd.yyyy of a day above 12) is permuted among the days above 12 of 1900 to April 2099, which can only be read so as well. A value is a
+pair (l, r) below (a, b); each round adds a hash of the key and one half to the other half, modulo its bound, which is a bijection for any bounds and
+needs no cycle walking. Mail names, which are no numbers, get a keyed name that links but isn't a permutation; their domain stays.
 
 A text is split at what the one pattern finds, and put together again with the pseudonyms between: whole texts, one pass
 each, no shuffle and no Python. A lost executor costs its running tasks.
 
-Defined results: null text stays null; text without personal data is returned byte for byte; digits that fail validation
-stay; adjacent and repeated values are each replaced; other columns are not touched.
+Defined results: null text stays null, empty text empty; text without personal data is returned byte for byte; digits that fail validation
+stay; adjacent and repeated values are each replaced; texts are read whole, and no pattern recurs by length, so a value of any length is found;
+repeated rows each get a row; an empty table gives an empty result; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ ROUNDS = 8
 #: Stands in for the secret that a user passes.
 KEY = "pseudonyms-1"
 
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 #: With an area code in brackets; +1; 1 or none before groups parted by dots, dashes and spaces; by spaces only (an area and an office that are issued); + and another country's code, 8 to 15 digits.
 PHONE = "|".join((
@@ -44,7 +46,8 @@ CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])(?:[0-9]{4} ){3}[0-9]{4}(?![0
 FOUND = "|".join((MAIL, IP, PHONE, DATE, SSN, CARD))
 #: Nothing is found in a text without one of these.
 HINT = "[0-9]{3}|@|[0-9]\\.|\\+[0-9]"
-FIRST_DAY, DAYS = "1900-01-01", (150, 487)
+#: Days, and days above 12, are numbered from FIRST_DAY; (a, b) of their pairs.
+FIRST_DAY, DAYS, LATE_DAYS = "1900-01-01", (150, 487), (210, 210)
 
 
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
@@ -121,7 +124,7 @@ def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda x: x.cast("long"))
     y = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), key, "ip")
     made = _with(y, lambda y: F.concat_ws(".", *(x.cast("string") for h in (y["l"], y["r"]) for x in (F.floor(h / 256), h % 256))))
-    return F.when(F.forall(octets, lambda x: x <= 255), made).otherwise(m)
+    return F.when(F.forall(octets, lambda x: x <= 255) & ~m.rlike("(^|[.])0[0-9]"), made).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -137,18 +140,32 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, _with(y, parts)).otherwise(m)
 
 
+def _late_day(at: Column) -> Column:
+    """The date of a number that counts the days above 12 only: months have 16 to 19 of them, so the month is near at / 18.44."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    before = lambda k: F.datediff(F.add_months(first, k), first) - 12 * k
+    guess = F.floor(at / 18.4375).cast("int")
+    month = F.array_max(F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), guess + 2), lambda k: before(k) <= at))
+    return _with(month, lambda k: F.date_add(F.add_months(first, k), (at - before(k) + 12).cast("int")))
+
+
 def _date(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    year_first, by_month, by_day = F.substring(m, 5, 1).rlike("[^0-9]"), F.try_to_date(digits, "MMddyyyy"), F.try_to_date(digits, "ddMMyyyy")
-    month_first = F.when(m.contains("."), by_day.isNull()).otherwise(by_month.isNotNull())
-    day = F.when(year_first, F.try_to_date(digits, "yyyyMMdd")).when(month_first, by_month).otherwise(by_day)
+    year_first, dotted, by_month, by_day = F.substring(m, 5, 1).rlike("[^0-9]"), m.contains("."), F.try_to_date(digits, "MMddyyyy"), F.try_to_date(digits, "ddMMyyyy")
+    usual = F.when(year_first, F.try_to_date(digits, "yyyyMMdd")).when(dotted, by_day).otherwise(by_month)
     first = F.to_date(F.lit(FIRST_DAY))
-    at = F.datediff(day, first).cast("long")
-    a, b = DAYS
-    made = lambda y: F.date_add(first, (y["l"] * b + y["r"]).cast("int"))
-    new = _with(feistel(F.floor(at / b), at % b, F.lit(a), F.lit(b), key, "date"), made)
-    out = _with(F.when(year_first, F.date_format(new, "yyyyMMdd")).when(month_first, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy")), lambda d: _filled(m, d))
-    return F.when((at >= 0) & (at < a * b), out).otherwise(m)
+    written = lambda day, turned: F.when(year_first, F.date_format(day, "yyyyMMdd")).when(dotted == F.lit(turned), F.date_format(day, "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy"))
+
+    def made(at: Column, bounds: tuple[int, int], day_of, turned: bool) -> Column:
+        a, b = bounds
+        y = _with(feistel(F.floor(at / b), at % b, F.lit(a), F.lit(b), key, "late day" if turned else "date"), lambda y: y["l"] * b + y["r"])
+        return F.when((at >= 0) & (at < a * b), _with(_with(y, day_of), lambda day: _filled(m, written(day, turned)))).otherwise(m)
+
+    late = F.when(dotted, by_month).otherwise(by_day)
+    months = (F.year(late) - 1900) * 12 + F.month(late)
+    out = F.when(usual.isNotNull(), made(F.datediff(usual, first).cast("long"), DAYS, lambda y: F.date_add(first, y.cast("int")), False))
+    out = out.when(~year_first & late.isNotNull(), made((F.datediff(late, first) - 12 * months).cast("long"), LATE_DAYS, _late_day, True))
+    return F.coalesce(out, m)
 
 
 def _mail(m: Column, key: str) -> Column:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallyframe.llm import avi, bpe, common, components, dedup, jaccard, licenses, linkgraph, mixing, pii, quality, tokencount
@@ -405,6 +406,139 @@ def test_phone_pseudonyms_are_different(spark):
     assert rows.select(pii.pseudonymised(F.col("t")).alias("p")).distinct().count() == rows.count()
 
 
+def pseudonymised_by_hand(text, key=pii.KEY):
+    """The whole operator in Python: values one by one, with the same patterns."""
+    import datetime
+
+    if text is None:
+        return None
+
+    def feistel(left, right, a, b, kind):
+        for n in range(1, pii.ROUNDS + 1):
+            half = right if n % 2 else left
+            add = int(hashlib.sha256(f"{key}|{kind}|{n}|{half}|{a}|{b}".encode()).hexdigest()[:15], 16)
+            left, right = ((left + add) % a, right) if n % 2 else (left, (right + add) % b)
+        return left, right
+
+    def filled(m, digits):
+        left = iter(digits)
+        return "".join(next(left) if c.isdigit() else c for c in m)
+
+    def halves(digits, kind):
+        high = len(digits) - len(digits) // 2
+        y = feistel(int(digits[:high]), int(digits[high:]), 10**high, 10 ** (len(digits) - high), kind)
+        return str(y[0]).zfill(high) + str(y[1]).zfill(len(digits) - high)
+
+    def mail(m):
+        return "u" + hashlib.sha256(f"{key}|mail|{m.lower()}".encode()).hexdigest()[:12] + m[m.rindex("@") :]
+
+    def ip(m):
+        o = [int(x) for x in m.split(".")]
+        if max(o) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
+            return m
+        y = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return ".".join(str(x) for h in y for x in divmod(h, 256))
+
+    def phone(m):
+        d = re.sub("[^0-9]", "", m)
+        if re.match(r"\+[2-9]", m):
+            code = re.match(pii.COUNTRY, d)[0]
+            return filled(m, code + halves(d[len(code) :], "phone"))
+        own = d[-10:]
+        area, office, line = int(own[:3]), int(own[3:6]), int(own[6:])
+        if area >= 200 and office >= 200:
+            x, y = feistel((area - 200) * 800 + office - 200, line, 640_000, 10_000, "phone")
+            upper = (x // 800 + 200) * 1000 + x % 800 + 200
+        else:
+            x, y = feistel(area * 1000 + office if area < 200 else 200_000 + (area - 200) * 200 + office, line, 360_000, 10_000, "phone")
+            upper = x if x < 200_000 else ((x - 200_000) // 200 + 200) * 1000 + (x - 200_000) % 200
+        return filled(m, d[:-10] + str(upper).zfill(6) + str(y).zfill(4))
+
+    def date(m):
+        d = re.sub("[^0-9]", "", m)
+
+        def parsed(form):
+            try:
+                return datetime.datetime.strptime(d, form).date()
+            except ValueError:
+                return None
+
+        first = datetime.date(1900, 1, 1)
+        usual, turned = ("%Y%m%d", None) if not m[4].isdigit() else ("%d%m%Y", "%m%d%Y") if "." in m else ("%m%d%Y", "%d%m%Y")
+        if day := parsed(usual):
+            at, (a, b), form = (day - first).days, pii.DAYS, usual
+            days = lambda y: first + datetime.timedelta(y)
+            kind = "date"
+        elif turned and (day := parsed(turned)):
+            at, (a, b), form = (day - first).days - 12 * ((day.year - 1900) * 12 + day.month), pii.LATE_DAYS, turned
+            days, kind = lambda y: late_days()[y], "late day"
+        else:
+            return m
+        if not 0 <= at < a * b:
+            return m
+        y = feistel(at // b, at % b, a, b, kind)
+        new = days(y[0] * b + y[1])
+        return filled(m, new.strftime(form).zfill(8))
+
+    def ssn(m):
+        area, group, serial = map(int, m.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return m
+        x, y = feistel((area - 2 if area > 666 else area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        at = x // 99
+        return f"{at + 2 if at >= 665 else at + 1:03}-{x % 99 + 1:02}-{y + 1:04}"
+
+    def card(m):
+        d = re.sub("[ -]", "", m)
+        if not luhn(d):
+            return m
+        n = len(d) - 1
+        low = n // 2
+        x, y = feistel(int(d[: n - low]), int(d[n - low : n]), 10 ** (n - low), 10**low, "card")
+        body = str(x).zfill(n - low) + str(y).zfill(low)
+        return filled(m, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    made = {"mail": mail, "ip": ip, "phone": phone, "date": date, "ssn": ssn, "card": card}
+    kinds = [(regex.compile(pattern, regex.ASCII), made[name]) for name, pattern, _ in pii.KINDS]
+    return regex.sub(pii.FOUND, lambda m: next(f(m[0]) for pattern, f in kinds if pattern.fullmatch(m[0])), text, flags=regex.ASCII)
+
+
+def late_days(known=[]):  # noqa: B006
+    import datetime
+
+    if not known:
+        known += [day for n in range(pii.DAYS[0] * pii.DAYS[1]) if (day := datetime.date(1900, 1, 1) + datetime.timedelta(n)).day > 12]
+    return known
+
+
+def test_pseudonyms_by_hand(spark, sf_dir):
+    """Odd, adversarial and long texts, all formats, and whole test documents."""
+    r = random.Random(8)
+    digits = lambda form: "".join(str(r.randrange(10)) if c == "#" else c for c in form)
+    forms = ["+1 (###) ###-####", "###-###-####", "(###) ###-####", "### ### ####", "+44 20 #### ####", "#.#.#.#", "1#.2#.###.#", "010.1.1.#", "20##-0#-1#", "19##/1#/0#", "0#/1#/19##", "1#/0#/20##", "2#/0#/19##", "31/12/20##", "0#.1#.20##", "1#.2#.19##", "###-##-####", "#### #### #### ####", "################", "3### ###### #####", "a.b@c#.org", "X_#@y.co.uk"]
+    values = " ; ".join(digits(f) for _ in range(60) for f in forms)
+    rows = ODD + [(20, values), (21, "x@" + "a." * 500_000 + "com"), (22, "x@a..b x@a.b. @ a@b"), (23, "1" * 300_000), (24, "1-" * 200_000 + " 4111 1111 1111 1111"), (25, "word 10.0.0.1 " * 30_000), (26, "a" * 2_000_000 + "@x.org"), (27, "4111111111111111"), (27, "4111111111111111")]
+    docs = documents(spark, rows, clash=True)
+    out = pii.with_pseudonyms(docs)
+    assert out.columns == docs.columns
+    want = collections.Counter((i, pseudonymised_by_hand(t)) for i, t in rows)
+    got = collections.Counter((x.doc_id, x.text) for x in out.select("doc_id", "text").collect())
+    assert got == want
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert {x.doc_id: x.text for x in pii.with_pseudonyms(whole).collect()} == {x.doc_id: pseudonymised_by_hand(x.text) for x in whole.collect()}
+
+
+@pytest.mark.parametrize("form", ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "MM.dd.yyyy", "MM-dd-yyyy"])
+def test_day_pseudonyms_are_different(spark, form):
+    """All days of 1985 to 2014 together with those of the other order."""
+    other = form.replace("MM", "xx").replace("dd", "MM").replace("xx", "dd") if not form.startswith("yyyy") else form
+    days = spark.range(30 * 365).select(F.date_add(F.lit("1985-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.explode(F.array(F.date_format("d", form), F.date_format("d", other))).alias("t")).distinct()
+    out = texts.select("t", pii.pseudonymised(F.col("t")).alias("p")).cache()
+    assert out.select("p").distinct().count() == out.count() and out.filter("length(p) <> length(t)").isEmpty()
+    out.unpersist()
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------
 def best_segmentation(score, word):
     """Pieces of the best segmentation: all last pieces of all prefixes."""
