@@ -6,10 +6,14 @@ template's length whole. A template that is contained to 0.75 has a Jaccard simi
 its window; of BANDS single minima at least one agrees with a probability of 1 - (1 - 0.18) ** BANDS, over 1 - 3e-6. What the
 bands retrieve is verified: shingles of the template in the window, over those of the template, at least 0.75.
 
-Only windows around a cue word are hashed. Cues lose nothing: so many shingles of each template hold one that no 0.75 of them do without
-(a test holds the catalogue against this). A notice of fewer words than a shingle is sought whole, as one sequence, in every text. Templates are a catalogue of fixed size, hence broadcast. Windows stay in
+Only windows around a cue word are hashed, and only those that the bands retrieve for some template go on. Cues lose nothing: so many shingles of each template hold one that no 0.75 of them do without
+(a test holds the catalogue against this). Versions are told apart: a license whose name has one (as gpl-3.0) is found only where a shingle with a number of its notice is.
+A notice of fewer words than a shingle is sought whole, as one sequence, in every text. Templates are a catalogue of fixed size, hence broadcast. Windows stay in
 the task that read the document; only matches move, a row for each document and license. A lost executor costs its tasks.
 
+The catalogue: the notices of the licenses below and the whole texts of the short ones (BSD, ISC, MIT, Unlicense, zlib); the bodies of the long ones (Apache, Creative Commons,
+EPL, GPL, LGPL, AGPL, MPL) aren't in it. A BSD text comes out as bsd and as the clauses that it has. matches() takes other catalogues.
+
 Defined results: null, empty and short text matches nothing; whole texts are read; a license that is found in several
 windows is one row with its best containment and the first place of that license; repeated rows give one row; an empty table gives an
 empty result; other columns are not read.
@@ -25,21 +29,40 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHINGLE, BANDS, LEAST = 5, 64, 0.75
-CUES = ("licensed", "license", "permission", "granted", "obtaining", "redistribution", "binary", "modification", "mozilla")
-#: Fixed values: (license, words of its notice).
+CUES = (
+    "licensed", "license", "permission", "granted", "obtaining", "redistribution", "binary", "modification", "mozilla", "software", "copyright", "conditions", "contributors", "warranties", "liability",
+    "damages", "distribute", "neighboring", "eclipse", "materials", "foundation", "public",
+)
+#: Fixed values: (license, words of its notice or text).
 TEMPLATES = (
+    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-2-clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc0", "has waived all copyright and related or neighboring rights to"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("lgpl-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
+#: A license with a version in its name, and a shingle that has a number.
+VERSIONED, NUMBERED = r"[0-9]\.[0-9]", "(^| )[0-9]+( |$)"
 
 
 def words_of(text: Column) -> Column:
@@ -52,9 +75,9 @@ def shingles_of(words: Column) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, SHINGLE)))).otherwise(F.array().cast("array<string>"))
 
 
-def minima(shingles: Column) -> Column:
-    """The minimum of each of BANDS hash functions over the shingles."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, seed))))
+def band_keys(shingles: Column, width: Column) -> Column:
+    """A key for each of BANDS: the minimum of its hash function over the shingles, with the band and the width of the window."""
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda seed: F.xxhash64(F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, seed))), seed, width))
 
 
 def width_of(n: int) -> int:
@@ -71,13 +94,14 @@ def sequence_of(notice: str) -> list[str]:
 
 
 def catalogue(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """template, license, width and the shingles wanted, of the notices that have a shingle."""
+    """template, license, width, the shingles wanted and those of them that tell its version, of the notices that have a shingle."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, notice string")
     wanted = rows.select("template", "license", F.array_distinct(shingles_of(words_of(F.col("notice")))).alias("wanted")).filter("size(wanted) > 0")
     widths = F.lit(2)
     for k in range(2, 12):
         widths = F.when(F.size("wanted") > (1 << (k - 1)) // 2 + 1, F.lit(1 << k)).otherwise(widths)
-    return wanted.withColumn("width", widths)
+    telling = F.when(F.col("license").rlike(VERSIONED), F.filter("wanted", lambda s: s.rlike(NUMBERED))).otherwise(F.slice("wanted", 1, 0))
+    return wanted.withColumn("width", widths).withColumn("telling", telling)
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, cues: tuple[str, ...] = CUES) -> DataFrame:
@@ -104,19 +128,25 @@ def _whole_matches(docs: DataFrame, id_col: str, text_col: str, short: tuple[tup
 
 def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tuple[tuple[str, str], ...], cues: tuple[str, ...]) -> DataFrame:
     """doc_id, license, containment and first_word of each window that holds a template."""
-    known = catalogue(docs.sparkSession, templates)
-    sizes = sorted({width_of(max(1, len(t.split()) - SHINGLE + 1 + extra)) for _, t in templates for extra in range(-1, 4)})
+    known = catalogue(docs.sparkSession, templates).select("template", "license", "wanted", "telling", F.explode(band_keys(F.col("wanted"), F.col("width"))).alias("key"))
+    keys = sorted({row["key"] for row in known.select("key").collect()})  # of the catalogue: BANDS a template
+    sizes = sorted({width_of(max(1, len(set(_shingles(sequence_of(t)))))) for _, t in templates})
     low = F.lower(F.col(text_col))
-    hinted = docs.filter(low.contains(cues[0][:5]) if len(cues) == 1 else _any([low.contains(c) for c in cues]))
+    hinted = docs.filter(_any([low.contains(c) for c in cues]))
     own = hinted.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     spots = own.filter(F.size("words") >= SHINGLE).withColumn("cued", F.filter(F.transform("words", lambda w, i: F.when(w.isin(*cues), i)), lambda i: i.isNotNull())).filter("size(cued) > 0")
-    windows = F.flatten(F.array(*(_windows_around(width) for width in sizes)))
-    opened = spots.select("doc_id", "words", F.explode(windows).alias("at")).select("doc_id", "at.width", "at.first_word", F.array_distinct(shingles_of(F.slice("words", F.col("at.first_word") + 1, F.col("at.width") + SHINGLE - 1))).alias("held"))
-    banded = opened.select("*", F.posexplode(minima(F.col("held"))).alias("band", "low"))
-    of = known.select("template", "license", "wanted", F.col("width").alias("t_width"), F.posexplode(minima(F.col("wanted"))).alias("t_band", "t_low"))
-    met = banded.join(F.broadcast(of), (F.col("width") == F.col("t_width")) & (F.col("band") == F.col("t_band")) & (F.col("low") == F.col("t_low")))
+    held = lambda x: F.array_distinct(shingles_of(F.slice("words", x["first_word"] + 1, x["width"] + SHINGLE - 1)))
+    windows = F.transform(F.flatten(F.array(*(_windows_around(width) for width in sizes))), lambda x: F.struct(x["first_word"].alias("first_word"), x["width"].alias("width"), held(x).alias("held")))
+    opened = spots.select("doc_id", F.explode(windows).alias("at")).select("doc_id", "at.*").withColumn("keys", F.filter(band_keys(F.col("held"), F.col("width")), lambda k: k.isin(*keys)))
+    banded = opened.filter("size(keys) > 0").select("doc_id", "first_word", "held", F.explode("keys").alias("key"))
+    met = banded.join(F.broadcast(known), "key")
     inside = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    return met.withColumn("containment", inside).filter(F.col("containment") >= LEAST).select("doc_id", "license", "containment", "first_word")
+    told = (F.size("telling") == 0) | F.arrays_overlap("held", "telling")
+    return met.withColumn("containment", inside).filter((F.col("containment") >= LEAST) & told).select("doc_id", "license", "containment", "first_word")
+
+
+def _shingles(words: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)]
 
 
 def _windows_around(width: int) -> Column:
@@ -147,13 +177,18 @@ def _sql(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
 WITH known AS (SELECT * FROM (VALUES {rows}) t(template, license, notice)),
 sets AS (SELECT template, license, {words.format("notice")} AS w FROM known),
 wanted AS (SELECT DISTINCT template, license, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT template, license, w, unnest(range(1, len(w) - 3)) AS i FROM sets)),
-sized AS (SELECT template, license, count(*) AS n, greatest(2, CAST(pow(2, ceil(log2(greatest(1, 2 * (count(*) - 1))))) AS BIGINT)) AS width FROM wanted GROUP BY ALL),
+told AS (SELECT *, regexp_matches(license, '{VERSIONED}') AND regexp_matches(shingle, '{NUMBERED}') AS telling FROM wanted),
+sized AS (SELECT template, license, count(*) AS n, bool_or(telling) AS versioned, greatest(2, CAST(pow(2, ceil(log2(greatest(1, 2 * (count(*) - 1))))) AS BIGINT)) AS width FROM told GROUP BY ALL),
 cut AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
 held AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM cut)),
-hits AS (SELECT doc_id, p, h.shingle, template FROM held h JOIN wanted USING (shingle)),
-placed AS (SELECT doc_id, shingle, template, license, n, width, p // (width // 2) - b AS k FROM hits JOIN sized USING (template) CROSS JOIN (VALUES (0), (1)) x(b)),
-scored AS (SELECT doc_id, license, k * (width // 2) AS first_word, count(DISTINCT shingle) / any_value(n) AS c FROM placed WHERE k >= 0 GROUP BY doc_id, template, license, k, width)
-SELECT doc_id, license, round(max(c), 6) AS containment, min(first_word) AS first_word FROM scored WHERE c >= {LEAST} GROUP BY doc_id, license
+hits AS (SELECT doc_id, p, h.shingle, template, telling FROM held h JOIN told USING (shingle)),
+placed AS (SELECT doc_id, shingle, telling, template, license, n, versioned, width, p // (width // 2) - b AS k FROM hits JOIN sized USING (template) CROSS JOIN (VALUES (0), (1)) x(b)),
+scored AS (SELECT doc_id, license, k * (width // 2) AS first_word, count(DISTINCT shingle) / any_value(n) AS c, bool_or(telling) OR NOT any_value(versioned) AS v FROM placed WHERE k >= 0 GROUP BY doc_id, template, license, k, width),
+short AS (SELECT license, ' ' || array_to_string(w, ' ') || ' ' AS notice FROM sets WHERE len(w) < {SHINGLE}),
+lines AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM cut),
+whole AS (SELECT doc_id, license, length(regexp_replace(substr(line, 1, strpos(line, notice)), '[^ ]', '', 'g')) - 1 AS first_word, 1.0 AS c FROM lines JOIN short ON contains(line, notice)),
+found AS (SELECT doc_id, license, first_word, c FROM scored WHERE c >= {LEAST} AND v UNION ALL SELECT * FROM whole)
+SELECT doc_id, license, round(max(c), 6) AS containment, min(first_word) AS first_word FROM found GROUP BY doc_id, license
 """
 
 

@@ -320,22 +320,53 @@ def test_license_cues_lose_nothing():
     for _, notice in licenses.TEMPLATES:
         w = re.sub("[^a-z0-9]+", " ", notice.lower()).split()
         shingles = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        assert shingles and sum(not set(s) & set(licenses.CUES) for s in shingles) < licenses.LEAST * len(shingles), notice
+        assert not shingles and len(w) < 5 or sum(not set(s) & set(licenses.CUES) for s in shingles) < licenses.LEAST * len(shingles), notice
 
 
 def test_license_matches(spark):
     filler = " ".join(words(3, 500))
     rows = ODD + [(20, f"{filler}\nReleased under the MIT License.\n{filler}"), (21, "This work is licensed under the GNU General Public License, version 3."), (22, "Licensed under CC BY-NC 4.0."), (23, "a license to say nothing at all here"), (24, "This work is licensed under the GNU General Public License, version 2.")]
     found = {(r.doc_id, r.license): r for r in licenses.matches(documents(spark, rows, clash=True)).collect()}
-    assert set(found) == {(20, "mit"), (21, "gpl-3.0"), (22, "cc-by-nc-4.0"), (24, "gpl-3.0")}
-    assert found[21, "gpl-3.0"].containment == 1 and found[24, "gpl-3.0"].containment == pytest.approx(7 / 8)
+    assert set(found) == {(20, "mit"), (21, "gpl-3.0"), (22, "cc-by-nc-4.0"), (24, "gpl-2.0")}
+    assert found[21, "gpl-3.0"].containment == found[24, "gpl-2.0"].containment == 1
     assert licenses.matches(documents(spark, [])).count() == 0
 
 
+def test_every_template_is_found(spark):
+    """In long texts, whole and with a word in twelve changed; and nothing else but what shares its words."""
+    r, rows = random.Random(5), []
+    for k, (_, notice) in enumerate(licenses.TEMPLATES):
+        w = notice.split()
+        bent = [f"q{r.randrange(999)}" if i % 25 == 24 else x for i, x in enumerate(w)]
+        rows += [(k, " ".join(words(k, 700)) + f"\n{notice}\n" + " ".join(words(k + 1, 700))), (100 + k, " ".join(words(k, 333) + bent + words(k, 50)))]
+    rows.append((999, " ".join(words(1, 300) + ["license", "software"] * 3) * 500 + " " + licenses.TEMPLATES[-1][1]))  # long, full of cues
+    found = {(x.doc_id, x.license) for x in licenses.matches(documents(spark, rows, clash=True)).collect()}
+    for k, (name, notice) in enumerate(licenses.TEMPLATES):
+        assert (k, name) in found and (100 + k, name) in found, notice
+    assert {n for d, n in found if d == 999} == {"zlib"}
+    families = {(n.split("-")[0], licenses.TEMPLATES[d % 100][0].split("-")[0]) for d, n in found if d < 999}
+    assert {f for f in families if f[0] != f[1]} == set()
+
+
+def test_license_sql(spark):
+    """The query's SQL against matches() on texts with notices at all places, versions and short notices."""
+    duckdb = pytest.importorskip("duckdb")
+    r, rows = random.Random(6), list(ODD)
+    for k in range(150):
+        parts = [" ".join(words(r.randrange(99), r.randrange(40)))] + [r.choice(licenses.TEMPLATES)[1].replace("3", r.choice("234")).rsplit(" ", r.randrange(4))[0] + " " + " ".join(words(r.randrange(99), r.randrange(9))) for _ in range(r.randrange(3))]
+        rows.append((2000 + k, " ".join(parts)))
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(i, t) for i, t in rows])
+    want = sorted(map(tuple, con.execute(licenses.OP4_SQL).fetchall()))
+    got = sorted((x.doc_id, x.license, round(x.containment, 6), x.first_word) for x in licenses.matches(documents(spark, rows)).collect())
+    assert got == want and len(want) > 60
+
+
 def test_short_license_notices_are_sought_whole(spark):
     """Notices of fewer words than a shingle."""
     rows = ODD + [(30, "(c) 2020 A. Body.\nAll  rights\nRESERVED."), (31, "all rights are reserved, small rights reserved"), (32, "All rights reserved. Released under the MIT License. All rights reserved."), (33, "ISC")]
-    templates = (*licenses.TEMPLATES, ("proprietary", "All rights reserved."), ("isc", "ISC"))
+    templates = (*(x for x in licenses.TEMPLATES if x[0] != "all-rights-reserved"), ("proprietary", "All rights reserved."), ("isc", "ISC"))
     found = {(r.doc_id, r.license, r.containment, r.first_word) for r in licenses.matches(documents(spark, rows, clash=True), templates=templates).collect()}
     assert found == {(30, "proprietary", 1.0, 4), (32, "proprietary", 1.0, 0), (32, "mit", 1.0, 2), (33, "isc", 1.0, 0)}
     only = licenses.matches(documents(spark, rows), templates=templates[-2:-1]).collect()
