@@ -76,19 +76,26 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
+#: Names of the folders that stored() made and drop_stored() hasn't deleted.
+_made: set[str] = set()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: this cuts the lineage, and a lost executor costs nothing but its running tasks."""
-    path = f"{shared_folder(df.sparkSession)}/tallyframe/{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tallyframe/{name}"
     df.write.parquet(path)
+    _made.add(name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(*frames: DataFrame) -> None:
-    """Deletes the folders of tables from stored() that nothing reads any more."""
+    """Deletes the folders of tables from stored() that nothing reads any more; other tables are left alone."""
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tallyframe/" in folder:
+            if (name := folder.rsplit("/", 1)[-1]) in _made:
+                _made.remove(name)
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

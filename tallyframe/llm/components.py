@@ -23,7 +23,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         after = stored(step.join(jump, "label", "left").select("node", "was", F.least("label", "beyond").alias("label")), label)
         moved = after.filter("label <> was").limit(1).count()
-        drop_stored(step)
+        drop_stored(step, labels)
         labels = after.select("node", "label")
         if not moved:
+            drop_stored(both)
             return labels

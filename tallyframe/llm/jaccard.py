@@ -7,14 +7,20 @@ with few bins, large ones few permutations with many); two sets at the threshold
 
 1. each class against one other under the same keys (that with most keys in common, of the smallest of each key): this
    joins most groups of copies with as many comparisons as they have members;
-2. and 3. what shares a key but no component yet: tiles of at most TILE classes of one size band or two next to each
+2. and 3. what shares a key but no component yet: tiles of classes of one size band or two next to each
    other, in which bitmap signatures bound the difference from below (7 * xor bits <= |x| + |y| must hold); first only
    the nearest of each class goes on, then everything that the bound leaves.
 
+A key's classes are one tile, sorted by size and compared within the bounds of size only, if there are TILE of them and HELD shingles at most; else they are dealt
+by size band and, as far as a band has more than that, by hash. So a tile is bounded in rows and in bytes, whatever the group and the texts.
+
 Links are counted afterwards, tile by tile within each component (link_counts()).
 
-Each candidate is verified on the sets of the whole texts, computed anew. A tile is bounded, groups of any size are split
-into tiles, and no pair of copies within a class is looked at, nor, for components, one of classes already connected. A hot key or class is a
+Band keys may lose a link, with the probability above; with exact=True classes meet under the prefixes of their sorted sets instead, which
+lose none: of two linked sets, each has one of the other's shingles among its first n - ceil(0.75 * n) + 1. A shingle that very many texts share is then one
+key for a quarter of them, so that is for when certainty is worth the comparisons (still in bounded tiles).
+
+Each candidate is verified on the sets of the whole texts, computed anew. Groups of any size are split into tiles, and no pair of copies within a class is looked at, nor, for components, one of classes already connected. A hot key or class is a
 skewed join, which AQE splits, or a partial minimum. Tables between rounds are written to the shared folder.
 
 Defined results: null text counts as empty; an empty set is linked with nothing; texts are read whole; repeated rows are
@@ -36,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import drop_stored, kept_by, mapped, stored, table
 from .components import components
 
-SHINGLE, ROWS, BANDS, BITS, TILE = 5, 3, 40, 2048, 512
+SHINGLE, ROWS, BANDS, BITS = 5, 3, 40, 2048
+#: Classes of a tile, and shingles of all of them together (a tile pair has twice that; a single class may have more).
+TILE, HELD = 512, 1 << 19
 SLOTS = ROWS * BANDS
 #: Largest set of each class of sizes, and the bins of a permutation there; a class has SLOTS / bins permutations.
 SIZES = ((16, 1), (64, 4), (256, 15), (1024, 60), (1 << 62, 120))
@@ -122,20 +130,27 @@ def band_keys(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def prefix_keys(x: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, of which a linked set has one among its own first."""
+    return x[: len(x) - -(-3 * len(x) // 4) + 1].view(np.int64)
+
+
 def bitmap(x: np.ndarray) -> bytes:
     bits = np.zeros(BITS, bool)
     bits[(x >> np.uint64(17)) & np.uint64(BITS - 1)] = True
     return np.packbits(bits).tobytes()
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
+def _sketch(docs: DataFrame, exact: bool) -> DataFrame:
+    keys_of = prefix_keys if exact else band_keys
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sigs, keys, bits = [], [], [], []
             for x in shingle_sets(batch.column(2).cast(pa.binary()).to_pylist()):
                 n.append(len(x))
                 sigs.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                keys.append(band_keys(x) if len(x) else None)
+                keys.append(keys_of(x) if len(x) else None)
                 bits.append(bitmap(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["rid", "doc_id", "n", "sig", "keys", "bits"])
 
@@ -202,16 +217,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame | None, bound
 def _tiles(members: DataFrame) -> DataFrame:
     """members (key, node, n, ...) with tile, side and lone: rows to compare are those of a tile (on different sides if not lone).
 
-    Groups of at most TILE rows are one tile. Larger ones are dealt by size band and hash; a tile pair is of one band or of two next to each other."""
+    Groups of at most TILE rows and HELD shingles are one tile. Larger ones are dealt by size band and hash; a tile pair is of one band or of two next to each other."""
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
     banded = members.withColumn("band", band)
-    counts = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"))
-    whole = counts.groupBy("key").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / TILE).cast("int").alias("subs")))).alias("subs"))
+    counts = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"))
+    subs = F.ceil(F.greatest(F.col("rows") / TILE, F.least(F.col("held") / HELD, F.col("rows")))).cast("int")
+    whole = counts.groupBy("key").agg(((F.sum("rows") <= TILE) & (F.sum("held") <= HELD)).alias("small"), F.map_from_entries(F.collect_list(F.struct("band", subs.alias("subs")))).alias("subs"))  # a size band each: few
     whole = stored(whole, "groups")  # so that the join below has exchanges of its own, which AQE can split
     own = banded.join(whole, "key")
     carried = [c for c in members.columns if c != "key"]
-    small = own.filter(F.col("all") <= TILE).select(*carried, F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
-    large = own.filter(F.col("all") > TILE).withColumn("i", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band"))).cast("int"))
+    small = own.filter("small").select(*carried, F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
+    large = own.filter("not small").withColumn("i", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band"))).cast("int"))
     pair = lambda low, i, high, j, side, lone: F.struct(F.struct("key", low.alias("band"), i.alias("i"), high.alias("other"), j.alias("j")).alias("tile"), side.alias("side"), lone.alias("lone"))
     upto = lambda at: F.sequence(F.lit(0), F.element_at("subs", at) - 1)
     same = F.transform(upto(F.col("band")), lambda j: pair(F.col("band"), F.least(F.col("i"), j), F.col("band"), F.greatest(F.col("i"), j), (F.col("i") > j).cast("int"), F.col("i") == j))
@@ -224,23 +240,28 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def _compare(rows: list[np.ndarray], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) in one tile that carry different labels and pass the bound."""
+    """Pairs (a, b) in one tile that carry different labels and pass the bound; each row is held only against those of like size."""
     node, label, n, bits, side, lone = rows
+    order = np.argsort(n, kind="stable")
+    node, label, n, bits, side = (x[order] for x in (node, label, n, bits, side))
+    first, last = np.searchsorted(4 * n, 3 * n, "left"), np.searchsorted(3 * n, 4 * n, "right")
     found: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 22) // (len(node) * (BITS // 64)))
     for k in range(0, len(node), step):
-        xor = np.bitwise_count(bits[k : k + step, None] ^ bits[None, :]).sum(axis=2, dtype=np.int64)
-        ok = near(n[k : k + step, None], n[None, :], xor) & (label[k : k + step, None] != label[None, :])
+        here = slice(k, min(k + step, len(node)))
+        near_by = slice(int(first[here].min()), int(last[here].max()))
+        xor = np.bitwise_count(bits[here, None] ^ bits[None, near_by]).sum(axis=2, dtype=np.int64)
+        ok = near(n[here, None], n[None, near_by], xor) & (label[here, None] != label[None, near_by])
         if not lone:
-            ok &= side[k : k + step, None] != side[None, :]
+            ok &= side[here, None] != side[None, near_by]
         if nearest:
-            far = np.where(ok, xor / (n[k : k + step, None] + n[None, :]), 2.0)
+            far = np.where(ok, xor / (n[here, None] + n[None, near_by]), 2.0)
             best = far.argmin(axis=1)
             i = np.flatnonzero(far[np.arange(len(best)), best] < 2)
             j = best[i]
         else:
             i, j = np.nonzero(ok)
-        found.append((node[i + k], node[j]))
+        found.append((node[i + k], node[j + near_by.start]))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -285,27 +306,31 @@ def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
 
 def _links_of_tile(rows: pa.Table) -> pa.RecordBatch:
     """node, links: how many documents the classes of a tile are linked with in it."""
-    node, n, size, side, lone = np.asarray(rows["node"]), np.asarray(rows["n"]), np.asarray(rows["size"]), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())
+    lone = bool(rows["lone"][0].as_py())
+    rows = rows.sort_by("n")
+    node, n, size, side = (np.asarray(rows[c]) for c in ("node", "n", "size", "side"))
     bits, links = _bits(rows), np.zeros(len(rows), np.int64)
-    sets = list(shingle_sets(rows["text"].cast(pa.binary()).to_pylist()))
+    last = np.searchsorted(3 * n, 4 * n, "right")
+    sets: list[np.ndarray | None] = list(shingle_sets(rows["text"].cast(pa.binary()).to_pylist()))
     every, local = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum([len(x) for x in sets])
-    ids, mark = np.split(local, ends[:-1]), np.zeros(len(every), bool)
-    place = np.arange(len(rows))
+    sets.clear()
+    ids, mark = np.split(local.astype(np.int32), np.cumsum(n)[:-1]), np.zeros(len(every), bool)
+    del every, local
     for i in range(len(rows)):
-        ok = near(n[i], n, np.bitwise_count(bits[i] ^ bits).sum(axis=1, dtype=np.int64)) & (place > i)
+        above = slice(i + 1, int(last[i]))
+        ok = near(n[i], n[above], np.bitwise_count(bits[i] ^ bits[above]).sum(axis=1, dtype=np.int64))
         if not lone:
-            ok &= side != side[i]
-        others = np.flatnonzero(ok)
+            ok &= side[above] != side[i]
+        others = np.flatnonzero(ok) + i + 1
         if not len(others):
             continue
         mark[ids[i]] = True
-        both = np.add.reduceat(mark[np.concatenate([ids[j] for j in others])].astype(np.int64), np.concatenate([[0], np.cumsum(n[others])[:-1]]))
+        both = np.fromiter((np.count_nonzero(mark[ids[j]]) for j in others), np.int64, len(others))
         mark[ids[i]] = False
         found = others[100 * both >= 75 * (n[i] + n[others] - both)]
         links[i] += size[found].sum()
         links[found] += size[i]
-    return pa.RecordBatch.from_arrays([rows["node"].combine_chunks(), pa.array(links)], ["node", "links"])
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], ["node", "links"])
 
 
 class Classes(NamedTuple):
@@ -317,10 +342,10 @@ class Classes(NamedTuple):
     texts: DataFrame
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classes:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> Classes:
     """Classes of equal sets, and how links connect them."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = stored(_sketch(own), "sketches")
+    sketches = stored(_sketch(own, exact), "sketches")
     kinds = stored(sketches.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
     nodes = stored(sketches.join(kinds.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").withColumnRenamed("rid", "node"), "nodes")
     documents = stored(sketches.select("rid", "doc_id", "n", "sig"), "documents")
@@ -333,23 +358,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met_nodes = met.select("node").distinct().join(nodes.select("node", "doc_id", "sig"), "node")
     texts = stored(_texts(own, met_nodes), "texts")
     links = stored(_verified(star, nodes, texts, False), "links")
+    drop_stored(shared, star)
     labels = components(links, "labels")
+    drop_stored(links)
     for nearest in (True, False):
         whole = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = whole.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("key")
         members = stored(whole.select("key", "node", "label").join(mixed, "key", "left_semi").join(nodes.select("node", "n", "bits"), "node"), "mixed")
         pairs = stored(_candidates(members, nearest), "pairs")
         if pairs.isEmpty():
+            drop_stored(members, pairs)
             break
         more = stored(_verified(pairs, nodes, texts, True), "links")
+        drop_stored(members, pairs)
         if more.isEmpty():
+            drop_stored(more)
             continue
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
         higher = components(joined, "labels")
         every = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-        labels = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels")
+        merged = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels")
+        drop_stored(labels, more, higher)
+        labels = merged
     labelled = stored(kinds.join(labels, "node", "left").select("sig", "node", "low", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    drop_stored(kinds, met, labels)
     return Classes(documents, labelled, nodes.select("node", "n", "bits"), texts)
 
 
@@ -376,13 +409,14 @@ def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "sig", "text"), run, "node long, text string")
 
 
-def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; with counts also n_links, the number of other rows that it is linked with."""
-    found = classes(docs, id_col, text_col)
+    found = classes(docs, id_col, text_col, exact)
     lows = found.kinds.groupBy("label").agg(F.min("low").alias("component_id"))
     of = found.kinds.join(lows, "label").select("sig", "node", "size", "component_id")
-    if counts:
-        of = stored(of.join(link_counts(found), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1), "counted")
+    of = of.join(link_counts(found), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1) if counts else of.select("sig", "component_id")
+    of = stored(of.drop("node", "size", "links"), "counted")
+    drop_stored(found.kinds, found.nodes, found.texts)
     out = found.documents.join(of, "sig", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
     return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []))

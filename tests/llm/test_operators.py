@@ -662,12 +662,48 @@ def test_jaccard_equals_brute_force(spark):
     assert jaccard.connected(documents(spark, [])).count() == 0 and jaccard.connected(documents(spark, []), counts=True).count() == 0
 
 
-def test_jaccard_tiles_split_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 4)
+@pytest.mark.parametrize(("tile", "held"), [(4, 1 << 19), (512, 300)])
+def test_jaccard_tiles_split_groups(spark, monkeypatch, tile, held):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "HELD", held)
     rows = near_rows()
     assert collections.Counter(tuple(r) for r in jaccard.connected(documents(spark, rows), counts=True).collect()) == brute_links(rows, True)
 
 
+def test_jaccard_exact_by_prefixes(spark):
+    rows = near_rows()
+    out = jaccard.connected(documents(spark, rows, clash=True), counts=True, exact=True).collect()
+    assert collections.Counter(tuple(r) for r in out) == brute_links(rows, True)
+    r = np.random.default_rng(9)
+    for _ in range(500):
+        n = int(r.integers(1, 300))
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([r.permutation(x)[: int(len(x) * r.uniform(0.8, 1))], r.integers(0, 1 << 63, int(n * r.uniform(0, 0.15)), dtype=np.uint64)]))
+        assert not jaccard.linked(x, y) or np.intersect1d(jaccard.prefix_keys(x), jaccard.prefix_keys(y)).size
+
+
+def test_jaccard_recall_at_the_threshold(spark):
+    """Pairs of 0.75 to 0.8, 3,000 documents: every link is found."""
+    r, rows, want = random.Random(12), [], set()
+    for g in range(1500):
+        n = r.choice([12, 30, 70, 150, 300])
+        base = [f"v{r.randrange(10**9)}" for _ in range(n)]
+        more = [f"v{r.randrange(10**9)}" for _ in range(max(1, round(n * r.uniform(0.25, 0.33))))]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + more))]
+        if 100 * (n - 4) >= 75 * (n + len(more) - 4):
+            want.add(g)
+    out = {x.doc_id: x.component_id for x in jaccard.connected(documents(spark, rows)).collect()}
+    assert {g for g in range(1500) if out[2 * g + 1] == 2 * g} == want and len(want) > 700
+
+
+def test_jaccard_long_near_copies(spark):
+    """Texts of 300 KB, alike by hundreds of thousands of words."""
+    base = words(77, 60_000, 10**6)
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(6)] + [(10, " ".join(words(78, 60_000, 10**6)))]
+    out = {x.doc_id: (x.component_id, x.n_links) for x in jaccard.connected(documents(spark, rows), counts=True).collect()}
+    assert out == {**dict.fromkeys(range(6), (0, 5)), 10: (10, 0)}
+
+
 def test_jaccard_bound_never_rules_out_a_link():
     r = np.random.default_rng(3)
     for _ in range(300):
