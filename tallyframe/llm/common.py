@@ -80,8 +80,15 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
 _made: set[str] = set()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: this cuts the lineage, and a lost executor costs nothing but its running tasks."""
+#: Rows of a file of a table of short rows, and the least number of its files.
+FILE_ROWS, LEAST_FILES = 50_000, 12
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: this cuts the lineage, and a lost executor costs nothing but its running tasks.
+
+    rows: at most so many short ones are expected, so the last stage needs no more tasks than files of FILE_ROWS: tables of a few rows in hundreds of files cost more to open than to read."""
+    df = df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     name = f"{label}-{uuid.uuid4().hex}"
     path = f"{shared_folder(df.sparkSession)}/tallyframe/{name}"
     df.write.parquet(path)

@@ -346,20 +346,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     """Classes of equal sets, and how links connect them."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = stored(_sketch(own, exact), "sketches")
-    kinds = stored(sketches.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
+    rows = sketches.count()
+    kinds = stored(sketches.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes", rows)
     nodes = stored(sketches.join(kinds.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").withColumnRenamed("rid", "node"), "nodes")
     documents = stored(sketches.select("rid", "doc_id", "n", "sig"), "documents")
     drop_stored(sketches)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot"), "shared")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     met = stored(keyed.join(shared.hint("merge"), "key"), "met")
     star = met.filter("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", -F.col("pivot"))).alias("best"))
-    star = stored(star.select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b")), "star")
+    star = stored(star.select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b")), "star", rows)
     met_nodes = met.select("node").distinct().join(nodes.select("node", "doc_id", "sig"), "node")
     texts = stored(_texts(own, met_nodes), "texts")
-    links = stored(_verified(star, nodes, texts, False), "links")
-    drop_stored(shared, star)
-    labels = components(links, "labels")
+    links = stored(_verified(star, nodes, texts, False), "links", rows)
+    drop_stored(star)
+    labels = components(links, "labels", rows)
     drop_stored(links)
     for nearest in (True, False):
         whole = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -369,19 +370,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
         if pairs.isEmpty():
             drop_stored(members, pairs)
             break
-        more = stored(_verified(pairs, nodes, texts, True), "links")
+        n_pairs = pairs.count()
+        more = stored(_verified(pairs, nodes, texts, True), "links", n_pairs)
         drop_stored(members, pairs)
         if more.isEmpty():
             drop_stored(more)
             continue
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-        higher = components(joined, "labels")
+        higher = components(joined, "labels", n_pairs)
         every = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-        merged = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels")
+        merged = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels", rows)
         drop_stored(labels, more, higher)
         labels = merged
-    labelled = stored(kinds.join(labels, "node", "left").select("sig", "node", "low", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    labelled = stored(kinds.join(labels, "node", "left").select("sig", "node", "low", "size", F.coalesce("label", "node").alias("label")), "labelled", rows)
     drop_stored(kinds, met, labels)
     return Classes(documents, labelled, nodes.select("node", "n", "bits"), texts)
 
@@ -415,7 +417,7 @@ def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     lows = found.kinds.groupBy("label").agg(F.min("low").alias("component_id"))
     of = found.kinds.join(lows, "label").select("sig", "node", "size", "component_id")
     of = of.join(link_counts(found), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1) if counts else of.select("sig", "component_id")
-    of = stored(of.drop("node", "size", "links"), "counted")
+    of = stored(of.drop("node", "size", "links"), "counted", found.kinds.count())
     drop_stored(found.kinds, found.nodes, found.texts)
     out = found.documents.join(of, "sig", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
