@@ -41,6 +41,19 @@ def micro_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 300, ove
     return generated(df, id_col, text_col, lambda t: tx.micro_chunks(t, size, overlap))
 
 
+def call_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 150) -> DataFrame:
+    """Sentences of calls, with overlap from the last speaker on; one chunk of each beginning."""
+    return generated(df, id_col, text_col, lambda t: tx.distinct_chunks(tx.call_chunks(t, size, overlap), size))
+
+
+def turn_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800) -> DataFrame:
+    return generated(df, id_col, text_col, lambda t: tx.turn_chunks(t, size))
+
+
+def remark_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800) -> DataFrame:
+    return generated(df, id_col, text_col, lambda t: tx.remark_chunks(t, size))
+
+
 def one_of_each_start(chunks: DataFrame, group: list[str], seq: str, text: str, size: int = 800) -> DataFrame:
     """Of chunks of a group with the same first 100 characters the first; then those of 20 characters to 1.2 times the size."""
     mark = F.lower(tx.collapsed(F.substring(text, 1, 100)))
@@ -114,13 +127,13 @@ def html_text(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return generated(df, id_col, html_col, lambda h: ["\n".join(html_lines(h))])
 
 
-def html_tables(df: DataFrame, id_col: str, html_col: str, most_chars: int = 100_000, most_rows: int = 1000) -> DataFrame:
-    """A row for each table row of a page (cells joined by tabs); tables over a size are left out, and rows over a number."""
+def html_tables(df: DataFrame, id_col: str, html_col: str, most_chars: int | None = None, most_rows: int | None = None) -> DataFrame:
+    """A row for each table row of a page (cells joined by tabs). If asked for, tables over a size are left out, and rows over a number; by default all are kept."""
 
     def rows(html: str | None) -> list[str]:
         parser = _Text()
         parser.feed(html or "")
-        tables = (t for t in parser.tables if sum(len(c) for r in t for c in r) <= most_chars)
+        tables = (t for t in parser.tables if most_chars is None or sum(len(c) for r in t for c in r) <= most_chars)
         return ["\t".join(r) for t in tables for r in t[:most_rows] if r]
 
     return generated(df, id_col, html_col, rows)

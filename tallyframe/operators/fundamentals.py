@@ -6,6 +6,7 @@ looked up row by row. Amounts keep their type; only ratios are doubles.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import Formula, macro, with_virtual_fields
 from ..functions.numbers import or_zero, ratio, rounded, truthy
+from .relational import close_pairs
 
 COMPANY = ["cik"]
 HEAD = ["cik", "ticker", "period_end_date", "fiscal_year", "period_type", "period_length_months"]
@@ -243,13 +245,18 @@ def combined(income: DataFrame, cash_flow: DataFrame, balance: DataFrame, days:
     sheet = balance.select("cik", F.col("period_end_date").alias("balance_date"), *(c for c in measures(balance) if c not in out.columns))
     sheet = _first(sheet, ["cik", "balance_date"], F.lit(1))
     # one row for each company and date on the left, so the pair is the key of the match
-    near = out.select("cik", "period_end_date").distinct().join(sheet, "cik").filter(F.abs(F.datediff("balance_date", "period_end_date")) <= days)
-    near = _first(near, ["cik", "period_end_date"], F.abs(F.datediff("balance_date", "period_end_date")), F.desc("balance_date"))
+    near = nearest(out.select("cik", "period_end_date").distinct(), sheet, "period_end_date", "balance_date", days)
     return out.join(near, ["cik", "period_end_date"], "left")
 
 
-def ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual: dict[str, list[str]]) -> DataFrame:
-    """A row for each period and ratio that can be computed: ratio_name, category, ratio_value (6 digits), and the inputs as JSON."""
+def trailing_and_years(trailing: DataFrame, years: DataFrame) -> DataFrame:
+    """Rows of LTM, and of fiscal years where LTM has none of that date; data_source says which. Columns that one side lacks are null."""
+    rest = years.join(trailing.select("cik", "period_end_date"), ["cik", "period_end_date"], "left_anti")
+    return trailing.withColumn("data_source", F.lit("LTM")).unionByName(rest.withColumn("data_source", F.lit("FY")), allowMissingColumns=True)
+
+
+def ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual: dict[str, list[str]], inputs_too: bool = True) -> DataFrame:
+    """A row for each period and ratio that can be computed: ratio_name, category, ratio_value (6 digits), and, unless they are not asked for, the inputs as JSON."""
     wide = with_virtual_fields(periods, virtual)
     fields = [n.replace("d&a", "d_and_a") for n in virtual]
     parts = []
@@ -260,17 +267,29 @@ def ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual:
         inputs = [n for n in formula.names() if n in wide.columns]
         value = rounded(formula.column(wide.columns, fields))
         given = F.to_json(F.create_map(*(x for n in inputs for x in (F.lit(n), F.col(n).cast("double"))))) if inputs else F.lit("{}")
-        parts.append(F.struct(F.lit(name).alias("ratio_name"), F.lit(category).alias("category"), value.alias("ratio_value"), given.alias("calculation_inputs")))
+        parts.append(F.struct(F.lit(name).alias("ratio_name"), F.lit(category).alias("category"), value.alias("ratio_value"), *([given.alias("calculation_inputs")] if inputs_too else [])))
     head = [c for c in ("cik", "ticker", "period_end_date", "fiscal_year", "period_type", "data_source") if c in wide.columns]
     return wide.select(*head, F.inline(F.array(*parts))).filter("ratio_value is not null")
 
 
 def growth(periods: DataFrame, fields: list[str], low: int = 330, high: int = 450) -> DataFrame:
-    """Year-over-year growth: of the periods 330 to 450 days before, the one nearest to 365 (a tie goes to the later). No row if it is 0 or null."""
-    now = periods.select("cik", "ticker", "period_end_date", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))))
-    before = now.select("cik", "field", F.col("period_end_date").alias("prior_date"), F.col("value").alias("prior"))
+    """Year-over-year growth: of the periods 330 to 450 days before, the one nearest to 365 (a tie goes to the later date, then to LTM). No row if it is 0 or null.
+
+    Periods are by company, date and, if there is one, data_source."""
+    source = F.col("data_source") if "data_source" in periods.columns else F.lit("LTM")
+    now = periods.select("cik", "ticker", "period_end_date", source.alias("data_source"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))))
+    before = now.select("cik", "field", F.col("period_end_date").alias("prior_date"), F.col("value").alias("prior"), (F.col("data_source") != "LTM").alias("prior_year"))
+    pairs = close_pairs(now, before, ["cik", "field"], "period_end_date", "prior_date", (high - low) // 2, (high + low) // 2)
     gap = F.datediff("period_end_date", "prior_date")
-    pairs = now.join(before, ["cik", "field"]).filter(gap.between(low, high))
-    best = pairs.groupBy("cik", "ticker", "field", "period_end_date", "value").agg(F.min_by(F.struct("prior_date", "prior"), F.struct(F.abs(gap - 365), gap)).alias("was"))
+    best = pairs.groupBy("cik", "ticker", "field", "period_end_date", "data_source", "value").agg(F.min_by(F.struct("prior_date", "prior"), F.struct(F.abs(gap - 365), gap, "prior_year")).alias("was"))
     value = rounded(ratio(F.col("value") - F.col("was.prior"), F.col("was.prior")))
-    return best.select("cik", "ticker", "field", "period_end_date", "was.prior_date", value.alias("growth")).filter("growth is not null")
+    head = ["cik", "ticker", "field", "period_end_date", *(["data_source"] if "data_source" in periods.columns else [])]
+    return best.select(*head, "was.prior_date", value.alias("growth")).filter("growth is not null")
+
+
+def growth_ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual: dict[str, list[str]]) -> DataFrame:
+    """Rows as of ratios() for the definitions that are YOY_GROWTH(field)."""
+    names = {m[1]: (name, category) for name, category, text in definitions if (m := re.fullmatch(r"YOY_GROWTH\((\w+)\)", text.strip()))}
+    grown = growth(with_virtual_fields(periods, virtual), list(names))
+    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for f, n in names.items() for x in (f, n[k]))), F.col("field"))
+    return grown.select(*(c for c in grown.columns if c not in ("field", "growth", "prior_date")), pick(0).alias("ratio_name"), pick(1).alias("category"), F.col("growth").alias("ratio_value"))

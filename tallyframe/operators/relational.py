@@ -44,10 +44,29 @@ def retained(df: DataFrame, date_col: str, cutoff: str) -> DataFrame:
 
 
 # lookups ------------------------------------------------------------------------------------------------------------
+#: Rows of a table that may become a constant of the plan.
+MOST_CONSTANTS = 10_000
+
+
+def constants(small: DataFrame) -> Column | None:
+    """The rows as an array of structs, if they are at most MOST_CONSTANTS; else None. One row more is read than may be."""
+    rows = small.limit(MOST_CONSTANTS + 1).collect()
+    if len(rows) > MOST_CONSTANTS:
+        return None
+    kind = small.schema.simpleString()
+    made = [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in small.schema.fields)) for r in rows]
+    return F.array(*made) if made else F.array().cast(f"array<{kind}>")
+
+
+def with_each(left: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row of left with every row of a small table, which becomes a constant of the plan; if it is too large for that, by a shuffled join."""
+    each = constants(small)
+    return left.crossJoin(small) if each is None else left.select("*", F.inline(each))
+
+
 def overridden(company: DataFrame, common: DataFrame, name: str = "name") -> DataFrame:
     """A company's definitions (company_id, name, ...), and the common ones that none of its own goes over; for all companies of `company` at once."""
-    owners = company.select("company_id").distinct()
-    rest = owners.crossJoin(F.broadcast(common.drop("company_id"))) if "company_id" in common.columns else owners.crossJoin(F.broadcast(common))
+    rest = with_each(company.select("company_id").distinct(), common.drop("company_id"))
     return company.withColumn("priority", F.lit(1)).unionByName(rest.join(company.select("company_id", name), ["company_id", name], "left_anti").withColumn("priority", F.lit(2)))
 
 
@@ -56,26 +75,52 @@ def scoped(definitions: DataFrame, company_id: int, name: str) -> DataFrame:
     return definitions.filter((F.col("name") == name) & (F.col("company_id").isNull() | (F.col("company_id") == company_id))).orderBy(F.asc_nulls_last("company_id")).limit(1)
 
 
+def close_pairs(left: DataFrame, right: DataFrame, key: list[str], left_date: str, right_date: str, days: int, shift: int = 0) -> DataFrame:
+    """Pairs of a key whose dates are `shift` days apart (the left one later), give or take so many days.
+
+    The range is an equi-join on buckets of days, so matches per key don't grow with the length of the series."""
+    width = max(days, 1)
+    rows = left.withColumn("_reach", F.floor(F.unix_date(left_date) / width))
+    at = F.floor((F.unix_date(right_date) + shift) / width)
+    near = right.withColumn("_reach", F.explode(F.sequence(at - 1, at + 1)))
+    return rows.join(near, [*key, "_reach"]).drop("_reach").filter(F.abs(F.datediff(left_date, right_date) - shift) <= days)
+
+
 def fuzzy_dates(left: DataFrame, right: DataFrame, key: list[str], left_date: str, right_date: str, days: int = 5) -> DataFrame:
     """Each left row with the right row of its key on the same date, else the nearest within so many days (a tie goes to the earlier)."""
-    pairs = left.join(right, key).filter(F.abs(F.datediff(left_date, right_date)) <= days)
-    return first_of(pairs, [*key, left_date], F.abs(F.datediff(left_date, right_date)), F.col(right_date))
+    return first_of(close_pairs(left, right, key, left_date, right_date, days), [*key, left_date], F.abs(F.datediff(left_date, right_date)), F.col(right_date))
 
 
 def next_after(left: DataFrame, right: DataFrame, key: list[str], left_date: str, right_date: str) -> DataFrame:
-    """Each left row with the first right row of its key that is later (inner)."""
-    return first_of(left.join(right, key).filter(F.col(right_date) > F.col(left_date)), [*key, left_date], F.col(right_date))
+    """Each left row (one of each key and date) with the first right row of its key that is later (inner).
 
-
-# statistics ---------------------------------------------------------------------------------------------------------
-def upper_median(c: Column | str) -> Column:
-    """sorted[n // 2]. Takes the values of a group together, so groups have to be peers of one comparison, not a corpus."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+    Both sides run through one window by key, newest first, in which a left row looks back at the last right row; no pairs are made."""
+    more = [c for c in right.columns if c not in key]
+    both = left.select(*key, F.col(left_date).alias("_at"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*more).alias("r")).schema["r"].dataType).alias("_r"))
+    there = right.select(*key, F.col(right_date).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), F.struct(*more).alias("_r"))
+    newest = Window.partitionBy(*key).orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, -1)
+    met = both.unionByName(there).withColumn("_next", F.last("_r", ignorenulls=True).over(newest)).filter("_side = 0 and _next is not null")
+    out = met.select("_l.*", *(F.col(f"_next.{c}").alias(c) for c in more))
+    return first_of(out, [*key, left_date], F.col(right_date))
 
 
-def peer_stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    return df.filter(F.col(value).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("highest"), F.min(value).alias("lowest"), rounded(F.avg(value)).alias("average"), upper_median(value).alias("median"))
+# statistics ---------------------------------------------------------------------------------------------------------
+def upper_median(name: str) -> Column:
+    """sorted[n // 2] of a column: the lower median of the negated values. Values are counted, not gathered."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{name}`)")
+
+
+def peer_stats(df: DataFrame, key: list[str], value: str, unit: int = 1_000_000) -> DataFrame:
+    """n, highest, lowest, average and upper median (sorted[n // 2]) of each key.
+
+    Equal values are counted first, so a group is never gathered, and the median is where the running count passes the half. The average is of
+    whole numbers of 1 / unit, hence the same in any order."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumns({"_upto": F.sum("_n").over(Window.partitionBy(*key).orderBy("_v")), "_all": F.sum("_n").over(Window.partitionBy(*key))})
+    total = F.sum(F.round(F.col("_v") * unit).cast("decimal(38,0)") * F.col("_n").cast("decimal(18,0)")).cast("double")
+    n = F.sum("_n")
+    median = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_v")))
+    return counted.groupBy(*key).agg(n.alias("n"), F.max("_v").alias("highest"), F.min("_v").alias("lowest"), rounded(total / n / unit).alias("average"), median.alias("median"))
 
 
 def coalesced(df: DataFrame, key: list[str], columns: list[str], *order: Column) -> DataFrame:

@@ -10,13 +10,33 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import rounded
+from ..functions.synonyms import NARRATIVE, NARRATIVE_CUES, PHRASES, SYNONYMS
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def _quarter(value: object) -> str:
+    return re.sub(r"(?i)^q(?=\d)", "", str(value).strip())
+
+
+def periods_of(labels: list[str]) -> dict:
+    """Filters for labels like Q1 2024, 2 2023 or Q3: pairs where each has a year, else the quarters."""
+    parts = [str(x).split() for x in labels]
+    if parts and all(len(p) == 2 for p in parts):
+        return {"periods": list(dict.fromkeys((p[1], _quarter(p[0])) for p in parts))}
+    return {"fiscal_quarter": list(dict.fromkeys(_quarter(p[0]) for p in parts if p))}
+
+
 def where(filters: dict, columns: list[str]) -> Column:
-    """A predicate of {column: value or list, date_from/date_to: of filing_date}; values are trimmed, a quarter may begin with Q. Columns that aren't there are left out."""
+    """A predicate of {column: value or list, date_from/date_to: of filing_date, periods: [(year, quarter), ...]}; values are trimmed, a quarter may begin with Q.
+
+    Where periods are given they stand for fiscal_year and fiscal_quarter: the pairs that were asked for, not all years with all quarters. Columns that aren't there are left out."""
     out = F.lit(True)
+    pairs = [(str(y).strip(), _quarter(q)) for y, q in filters.get("periods") or ()]
+    if pairs and {"fiscal_year", "fiscal_quarter"} <= set(columns):
+        year, quarter = F.col("fiscal_year").cast("string"), F.regexp_replace(F.col("fiscal_quarter").cast("string"), r"(?i)^q(?=\d)", "")
+        out &= reduce(lambda a, b: a | b, ((year == y) & (quarter == q) for y, q in pairs))
+        filters = {k: v for k, v in filters.items() if k not in ("fiscal_year", "fiscal_quarter")}
     for name, value in filters.items():
         if name in ("date_from", "date_to"):
             if "filing_date" in columns:
@@ -26,7 +46,7 @@ def where(filters: dict, columns: list[str]) -> Column:
             continue
         values = list(dict.fromkeys(v.strip() if isinstance(v, str) else v for v in (value if isinstance(value, list | tuple | set) else [value])))
         if name == "fiscal_quarter":
-            values = [re.sub(r"(?i)^q(?=\d)", "", str(v)) for v in values]
+            values = list(map(_quarter, values))
         out &= F.col(name).isin(values) if len(values) > 1 else F.col(name) == F.lit(values[0])
     return out
 
@@ -131,9 +151,15 @@ def last_reports(rows: DataFrame, n: int, key: list[str]) -> DataFrame:
     return rows.withColumn("report", order).withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc("report")))).filter(F.col("_r") <= n).drop("_r")
 
 
-def filter_summary(rows: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
-    """Number of rows, mean length, and the first `most` different values of each column."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.length("content")), 4).alias("mean_length"), *(F.slice(F.array_sort(F.collect_set(c)), 1, most).alias(c) for c in columns))
+def filter_summary(rows: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """Number of rows, mean length, and the different values of each column in order: all, or the first `most`.
+
+    Values are made distinct before any task gathers them, so what is gathered is the answer itself."""
+    pairs = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns)))).filter("v is not null").distinct()
+    if most is not None:
+        pairs = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("v"))).filter(F.col("_r") <= most)
+    values = pairs.agg(*(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.col("v")))).alias(c) for c in columns))
+    return rows.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.length("content")), 4).alias("mean_length")).crossJoin(F.broadcast(values))  # a row each
 
 
 def filter_report(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -141,21 +167,52 @@ def filter_report(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c) == v).alias(c) for c, v in filters.items()))
 
 
-#: Terms and what else they are called, in order of preference.
-SYNONYMS = {
-    "forward-looking": ["outlook", "forecast", "guidance"], "outlook": ["guidance", "forecast", "projection"], "guidance": ["outlook", "forecast", "projection"], "forecast": ["outlook", "guidance", "projection"], "estimates": ["guidance", "outlook", "forecast"],
-    "revenue": ["sales", "income", "top line"], "earnings": ["profit", "net income", "bottom line"], "margin": ["gross margin", "operating margin", "profit margin"], "growth": ["expansion", "increase", "improvement"], "decline": ["decrease", "drop", "fall"],
-    "repurchase": ["buyback", "buy back", "share repurchase"], "buyback": ["repurchase", "buy back", "share repurchase"], "dividend": ["payout", "distribution", "dividend payment"], "capex": ["capital expenditure", "capital spending", "investments"], "cash flow": ["operating cash flow", "free cash flow", "FCF"],
-    "supply chain": ["supply", "logistics", "manufacturing"], "inventory": ["stock", "stockpile", "goods"], "demand": ["customer demand", "market demand", "consumption"], "pricing": ["price", "pricing strategy", "cost"], "competition": ["competitive", "competitor", "rival"], "market share": ["share", "market position", "competitive position"],
-}
-#: Phrases and the term that they stand for.
-PHRASES = {r"\bforward[- ]looking\b": "forward-looking", r"\bshare repurchase\b": "repurchase", r"\bbuy[- ]?back\b": "buyback", r"\bcash flow\b": "cash flow", r"\bmarket share\b": "market share", r"\bsupply chain\b": "supply chain", r"\bcapital expenditure\b": "capex", r"\boperating margin\b": "margin", r"\bnet income\b": "earnings"}
-
-
-def expanded(query: str, synonyms: int = 2, most: int = 6) -> str:
-    """The query with synonyms of its words and phrases: so many a term, and so many in all, by alphabet."""
-    low = query.lower()
-    words = set(re.findall(r"\b\w+\b", low))
-    heads = {h for h, others in SYNONYMS.items() if h.lower() in words or any(o.lower() in words for o in others)} | {h for p, h in PHRASES.items() if re.search(p, low)}
-    extra = {s for h in heads for s in SYNONYMS[h][:synonyms]} - words
-    return " ".join([query, *sorted(extra)[:most]])
+# queries in words ---------------------------------------------------------------------------------------------------
+def _names(head: str) -> list[str]:
+    """All that a term is called, in lower case and as single words: phrases are sought by PHRASES."""
+    return sorted({n.lower() for n in (head, *SYNONYMS[head]) if re.fullmatch(r"\w+", n)})
+
+
+def expansion(query: Column, synonyms: int = 2, most: int | None = 6) -> Column:
+    """Synonyms of a query's words and phrases, by alphabet: so many of each term, and so many in all (None: all). The table is a constant of the plan."""
+    low = F.lower(query)
+    words = F.regexp_extract_all(low, F.lit(r"\b(\w+)\b"), F.lit(1))
+    found = []
+    for head, others in SYNONYMS.items():
+        met = F.arrays_overlap(words, F.array(*map(F.lit, _names(head) or [head.lower()])))
+        for pattern in (p for p, h in PHRASES.items() if h == head):
+            met |= low.rlike(pattern)
+        found.append(F.when(met, F.array(*map(F.lit, others[:synonyms]))).otherwise(F.array().cast("array<string>")))
+    extra = F.array_sort(F.array_distinct(F.array_except(F.flatten(F.array(*found)), words)))
+    return extra if most is None else F.slice(extra, 1, most)
+
+
+def expanded(query: Column, synonyms: int = 2, most: int | None = 6) -> Column:
+    """The query with its expansion."""
+    extra = expansion(query, synonyms, most)
+    return F.when(F.size(extra) > 0, F.concat(query, F.lit(" "), F.array_join(extra, " "))).otherwise(query)
+
+
+def suggestions(queries: DataFrame, query: str = "query", synonyms: int = 5) -> DataFrame:
+    """query, word, term and the first synonyms of each term that a word of a query stands for. The table is a constant of the plan."""
+    words = queries.select(query, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"\b(\w+)\b"), F.lit(1)))).alias("word"))
+    by_word: dict[str, list[str]] = {}
+    for head in SYNONYMS:
+        for name in _names(head):
+            by_word.setdefault(name, []).append(head)
+    terms = F.create_map(*(x for w, heads in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, heads)))))
+    met = words.filter(F.col("word").isin(*by_word)).select(query, "word", F.explode(F.element_at(terms, F.col("word"))).alias("term"))
+    others = F.create_map(*(x for h, o in SYNONYMS.items() for x in (F.lit(h), F.array(*map(F.lit, o[:synonyms])))))
+    return met.withColumn("synonyms", F.element_at(others, F.col("term")))
+
+
+def with_narrative(query: Column) -> Column:
+    """A query on revenue, growth and the like, with words that bring up the narrative rather than tables."""
+    return F.when(F.lower(query).rlike("|".join(NARRATIVE_CUES)), F.concat(query, F.lit(" " + NARRATIVE))).otherwise(query)
+
+
+def search(method: str, semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
+    """The k best by a method: semantic, keyword (or bm25), else hybrid."""
+    if method == "semantic":
+        return top(semantic, k)
+    return top(keyword, k) if method in ("keyword", "bm25") else hybrid(semantic, keyword, k)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import or_zero, ratio, rounded
+from .relational import close_pairs, constants, first_of, next_after
 
 
 def company_summary(statements: DataFrame) -> DataFrame:
@@ -42,12 +43,15 @@ def nested(ratios: DataFrame, key: list[str]) -> DataFrame:
 
 
 def by_definition(asked: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The definition meant by each name asked: equal (in any case), else the shortest that holds the name."""
-    a, d = F.lower("asked"), F.lower("ratio_name")
-    tier = F.when(a == d, 0).when(d.contains(a), 1)
-    met = asked.crossJoin(F.broadcast(definitions)).withColumn("tier", tier).filter("tier is not null")
-    w = Window.partitionBy("asked").orderBy("tier", F.length("ratio_name"), "ratio_name")
-    return met.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The definition meant by each name asked: equal (in any case), else the shortest that holds the name. The catalog is a constant of the plan."""
+    tier = lambda name: F.when(F.lower("asked") == F.lower(name), 0).when(F.lower(name).contains(F.lower("asked")), 1)
+    each = constants(definitions)
+    if each is None:  # too many for a constant
+        met = asked.crossJoin(definitions).withColumn("tier", tier(F.col("ratio_name"))).filter("tier is not null")
+        return first_of(met, ["asked"], F.col("tier"), F.length("ratio_name"), F.col("ratio_name"))
+    ranked = F.transform(each, lambda d: F.struct(tier(d["ratio_name"]).alias("tier"), F.length(d["ratio_name"]).alias("size"), d["ratio_name"].alias("name"), d.alias("d")))
+    best = asked.withColumn("_b", F.array_min(F.filter(ranked, lambda x: x["tier"].isNotNull()))).filter("_b is not null")
+    return best.select(*asked.columns, *(F.col(f"_b.d.{c}").alias(c) for c in definitions.columns), F.col("_b.tier").alias("tier"))
 
 
 def drift(catalog: DataFrame, stored: DataFrame) -> DataFrame:
@@ -107,8 +111,9 @@ def corrected_years(filings: DataFrame, facts: DataFrame, years: DataFrame, days
     """Filings with the fiscal year of the fact filed on the same date, or else within so many days; a quarter's year is at most that of the next yearly report.
 
     filings: cik, form_type, filed, fiscal_year; facts: cik, fact_filed, fact_year; years: cik, year_filed, year."""
-    near = filings.join(facts, "cik").filter(F.abs(F.datediff("fact_filed", "filed")) <= days)
+    near = close_pairs(filings, facts, ["cik"], "filed", "fact_filed", days)
     best = near.groupBy("cik", "form_type", "filed").agg(F.min_by("fact_year", F.struct(F.abs(F.datediff("fact_filed", "filed")), "fact_filed", "fact_year")).alias("fact_year"))
-    after = filings.filter("form_type = '10-Q'").join(years, "cik").filter("year_filed > filed").groupBy("cik", "form_type", "filed").agg(F.min_by("year", F.struct("year_filed", "year")).alias("cap"))
+    caps = years.groupBy("cik", "year_filed").agg(F.min("year").alias("cap"))
+    after = next_after(filings.filter("form_type = '10-Q'").select("cik", "form_type", "filed").distinct(), caps, ["cik"], "filed", "year_filed").select("cik", "form_type", "filed", "cap")
     out = filings.join(best, ["cik", "form_type", "filed"], "left").join(after, ["cik", "form_type", "filed"], "left")
     return out.withColumn("corrected", F.least(F.coalesce("fact_year", "fiscal_year"), F.coalesce("cap", F.coalesce("fact_year", "fiscal_year")))).drop("fact_year", "cap")

@@ -51,7 +51,7 @@ def features(rows: DataFrame, call: str = "conv_id", seq: str = "seq") -> DataFr
     return calls.select(
         call, F.length(text).alias("content_length"), F.size(tx.tokens(text)).alias("word_count"), F.array_distinct(F.transform("said", lambda x: x["speaker"])).alias("participants"),
         low.rlike(r"\b(?:revenue|sales|income)\b").alias("revenue_mentioned"), low.rlike(r"\b(?:guidance|outlook|forecast|expect)\b").alias("guidance_mentioned"),
-        tx.all_terms(text, tx.TERM_PATTERN).alias("terms"), tx.all_terms(text, tx.POSITIVE_PATTERN).alias("positive"), tx.all_terms(text, tx.NEGATIVE_PATTERN).alias("negative"), tx.topics(text).alias("topics"),
+        tx.all_terms(text, tx.TERMS).alias("terms"), tx.all_terms(text, tx.POSITIVE).alias("positive"), tx.all_terms(text, tx.NEGATIVE).alias("negative"), tx.topics(text).alias("topics"),
     )
 
 

@@ -219,7 +219,7 @@ VIRTUAL_FIELDS = oracle(f"WITH {_PERIODS}, {_virtual_sql()} SELECT cik, period_e
 
 
 def ratios_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.ratios(_periods(spark, sf_dir), RATIOS, VIRTUAL).select("cik", "period_end_date", "ratio_name", "category", "ratio_value")
+    return fu.ratios(_periods(spark, sf_dir), RATIOS, VIRTUAL, False).select("cik", "period_end_date", "ratio_name", "category", "ratio_value")
 
 
 def _ratio_sql() -> str:
@@ -249,7 +249,7 @@ RATIO_INPUTS = oracle(f"WITH {_PERIODS} SELECT cik, period_end_date, CAST(net_in
 
 
 def growth_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.growth(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))).persist(), ["total_revenue", "operating_income"])
+    return fu.growth(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))), ["total_revenue", "operating_income"])
 
 
 GROWTH_YOY = oracle(f"""
@@ -259,10 +259,54 @@ near AS (SELECT n.*, p.period_end_date AS prior_date, p.value AS prior, row_numb
 SELECT cik, ticker, field, period_end_date, prior_date, floor((value - prior) / nullif(prior, 0) * 1e6 + 0.5) / 1e6 AS growth FROM near WHERE rn = 1 AND value IS NOT NULL AND prior <> 0""")
 
 
+def _all_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LTM, and fiscal years where there is none, each with its cash flow and nearest balance sheet."""
+    income, cash, balance = (shared(spark, sf_dir, n) for n in ("income", "cash_flow", "balance"))
+    trailing = fu.combined(fu.best_method(fu.ltm(income)), fu.best_method(fu.ltm(cash, "cash_flow")), balance)
+    return fu.trailing_and_years(trailing, fu.combined(income.filter("period_type = 'FY'"), cash.filter("period_type = 'FY'"), balance))
+
+
+_BEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end_date ORDER BY list_position(['fy_direct', 'standard', 'quarterly_sum', 'standard_fy_only'], calculation_method), period_type) AS rn FROM ltm_) WHERE rn = 1"
+_HEAD = "cik, ticker, period_end_date, fiscal_year"
+_ALL_PERIODS = f"""
+trailing_income AS (WITH {_LTM_INCOME} {_BEST}), trailing_cash AS (WITH {_ltm_sql("cash_flow", CASH, fu.REQUIRED["cash_flow"], "")} {_BEST}),
+flows AS (SELECT i.cik, i.ticker, i.period_end_date, i.fiscal_year, 'LTM' AS data_source, {", ".join("i." + n for n in INCOME)}, {", ".join("c." + n for n in CASH)} FROM trailing_income i LEFT JOIN trailing_cash c ON i.cik = c.cik AND i.period_end_date = c.period_end_date
+  UNION ALL SELECT i.cik, i.ticker, i.period_end_date, i.fiscal_year, 'FY', {", ".join("i." + n for n in INCOME)}, {", ".join("c." + n for n in CASH)} FROM income i LEFT JOIN (SELECT * FROM cash_flow WHERE period_type = 'FY') c ON i.cik = c.cik AND i.period_end_date = c.period_end_date
+  WHERE i.period_type = 'FY' AND NOT EXISTS (SELECT 1 FROM trailing_income t WHERE t.cik = i.cik AND t.period_end_date = i.period_end_date)),
+sheet AS (SELECT y.cik AS sheet_cik, y.period_end_date AS at, b.period_end_date AS balance_date, {", ".join("b." + n for n in _SHEET)}, row_number() OVER (PARTITION BY y.cik, y.period_end_date ORDER BY abs(date_diff('day', b.period_end_date, y.period_end_date)), b.period_end_date DESC) AS rn
+  FROM (SELECT DISTINCT cik, period_end_date FROM flows) y JOIN balance b ON y.cik = b.cik AND abs(date_diff('day', b.period_end_date, y.period_end_date)) <= 90),
+periods AS (SELECT f.*, s.balance_date, {", ".join("s." + n for n in _SHEET)} FROM flows f LEFT JOIN (SELECT * FROM sheet WHERE rn = 1) s ON s.sheet_cik = f.cik AND s.at = f.period_end_date)"""
+
+
+def ratios_ltm_fy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ratios of the catalog, growth too, over LTM and the fiscal years that LTM lacks."""
+    periods = _all_periods(spark, sf_dir)
+    plain = fu.ratios(periods, RATIOS, VIRTUAL, False).select("cik", "period_end_date", "data_source", "ratio_name", "category", "ratio_value")
+    return plain.unionByName(fu.growth_ratios(periods, RATIOS, VIRTUAL).select(*plain.columns))
+
+
+def growth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of revenue, EBIT and EBITDA over LTM and fiscal years."""
+    periods = with_virtual_fields(_all_periods(spark, sf_dir), VIRTUAL)
+    return fu.growth(periods, ["total_revenue", "ebit", "ebitda"]).select("cik", "field", "period_end_date", "data_source", "prior_date", "growth")
+
+
+_GROWN = """
+flat AS (SELECT cik, period_end_date, data_source, field, value FROM (SELECT cik, period_end_date, data_source, CAST(total_revenue AS DOUBLE) AS total_revenue, ebit, ebitda FROM virtual_) UNPIVOT INCLUDE NULLS (value FOR field IN (total_revenue, ebit, ebitda))),
+grown AS (SELECT n.*, p.period_end_date AS prior_date, p.value AS prior, row_number() OVER (PARTITION BY n.cik, n.field, n.period_end_date, n.data_source ORDER BY abs(date_diff('day', p.period_end_date, n.period_end_date) - 365), p.period_end_date DESC, p.data_source = 'FY') AS rn
+  FROM flat n JOIN flat p ON n.cik = p.cik AND n.field = p.field AND date_diff('day', p.period_end_date, n.period_end_date) BETWEEN 330 AND 450),
+growth_ AS (SELECT cik, field, period_end_date, data_source, prior_date, floor((value - prior) / nullif(prior, 0) * 1e6 + 0.5) / 1e6 AS growth FROM grown WHERE rn = 1 AND value IS NOT NULL AND prior <> 0)"""
+_WITH_SOURCE = _ratio_sql().replace("SELECT cik, period_end_date,", "SELECT cik, period_end_date, data_source,")
+GROWTH_ALL = oracle(f"WITH {_ALL_PERIODS}, {_virtual_sql()}, {_GROWN} SELECT * FROM growth_")
+RATIOS_LTM_FY = oracle(f"""WITH {_ALL_PERIODS}, {_virtual_sql()}, {_GROWN}, long_ AS ({_WITH_SOURCE})
+SELECT cik, period_end_date, data_source, ratio_name, category, floor(v * 1e6 + 0.5) / 1e6 AS ratio_value FROM long_ WHERE v IS NOT NULL
+UNION ALL SELECT cik, period_end_date, data_source, CASE field WHEN 'total_revenue' THEN 'Revenue_Growth_YoY' ELSE 'EBITDA_Growth_YoY' END, 'growth', growth FROM growth_ WHERE field <> 'ebit'""")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten companies whose trailing revenue has grown most, at their latest quarter."""
     income = shared(spark, sf_dir, "income").select(*fu.HEAD, "total_revenue", *[n for n in fu.REQUIRED["income"] if n != "total_revenue"])
-    rows = fu.growth(fu.best_method(fu.ltm(income)).persist(), ["total_revenue"])
+    rows = fu.growth(fu.best_method(fu.ltm(income)), ["total_revenue"])
     last = rows.groupBy("cik", "ticker").agg(F.max("period_end_date").alias("period_end_date"), F.max_by("growth", "period_end_date").alias("growth"))
     return last.orderBy(F.desc("growth"), "cik").limit(10)
 
@@ -330,6 +374,8 @@ QUERIES = {
     "ratios_long": (ratios_long, RATIOS_LONG),
     "ratio_inputs_json": (ratio_inputs, RATIO_INPUTS),
     "growth_yoy": (growth_yoy, GROWTH_YOY),
+    "ratios_ltm_fy": (ratios_ltm_fy, RATIOS_LTM_FY),
+    "growth_all": (growth_all, GROWTH_ALL),
     "fact_pivot_max": (fact_pivot, FACT_PIVOT),
     "fact_fiscal_year_unify": (fact_year, FACT_YEAR),
     "preferred_value": (fact_preferred, FACT_PREFERRED),

@@ -23,12 +23,13 @@ def price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratio_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios with their definitions; the definitions are the catalog, a constant of the plan."""
-    values = fu.ratios(fundamentals._periods(spark, sf_dir), [r for r in RATIOS if r[0] in ("ROE", "Current_Ratio")], VIRTUAL).select("cik", "period_end_date", "ratio_name", "ratio_value")
+    values = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False).select("cik", "period_end_date", "ratio_name", "ratio_value")
     definitions = spark.createDataFrame([(n, c, f) for n, c, f in RATIOS], "ratio_name string, category string, formula string")
     return values.join(F.broadcast(definitions), "ratio_name").filter("category = 'liquidity'").select("cik", "period_end_date", "ratio_name", "formula", "ratio_value")
 
 
-RATIO_JOIN = oracle(f"WITH {fundamentals._PERIODS} SELECT cik, period_end_date, 'Current_Ratio' AS ratio_name, 'total_current_assets / total_current_liabilities' AS formula, floor(CAST(coalesce(total_current_assets, 0) AS DOUBLE) / total_current_liabilities * 1e6 + 0.5) / 1e6 AS ratio_value FROM periods WHERE total_current_liabilities <> 0")
+_FORMULAS = "CASE ratio_name " + " ".join(f"WHEN '{n}' THEN '{t}'" for n, _, t in RATIOS) + " END"
+RATIO_JOIN = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}) SELECT cik, period_end_date, ratio_name, {_FORMULAS} AS formula, floor(v * 1e6 + 0.5) / 1e6 AS ratio_value FROM long_ WHERE v IS NOT NULL AND category = 'liquidity'")
 
 
 def statement_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +124,16 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def override_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common = spark.createDataFrame([(n, c) for n, c, _ in RATIOS[:8]], "name string, category string")
+    common = spark.createDataFrame([(n, c) for n, c, _ in RATIOS], "name string, category string")
     return re_.overridden(_definitions(spark, sf_dir), common)
 
 
-_NAMES = ", ".join(f"('{n}', '{c}', {k})" for k, (n, c, _) in enumerate(RATIOS[:8]))
-_DEFS = f"names AS (SELECT * FROM (VALUES {_NAMES}) x(name, category, k)), own AS (SELECT cik AS company_id, n.name, n.category FROM company c, names n WHERE k < 5 AND (cik + length(n.name)) % 3 = 0)"
+_NAMES = ", ".join(f"('{n}', '{c}', {k})" for k, (n, c, _) in enumerate(RATIOS))
+_DEFS = f"names AS (SELECT * FROM (VALUES {_NAMES}) x(name, category, k)), own AS (SELECT cik AS company_id, n.name, n.category FROM company c, names n WHERE k % 2 = 0 AND (cik + length(n.name)) % 3 = 0)"
 
 
 def scoped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common = spark.createDataFrame([(None, n, c) for n, c, _ in RATIOS[:8]], "company_id long, name string, category string")
+    common = spark.createDataFrame([(None, n, c) for n, c, _ in RATIOS], "company_id long, name string, category string")
     return re_.scoped(_definitions(spark, sf_dir).unionByName(common), 3, "ROE")
 
 
@@ -145,7 +146,6 @@ def coalesce_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.coalesced(view(spark, sf_dir, "income"), ["cik", "fiscal_year"], ["gross_profit", "net_income", "operating_income"], F.col("period_end_date"), F.col("period_length_months"))
 
 
-_FIRST = "(SELECT {0} FROM income x WHERE x.cik = g.cik AND x.fiscal_year = g.fiscal_year AND {0} IS NOT NULL ORDER BY period_end_date, period_length_months LIMIT 1)"
 COALESCE = oracle("SELECT cik, fiscal_year, min_by(gross_profit, k) FILTER (gross_profit IS NOT NULL) AS gross_profit, min_by(net_income, k) FILTER (net_income IS NOT NULL) AS net_income, min_by(operating_income, k) FILTER (operating_income IS NOT NULL) AS operating_income FROM (SELECT *, row_number() OVER (PARTITION BY cik, fiscal_year ORDER BY period_end_date, period_length_months) AS k FROM income) GROUP BY cik, fiscal_year")
 
 
@@ -158,7 +158,7 @@ _FILLED = " + ".join(f"(CASE WHEN {n} IS NOT NULL AND {n} <> 0 THEN 1 ELSE 0 END
 
 def peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "income").filter("period_type = 'FY'").join(view(spark, sf_dir, "company").select("cik", "sector"), "cik").select("sector", "fiscal_year", F.col("net_income").cast("double").alias("v"))
-    return re_.peer_stats(rows, ["sector", "fiscal_year"], "v")
+    return re_.peer_stats(rows, ["sector", "fiscal_year"], "v", 1)
 
 
 def mode_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,14 +178,10 @@ _KEY = ["cik", "fiscal_year"]
 
 def compare_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peers of a sector in one period: category, ratio, and its statistics."""
-    values = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS[:15], VIRTUAL).filter("fiscal_year = 1999").join(view(spark, sf_dir, "company").select("cik", "sector"), "cik")
+    values = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False).filter("fiscal_year = 1999").join(view(spark, sf_dir, "company").select("cik", "sector"), "cik")
     return re_.peer_stats(values.withColumnRenamed("ratio_value", "v"), ["sector", "category", "ratio_name"], "v")
 
 
-def _wanted() -> str:
-    return ", ".join(f"'{n}'" for n, _, _ in RATIOS[:15])
-
-
 def cluster_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventories of all companies, a peer group being a sector."""
     return re_.cluster_quarters(_aligned(spark, sf_dir))
@@ -210,7 +206,6 @@ QUERIES = {
     "combined_frame": (combined_frame, COMBINED),
     "period_bucket": (period_bucket, "SELECT CAST(CASE WHEN d > 330 THEN 12 WHEN d > 240 THEN 9 WHEN d > 150 THEN 6 ELSE 3 END AS INT) AS months, count(*) AS n FROM (SELECT date_diff('day', DATE '1994-06-01', CAST(l_shipdate AS DATE)) % 400 AS d FROM lineitem) GROUP BY 1"),
     "period_filter_latest": (_period("latest"), oracle(f"WITH {_R} {_RANKED.format('period_end_date', 1, '')}")),
-    "period_filter_fy": (_period("FY1998"), None),
     "period_filter_year": (lambda s, d: period.of_ratios(_ratios(s, d), "FY2000"), oracle(f"WITH {_R} {_PLAIN} fiscal_year = 2000 AND fiscal_quarter = 'Q4'")),
     "period_filter_quarter": (_period("Q3-2001"), oracle(f"WITH {_R} {_PLAIN} fiscal_year = 2001 AND fiscal_quarter = 'Q3'")),
     "period_filter_last_quarters": (_period("last 6 quarters"), oracle(f"WITH {_R} {_RANKED.format('fiscal_year * 4 + CAST(substr(fiscal_quarter, 2, 1) AS INT)', 6, '')}")),
@@ -225,15 +220,14 @@ QUERIES = {
     "dedup_best_row": (dedup_best, oracle("SELECT cik, period_end_date, period_length_months FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end_date ORDER BY cik % 3 <> 0 DESC, (total_revenue IS NOT NULL)::INT + (gross_profit IS NOT NULL)::INT + (net_income IS NOT NULL)::INT DESC, period_length_months) AS rn FROM income) WHERE rn = 1")),
     "coalesce_rows_per_period": (coalesce_rows, COALESCE),
     "completeness_score": (completeness, oracle(f"SELECT cik, count(*) AS rows, CAST(sum({_FILLED}) AS BIGINT) AS filled, round(avg(CASE WHEN total_revenue IS NOT NULL THEN 1 ELSE 0 END), 6) AS coverage FROM income GROUP BY cik")),
-    "peer_stats_upper_median": (peer_stats, oracle("SELECT sector, fiscal_year, count(*) AS n, max(v) AS highest, min(v) AS lowest, floor(avg(v) * 1e6 + 0.5) / 1e6 AS average, list_sort(list(v))[count(*) // 2 + 1] AS median FROM (SELECT sector, fiscal_year, CAST(net_income AS DOUBLE) AS v FROM income JOIN company USING (cik) WHERE period_type = 'FY' AND net_income IS NOT NULL) GROUP BY sector, fiscal_year")),
+    "peer_stats_upper_median": (peer_stats, oracle("SELECT sector, fiscal_year, count(*) AS n, max(v) AS highest, min(v) AS lowest, floor(CAST(sum(CAST(v AS BIGINT)) AS DOUBLE) / count(*) / 1 * 1e6 + 0.5) / 1e6 AS average, list_sort(list(v))[count(*) // 2 + 1] AS median FROM (SELECT sector, fiscal_year, CAST(net_income AS DOUBLE) AS v FROM income JOIN company USING (cik) WHERE period_type = 'FY' AND net_income IS NOT NULL) GROUP BY sector, fiscal_year")),
     "mode_quarter": (mode_quarter, oracle("SELECT c.cik, coalesce(m.fiscal_quarter, concat('Q', CAST(quarter(c.d) AS VARCHAR))) AS fiscal_quarter FROM (SELECT cik, max(period_end_date) AS d FROM balance GROUP BY cik) c LEFT JOIN (SELECT cik, fiscal_quarter FROM (SELECT cik, fiscal_quarter, row_number() OVER (PARTITION BY cik ORDER BY count(*) DESC, fiscal_quarter) AS rn FROM balance WHERE fiscal_quarter IS NOT NULL GROUP BY cik, fiscal_quarter) WHERE rn = 1) m ON c.cik = m.cik")),
     "upsert_overwrite": (lambda s, d: re_.upsert(*_old_new(s, d), _KEY), oracle(f"WITH {_ON} SELECT * FROM new_ UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new_ n WHERE n.cik = o.cik AND n.fiscal_year = o.fiscal_year)")),
     "upsert_coalesce": (lambda s, d: re_.upsert_known(*_old_new(s, d), _KEY), oracle(f"WITH {_ON} SELECT coalesce(n.cik, o.cik) AS cik, coalesce(n.fiscal_year, o.fiscal_year) AS fiscal_year, coalesce(n.gross_profit, o.gross_profit) AS gross_profit, coalesce(n.net_income, o.net_income) AS net_income FROM old o FULL JOIN new_ n ON o.cik = n.cik AND o.fiscal_year = n.fiscal_year")),
     "insert_if_absent": (lambda s, d: re_.insert_absent(*_old_new(s, d), _KEY), oracle(f"WITH {_ON} SELECT * FROM old UNION ALL SELECT * FROM new_ n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.cik = o.cik AND n.fiscal_year = o.fiscal_year)")),
     "insert_counts": (lambda s, d: re_.insert_counts(*_old_new(s, d), _KEY), oracle(f"WITH {_ON} SELECT count(*) FILTER (o.cik IS NULL) AS inserted, count(*) FILTER (o.cik IS NOT NULL) AS skipped FROM new_ n LEFT JOIN old o ON n.cik = o.cik AND n.fiscal_year = o.fiscal_year")),
     "retention_delete": (lambda s, d: re_.retained(view(s, d, "price").select("ticker", "date", "volume"), "date", "2024-01-15"), oracle("SELECT ticker, date, volume FROM price WHERE date >= DATE '2024-01-15'")),
-    "compare_single": (compare_single, oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), v AS (SELECT sector, category, ratio_name, floor(l.v * 1e6 + 0.5) / 1e6 AS v FROM long_ l JOIN company USING (cik) WHERE l.v IS NOT NULL AND year(period_end_date) = 1999 AND ratio_name IN ({_wanted()})) SELECT sector, category, ratio_name, count(*) AS n, max(v) AS highest, min(v) AS lowest, floor(avg(v) * 1e6 + 0.5) / 1e6 AS average, list_sort(list(v))[count(*) // 2 + 1] AS median FROM v GROUP BY ALL")),
+    "compare_single": (compare_single, oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), v AS (SELECT sector, category, ratio_name, floor(l.v * 1e6 + 0.5) / 1e6 AS v FROM long_ l JOIN company USING (cik) WHERE l.v IS NOT NULL AND year(period_end_date) = 1999) SELECT sector, category, ratio_name, count(*) AS n, max(v) AS highest, min(v) AS lowest, floor(CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 * 1e6 + 0.5) / 1e6 AS average, list_sort(list(v))[count(*) // 2 + 1] AS median FROM v GROUP BY ALL")),
     "cluster_quarters": (cluster_quarters, None),
     "align_years": (align_years, None),
 }
-del QUERIES["period_filter_fy"]

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import news as nw, search as se
+from ..operators import news as nw
 from ..sources import readers, tables
 from ..streaming import prices as st
 from .views import oracle, view
@@ -81,5 +81,4 @@ QUERIES = {
     "filing_headers": (filing_headers, oracle("SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, '10-K' AS form_type, period_end_date AS period_end, CAST(year(period_end_date) + CASE WHEN cik % 2 = 0 AND strftime(period_end_date, '%m%d') > '0930' THEN 1 ELSE 0 END AS INT) AS fiscal_year, CAST(NULL AS VARCHAR) AS company_name FROM income WHERE period_length_months = 3")),
     "news_queries": (lambda s, d: nw.queries(view(s, d, "news").select("company").distinct(), ["earnings", "products", "legal"]), oracle("SELECT company, category FROM (SELECT DISTINCT company FROM news), (VALUES ('earnings'), ('products'), ('legal')) c(category)")),
     "duplicate_filings": (lambda s, d: view(s, d, "chunk").groupBy("ticker", "form_type", "fiscal_year", "fiscal_quarter").agg(F.count(F.lit(1)).alias("n")), oracle("SELECT ticker, form_type, fiscal_year, fiscal_quarter, count(*) AS n FROM chunk GROUP BY ALL")),
-    "query_expansion": (lambda s, d: s.createDataFrame([(q, se.expanded(q)) for q in ("revenue growth", "free cash flow outlook", "nothing known")], "query string, expanded string"), None),
 }

@@ -38,7 +38,7 @@ def latest_ltm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = su.nested(fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL), ["cik", "period_end_date"])
+    out = su.nested(fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False), ["cik", "period_end_date"])
     inner = F.from_json(F.col("categories")["liquidity"], "map<string, double>")
     return out.select("cik", "period_end_date", F.array_join(F.map_keys("categories"), ",").alias("categories"), inner["Cash_Ratio"].alias("cash_ratio"))
 
@@ -57,7 +57,7 @@ def formula_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL).groupBy("ratio_name", "category").agg(F.count(F.lit(1)).alias("n"))
+    rows = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False).groupBy("ratio_name", "category").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("ratio_name", "n", su.interpretation(F.col("ratio_name"), F.col("category")).alias("says"))
 
 
@@ -85,6 +85,13 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.html_tables(pages, "page_id", "html").filter("text like '%\t%'").select(F.col("id").alias("page_id"), F.regexp_replace("text", "\t", "|").alias("cells"))
 
 
+def quarter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels of periods, the newest first; labels of years are no quarters and come last."""
+    labels = view(spark, sf_dir, "income").select(F.concat("period_type", F.lit("-"), F.col("fiscal_year").cast("string")).alias("label")).distinct()
+    year, quarter = su.quarter_order(F.col("label"))
+    return labels.select("label", year.alias("year"), quarter.alias("quarter")).orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("quarter"), "label")
+
+
 QUERIES = {
     "computed_fields": (computed_fields, oracle("SELECT cik, period_end_date, period_length_months, coalesce(gross_profit, total_revenue - cost_of_revenue) AS gross_profit, coalesce(operating_income, gross_profit - total_operating_expenses, total_revenue - cost_of_revenue - total_operating_expenses) AS operating_income FROM income")),
     "tag_coverage": (tag_coverage, fundamentals._fact_oracle("""SELECT "column", string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(*) AS n FROM (SELECT tag, CASE WHEN lower(tag) IN ('revenues', 'salesrevenuenet') THEN 'total_revenue' WHEN tag = 'CostOfRevenue' THEN 'cost_of_revenue' WHEN tag = 'NetIncomeLoss' THEN 'net_income' END AS "column" FROM fact WHERE tag <> 'UnknownTag') GROUP BY "column" HAVING count(DISTINCT tag) > 1""")),
@@ -98,7 +105,7 @@ QUERIES = {
     "formula_drift": (formula_drift, f"WITH {_NAMES} SELECT ratio_name, formula AS wanted, CASE WHEN ratio_name <> 'ROE' THEN 'changed' END AS found FROM names WHERE ratio_name = 'ROE' OR category = 'growth'"),
     "ratio_interpretation": (interpretations, INTERPRET),
     "consecutive_growth": (lambda s, d: su.consecutive_growth(view(s, d, "income").filter("period_type = 'FY' and total_revenue is not null"), "total_revenue"), oracle("SELECT a.cik, a.fiscal_year, floor(CAST(a.total_revenue - b.total_revenue AS DOUBLE) / b.total_revenue * 1e6 + 0.5) / 1e6 AS growth FROM income a JOIN income b ON a.cik = b.cik AND b.fiscal_year = a.fiscal_year - 1 AND b.period_type = 'FY' WHERE a.period_type = 'FY' AND a.total_revenue IS NOT NULL AND b.total_revenue <> 0")),
-    "quarter_sort": (lambda s, d: view(s, d, "income").filter("period_type <> 'FY'").select(F.concat("period_type", F.lit("-"), F.col("fiscal_year").cast("string")).alias("label")).select("label", *(c.alias(n) for c, n in zip(su.quarter_order(F.col("label")), ("year", "quarter"), strict=True))).distinct().orderBy(F.desc("year"), F.desc("quarter")).limit(5), oracle("SELECT DISTINCT concat(period_type, '-', CAST(fiscal_year AS VARCHAR)) AS label, fiscal_year AS year, CAST(substr(period_type, 2, 1) AS INT) AS quarter FROM income WHERE period_type <> 'FY' ORDER BY year DESC, quarter DESC LIMIT 5")),
+    "quarter_sort": (quarter_sort, oracle("SELECT DISTINCT concat(period_type, '-', CAST(fiscal_year AS VARCHAR)) AS label, CASE WHEN period_type <> 'FY' THEN fiscal_year END AS year, CASE WHEN period_type <> 'FY' THEN CAST(substr(period_type, 2, 1) AS INT) END AS quarter FROM income")),
     "index_coverage": (lambda s, d: su.missing_years(view(s, d, "chunk"), ["ticker"], 2015, 2024).select("ticker", F.array_join(F.transform("missing", lambda y: y.cast("string")), ",").alias("missing")), oracle("SELECT ticker, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS missing FROM (SELECT DISTINCT ticker FROM chunk) t, range(2015, 2025) r(y) WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.ticker = t.ticker AND c.form_type = '10-K' AND CAST(c.fiscal_year AS INT) = y) GROUP BY ticker")),
     "metadata_correction": (metadata_correction, CORRECTION),
     "html_tables": (html_tables, "SELECT page_id, CASE k WHEN 0 THEN 'k|' || CAST(page_id AS VARCHAR) ELSE 'v|a b' END AS cells FROM pages, (VALUES (0), (1)) x(k)"),

@@ -297,7 +297,7 @@ def test_chunk_starts(spark):
 def test_sentence_chunks():
     text = " ".join(f"Sentence number {i} has some words in it." for i in range(60))
     out = tx.sentence_chunks(text)
-    assert len(out) > 2 and all(len(c) <= 800 for c in out[:1]) and all(out[k + 1].split(" ", 1)[0] in out[k] for k in range(len(out) - 1))
+    assert len(out) > 2 and all(len(c) <= 800 for c in out) and all(out[k + 1].split(" ", 1)[0] in out[k] for k in range(len(out) - 1))
     assert tx.sentence_chunks(None) == [] and tx.sentence_chunks("Short.") == []
     assert tx.micro_chunks("Small. Text.") == [] and len(tx.micro_chunks(text)) > 5
     paragraphs = "\n\n".join(["word " * 50, "word " * 100, "A sentence of words. " * 100])
@@ -305,6 +305,55 @@ def test_sentence_chunks():
     assert tx.without_overlap("a" * 40 + "b" * 60, "b" * 60 + "c") == "c"
 
 
+def test_chunks_by_their_rules():
+    """Each rule of the chunkers, on texts of many lengths."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        parts = [" ".join("w" * r.randrange(1, 9) for _ in range(r.randrange(1, 60))).capitalize() + r.choice(".!?") for _ in range(r.randrange(1, 40))]
+        size = r.choice([200, 400, 800])
+        out = tx.packed(parts, size)
+        assert " ".join(out) == " ".join(parts) and all(len(c) <= size or c in parts for c in out)
+        ends = [c.rsplit(" ", 0) for c in out]
+        assert all(len(a[0]) + 1 + len(next(p for p in parts if b[0].startswith(p))) > size for a, b in zip(ends, ends[1:], strict=False))  # no chunk has room for what follows
+        over = tx.sentence_chunks(" ".join(parts), size, 50)
+        kept = [p for p in tx.sentences(" ".join(parts)) if len(p) > 10]
+        assert all(len(c) <= size or any(p in c and len(p) + 52 > size for p in kept) for c in over) and all(any(p in c for c in over) for p in kept)
+        assert all(b.startswith((a[-50:].strip().partition(" ")[2] or a[-50:].strip())[:5]) for a, b in zip(over, over[1:], strict=False))
+        text = "\n\n".join(" ".join(parts[k : k + r.randrange(1, 4)]) for k in range(0, len(parts), 3))
+        whole = tx.paragraph_chunks(text)
+        paragraphs = text.split("\n\n")
+        assert "".join("".join(whole).split()) == "".join(text.split())
+        assert all(len(c) <= 1200 or any(len(p) > 1200 for p in paragraphs) for c in whole)
+        small = tx.micro_chunks(text.replace("\n\n", " "))
+        assert not small or all(b.startswith(a[-60:]) for a, b in zip(small, small[1:], strict=False))
+
+
+def test_chunks_of_calls():
+    said = [("Jane Doe", "Good morning all. " + "We did well this quarter. " * 40), ("Operator", "Next question."), ("Max Li", "How is demand? " * 5), ("Jane Doe", "Fine.")]
+    text = "\n".join(f"{who}: {what}" for who, what in said)
+    assert [(w, " ".join(t.split())) for w, t in tx.turns(text)] == [(w, " ".join(t.split())) for w, t in said]
+    whole = tx.turn_chunks(text)
+    assert len(whole) == 2 and whole[0].startswith("Jane Doe: Good") and whole[1].startswith("Operator: Next question. Max Li: How") and whole[1].endswith("Jane Doe: Fine.")
+    remarks = tx.remark_chunks(text)
+    assert all(len(c) <= 800 for c in remarks) and [c.split(":")[0] for c in remarks] == ["Jane Doe", "Jane Doe", "Operator", "Max Li", "Jane Doe"]
+    assert " ".join(c.partition(": ")[2] for c in remarks).split() == " ".join(t for _, t in said).split()
+    calls = tx.call_chunks(text, 300, 100)
+    assert all(len(c) <= 300 for c in calls) and calls[0].startswith("Jane Doe: Good morning all.") and any(c.startswith("Max Li:") or "Max Li: How" in c for c in calls)
+    assert tx.turns(None) == tx.turn_chunks("") == tx.remark_chunks("nobody speaks") == [] and tx.call_chunks("No speaker here at all. But a sentence.") == ["No speaker here at all. But a sentence."]
+
+
+def test_formats(spark):
+    rows = [(1.5e12,), (-2.25e9,), (999.5,), (1234.0,), (None,), (7.04e6,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "v double").select(tx.money(F.col("v"))).collect()] == ["$1.5T", "-$2.3B", "$999.50", "$1.2K", "N/A", "$7.0M"]
+    assert spark.createDataFrame([(0.1234, None)], "a double, b double").select(tx.percent(F.col("a")), tx.percent(F.col("b"))).first()[:] == ("12.3%", "N/A")
+    name, period_ = tx.ratio_key(F.col("k"))
+    assert [tuple(r) for r in spark.createDataFrame([("ROE_Q4-2024",), ("Net_Margin_FY2023",), ("Cash_Ratio",)], "k string").select(name, period_).collect()] == [("ROE", "Q4-2024"), ("Net_Margin", "FY2023"), ("Cash_Ratio", None)]
+    texts = [("for the Nine  Months Ended, and six months ended",), ("six months ended",), ("three months ended",)]
+    assert [r[0] for r in spark.createDataFrame(texts, "t string").select(tx.quarter_spoken(F.col("t"))).collect()] == [3, 2, 1]
+
+
 def test_sections():
     allowed = ["Management's Discussion and Analysis of Financial Condition and Results of Operations", "Risk Factors", "Financial Statements and Supplementary Data"]
     assert tx.nearest_section("Item 7. Management’s Discussion", allowed) == allowed[0]  # spelled out, with an apostrophe
@@ -367,9 +416,25 @@ def test_quarter_filter_with_or_without_q(spark):
     assert df.filter(search.where({"fiscal_quarter": ["q3", "1"]}, df.columns)).count() == 2
 
 
-def test_expansion():
-    assert search.expanded("share repurchase plan").startswith("share repurchase plan ") and search.expanded("zzz") == "zzz"
-    assert len(search.expanded("revenue growth margin demand").split(" ")) <= 4 + 6 * 3
+def test_expansion(spark):
+    rows = spark.createDataFrame([("share repurchase plan",), ("zzz",), ("revenue growth margin demand",), ("AI and free cash flow",), (None,)], "q string")
+    out = {r.q: r for r in rows.select("q", search.expanded(F.col("q")).alias("e"), search.expansion(F.col("q"), 2, None).alias("x"), search.with_narrative(F.col("q")).alias("n")).collect()}
+    assert out["zzz"].e == "zzz" == out["zzz"].n and out[None].e is None
+    assert out["share repurchase plan"].x == ["buy back", "buyback", "market position"]
+    assert out["AI and free cash flow"].x == ["artificial intelligence", "free cash flow", "machine learning", "operating cash flow"]
+    assert len(out["revenue growth margin demand"].e.split(" ")) <= 4 + 6 * 3 and out["revenue growth margin demand"].n.endswith("performance factors")
+    found = {(r.query, r.word, r.term) for r in search.suggestions(rows.withColumnRenamed("q", "query")).collect()}
+    assert ("revenue growth margin demand", "margin", "margin") in found and ("revenue growth margin demand", "growth", "expansion") in found and not any(q == "zzz" for q, _, _ in found)
+
+
+def test_periods_are_pairs(spark):
+    from tallyframe.functions import asked
+
+    df = spark.createDataFrame([(str(y), f"{p}{q}") for y in (2021, 2022) for q in (1, 2, 3) for p in ("", "Q")], "fiscal_year string, fiscal_quarter string")
+    assert df.filter(search.where(search.periods_of(["Q1 2021", "2 2022"]), df.columns)).distinct().count() == 4
+    assert df.filter(search.where(search.periods_of(["Q1", "3"]), df.columns)).distinct().count() == 4  # in a column without Q
+    found = asked.filters_of("risk in the first quarter and Q3 of 2021")
+    assert {(r.fiscal_year, r.fiscal_quarter) for r in df.filter(search.where({k: v for k, v in found.items() if k != "section_name"}, df.columns)).collect()} == {("2021", "1"), ("2021", "Q1"), ("2021", "3"), ("2021", "Q3")}
 
 
 # news, usage ------------------------------------------------------------------------------------------------------
