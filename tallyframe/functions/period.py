@@ -79,7 +79,7 @@ def quarter_index(year: Column, quarter: Column) -> Column:
 
 
 def of_ratios(df: DataFrame, text: str, key: tuple[str, ...] = ("cik",)) -> DataFrame:
-    """Rows (fiscal_year, fiscal_quarter Q1-Q4, period_end_date) of a period, for each company by itself. Years are their Q4 rows."""
+    """Rows (fiscal_year, fiscal_quarter Q1-Q4, period_end_date) of a period, for each company by itself. Years are their Q4 rows, where a company has any."""
     p = parse(text)
     last = Window.partitionBy(*key).orderBy(F.desc(quarter_index(F.col("fiscal_year"), F.substring("fiscal_quarter", 2, 1).cast("int"))))
     newest = Window.partitionBy(*key).orderBy(F.desc("period_end_date"))
@@ -91,7 +91,17 @@ def of_ratios(df: DataFrame, text: str, key: tuple[str, ...] = ("cik",)) -> Data
         return df.filter((F.col("fiscal_year") == p.year) & (F.col("fiscal_quarter") == f"Q{p.quarter}"))
     if p.kind == "quarters":
         return df.withColumn("_r", F.dense_rank().over(last)).filter(F.col("_r") <= p.n).drop("_r")
-    return df.filter("fiscal_quarter = 'Q4'").withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc("fiscal_year")))).filter(F.col("_r") <= p.n).drop("_r")
+    return _years(df, p.n, key)
+
+
+def _years(df: DataFrame, n: int, key: tuple[str, ...]) -> DataFrame:
+    """The n newest fiscal years of each company: its Q4 rows; if it has none its FY rows; if it has none of these either, the last date of each year."""
+    company = Window.partitionBy(*key)
+    kind = F.col("period_type") if "period_type" in df.columns else F.lit(None).cast("string")
+    q4, fy = F.coalesce(F.col("fiscal_quarter") == "Q4", F.lit(False)), F.coalesce(kind == "FY", F.lit(False))
+    last = F.col("period_end_date") == F.max("period_end_date").over(Window.partitionBy(*key, "fiscal_year"))
+    marked = df.withColumn("_way", F.when(F.max(q4).over(company), q4).when(F.max(fy).over(company), fy).otherwise(last)).filter("_way")
+    return marked.withColumn("_r", F.dense_rank().over(company.orderBy(F.desc("fiscal_year")))).filter(F.col("_r") <= n).drop("_r", "_way")
 
 
 def of_statements(df: DataFrame, text: str, key: tuple[str, ...] = ("cik",)) -> DataFrame:

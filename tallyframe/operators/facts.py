@@ -73,3 +73,12 @@ def coverage(facts: DataFrame, tags: dict[str, str] = TAGS) -> DataFrame:
     """column, its tags, and the number of facts of each, for columns with more than one tag in use."""
     used = mapped(facts, tags)
     return used.groupBy("column").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.count(F.lit(1)).alias("n")).filter("size(tags) > 1")
+
+
+def value_at(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (cik, tag, end, filed, months) with the value filed for it: of the first unit that has one; of several facts the one whose length is the months asked for, give or take one (30.44 days each), else the first by start."""
+    met = facts.join(asked, ["cik", "tag", "end", "filed"]).filter(F.col("unit").isin(UNITS) & F.col("val").isNotNull())
+    unit = F.array_position(F.array(*map(F.lit, UNITS)), F.col("unit"))
+    off = F.abs(F.round(F.datediff("end", "start") / 30.44) - F.col("months"))
+    best = met.groupBy("cik", "tag", "end", "filed", "months").agg(F.min_by("val", F.struct(unit, F.coalesce(off > 1, F.lit(True)), F.coalesce("start", F.to_date(F.lit("0001-01-01"))), "val")).alias("val"))
+    return best

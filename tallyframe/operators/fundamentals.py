@@ -175,7 +175,7 @@ def _quarter_sums(now: DataFrame, full: DataFrame, names: list[str], need: list[
         aggregates += [F.sum(F.when(which, completeness("q_", need))).alias(f"{mark}score")]
     head = ["cik", "ticker", "period_end_date", "fiscal_year", "period_type", "period_length_months", *[n for n in names if n in SHARES]]
     sums = near.groupBy(*head).agg(*aggregates).join(_renamed(full, "y_", ["cik", (F.col("fiscal_year") + 1).alias("fiscal_year")]), ["cik", "fiscal_year"])
-    n = F.substring("period_type", 2, 1).cast("int")
+    n = F.substring("period_type", 2, 1).try_cast("int")
     whole = completeness("y_", need)
     viable = (whole > 20) & (F.col("n_now") >= n * 0.5) & ((whole + F.coalesce(F.col("c_score"), F.lit(0.0)) / n + F.coalesce(F.col("l_score"), F.lit(0.0)) / n) / 3 > 30)
     least = F.greatest(F.lit(1), F.floor(n / 2))

@@ -53,3 +53,35 @@ def queries(companies: DataFrame, categories: list[str]) -> DataFrame:
 def recency(days: int) -> str:
     """The bucket that a source of news takes for so many days back."""
     return "day" if days <= 1 else "week" if days <= 7 else "month" if days <= 30 else "year"
+
+
+def with_words(rows: DataFrame, text: str, least: int) -> DataFrame:
+    """Rows whose text has at least so many words."""
+    return rows.filter(F.size(tx.tokens(F.col(text))) >= least)
+
+
+def recent_titles(rows: DataFrame, title: str, as_of: str, days: int = 7, most: int = 5) -> DataFrame:
+    """Different titles of the last days, the newest first."""
+    new = rows.filter(F.col("published").between(F.date_sub(F.to_date(F.lit(as_of)), days), F.to_date(F.lit(as_of)))).filter(F.col(title) != "")
+    return new.groupBy(F.col(title).alias("title")).agg(F.max("published").alias("published")).orderBy(F.desc("published"), "title").limit(most)
+
+
+def topic_report(rows: DataFrame, key: str, start: str, end: str, url: str = "source_url") -> DataFrame:
+    """Of a span of days, by key: articles, days with any, sources, first and last day, and the sentiment of most."""
+    inside = within(rows, start, end)
+    out = inside.groupBy(key).agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("published").alias("days"), F.count_distinct(tx.domain(F.col(url))).alias("sources"), F.min("published").alias("first"), F.max("published").alias("last"))
+    return out.join(sentiment(inside, [key]).select(key, "sentiment"), key)
+
+
+def wrong_span(start: str, end: str, as_of: str, topic: str, topics: list[str], most: int = 730) -> list[str]:
+    """What is wrong with a request for news of a span of days, if anything."""
+    import datetime
+
+    try:
+        a, b, now = map(datetime.date.fromisoformat, (start, end, as_of))
+    except ValueError:
+        return ["dates: yyyy-mm-dd"]
+    found = ["start: after end"] if a > b else []
+    found += ["end: in the future"] if b > now else []
+    found += [f"span: over {most} days"] if (b - a).days > most else []
+    return found + ([] if topic in topics else [f"no such topic: {topic}"])

@@ -43,6 +43,31 @@ def retained(df: DataFrame, date_col: str, cutoff: str) -> DataFrame:
     return df.filter(F.col(date_col) >= F.to_date(F.lit(cutoff)))
 
 
+def reset(rows: DataFrame, companies: DataFrame, key: str = "cik") -> DataFrame:
+    """rows without those of the companies given."""
+    return rows.join(companies.select(key).distinct(), key, "left_anti")
+
+
+def touched(old: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
+    """upsert() in which rows that are new or differ get `at` as updated_at, and rows that are the same keep theirs."""
+    values = [c for c in new.columns if c not in key]
+    was = old.select(*key, F.struct(*values).alias("_was"), F.col("updated_at").alias("_at"))
+    stamped = new.join(was, key, "left").withColumn("updated_at", F.when(F.struct(*values).eqNullSafe(F.col("_was")), F.col("_at")).otherwise(F.to_timestamp(F.lit(at))))
+    return upsert(old, stamped.select(*old.columns), key)
+
+
+def audit(loads: DataFrame, key: list[str], rows: DataFrame, kind: str, at: str) -> DataFrame:
+    """The log of loads (key, kind, n, loaded_at) with what `rows` loads of a kind: the newest load of each key and kind stays."""
+    new = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumns({"kind": F.lit(kind), "loaded_at": F.to_timestamp(F.lit(at))})
+    return upsert(loads, new.select(*loads.columns), [*key, "kind"])
+
+
+def tracked(state: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
+    """State of fetched quarters (key, quarters as sorted array) with those of `fetched` (key, quarter)."""
+    both = state.select(key, F.explode("quarters").alias("quarter")).unionByName(fetched.select(key, "quarter")).distinct()
+    return both.groupBy(key).agg(F.array_sort(F.collect_list("quarter")).alias("quarters"))
+
+
 # lookups ------------------------------------------------------------------------------------------------------------
 #: Rows of a table that may become a constant of the plan.
 MOST_CONSTANTS = 10_000

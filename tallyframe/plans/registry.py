@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fundamentals, prices, relational, retrieval, sources, summaries
+from . import details, fundamentals, prices, relational, retrieval, sources, summaries
 
-MODULES = (fundamentals, relational, prices, retrieval, sources, summaries)
+MODULES = (fundamentals, relational, prices, retrieval, sources, summaries, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -206,7 +206,7 @@ QUERIES = {
     "qa_groups": (lambda s, d: tr.question_chunks(_entries(s, d)).select("conv_id", "group", "primary", "entries", F.md5("text").alias("text_md5")), oracle(f'WITH g AS (SELECT *, CAST(sum(is_analyst) {_U} AS INT) AS g FROM entry) SELECT conv_id, g AS "group", min_by(speaker, seq) FILTER (is_analyst = 0) AS "primary", CAST(count(*) AS INT) AS entries, md5(string_agg(speaker || \': \' || content, chr(10) || chr(10) ORDER BY seq)) AS text_md5 FROM g WHERE g > 0 GROUP BY conv_id, g')),
     "qa_pairs": (lambda s, d: tr.pairs(_entries(s, d)).select("conv_id", "seq", "pair"), oracle(f"WITH {_LOW}, p AS (SELECT conv_id, seq, CAST(sum(CASE WHEN {_ASKED} THEN 1 ELSE 0 END) {_U} AS INT) AS pair FROM l) SELECT * FROM p WHERE pair > 0")),
     "section_labels": (labelled, oracle(f"WITH {_LOW}, c AS (SELECT *, CASE WHEN {_ANY([p for p in tx.QA_PATTERNS])} OR contains(lower(speaker), 'operator') OR {_ASKED} THEN 'qa_session' WHEN {_ANY(tx.CLOSING_PATTERNS)} THEN 'closing_remarks' END AS change FROM l), f AS (SELECT conv_id, coalesce(last_value(change IGNORE NULLS) {_U}, 'opening_remarks') AS label FROM c) SELECT conv_id, label, count(*) AS n FROM f GROUP BY ALL")),
-    "transcript_features": (transcript_features, oracle(r"WITH t AS (SELECT conv_id, string_agg(content, chr(10) ORDER BY seq) AS text, list_distinct(list(speaker ORDER BY seq)) AS u, list(speaker ORDER BY seq) AS s FROM entry GROUP BY conv_id) SELECT conv_id, CAST(length(text) AS INT) AS content_length, CAST(len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS INT) AS word_count, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS participants, regexp_matches(lower(text), '\b(?:revenue|sales|income)\b') AS revenue_mentioned, regexp_matches(lower(text), '\b(?:guidance|outlook|forecast|expect)\b') AS guidance_mentioned, CAST(len(list_distinct(regexp_extract_all(lower(text), '" + tx.TERM_PATTERN + "'))) AS INT) AS terms FROM t")),
+    "transcript_features": (transcript_features, oracle(r"WITH t AS (SELECT conv_id, string_agg(content, chr(10) ORDER BY seq) AS text, list_distinct(list(speaker ORDER BY seq)) AS u, list(speaker ORDER BY seq) AS s FROM entry GROUP BY conv_id) SELECT conv_id, CAST(length(text) AS INT) AS content_length, CAST(len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS INT) AS word_count, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS participants, regexp_matches(lower(text), '\b(?:revenue|sales|income)\b') AS revenue_mentioned, regexp_matches(lower(text), '\b(?:guidance|outlook|forecast|expect)\b') AS guidance_mentioned, CAST(len(list_distinct(regexp_extract_all(lower(text), '" + tx.any_of(tx.TERMS) + "'))) AS INT) AS terms FROM t")),
     "speaker_chunks": (lambda s, d: tr.speaker_chunks(_entries(s, d), words=50).select("conv_id", "seq", "piece", F.size(F.split("text", " ")).alias("words")), oracle(r"WITH w AS (SELECT conv_id, seq, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS n FROM entry) SELECT conv_id, seq, CAST(k AS INT) AS piece, CAST(least(50, n - k * 50) AS INT) AS words FROM w, range(0, 1000) t(k) WHERE k * 50 < n")),
     "news_url_dedup": (lambda s, d: nw.one_of_each_url(_news(s, d).withColumn("source_url", F.regexp_replace("source_url", "[?#].*$", ""))).select("source_url", "chunk_id", "company"), oracle("SELECT source_url, chunk_id, company FROM (SELECT regexp_replace(source_url, '[?#].*$', '') AS source_url, chunk_id, company, row_number() OVER (PARTITION BY regexp_replace(source_url, '[?#].*$', '') ORDER BY chunk_id) AS rn FROM news) WHERE rn = 1")),
     "sentiment_majority": (lambda s, d: nw.sentiment(_news(s, d), ["company"]), oracle("WITH g AS (SELECT company, count(*) AS articles, floor(count(*) FILTER (sentiment = 'positive') / count(*) * 1e6 + 0.5) / 1e6 AS positive, floor(count(*) FILTER (sentiment = 'negative') / count(*) * 1e6 + 0.5) / 1e6 AS negative FROM news GROUP BY company) SELECT *, CASE WHEN positive > 0.4 AND positive > negative THEN 'positive' WHEN negative > 0.4 AND negative > positive THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN articles >= 5 THEN 'high' WHEN articles >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM g")),

@@ -22,24 +22,32 @@ class Table:
         self.spark, self.path, self.schema, self.key, self.partition, self.keep = spark, path.rstrip("/"), schema, key, partition, keep
 
     def _versions(self) -> list[tuple[int, str]]:
+        return [(v, folder) for v, folder, _ in self._listed()]
+
+    def _listed(self) -> list[tuple[int, str, int | None]]:
+        """(version, folder, batch) of the listing, one row a version."""
         try:
-            rows = self.spark.read.schema("version long, folder string").parquet(f"{self.path}/_versions").collect()
+            rows = self.spark.read.schema("version long, folder string, batch long").parquet(f"{self.path}/_versions").collect()
         except AnalysisException:
             return []
-        return sorted((r.version, r.folder) for r in rows)
+        return sorted(((r.version, r.folder, r.batch) for r in rows), key=lambda x: x[0])
+
+    def last_batch(self) -> int | None:
+        """The greatest number that write() was given."""
+        return max((b for _, _, b in self._listed() if b is not None), default=None)
 
     def read(self) -> DataFrame:
         found = self._versions()
         return self.spark.read.schema(self.schema).parquet(found[-1][1]) if found else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame) -> None:
-        """df as the new state. Only the newest `keep` versions stay."""
+    def write(self, df: DataFrame, batch: int | None = None) -> None:
+        """df as the new state; with the number of the batch that made it, in the same row of the listing. Only the newest `keep` versions stay."""
         found = self._versions()
         number = found[-1][0] + 1 if found else 0
         folder = f"{self.path}/v{number}-{uuid.uuid4().hex[:8]}"
         writer = df.select(*self.spark.createDataFrame([], self.schema).columns).write
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(folder)
-        self.spark.createDataFrame([(number, folder)], "version long, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/_versions")
+        self.spark.createDataFrame([(number, folder, batch)], "version long, folder string, batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/_versions")
         for _, old in found[: max(0, len(found) + 1 - self.keep)]:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(old)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -57,11 +65,26 @@ class Table:
         """Rows that meet it go (a null predicate keeps a row)."""
         self.write(self.read().filter(~F.coalesce(predicate, F.lit(False))))
 
+    def drop(self) -> None:
+        """The table with all its versions."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def info(self, rows: int = 3) -> dict:
         df = self.read()
         return {"schema": df.schema.simpleString(), "rows": df.count(), "versions": len(self._versions()), "sample": [r.asDict() for r in df.limit(rows).collect()]}
 
 
+def list_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    folders = [s.getPath() for s in system.listStatus(path) if s.isDirectory()]
+    return sorted(f.getName() for f in folders if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_versions")))
+
+
 def export(df: DataFrame, path: str, kind: str = "csv") -> None:
     """csv, json or parquet, written by all tasks; nested columns go into csv as JSON."""
     if kind == "csv":

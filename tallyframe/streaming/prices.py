@@ -31,19 +31,12 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def keep_bars(events: DataFrame, table, checkpoint: str) -> StreamingQuery:
-    """Each batch of events merged into a Table of bars. A batch that is run again after a failure is known by its number and left out."""
+    """Each batch of events merged into a Table of bars. One row of the table's listing commits both the bars and the number of the batch, so a batch that is run again after a failure is left out."""
 
     def run(batch: DataFrame, number: int) -> None:
-        done = f"{checkpoint}/merged"
-        spark = batch.sparkSession
-        try:
-            if spark.read.schema("number long").parquet(done).filter(F.col("number") == number).count():
-                return
-        except Exception as missing:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        table.write(merged(table.read(), bars(batch)))
-        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(done)
+        done = table.last_batch()
+        if done is None or done < number:
+            table.write(merged(table.read(), bars(batch)), number)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
