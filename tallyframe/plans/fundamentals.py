@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.formula import with_virtual_fields
 from ..operators import facts, fundamentals as fu
-from .views import oracle, shared, view
+from .views import oracle, shared, view, written
 
 INCOME = "total_revenue cost_of_revenue gross_profit sales_general_and_admin sales_and_marketing general_and_administrative research_and_development total_operating_expenses operating_income interest_income interest_expense other_income income_before_taxes income_tax_expense net_income".split()
 CASH = "net_cash_from_operating_activities depreciation_and_amortization depreciation amortization capital_expenditures net_cash_from_investing_activities net_cash_from_financing_activities net_change_in_cash cash_beginning_of_period cash_end_of_period".split()
@@ -249,7 +249,7 @@ RATIO_INPUTS = oracle(f"WITH {_PERIODS} SELECT cik, period_end_date, CAST(net_in
 
 
 def growth_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.growth(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))), ["total_revenue", "operating_income"])
+    return fu.growth(written(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))).select("cik", "ticker", "period_end_date", "total_revenue", "operating_income")), ["total_revenue", "operating_income"])
 
 
 GROWTH_YOY = oracle(f"""
@@ -262,8 +262,9 @@ SELECT cik, ticker, field, period_end_date, prior_date, floor((value - prior) /
 def _all_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LTM, and fiscal years where there is none, each with its cash flow and nearest balance sheet."""
     income, cash, balance = (shared(spark, sf_dir, n) for n in ("income", "cash_flow", "balance"))
-    trailing = fu.combined(fu.best_method(fu.ltm(income)), fu.best_method(fu.ltm(cash, "cash_flow")), balance)
-    return fu.trailing_and_years(trailing, fu.combined(income.filter("period_type = 'FY'"), cash.filter("period_type = 'FY'"), balance))
+    of_income, of_cash = written(fu.best_method(fu.ltm(income))), written(fu.best_method(fu.ltm(cash, "cash_flow")))
+    trailing = written(fu.combined(of_income, of_cash, balance))
+    return written(fu.trailing_and_years(trailing, fu.combined(income.filter("period_type = 'FY'"), cash.filter("period_type = 'FY'"), balance)))
 
 
 _BEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end_date ORDER BY list_position(['fy_direct', 'standard', 'quarterly_sum', 'standard_fy_only'], calculation_method), period_type) AS rn FROM ltm_) WHERE rn = 1"
@@ -282,13 +283,14 @@ def ratios_ltm_fy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ratios of the catalog, growth too, over LTM and the fiscal years that LTM lacks."""
     periods = _all_periods(spark, sf_dir)
     plain = fu.ratios(periods, RATIOS, VIRTUAL, False).select("cik", "period_end_date", "data_source", "ratio_name", "category", "ratio_value")
-    return plain.unionByName(fu.growth_ratios(periods, RATIOS, VIRTUAL).select(*plain.columns))
+    grown = with_virtual_fields(periods, VIRTUAL).select("cik", "ticker", "period_end_date", "data_source", "total_revenue", "ebitda")
+    return plain.unionByName(fu.growth_ratios(written(grown), RATIOS, {}).select(*plain.columns))
 
 
 def growth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth of revenue, EBIT and EBITDA over LTM and fiscal years."""
-    periods = with_virtual_fields(_all_periods(spark, sf_dir), VIRTUAL)
-    return fu.growth(periods, ["total_revenue", "ebit", "ebitda"]).select("cik", "field", "period_end_date", "data_source", "prior_date", "growth")
+    periods = with_virtual_fields(_all_periods(spark, sf_dir), VIRTUAL).select("cik", "ticker", "period_end_date", "data_source", "total_revenue", "ebit", "ebitda")
+    return fu.growth(written(periods), ["total_revenue", "ebit", "ebitda"]).select("cik", "field", "period_end_date", "data_source", "prior_date", "growth")
 
 
 _GROWN = """
@@ -306,7 +308,7 @@ UNION ALL SELECT cik, period_end_date, data_source, CASE field WHEN 'total_reven
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten companies whose trailing revenue has grown most, at their latest quarter."""
     income = shared(spark, sf_dir, "income").select(*fu.HEAD, "total_revenue", *[n for n in fu.REQUIRED["income"] if n != "total_revenue"])
-    rows = fu.growth(fu.best_method(fu.ltm(income)), ["total_revenue"])
+    rows = fu.growth(written(fu.best_method(fu.ltm(income)).select("cik", "ticker", "period_end_date", "total_revenue")), ["total_revenue"])
     last = rows.groupBy("cik", "ticker").agg(F.max("period_end_date").alias("period_end_date"), F.max_by("growth", "period_end_date").alias("growth"))
     return last.orderBy(F.desc("growth"), "cik").limit(10)
 

@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import news as nw
 from ..sources import readers, tables
 from ..streaming import prices as st
-from .views import oracle, view
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: that of checkpoints; a local session may have none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallyframe-")
-    return f"{root.rstrip('/')}/tallyframe/{uuid.uuid4().hex}"
+from .views import oracle, scratch, view
 
 
 def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +16,7 @@ def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.lit(None).cast("date").alias("start"), F.col("period_end_date").alias("end"), F.date_add("period_end_date", 40).alias("filed"), F.lit("10-Q").alias("form"), F.col("period_type").alias("fp"), F.col("fiscal_year").alias("fy"), F.col("total_revenue").cast("double").alias("val"), F.lit(None).cast("string").alias("frame"))
     rows = view(spark, sf_dir, "income").filter("period_length_months = 3").groupBy("cik", "ticker").agg(F.collect_list(one).alias("v"))
     units = F.create_map(F.lit("Revenues"), F.struct(F.create_map(F.lit("USD"), F.col("v")).alias("units")))
-    folder = _scratch(spark)
+    folder = scratch(spark)
     rows.select(F.col("cik").cast("string").alias("cik"), F.col("ticker").alias("entityName"), F.struct(units.alias("us-gaap")).alias("facts")).repartition(2).write.option("ignoreNullFields", False).json(folder)
     raw = spark.read.schema(readers.FACTS).json(folder)
     tags = raw.select(readers.padded_cik(F.col("cik")).alias("cik"), F.explode("facts.us-gaap").alias("tag", "body"))
@@ -52,7 +39,7 @@ def price_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices written to a table, merged with later ones, and old ones deleted."""
     rows = view(spark, sf_dir, "price").select("ticker", "date", "close_price", "volume")
-    table = tables.Table(spark, _scratch(spark), "ticker string, date date, close_price double, volume bigint", ["ticker", "date"])
+    table = tables.Table(spark, scratch(spark), "ticker string, date date, close_price double, volume bigint", ["ticker", "date"])
     table.upsert(rows.filter("date <= '2024-01-20'").withColumn("volume", F.lit(0).cast("bigint")))
     table.upsert(rows.filter("date >= '2024-01-10'"))
     table.delete(F.col("date") < F.to_date(F.lit("2024-01-05")))
@@ -60,7 +47,7 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _scratch(spark)
+    folder = scratch(spark)
     table = tables.Table(spark, f"{folder}/bars", st.BAR, ["ticker", "date"])
     st.keep_bars(st.stream(spark, sf_dir), table, f"{folder}/checkpoint").awaitTermination()
     return table.read().drop("first_id", "last_id")
