@@ -7,8 +7,9 @@ rows of one matrix, and a round merges once in each of them. Only pre-tokens not
 
 Every document is by itself: a scan, one Python stage and no shuffle. A lost executor costs its running tasks.
 
-Defined results: null text counts as empty and gives no tokens; texts of any length are encoded whole (a pre-token of n
-bytes takes O(n log n)); ties of rank go to the leftmost pair; other columns are not read.
+Defined results: null text counts as empty and gives no tokens; texts of any length are encoded whole (a pre-token of n bytes takes
+O(n log n) steps and about 80 n bytes of memory while it is merged: an unbroken run of 10 MB takes 0.8 GB); ties of rank go to the leftmost
+pair; repeated rows each get a row; an empty table gives an empty result; other columns, whatever their names, are not read (encode_column() passes them on).
 """
 
 from __future__ import annotations
