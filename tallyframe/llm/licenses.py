@@ -120,7 +120,9 @@ def _whole_matches(docs: DataFrame, id_col: str, text_col: str, short: tuple[tup
     wanted = [(name, f" {' '.join(sequence_of(text))} ") for name, text in short]
     if any(not w.strip() for _, w in wanted):
         raise ValueError("a notice without words")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), F.array_join(words_of(F.col(text_col)), " "), F.lit(" ")).alias("line"))
+    telling = sorted({max(sequence_of(text), key=len) for _, text in short})  # a text without the longest word of a notice can't hold it
+    hinted = docs.filter(_any([F.lower(F.col(text_col)).contains(w) for w in telling]))
+    own = hinted.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), F.array_join(words_of(F.col(text_col)), " "), F.lit(" ")).alias("line"))
     before = lambda w: F.length(F.regexp_replace(F.substring_index("line", w, 1), "[^ ]+", ""))
     hits = F.array(*(F.when(F.col("line").contains(w), F.struct(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), before(w).alias("first_word"))) for name, w in wanted))
     return own.select("doc_id", F.inline(F.filter(hits, lambda x: x.isNotNull())))
