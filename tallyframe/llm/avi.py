@@ -11,8 +11,9 @@ numbers, so results never depend on rounding; a clip is a run of frames between
 Every document is by itself: a scan, one Python stage and no shuffle; memory is bounded by WORK payload bytes and one
 document. A lost executor costs its running tasks.
 
-Defined results: null text counts as empty, an empty text is one frame of spaces; texts of any length are stored whole;
-equal texts give equal values; other columns are not read. A file that is no AVI or lacks an index raises ValueError.
+Defined results: null text counts as empty, an empty text is one frame of spaces; texts are stored whole, up to the 4 GB that the sizes of a
+RIFF file can say (texts of about 1.8 GB; a longer one raises struct.error); equal texts give equal values; repeated rows each get a row; an empty
+table gives an empty result; other columns, whatever their names, are not read. A file that is no AVI or lacks an index raises ValueError.
 """
 
 from __future__ import annotations
