@@ -7,7 +7,8 @@ its window; of BANDS single minima at least one agrees with a probability of 1 -
 bands retrieve is verified: shingles of the template in the window, over those of the template, at least 0.75.
 
 Only windows around a cue word are hashed, and only those that the bands retrieve for some template go on. Cues lose nothing: so many shingles of each template hold one that no 0.75 of them do without
-(a test holds the catalogue against this). Versions are told apart: a license whose name has one (as gpl-3.0) is found only where a shingle with a number of its notice is.
+(a test holds the catalogue against this). Versions are told apart: a license whose name has one (as gpl-3.0) is found only where a shingle with a number of its notice is; so are
+the names of a family (GPL, LGPL, AGPL), by a shingle with the word that parts them.
 A notice of fewer words than a shingle is sought whole, as one sequence, in every text. Templates are a catalogue of fixed size, hence broadcast. Windows stay in
 the task that read the document; only matches move, a row for each document and license. A lost executor costs its tasks.
 
@@ -63,6 +64,8 @@ TEMPLATES = (
 )
 #: A license with a version in its name, and a shingle that has a number.
 VERSIONED, NUMBERED = r"[0-9]\.[0-9]", "(^| )[0-9]+( |$)"
+#: Licenses of one family differ by a word of their name; a shingle that has it.
+FAMILY = "gnu (general|lesser|affero)( |$)"
 
 
 def words_of(text: Column) -> Column:
@@ -94,14 +97,14 @@ def sequence_of(notice: str) -> list[str]:
 
 
 def catalogue(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """template, license, width, the shingles wanted and those of them that tell its version, of the notices that have a shingle."""
+    """template, license, width, the shingles wanted and those of them that tell its version and its family, of the notices that have a shingle."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, notice string")
     wanted = rows.select("template", "license", F.array_distinct(shingles_of(words_of(F.col("notice")))).alias("wanted")).filter("size(wanted) > 0")
     widths = F.lit(2)
     for k in range(2, 12):
         widths = F.when(F.size("wanted") > (1 << (k - 1)) // 2 + 1, F.lit(1 << k)).otherwise(widths)
     telling = F.when(F.col("license").rlike(VERSIONED), F.filter("wanted", lambda s: s.rlike(NUMBERED))).otherwise(F.slice("wanted", 1, 0))
-    return wanted.withColumn("width", widths).withColumn("telling", telling)
+    return wanted.withColumn("width", widths).withColumn("telling", telling).withColumn("family", F.filter("wanted", lambda s: s.rlike(FAMILY)))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, cues: tuple[str, ...] = CUES) -> DataFrame:
@@ -130,7 +133,7 @@ def _whole_matches(docs: DataFrame, id_col: str, text_col: str, short: tuple[tup
 
 def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tuple[tuple[str, str], ...], cues: tuple[str, ...]) -> DataFrame:
     """doc_id, license, containment and first_word of each window that holds a template."""
-    known = catalogue(docs.sparkSession, templates).select("template", "license", "wanted", "telling", F.explode(band_keys(F.col("wanted"), F.col("width"))).alias("key"))
+    known = catalogue(docs.sparkSession, templates).select("template", "license", "wanted", "telling", "family", F.explode(band_keys(F.col("wanted"), F.col("width"))).alias("key"))
     keys = sorted({row["key"] for row in known.select("key").collect()})  # of the catalogue: BANDS a template
     sizes = sorted({width_of(max(1, len(set(_shingles(sequence_of(t)))))) for _, t in templates})
     low = F.lower(F.col(text_col))
@@ -143,7 +146,7 @@ def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tupl
     banded = opened.filter("size(keys) > 0").select("doc_id", "first_word", "held", F.explode("keys").alias("key"))
     met = banded.join(F.broadcast(known), "key")
     inside = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    told = (F.size("telling") == 0) | F.arrays_overlap("held", "telling")
+    told = ((F.size("telling") == 0) | F.arrays_overlap("held", "telling")) & ((F.size("family") == 0) | F.arrays_overlap("held", "family"))
     return met.withColumn("containment", inside).filter((F.col("containment") >= LEAST) & told).select("doc_id", "license", "containment", "first_word")
 
 
@@ -179,13 +182,13 @@ def _sql(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
 WITH known AS (SELECT * FROM (VALUES {rows}) t(template, license, notice)),
 sets AS (SELECT template, license, {words.format("notice")} AS w FROM known),
 wanted AS (SELECT DISTINCT template, license, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT template, license, w, unnest(range(1, len(w) - 3)) AS i FROM sets)),
-told AS (SELECT *, regexp_matches(license, '{VERSIONED}') AND regexp_matches(shingle, '{NUMBERED}') AS telling FROM wanted),
-sized AS (SELECT template, license, count(*) AS n, bool_or(telling) AS versioned, greatest(2, CAST(pow(2, ceil(log2(greatest(1, 2 * (count(*) - 1))))) AS BIGINT)) AS width FROM told GROUP BY ALL),
+told AS (SELECT *, regexp_matches(license, '{VERSIONED}') AND regexp_matches(shingle, '{NUMBERED}') AS telling, regexp_matches(shingle, '{FAMILY}') AS family FROM wanted),
+sized AS (SELECT template, license, count(*) AS n, bool_or(telling) AS versioned, bool_or(family) AS named, greatest(2, CAST(pow(2, ceil(log2(greatest(1, 2 * (count(*) - 1))))) AS BIGINT)) AS width FROM told GROUP BY ALL),
 cut AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
 held AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM cut)),
-hits AS (SELECT doc_id, p, h.shingle, template, telling FROM held h JOIN told USING (shingle)),
-placed AS (SELECT doc_id, shingle, telling, template, license, n, versioned, width, p // (width // 2) - b AS k FROM hits JOIN sized USING (template) CROSS JOIN (VALUES (0), (1)) x(b)),
-scored AS (SELECT doc_id, license, k * (width // 2) AS first_word, count(DISTINCT shingle) / any_value(n) AS c, bool_or(telling) OR NOT any_value(versioned) AS v FROM placed WHERE k >= 0 GROUP BY doc_id, template, license, k, width),
+hits AS (SELECT doc_id, p, h.shingle, template, telling, family FROM held h JOIN told USING (shingle)),
+placed AS (SELECT doc_id, shingle, telling, family, template, license, n, versioned, named, width, p // (width // 2) - b AS k FROM hits JOIN sized USING (template) CROSS JOIN (VALUES (0), (1)) x(b)),
+scored AS (SELECT doc_id, license, k * (width // 2) AS first_word, count(DISTINCT shingle) / any_value(n) AS c, (bool_or(telling) OR NOT any_value(versioned)) AND (bool_or(family) OR NOT any_value(named)) AS v FROM placed WHERE k >= 0 GROUP BY doc_id, template, license, k, width),
 short AS (SELECT license, ' ' || array_to_string(w, ' ') || ' ' AS notice FROM sets WHERE len(w) < {SHINGLE}),
 lines AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM cut),
 whole AS (SELECT doc_id, license, length(regexp_replace(substr(line, 1, strpos(line, notice)), '[^ ]', '', 'g')) - 1 AS first_word, 1.0 AS c FROM lines JOIN short ON contains(line, notice)),
