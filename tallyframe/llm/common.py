@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that part words: space and the control characters 9 to 13.
@@ -141,3 +142,34 @@ def kth_largest(keys: DataFrame, column: str, k: int, bits: int = 62, step: int
             k = counts[-1]["count"]
         known += take
     return prefix
+
+
+def best(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: Column) -> DataFrame:
+    """The first k rows of each key with their rank. Rows are first cut to k in each of SPREAD parts of a key (by `spread`), so no task gets all rows of a key, however many tasks found some."""
+    cut = df.withColumn("part_of_key", F.pmod(spread, F.lit(SPREAD)))
+    for names in ([*keys, "part_of_key"], keys):
+        cut = cut.withColumn("rank", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).filter(F.col("rank") <= k)
+    return cut.drop("part_of_key")
+
+
+#: Parts into which best() and merged sums deal what the tasks of a job found for one key.
+SPREAD = 256
+
+
+def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """id long, x array of longs: floor(scale * component) of the vectors that are whole (not null, no null or non-finite component). Beyond the range of longs x stays at its end."""
+    vector = F.col(vector_col).cast("array<double>")
+    whole = F.col(vector_col).isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    return df.filter(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda c: F.floor(c * F.lit(float(scale)))).alias("x"))
+
+
+def as_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of longs; shorter vectors are filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return out

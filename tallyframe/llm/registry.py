@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, dedup, jaccard, licenses, linkgraph, mixing, pii, quality, tokencount
+from . import avi, bpe, dedup, jaccard, lexical, licenses, linkgraph, mixing, pii, quality, tokencount, topk, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_avi": avi.op9_avi,
         "op10_url_filters": linkgraph.op10_url_filters,
+        "op11_lexical": lexical.op11_lexical,
+        "op12_topk": topk.op12_topk,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.OP4_SQL, "op7_jaccard": jaccard.OP7_SQL, "op8_exact_dedup": dedup.OP8_SQL, "op10_url_filters": linkgraph.OP10_SQL}
+    return {
+        "op4_licenses": licenses.OP4_SQL,
+        "op7_jaccard": jaccard.OP7_SQL,
+        "op8_exact_dedup": dedup.OP8_SQL,
+        "op10_url_filters": linkgraph.OP10_SQL,
+        "op11_lexical": lexical.OP11_SQL,
+        "op12_topk": topk.OP12_SQL,
+    }

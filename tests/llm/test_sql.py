@@ -13,7 +13,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         path = Path(sf_dir, f"{t}.parquet")
         con.execute(f"create view {t} as select * from '{path / '*.parquet' if path.is_dir() else path}'")
     df = registry.queries()[name](spark, sf_dir)
