@@ -62,6 +62,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
+#: Bytes of a catalogue's keys and shingles up to which it is broadcast.
+MOST_BYTES = 64 << 20
 #: A license with a version in its name, and a shingle that has a number.
 VERSIONED, NUMBERED = r"[0-9]\.[0-9]", "(^| )[0-9]+( |$)"
 #: Licenses of one family differ by a word of their name; a shingle that has it.
@@ -98,13 +100,10 @@ def sequence_of(notice: str) -> list[str]:
 
 def catalogue(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """template, license, width, the shingles wanted and those of them that tell its version and its family, of the notices that have a shingle."""
-    rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, notice string")
-    wanted = rows.select("template", "license", F.array_distinct(shingles_of(words_of(F.col("notice")))).alias("wanted")).filter("size(wanted) > 0")
-    widths = F.lit(2)
-    for k in range(2, 12):
-        widths = F.when(F.size("wanted") > (1 << (k - 1)) // 2 + 1, F.lit(1 << k)).otherwise(widths)
+    rows = spark.createDataFrame([(k, name, text, width_of(n_shingles(text))) for k, (name, text) in enumerate(templates)], "template int, license string, notice string, width int")
+    wanted = rows.select("template", "license", "width", F.array_distinct(shingles_of(words_of(F.col("notice")))).alias("wanted")).filter("size(wanted) > 0")
     telling = F.when(F.col("license").rlike(VERSIONED), F.filter("wanted", lambda s: s.rlike(NUMBERED))).otherwise(F.slice("wanted", 1, 0))
-    return wanted.withColumn("width", widths).withColumn("telling", telling).withColumn("family", F.filter("wanted", lambda s: s.rlike(FAMILY)))
+    return wanted.withColumn("telling", telling).withColumn("family", F.filter("wanted", lambda s: s.rlike(FAMILY)))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, cues: tuple[str, ...] = CUES) -> DataFrame:
@@ -135,7 +134,7 @@ def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tupl
     """doc_id, license, containment and first_word of each window that holds a template."""
     known = catalogue(docs.sparkSession, templates).select("template", "license", "wanted", "telling", "family", F.explode(band_keys(F.col("wanted"), F.col("width"))).alias("key"))
     keys = sorted({row["key"] for row in known.select("key").collect()})  # of the catalogue: BANDS a template
-    sizes = sorted({width_of(max(1, len(set(_shingles(sequence_of(t)))))) for _, t in templates})
+    sizes = sorted({width_of(n_shingles(t)) for _, t in templates})
     low = F.lower(F.col(text_col))
     hinted = docs.filter(_any([low.contains(c) for c in cues]))
     own = hinted.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
@@ -144,14 +143,17 @@ def _banded_matches(docs: DataFrame, id_col: str, text_col: str, templates: tupl
     windows = F.transform(F.flatten(F.array(*(_windows_around(width) for width in sizes))), lambda x: F.struct(x["first_word"].alias("first_word"), x["width"].alias("width"), held(x).alias("held")))
     opened = spots.select("doc_id", F.explode(windows).alias("at")).select("doc_id", "at.*").withColumn("keys", F.filter(band_keys(F.col("held"), F.col("width")), lambda k: k.isin(*keys)))
     banded = opened.filter("size(keys) > 0").select("doc_id", "first_word", "held", F.explode("keys").alias("key"))
-    met = banded.join(F.broadcast(known), "key")
+    held_bytes = BANDS * sum(SHINGLE * len(t) for _, t in templates)  # of known: each key carries its template's shingles
+    met = banded.join(F.broadcast(known) if held_bytes <= MOST_BYTES else known, "key")
     inside = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     told = ((F.size("telling") == 0) | F.arrays_overlap("held", "telling")) & ((F.size("family") == 0) | F.arrays_overlap("held", "family"))
     return met.withColumn("containment", inside).filter((F.col("containment") >= LEAST) & told).select("doc_id", "license", "containment", "first_word")
 
 
-def _shingles(words: list[str]) -> list[tuple[str, ...]]:
-    return [tuple(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)]
+def n_shingles(notice: str) -> int:
+    """Different shingles of a notice, 1 at least."""
+    words = sequence_of(notice)
+    return max(1, len({tuple(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)}))
 
 
 def _windows_around(width: int) -> Column:
