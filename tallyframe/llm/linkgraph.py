@@ -27,7 +27,9 @@ from .common import drop_stored, stored, table
 DAMPING, EPSILON, THRESHOLD = 0.85, 1e-6, 0.5
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-LINK = "(?i)(?:href|src)\\s*=\\s*[\"']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s<>]+)"
+#: Host of a link. Possessive, so that a run of blanks is read once; PLAIN means the same without.
+LINK = "(?i)(?:href|src)\\s*+=\\s*+[\"']?+\\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^/?#\"'\\s<>]+)"
+PLAIN = LINK.replace("*+", "*").replace("?+", "?")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,7 +146,7 @@ def _sql() -> str:
     """The same in SQL."""
     names = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     rest = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
-    link = LINK.replace("'", "''")
+    link = PLAIN.replace("'", "''")
     return f"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {names}) r(verdict, name, start)),
 cut AS (SELECT page_id, html, {rest} AS rest FROM pages),
