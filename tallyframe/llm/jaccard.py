@@ -152,9 +152,13 @@ def _sketch(docs: DataFrame, exact: bool) -> DataFrame:
                 sigs.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 keys.append(keys_of(x) if len(x) else None)
                 bits.append(bitmap(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["rid", "doc_id", "n", "sig", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), batch.column(3)], ["rid", "doc_id", "n", "sig", "keys", "bits", "mark"])
 
-    return mapped(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), run, "rid long, doc_id long, n long, sig binary, keys array<long>, bits binary")
+    return mapped(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.xxhash64("text").alias("mark")), run, "rid long, doc_id long, n long, sig binary, keys array<long>, bits binary, mark long")
+
+
+#: Bytes of texts whose sets a worker keeps between pairs.
+KNOWN_BYTES = 16 << 20
 
 
 def near(n: np.ndarray, m: np.ndarray, xor: np.ndarray) -> np.ndarray:
@@ -195,7 +199,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for s, t in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if len(known) > 64:
+                if len(known) > 64 or sum(map(len, known)) > KNOWN_BYTES:
                     known.clear()
                 for text in (s, t):
                     if text not in known:
@@ -356,7 +360,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     met = stored(keyed.join(shared.hint("merge"), "key"), "met")
     star = met.filter("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", -F.col("pivot"))).alias("best"))
     star = stored(star.select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b")), "star", rows)
-    met_nodes = met.select("node").distinct().join(nodes.select("node", "doc_id", "sig"), "node")
+    met_nodes = met.select("node").distinct().join(nodes.select("node", "doc_id", "sig", "mark"), "node")
     texts = stored(_texts(own, met_nodes), "texts")
     links = stored(_verified(star, nodes, texts, False), "links", rows)
     drop_stored(star)
@@ -399,7 +403,7 @@ def link_counts(found: Classes) -> DataFrame:
 
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the classes in nodes (node, doc_id, sig)."""
+    """node, text of the classes in nodes (node, doc_id, sig, mark). Rows meet by id and mark, a hash of the text, so rows that share an id (or have none) don't all meet each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,8 +411,9 @@ def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [xxhash.xxh3_128_digest(x.tobytes()) == sig for x, sig in zip(sets, batch.column(1).to_pylist(), strict=True)]
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = nodes.select("node", F.col("doc_id").alias("node_id"), "sig").hint("merge")
-    return mapped(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "sig", "text"), run, "node long, text string")
+    wanted = nodes.select("node", F.col("doc_id").alias("node_id"), "sig", F.col("mark").alias("node_mark")).hint("merge")
+    met = own.withColumn("mark", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id")) & (F.col("mark") == F.col("node_mark")))
+    return mapped(met.select("node", "sig", "text"), run, "node long, text string")
 
 
 def connected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, exact: bool = False) -> DataFrame:
