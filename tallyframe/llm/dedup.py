@@ -130,7 +130,8 @@ def find_copies(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     documents = stored(_digested(own, "own_text").drop("own_text").withColumn("rid", F.monotonically_increasing_id()), "digests")
     both = stored(documents.groupBy(*KEY, "snap").agg(F.max(F.struct("id", "rid")).alias("top"), F.count(F.lit(1)).alias("size")), "copygroups")
     old, new = both.filter("snap").drop("snap"), both.filter("not snap").drop("snap")
-    buckets = max(LEAST_BUCKETS, -(-old.count() // KEYS_A_BUCKET))
+    most = both.groupBy("snap").count().agg(F.max("count")).first()[0] or 0  # the larger side: a task holds a bucket of each
+    buckets = max(LEAST_BUCKETS, -(-most // KEYS_A_BUCKET))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
     filters = old.select(bucket, "digest").groupBy("bucket").applyInArrow(_build, "bucket long, filter binary")
     hits = new.select(bucket, "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "digest binary")
@@ -142,10 +143,10 @@ def find_copies(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
 
 def _equal_bytes(own: DataFrame, positives: DataFrame) -> DataFrame:
     """Digests of positives whose two representatives have the same bytes."""
-    ends = positives.select("digest", F.explode(F.array("top.id", "old_top.id")).alias("end_id")).distinct()
-    texts = own.select("id", F.coalesce("own_text", F.lit("")).alias("own_text"))
-    # the same join at every size: a side that is small now is not small later
-    texts = texts.join(ends.hint("merge"), F.col("id").eqNullSafe(F.col("end_id"))).filter(F.unhex(F.sha2("own_text", 256)) == F.col("digest"))
+    ends = positives.select("digest", F.col("second").alias("end_second"), F.explode(F.array("top.id", "old_top.id")).alias("end_id")).distinct()
+    texts = own.select("id", F.coalesce("own_text", F.lit("")).alias("own_text")).withColumn("second", F.xxhash64("own_text"))
+    # by id and hash, so rows that share an id don't all meet; the same join at every size: a side that is small now is not small later
+    texts = texts.join(ends.hint("merge"), F.col("id").eqNullSafe(F.col("end_id")) & (F.col("second") == F.col("end_second"))).filter(F.unhex(F.sha2("own_text", 256)) == F.col("digest"))
     return texts.groupBy("digest").agg((F.min("own_text") == F.max("own_text")).alias("equal")).filter("equal").select("digest")
 
 
