@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,65 +161,3 @@ def best_rows(df: DataFrame, key: list[str], start: str, columns: list[str], *th
     """Of rows of one key that with a start, then with the most values, then by `then`."""
     n = reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in columns))
     return first_of(df, key, F.desc(F.col(start).isNotNull()), F.desc(n), *then)
-
-
-# periods of companies with other fiscal years -----------------------------------------------------------------------
-def _quarters(days: int, most: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy, from the newest: the newest period left over is the anchor; of each company the period nearest to it, within so many days."""
-        pdf = pdf.assign(day=pd.to_datetime(pdf.period_end_date)).sort_values(["day", "ticker"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        left, out, number = pdf, [], 0
-        while len(left) and (most is None or number < most):
-            number += 1
-            gap = (left.day - left.day.iloc[0]).abs().dt.days
-            near = left.assign(gap=gap)[gap <= days].sort_values(["gap", "day"], ascending=[True, False], kind="stable").drop_duplicates("ticker")
-            center = int(((near.day - pd.Timestamp("1970-01-01")).dt.days).mean())
-            out.append(near.assign(period_number=number, center=(pd.Timestamp("1970-01-01") + pd.Timedelta(days=center)).date()))
-            left = left.drop(near.index)
-        done = pd.concat(out) if out else left.assign(period_number=0, center=None)
-        return done[["ratio_name", "period_number", "center", "ticker", "period_end_date", "ratio_value"]]
-
-    return run
-
-
-def _years(days: int, most: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The k-th newest year of each company, if it is within so many days of the mean date of those taken before; at least two companies, or it ends."""
-        pdf = pdf.assign(day=pd.to_datetime(pdf.period_end_date)).sort_values(["day", "ticker"], ascending=[False, True], kind="stable")
-        rows, out, number = {t: g.to_dict("records") for t, g in pdf.groupby("ticker")}, [], 0
-        while most is None or number < most:
-            heads = sorted((g[0] for g in rows.values() if g), key=lambda r: (-r["day"].value, r["ticker"]))
-            taken, mean = [], 0.0
-            for r in heads:
-                day = r["day"].value / 86_400e9
-                if not taken or abs(day - mean) <= days:
-                    taken.append(r)
-                    mean += (day - mean) / len(taken)
-            if len(taken) < 2:
-                break
-            number += 1
-            out += [{**r, "period_number": number, "center": (pd.Timestamp("1970-01-01") + pd.Timedelta(days=int(mean))).date()} for r in taken]
-            for r in taken:
-                rows[r["ticker"]].pop(0)
-        columns = ["ratio_name", "period_number", "center", "ticker", "period_end_date", "ratio_value"]
-        return pd.DataFrame(out, columns=[*columns, "day"])[columns]
-
-    return run
-
-
-ALIGNED = "ratio_name string, period_number int, center date, ticker string, period_end_date date, ratio_value double"
-
-
-def cluster_quarters(values: DataFrame, days: int = 45, most: int | None = None) -> DataFrame:
-    """Quarters of a peer group (ratio_name, ticker, period_end_date, ratio_value) side by side: all, or the `most` newest for a request of the last n. Greedy, hence in order; a group is the periods of one ratio in one comparison."""
-    return values.groupBy("ratio_name").applyInPandas(_quarters(days, most), ALIGNED)
-
-
-def align_years(values: DataFrame, days: int = 180, most: int | None = None) -> DataFrame:
-    """Fiscal years of a peer group side by side: all, or the `most` newest for a request of the last n."""
-    return values.groupBy("ratio_name").applyInPandas(_years(days, most), ALIGNED)
-
-
-def by_period(aligned: DataFrame) -> DataFrame:
-    """A row for each period with all companies' values, for charts."""
-    return aligned.groupBy("ratio_name", "period_number", "center").agg(F.array_sort(F.collect_list(F.struct("ticker", "period_end_date", "ratio_value"))).alias("values"))

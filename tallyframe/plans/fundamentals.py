@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.formula import with_virtual_fields
 from ..operators import facts, fundamentals as fu
-from .views import oracle, shared, view, written
+from ..sources.scratch import written
+from .views import oracle, shared, view
 
 INCOME = "total_revenue cost_of_revenue gross_profit sales_general_and_admin sales_and_marketing general_and_administrative research_and_development total_operating_expenses operating_income interest_income interest_expense other_income income_before_taxes income_tax_expense net_income".split()
 CASH = "net_cash_from_operating_activities depreciation_and_amortization depreciation amortization capital_expenditures net_cash_from_investing_activities net_cash_from_financing_activities net_change_in_cash cash_beginning_of_period cash_end_of_period".split()

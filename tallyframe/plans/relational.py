@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import period
 from ..functions.catalog import RATIOS, VIRTUAL
-from ..operators import facts, fundamentals as fu, relational as re_
+from ..operators import alignment as al, facts, fundamentals as fu, relational as re_
 from . import fundamentals
 from .views import oracle, shared, view
 
@@ -184,12 +184,12 @@ def compare_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventories of all companies, a peer group being a sector."""
-    return re_.cluster_quarters(_aligned(spark, sf_dir))
+    return al.cluster_quarters(_aligned(spark, sf_dir))
 
 
 def align_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last balance sheet of each fiscal year of all companies."""
-    return re_.align_years(_aligned(spark, sf_dir, "quarter = 4"))
+    return al.align_years(_aligned(spark, sf_dir, "quarter = 4"))
 
 
 def _aligned(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
@@ -197,6 +197,30 @@ def _aligned(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame
     return rows.join(view(spark, sf_dir, "company").select("cik", "sector"), "cik").select(F.col("sector").alias("ratio_name"), "ticker", "period_end_date", (F.col("inventory") / 100).cast("double").alias("ratio_value"))
 
 
+_DAY = "date_diff('day', DATE '1970-01-01', period_end_date)"
+_QUEUE = """al AS (SELECT c.sector AS ratio_name, b.ticker, b.period_end_date, CAST(b.inventory AS DOUBLE) / 100 AS ratio_value FROM balance b JOIN company c ON b.cik = c.cik WHERE {}),
+q AS (SELECT *, row_number() OVER (PARTITION BY ratio_name, ticker ORDER BY period_end_date DESC, ratio_value) AS k FROM al)"""
+_CENTERED = f"done AS (SELECT *, DATE '1970-01-01' + CAST(trunc(CAST(sum({_DAY}) OVER g AS DOUBLE) / count(*) OVER g) AS INT) AS center FROM r WHERE taken WINDOW g AS (PARTITION BY ratio_name, period_number))"
+
+
+def _recursive(sql: str) -> str:
+    return oracle(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ROUND = "period_end_date >= max(period_end_date) OVER (PARTITION BY ratio_name) - 45 AS taken"
+CLUSTERED = f"""WITH {_QUEUE.format("true")},
+r AS (SELECT ratio_name, ticker, period_end_date, ratio_value, k, CAST(1 AS INT) AS period_number, {_ROUND} FROM q WHERE k = 1
+UNION ALL SELECT ratio_name, ticker, period_end_date, ratio_value, k, period_number, {_ROUND} FROM (SELECT q.*, r.period_number + 1 AS period_number FROM r JOIN q ON q.ratio_name = r.ratio_name AND q.ticker = r.ticker AND q.k = r.k + CAST(r.taken AS INT))),
+{_CENTERED}"""
+_TAKEN = f"""SELECT ratio_name, ticker, period_end_date, ratio_value, k, period_number, taken AND sum(CAST(taken AS INT)) OVER (PARTITION BY ratio_name) >= 2 AS taken, sum(CAST(taken AS INT)) OVER (PARTITION BY ratio_name) >= 2 AS goes_on
+FROM (SELECT *, NOT bool_or(far) OVER (PARTITION BY ratio_name ORDER BY period_end_date DESC, ticker ROWS UNBOUNDED PRECEDING) AS taken
+FROM (SELECT *, coalesce(avg({_DAY}) OVER (PARTITION BY ratio_name ORDER BY period_end_date DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {_DAY} > 180, false) AS far FROM ({{}})))"""
+YEARS_ALIGNED = f"""WITH {_QUEUE.format("quarter(b.period_end_date - CAST((b.cik % 5) * 40 - 80 AS INT)) = 4")},
+r AS ({_TAKEN.format("SELECT *, CAST(1 AS INT) AS period_number FROM q WHERE k = 1")}
+UNION ALL {_TAKEN.format("SELECT q.*, r.period_number + 1 AS period_number FROM r JOIN q ON q.ratio_name = r.ratio_name AND q.ticker = r.ticker AND q.k = r.k + CAST(r.taken AS INT) WHERE r.goes_on")}),
+{_CENTERED}"""
+_ALIGNED = " SELECT ratio_name, period_number, center, ticker, period_end_date, ratio_value FROM done"
+SUMMARIES = _recursive(CLUSTERED + " SELECT ratio_name, period_number, center, count(*) AS companies, min(ratio_value) AS lowest, max(ratio_value) AS highest, CAST(avg(CAST(ratio_value AS DECIMAL(20,6))) AS DOUBLE) AS mean, min(period_end_date) AS first, max(period_end_date) AS last FROM done GROUP BY ratio_name, period_number, center")
 _PLAIN = "SELECT cik, period_end_date, fiscal_year, fiscal_quarter, total_revenue FROM r WHERE "
 QUERIES = {
     "scan_ordered_limit": (scan_ordered, oracle("SELECT cik, period_end_date, period_type, period_length_months, total_revenue FROM income WHERE cik = 1 ORDER BY period_end_date DESC, period_type, period_length_months LIMIT 10")),
@@ -228,6 +252,6 @@ QUERIES = {
     "insert_counts": (lambda s, d: re_.insert_counts(*_old_new(s, d), _KEY), oracle(f"WITH {_ON} SELECT count(*) FILTER (o.cik IS NULL) AS inserted, count(*) FILTER (o.cik IS NOT NULL) AS skipped FROM new_ n LEFT JOIN old o ON n.cik = o.cik AND n.fiscal_year = o.fiscal_year")),
     "retention_delete": (lambda s, d: re_.retained(view(s, d, "price").select("ticker", "date", "volume"), "date", "2024-01-15"), oracle("SELECT ticker, date, volume FROM price WHERE date >= DATE '2024-01-15'")),
     "compare_single": (compare_single, oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), v AS (SELECT sector, category, ratio_name, floor(l.v * 1e6 + 0.5) / 1e6 AS v FROM long_ l JOIN company USING (cik) WHERE l.v IS NOT NULL AND year(period_end_date) = 1999) SELECT sector, category, ratio_name, count(*) AS n, max(v) AS highest, min(v) AS lowest, floor(CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 * 1e6 + 0.5) / 1e6 AS average, list_sort(list(v))[count(*) // 2 + 1] AS median FROM v GROUP BY ALL")),
-    "cluster_quarters": (cluster_quarters, None),
-    "align_years": (align_years, None),
+    "cluster_quarters": (cluster_quarters, _recursive(CLUSTERED + _ALIGNED)),
+    "align_years": (align_years, _recursive(YEARS_ALIGNED + _ALIGNED)),
 }

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import news as nw
 from ..sources import readers, tables
+from ..sources.scratch import folder as scratch
 from ..streaming import prices as st
-from .views import oracle, scratch, view
+from .views import oracle, view
 
 
 def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

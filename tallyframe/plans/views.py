@@ -7,8 +7,6 @@ tables have none. `{name}` stands for a table; a view may read the views before
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,23 +94,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: that of checkpoints; a local session may have none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallyframe-")
-    return f"{root.rstrip('/')}/tallyframe/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table of its own (a row a company and period), where a plan reads it several times: it is computed once, and what reads it has a short plan."""
-    folder = scratch(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def shared(spark: SparkSession, sf_dir: str, name: str, key: str = "cik") -> DataFrame:
     """A view that a plan reads several times (a few rows a company and period, however many sales they sum up): dealt out by company once and kept, so that the sales are scanned once, and windows and joins by company need no further exchange. What an executor loses is computed again. It stays with the session until spark.catalog.clearCache(), which a long session has to call between reports, as bench.py does between queries."""
     return view(spark, sf_dir, name).repartition(key).persist()

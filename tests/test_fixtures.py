@@ -1,13 +1,14 @@
 """Hand-computed fixtures of the rules, and the decisions on the quirks."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fiscal, formula, period, text as tx
 from tallyframe.functions.catalog import RATIOS, TAGS, VIRTUAL
-from tallyframe.operators import chunks, facts, fundamentals as fu, news, prices, relational as rel, search, transcripts, usage
+from tallyframe.operators import alignment as al, chunks, facts, fundamentals as fu, news, prices, relational as rel, search, transcripts, usage
 
 HEAD = "cik long, ticker string, period_end_date date, fiscal_year int, period_type string, period_length_months int"
 D = dt.date.fromisoformat
@@ -235,23 +236,58 @@ def test_merges(spark):
 
 def test_clusters(spark):
     rows = [("r", t, D(d), 1.0) for t, d in (("A", "2024-09-30"), ("A", "2024-06-30"), ("B", "2024-06-30"))]
-    out = rel.cluster_quarters(spark.createDataFrame(rows, "ratio_name string, ticker string, period_end_date date, ratio_value double")).collect()
+    out = al.cluster_quarters(spark.createDataFrame(rows, "ratio_name string, ticker string, period_end_date date, ratio_value double")).collect()
     assert sorted((r.period_number, r.ticker, str(r.period_end_date)) for r in out) == [(1, "A", "2024-09-30"), (2, "A", "2024-06-30"), (2, "B", "2024-06-30")]
     years = [("r", t, D(d), 1.0) for t, d in (("A", "2024-09-30"), ("A", "2023-09-30"), ("B", "2024-12-31"), ("B", "2023-12-31"), ("C", "2022-01-31"))]
-    got = rel.align_years(spark.createDataFrame(years, "ratio_name string, ticker string, period_end_date date, ratio_value double")).collect()
+    got = al.align_years(spark.createDataFrame(years, "ratio_name string, ticker string, period_end_date date, ratio_value double")).collect()
     assert sorted((r.period_number, r.ticker) for r in got) == [(1, "A"), (1, "B"), (2, "A"), (2, "B")]
 
 
+def greedy(rows, days, years):
+    """Rounds by hand: (ticker, date, period_number) of rows (ticker, date)."""
+    left = {}
+    for t, d in sorted(rows, key=lambda x: x[1], reverse=True):
+        left.setdefault(t, []).append(d)
+    out, number = [], 0
+    while any(left.values()):
+        number += 1
+        heads = sorted(((q[0], t) for t, q in left.items() if q), key=lambda x: (-x[0].toordinal(), x[1]))
+        taken = []
+        for d, t in heads:
+            near = heads[0][0] if not years or not taken else sum(x.toordinal() for x, _ in taken) / len(taken)
+            if abs((near if isinstance(near, float) else near.toordinal()) - d.toordinal()) <= days:
+                taken.append((d, t))
+        if years and len(taken) < 2:
+            break
+        for d, t in taken:
+            left[t].pop(0)
+            out.append((t, d, number))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_by_hand(spark, seed):
+    """Companies with odd, close and equal dates, several groups; what the rounds by hand give."""
+    r = random.Random(seed)
+    rows = [(g, f"T{k}", D("2024-01-01") - dt.timedelta(days=r.randrange(1500) if k % 3 else 91 * j + r.randrange(20))) for g in "xyz" for k in range(r.randrange(2, 8)) for j in range(r.randrange(12))] + [("w", "T", None), ("v", "T", D("2020-01-01"))]
+    df = spark.createDataFrame([(*x, 1.0) for x in rows], "ratio_name string, ticker string, period_end_date date, ratio_value double")
+    for years, days, run in ((False, 45, al.cluster_quarters), (True, 180, al.align_years)):
+        got = run(df, days).collect()
+        for g in "vwxyz":
+            assert sorted((x.ticker, x.period_end_date, x.period_number) for x in got if x.ratio_name == g) == greedy([x[1:] for x in rows if x[0] == g and x[2]], days, years)
+    assert al.cluster_quarters(df.limit(0)).count() == 0
+
+
 def test_clusters_lose_no_period(spark):
     """60 quarters and 15 years of two companies; a number is a request of the last n."""
     schema = "ratio_name string, ticker string, period_end_date date, ratio_value double"
     quarters = spark.createDataFrame([("r", t, D("2024-12-31") - dt.timedelta(days=91 * k + 10 * (t == "B")), float(k)) for t in "AB" for k in range(60)], schema)
-    out = rel.cluster_quarters(quarters).collect()
+    out = al.cluster_quarters(quarters).collect()
     assert sorted((r.ticker, r.ratio_value, r.period_number) for r in out) == [(t, float(k), k + 1) for t in "AB" for k in range(60)]
-    assert rel.cluster_quarters(quarters, most=4).count() == 8
+    assert al.cluster_quarters(quarters, most=4).count() == 8
     years = spark.createDataFrame([("r", t, D("2024-12-31") - dt.timedelta(days=365 * k), float(k)) for t in "AB" for k in range(15)], schema)
-    assert sorted((r.ticker, r.ratio_value, r.period_number) for r in rel.align_years(years).collect()) == [(t, float(k), k + 1) for t in "AB" for k in range(15)]
-    assert rel.align_years(years, most=3).count() == 6
+    assert sorted((r.ticker, r.ratio_value, r.period_number) for r in al.align_years(years).collect()) == [(t, float(k), k + 1) for t in "AB" for k in range(15)]
+    assert al.align_years(years, most=3).count() == 6
 
 
 # prices -----------------------------------------------------------------------------------------------------------
