@@ -1,4 +1,4 @@
-"""Filings and the index of their chunks: what is new, what is missing, what statement a column is of, and the way from texts to an index."""
+"""Filings and the index of their chunks: what is new, what is missing, what statement a column is of."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import TAGS
-from . import chunks as ch
 
 #: Columns of the three statements.
 INCOME = "total_revenue cost_of_revenue gross_profit research_and_development sales_and_marketing sales_general_and_admin general_and_administrative total_operating_expenses operating_income ebitda interest_income interest_expense other_income income_before_taxes income_tax_expense net_income earnings_per_share_basic earnings_per_share_diluted weighted_average_shares_basic weighted_average_shares_diluted".split()
@@ -72,23 +71,3 @@ def ticker_of(path: Column, text: Column) -> Column:
     folders = F.filter(F.split(path, "/"), lambda p: p.rlike("^[A-Za-z]{2,5}$"))
     said = F.regexp_extract(text, r"(?i)(?:trading symbol|ticker symbol|nasdaq|nyse)(?:\(s\))?\s*:?\s*([A-Z]{1,5})\b", 1)
     return F.upper(F.coalesce(F.nullif(F.regexp_extract(name, "^([a-z]{2,5})-", 1), F.lit("")), F.try_element_at(folders, F.lit(-1)), F.nullif(said, F.lit(""))))
-
-
-def index_rows(filings: DataFrame, indexed: DataFrame, text: str = "content") -> DataFrame:
-    """What goes into the index of filings (id, ticker, form_type, fiscal_year, fiscal_quarter, section_name, text): chunks of filings that it hasn't, enriched, and small ones of each; one of each text; row_id of company, filing, grain and place."""
-    fresh = new_chunks(filings, indexed)
-    head = fresh.select("id", *FILING, "section_name")
-    macro = ch.paragraph_chunks(fresh, "id", text).withColumn("granularity", F.lit("macro"))
-    micro = ch.micro_chunks(macro.select(F.struct("id", "seq").alias("from"), "text"), "from", "text").select(F.col("id.id").alias("id"), (F.col("id.seq") * 1000 + F.col("seq")).cast("int").alias("seq"), "text", F.lit("micro").alias("granularity"))
-    rows = ch.enriched(macro.unionByName(micro).join(head, "id"))
-    rows = rows.withColumn("row_id", F.concat_ws("_", "ticker", "form_type", "fiscal_year", "fiscal_quarter", "id", "granularity", "seq"))
-    return ch.one_of_each_hash(rows.drop("tags"), "row_id")
-
-
-def index_calls(entries: DataFrame, indexed: DataFrame, call: str = "conv_id") -> DataFrame:
-    """What goes into the index of calls (conv_id, seq, speaker, content): chunks of calls that it hasn't; row_id of call and place."""
-    said = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.initcap("speaker"), F.lit(": "), F.col("content")).alias("text"))))
-    fresh = entries.join(indexed.select(call).distinct(), call, "left_anti")
-    calls = fresh.groupBy(call).agg(F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))  # a call is one document
-    out = ch.call_chunks(calls, call, "text")
-    return out.select(F.col("id").alias(call), "seq", "text", F.concat_ws("_", "id", "seq").alias("row_id"))

@@ -55,11 +55,11 @@ def features(rows: DataFrame, call: str = "conv_id", seq: str = "seq") -> DataFr
     )
 
 
-def speaker_chunks(rows: DataFrame, call: str = "conv_id", seq: str = "seq", words: int = 500) -> DataFrame:
-    """Turns in pieces of so many words, every piece of a long turn."""
+def speaker_chunks(rows: DataFrame, call: str = "conv_id", seq: str = "seq", words: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Turns in pieces of so many words, every piece of a long turn; with further columns to keep."""
     split = F.filter(F.split("content", r"\s+"), lambda w: w != "")
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(split) - 1) / words).cast("int"), F.lit(0))), lambda k: F.array_join(F.slice(split, k * words + 1, words), " "))
-    return rows.select(call, seq, "speaker", F.posexplode(pieces).alias("piece", "text")).filter("text <> ''")
+    return rows.select(call, seq, "speaker", *keep, F.posexplode(pieces).alias("piece", "text")).filter("text <> ''")
 
 
 def speakers_of(text: Column) -> Column:

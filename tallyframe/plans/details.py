@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import period, text as tx
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.synonyms import NARRATIVE, NARRATIVE_CUES, PHRASES, SYNONYMS
-from ..operators import definitions as de, facts, filings as fi, fundamentals as fu, news as nw, prices as pr, relational as re_, search as se, summaries as su, transcripts as tr
+from ..operators import chunks as ch, definitions as de, facts, filings as fi, fundamentals as fu, news as nw, prices as pr, relational as re_, search as se, summaries as su, transcripts as tr
 from . import fundamentals, relational, retrieval
 from .views import oracle, shared, view
 
@@ -131,7 +131,7 @@ def old_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "chunk").withColumn("fiscal_quarter", F.nullif("fiscal_quarter", F.lit("FY")))
-    return fi.new_chunks(rows.filter("section_name <> 'en'"), rows.filter("section_name = 'en'")).select("id", "ticker")
+    return fi.new_chunks(rows, rows.filter("fiscal_year < '2019' or section_name = 'en' and n_chars > 3000")).select("id", "ticker")
 
 
 def missing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,16 +151,6 @@ def statement_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fundamentals._fact(spark, sf_dir).select("tag", fi.statement_of_tag(F.col("tag")).alias("statement_type")).groupBy("tag", "statement_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def index_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "chunk")
-    return fi.index_rows(rows.filter("section_name <> 'en'"), rows.filter("section_name = 'en'")).select("row_id", "granularity", "section", F.length("text").alias("n_chars"), "text_hash")
-
-
-def index_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "entry")
-    return fi.index_calls(rows, rows.filter("seq = 0 and length(content) < 60")).select("conv_id", "seq", "row_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
-
-
 def _call_chunks(make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         said = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.initcap("speaker"), F.lit(": "), F.col("content")).alias("t"))))
@@ -270,7 +260,7 @@ def adjusted_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BM25_ALL = retrieval._BM25.replace(" WHERE section_name = 'en'", "")
-_C = "SELECT id, ticker, form_type, fiscal_year, nullif(fiscal_quarter, 'FY') AS fiscal_quarter, section_name FROM chunk"
+_C = "SELECT n_chars, id, ticker, form_type, fiscal_year, nullif(fiscal_quarter, 'FY') AS fiscal_quarter, section_name FROM chunk"
 QUERIES = {
     "period_filter_years_ladder": (lambda s, d: period.of_ratios(_labelled(s, d), "last 2 financial years"), LADDER),
     "statements_year": (_of_statements("FY2001"), oracle(f"WITH {relational._ST}, own AS (SELECT * FROM st WHERE period_type = 'FY' AND fiscal_year = 2001 AND data_source <> 'LTM') SELECT * FROM own UNION ALL SELECT * FROM st WHERE data_source = 'LTM' AND (cik, period_end_date) IN (SELECT (cik, period_end_date) FROM own)")),
@@ -291,15 +281,13 @@ QUERIES = {
     "quarter_tracker": (quarter_tracker, oracle("SELECT cik, string_agg(q, ',' ORDER BY q) AS quarters FROM (SELECT DISTINCT cik, CAST(fiscal_year AS VARCHAR) || period_type AS q FROM income WHERE period_length_months = 3) GROUP BY cik")),
     "filing_storage": (filing_storage, oracle("SELECT form_type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes, min(fiscal_year) AS first, max(fiscal_year) AS last FROM chunk GROUP BY form_type")),
     "old_filings": (old_filings, oracle("SELECT id, make_date(CAST(fiscal_year AS INT), 1, 1) AS filed FROM chunk WHERE make_date(CAST(fiscal_year AS INT), 1, 1) < DATE '2018-06-30'")),
-    "new_filings": (new_filings, oracle(f"WITH c AS ({_C}) SELECT id, ticker FROM c WHERE section_name <> 'en' AND NOT EXISTS (SELECT 1 FROM c x WHERE x.section_name = 'en' AND x.ticker IS NOT DISTINCT FROM c.ticker AND x.form_type = c.form_type AND x.fiscal_year = c.fiscal_year AND x.fiscal_quarter IS NOT DISTINCT FROM c.fiscal_quarter)")),
+    "new_filings": (new_filings, oracle(f"WITH c AS ({_C}) SELECT id, ticker FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE (x.fiscal_year < '2019' OR x.section_name = 'en' AND x.n_chars > 3000) AND x.ticker IS NOT DISTINCT FROM c.ticker AND x.form_type = c.form_type AND x.fiscal_year = c.fiscal_year AND x.fiscal_quarter IS NOT DISTINCT FROM c.fiscal_quarter)")),
     "missing_reports": (missing_reports, oracle("WITH t AS (SELECT DISTINCT ticker FROM chunk), e AS (SELECT ticker, '10-K' AS form_type, CAST(y AS INT) AS fiscal_year, 'FY' AS fiscal_quarter FROM t, range(2014, 2021) r(y) UNION ALL SELECT ticker, '10-Q', CAST(y AS INT), q FROM t, range(2014, 2021) r(y), (VALUES ('1'), ('2'), ('3')) k(q)) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.ticker = e.ticker AND c.form_type = e.form_type AND CAST(c.fiscal_year AS INT) = e.fiscal_year AND (e.form_type = '10-K' OR c.fiscal_quarter = e.fiscal_quarter))")),
     "filing_ticker": (filing_ticker, oracle("SELECT cik, CASE cik % 4 WHEN 0 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'ABCDEFGHIJ') WHEN 1 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'ABCDEFGHIJ') WHEN 2 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'KLMNOPQRST') END AS found FROM company")),
     "statement_types": (statement_types, fundamentals._fact_oracle("SELECT tag, CASE WHEN tag = 'UnknownTag' THEN 'unknown' ELSE 'income_statement' END AS statement_type, count(*) AS n FROM fact GROUP BY tag")),
-    "index_filings": (index_filings, None),
-    "index_calls": (index_calls, None),
-    "call_chunks": (_call_chunks(fi.ch.call_chunks), None),
-    "turn_chunks": (_call_chunks(fi.ch.turn_chunks), None),
-    "remark_chunks": (_call_chunks(fi.ch.remark_chunks), None),
+    "call_chunks": (_call_chunks(ch.call_chunks), None),
+    "turn_chunks": (_call_chunks(ch.turn_chunks), None),
+    "remark_chunks": (_call_chunks(ch.remark_chunks), None),
     "call_shares": (call_shares, oracle(r"SELECT speaker, count(*) AS n, floor(sum(length(content)) / count(*) * 10000.0 + 0.5) / 10000.0 AS mean_length, floor(sum(len(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> ''))) / count(*) * 10000.0 + 0.5) / 10000.0 AS mean_words, floor(sum(is_analyst) / count(*) * 10000.0 + 0.5) / 10000.0 AS analysts FROM entry GROUP BY speaker")),
     "call_texts": (call_texts, oracle("WITH s AS (SELECT *, CASE WHEN max(is_analyst) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) = 1 THEN 'questions' ELSE 'remarks' END AS section FROM entry), n AS (SELECT conv_id, section, speaker, count(*) AS n FROM s GROUP BY ALL) SELECT * FROM (SELECT conv_id, section, md5(string_agg(speaker || ': ' || content, chr(10) ORDER BY seq)) AS text_md5 FROM s GROUP BY ALL) JOIN (SELECT conv_id, section, '{{' || string_agg('\"' || speaker || '\":' || CAST(n AS VARCHAR), ',' ORDER BY speaker) || '}}' AS turns FROM n GROUP BY ALL) USING (conv_id, section)".replace("{{", "{").replace("}}", "}"))),
     "money_formats": (money_formats, MONEY),
