@@ -11,6 +11,11 @@ def year_of(date: Column, mmdd: Column) -> Column:
     return F.year(date) + F.when(F.date_format(date, "MMdd") > mmdd, 1).otherwise(0)
 
 
+def year_by_month(date: Column, end_month: Column | int) -> Column:
+    """Fiscal year of a date, by the month in which years end."""
+    return F.year(date) + F.when(F.month(date) > end_month, 1).otherwise(0)
+
+
 def quarter_of(date: Column, end_month: Column | int) -> Column:
     """Fiscal quarter of a date: 4 is the one that ends in the end month."""
     months = F.pmod(F.month(date) - end_month - 1, F.lit(12))
@@ -31,11 +36,12 @@ def previous(year: Column, quarter: Column, n: Column | int = 1) -> tuple[Column
     return F.floor(at / 4).cast("int"), (F.pmod(at, F.lit(4)) + 1).cast("int")
 
 
-def quarters_between(df: DataFrame, start: str, end: str, first_year: int = 2011, most: int = 50) -> DataFrame:
-    """A row for each fiscal quarter (calendar years) from start to end, newest first, not before first_year, `most` at most."""
-    low = F.greatest(index(F.year(start), F.quarter(start)), F.lit(first_year * 4))
-    high = index(F.year(end), F.quarter(end))
-    span = F.when(high >= low, F.slice(F.reverse(F.sequence(low, high)), 1, most)).otherwise(F.array().cast("array<int>"))
+def quarters_between(df: DataFrame, start: str, end: str, first_year: int | None = None, most: int | None = None, end_month: Column | int = 12) -> DataFrame:
+    """A row for each fiscal quarter from start to end, newest first, by the month in which a company's years end; not before first_year, and `most` at most, if given."""
+    at = lambda d: index(year_by_month(F.col(d), end_month), quarter_of(F.col(d), end_month))
+    low = at(start) if first_year is None else F.greatest(at(start), F.lit(first_year * 4))
+    all_ = F.reverse(F.sequence(low, at(end)))
+    span = F.when(at(end) >= low, all_ if most is None else F.slice(all_, 1, most)).otherwise(F.array().cast("array<int>"))
     return df.select("*", F.explode(span).alias("_q")).select("*", F.floor(F.col("_q") / 4).cast("int").alias("year"), (F.pmod("_q", F.lit(4)) + 1).cast("int").alias("quarter")).drop("_q")
 
 

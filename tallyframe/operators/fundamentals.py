@@ -219,6 +219,26 @@ def year_rows(statements: DataFrame) -> DataFrame:
 METHODS = ["fy_direct", "standard", "quarterly_sum", "standard_fy_only"]
 
 
+#: Methods of a stored LTM row, the best first; any other counts as the last.
+REPLACING = ["standard_full", "enhanced_quarterly_sum", "standard_fy_only", "fy_direct", "quarterly_sum", "unknown"]
+
+
+def replaced(old: DataFrame, new: DataFrame, at: str, key: list[str] | None = None, hours: int = 24) -> DataFrame:
+    """The table of stored LTM rows after new ones: a row goes over the stored one of its key if its method is better, or as good and the stored one was calculated more than so many hours before `at`; rows of new keys come in.
+
+    Of several new rows of a key the best counts, of equal ones the first calculated. One join by key; the calculation's time of both sides is `ltm_calculation_date`, that of what comes in is set to `at`."""
+    key = key or ["cik", "period_end_date"]
+    place = lambda c: F.coalesce(*(F.when(c == m, k) for k, m in enumerate(REPLACING)), F.lit(len(REPLACING) - 1))
+    now = F.to_timestamp(F.lit(at))
+    fresh = _first(new, key, place(F.col("calculation_method")), F.asc_nulls_last("ltm_calculation_date")).withColumn("ltm_calculation_date", now)
+    values = [c for c in old.columns if c not in key]
+    o, n = old.select(*key, F.struct(*values).alias("_o")), fresh.select(*key, F.struct(*values).alias("_n"))
+    was, better = place(F.col("_o.calculation_method")), place(F.col("_n.calculation_method"))
+    stale = F.coalesce(F.col("_o.ltm_calculation_date") < now - F.make_dt_interval(hours=F.lit(hours)), F.lit(False))
+    takes = F.col("_n").isNotNull() & (F.col("_o").isNull() | (better < was) | ((better == was) & stale))
+    return o.join(n, key, "full").select(*key, F.when(takes, F.col("_n")).otherwise(F.col("_o")).alias("_v")).select(*key, "_v.*").select(*old.columns)
+
+
 def best_method(rows: DataFrame) -> DataFrame:
     """One LTM row for each company and date: the best method, then the latest calculation."""
     rank = F.coalesce(*(F.when(F.col("calculation_method") == m, k) for k, m in enumerate(METHODS, 1)), F.lit(99))

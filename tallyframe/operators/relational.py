@@ -47,6 +47,12 @@ def reset(rows: DataFrame, companies: DataFrame, key: str = "cik") -> DataFrame:
     return rows.join(companies.select(key).distinct(), key, "left_anti")
 
 
+def reset_companies(companies: DataFrame, gone: DataFrame, key: str = "cik") -> DataFrame:
+    """companies with the time of their last update taken away from those given, so that they are loaded again."""
+    marked = companies.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+    return marked.withColumn("updated_at", F.when(F.col("_gone").isNull(), F.col("updated_at"))).select(*companies.columns)
+
+
 def touched(old: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
     """upsert() in which rows that are new or differ get `at` as updated_at, and rows that are the same keep theirs."""
     values = [c for c in new.columns if c not in key]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import details, fundamentals, indexes, prices, relational, retrieval, sources, summaries
+from . import calendars, details, fundamentals, indexes, prices, relational, retrieval, sources, summaries
 
-MODULES = (fundamentals, relational, prices, retrieval, sources, summaries, details, indexes)
+MODULES = (fundamentals, relational, prices, retrieval, sources, summaries, details, indexes, calendars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
