@@ -133,6 +133,31 @@ def _first(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+#: Months of the year before that are at most two months of the year away, as distances in months, by month.
+MONTHS = {1: (-12, -10), 2: (-13, -10), 11: (-14, -11), 12: (-14, -12)}
+
+
+def _with_year_before(statements: DataFrame, names: list[str]) -> DataFrame:
+    """statements with is_full (the last FY row of a fiscal year), of_full (FY, or of the date of such a row), the values of the fiscal year before (y_...) and of the same months of the calendar year before (p_...: months of the year at most 2 apart, without wrapping; the latest).
+
+    All by windows of one company, so rows that lie by company already move no more."""
+    month = F.year("period_end_date") * 12 + F.month("period_end_date")
+    yearly = F.col("period_type") == "FY"
+    rank = F.row_number().over(Window.partitionBy("cik", "fiscal_year", "period_type").orderBy(F.desc("period_end_date")))
+    rows = statements.withColumn("is_full", yearly & (rank == 1)).withColumn("_month", month).withColumn("_values", F.struct("period_end_date", *names))
+    rows = rows.withColumn("of_full", yearly | F.max("is_full").over(Window.partitionBy("cik", "period_end_date")))
+    years = Window.partitionBy("cik").orderBy("fiscal_year").rangeBetween(-1, -1)
+    rows = rows.withColumn("_y", F.max(F.when(F.col("is_full"), F.col("_values"))).over(years))
+    months = Window.partitionBy("cik", "period_length_months").orderBy("_month")
+    seen = lambda low, high: F.max(F.when(~F.col("of_full"), F.col("_values"))).over(months.rangeBetween(low, high))
+    before = F.when(F.month("period_end_date").between(3, 10), seen(-14, -10))
+    for m, (low, high) in MONTHS.items():
+        before = before.when(F.month("period_end_date") == m, seen(low, high))
+    rows = rows.withColumn("_p", before)
+    out = rows.select(*statements.columns, "is_full", "of_full", *(F.col(f"_{k}.{n}").alias(f"{k}_{n}") for k in "yp" for n in names), *(F.when(F.col(f"_{k}").isNotNull(), True).alias(f"{k}_here") for k in "yp"))
+    return out
+
+
 def ltm(statements: DataFrame, kind: str = "income") -> DataFrame:
     """Trailing twelve months of every quarter: last fiscal year + this year so far - the same of last year.
 
@@ -141,15 +166,10 @@ def ltm(statements: DataFrame, kind: str = "income") -> DataFrame:
     (a row of type FY) are left out. Shares are those of the period."""
     names = measures(statements)
     fields = [n for n in names if n not in SHARES]
-    full = _first(statements.filter("period_type = 'FY'"), ["cik", "fiscal_year"], F.desc("period_end_date"))
-    now = statements.filter("period_type <> 'FY'").join(full.select("cik", "period_end_date"), ["cik", "period_end_date"], "left_anti")
-    year = _renamed(full, "y_", ["cik", (F.col("fiscal_year") + 1).alias("fiscal_year")])
-    # the same months of the year before: months of the year at most 2 apart, without wrapping; the latest
-    same = now.select("cik", F.col("period_end_date").alias("_date"), F.col("fiscal_year").alias("_year"), "period_length_months").join(
-        _renamed(now.withColumn("p_date", F.col("period_end_date")), "p_", ["cik", "p_date", "period_length_months"]), ["cik", "period_length_months"]
-    ).filter((F.year("p_date") == F.year("_date") - 1) & (F.abs(F.month("p_date") - F.month("_date")) <= 2))
-    same = _first(same, ["cik", "_date", "period_length_months"], F.desc("p_date")).withColumnRenamed("_date", "period_end_date").drop("_year", "p_date")
-    base = now.join(year, ["cik", "fiscal_year"], "left").join(same, ["cik", "period_end_date", "period_length_months"], "left")
+    base = _with_year_before(statements, names)
+    full = base.filter("is_full").select(*statements.columns)
+    base = base.filter("not of_full").drop("is_full", "of_full")
+    now = base.select(*statements.columns)
     need = REQUIRED[kind]
     y, p = F.col("y_here").isNotNull(), F.col("p_here").isNotNull()
     score = F.when(y & p, (completeness("", need) + completeness("y_", need) + completeness("p_", need)) / 3 > 50).when(y, (completeness("", need) + completeness("y_", need)) / 2 > 40).when(p, (completeness("", need) + completeness("p_", need)) / 2 > 40).otherwise(False)
@@ -295,16 +315,21 @@ def ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual:
 def growth(periods: DataFrame, fields: list[str], low: int = 330, high: int = 450) -> DataFrame:
     """Year-over-year growth: of the periods 330 to 450 days before, the one nearest to 365 (a tie goes to the later date, then to LTM). No row if it is 0 or null.
 
-    Periods are by company, date and, if there is one, data_source."""
-    source = F.col("data_source") if "data_source" in periods.columns else F.lit("LTM")
-    now = periods.select("cik", "ticker", "period_end_date", source.alias("data_source"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))))
-    before = now.select("cik", "field", F.col("period_end_date").alias("prior_date"), F.col("value").alias("prior"), (F.col("data_source") != "LTM").alias("prior_year"))
-    pairs = close_pairs(now, before, ["cik", "field"], "period_end_date", "prior_date", (high - low) // 2, (high + low) // 2)
-    gap = F.datediff("period_end_date", "prior_date")
-    best = pairs.groupBy("cik", "ticker", "field", "period_end_date", "data_source", "value").agg(F.min_by(F.struct("prior_date", "prior"), F.struct(F.abs(gap - 365), gap, "prior_year")).alias("was"))
-    value = rounded(ratio(F.col("value") - F.col("was.prior"), F.col("was.prior")))
-    head = ["cik", "ticker", "field", "period_end_date", *(["data_source"] if "data_source" in periods.columns else [])]
-    return best.select(*head, "was.prior_date", value.alias("growth")).filter("growth is not null")
+    Periods are by company, date and, if there is one, data_source. Both neighbours of the day a year before are found by one window over a company's days; no pairs are made."""
+    sourced = "data_source" in periods.columns
+    ltm_ = (F.col("data_source") == "LTM") if sourced else F.lit(True)
+    day = F.unix_date("period_end_date")
+    rows = periods.select("cik", "ticker", "period_end_date", *(["data_source"] if sourced else []), day.alias("_day"), ltm_.alias("_ltm"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))))
+    days = Window.partitionBy("cik", "field").orderBy("_day")
+    older = F.max(F.struct("_day", "_ltm", "value")).over(days.rangeBetween(-high, -365))
+    newer = F.min(F.struct("_day", ~F.col("_ltm"), "value")).over(days.rangeBetween(-365, -low))
+    both = rows.withColumn("_old", older).withColumn("_new", newer)
+    near = F.col("_old").isNull() | (F.col("_new._day") - (F.col("_day") - 365) <= (F.col("_day") - 365) - F.col("_old._day"))
+    prior_day, prior = (F.when(F.col("_new").isNotNull() & near, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) for c in ("_day", "value"))
+    value = rounded(ratio(F.col("value") - F.col("_prior"), F.col("_prior")))
+    head = ["cik", "ticker", "field", "period_end_date", *(["data_source"] if sourced else [])]
+    found = both.withColumn("_prior", prior).select(*head, F.date_from_unix_date(prior_day).alias("prior_date"), value.alias("growth"))
+    return found.filter("growth is not null")
 
 
 def growth_ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual: dict[str, list[str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.formula import with_virtual_fields
 from ..operators import facts, fundamentals as fu
 from ..sources.scratch import written
-from .views import oracle, shared, view
+from .views import based, oracle, shared, view
 
 INCOME = "total_revenue cost_of_revenue gross_profit sales_general_and_admin sales_and_marketing general_and_administrative research_and_development total_operating_expenses operating_income interest_income interest_expense other_income income_before_taxes income_tax_expense net_income".split()
 CASH = "net_cash_from_operating_activities depreciation_and_amortization depreciation amortization capital_expenditures net_cash_from_investing_activities net_cash_from_financing_activities net_change_in_cash cash_beginning_of_period cash_end_of_period".split()
@@ -180,8 +180,9 @@ SELECT cik, period_end_date, period_type, calculation_method, total_revenue FROM
 
 # ratios -------------------------------------------------------------------------------------------------------------
 def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = view(spark, sf_dir, "income").filter("period_type = 'FY'")
-    return fu.combined(year, view(spark, sf_dir, "cash_flow").filter("period_type = 'FY'"), view(spark, sf_dir, "balance"))
+    base = based(spark, sf_dir)
+    income, cash, balance = (view(spark, sf_dir, n, base) for n in ("income", "cash_flow", "balance"))
+    return fu.combined(income.filter("period_type = 'FY'"), cash.filter("period_type = 'FY'"), balance)
 
 
 _SHEET = "cash_and_cash_equivalents short_term_investments cash_and_short_term_investments accounts_receivable inventory total_current_assets property_plant_equipment goodwill intangible_assets long_term_investments total_non_current_assets total_assets commercial_paper other_short_term_borrowings current_portion_long_term_debt finance_lease_liability_current operating_lease_liability_current total_current_liabilities long_term_debt non_current_long_term_debt finance_lease_liability_noncurrent operating_lease_liability_noncurrent total_stockholders_equity".split()
@@ -250,7 +251,7 @@ RATIO_INPUTS = oracle(f"WITH {_PERIODS} SELECT cik, period_end_date, CAST(net_in
 
 
 def growth_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.growth(written(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))).select("cik", "ticker", "period_end_date", "total_revenue", "operating_income")), ["total_revenue", "operating_income"])
+    return fu.growth(fu.best_method(fu.ltm(shared(spark, sf_dir, "income"))).select("cik", "ticker", "period_end_date", "total_revenue", "operating_income"), ["total_revenue", "operating_income"])
 
 
 GROWTH_YOY = oracle(f"""
@@ -309,7 +310,7 @@ UNION ALL SELECT cik, period_end_date, data_source, CASE field WHEN 'total_reven
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten companies whose trailing revenue has grown most, at their latest quarter."""
     income = shared(spark, sf_dir, "income").select(*fu.HEAD, "total_revenue", *[n for n in fu.REQUIRED["income"] if n != "total_revenue"])
-    rows = fu.growth(written(fu.best_method(fu.ltm(income)).select("cik", "ticker", "period_end_date", "total_revenue")), ["total_revenue"])
+    rows = fu.growth(fu.best_method(fu.ltm(income)).select("cik", "ticker", "period_end_date", "total_revenue"), ["total_revenue"])
     last = rows.groupBy("cik", "ticker").agg(F.max("period_end_date").alias("period_end_date"), F.max_by("growth", "period_end_date").alias("growth"))
     return last.orderBy(F.desc("growth"), "cik").limit(10)
 

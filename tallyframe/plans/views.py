@@ -7,9 +7,12 @@ tables have none. `{name}` stands for a table; a view may read the views before
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import written
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -22,11 +25,12 @@ FROM {lineitem}""",
 SELECT cik, fiscal_year, quarter, sum(rev) AS rev, sum(cost) AS cost, sum(tax) AS tax, sum(qty) AS qty,
   sum(CASE WHEN flag = 'R' THEN rev ELSE 0 END) AS returned, sum(CASE WHEN flag = 'A' THEN rev ELSE 0 END) AS accepted, sum(CASE WHEN status = 'O' THEN rev ELSE 0 END) AS open
 FROM sale GROUP BY cik, fiscal_year, quarter""",
+    # single quarters, and from the second on the year so far
     "parts": """
 SELECT cik, fiscal_year, quarter, CAST(3 AS INT) AS months, CAST(rev AS BIGINT) AS rev, CAST(cost AS BIGINT) AS cost, CAST(tax AS BIGINT) AS tax, CAST(qty AS BIGINT) AS qty, CAST(returned AS BIGINT) AS returned, CAST(accepted AS BIGINT) AS accepted, CAST(open AS BIGINT) AS open FROM sums
 UNION ALL
-SELECT a.cik, a.fiscal_year, a.quarter, CAST(3 * a.quarter AS INT) AS months, CAST(sum(b.rev) AS BIGINT), CAST(sum(b.cost) AS BIGINT), CAST(sum(b.tax) AS BIGINT), CAST(sum(b.qty) AS BIGINT), CAST(sum(b.returned) AS BIGINT), CAST(sum(b.accepted) AS BIGINT), CAST(sum(b.open) AS BIGINT)
-FROM sums a JOIN sums b ON a.cik = b.cik AND a.fiscal_year = b.fiscal_year AND b.quarter <= a.quarter WHERE a.quarter > 1 GROUP BY a.cik, a.fiscal_year, a.quarter""",
+SELECT cik, fiscal_year, quarter, CAST(3 * quarter AS INT) AS months, CAST(rev AS BIGINT) AS rev, CAST(cost AS BIGINT) AS cost, CAST(tax AS BIGINT) AS tax, CAST(qty AS BIGINT) AS qty, CAST(returned AS BIGINT) AS returned, CAST(accepted AS BIGINT) AS accepted, CAST(open AS BIGINT) AS open
+FROM (SELECT cik, fiscal_year, quarter, sum(rev) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS rev, sum(cost) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS cost, sum(tax) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS tax, sum(qty) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS qty, sum(returned) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS returned, sum(accepted) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS accepted, sum(open) OVER (PARTITION BY cik, fiscal_year ORDER BY quarter) AS open FROM sums) WHERE quarter > 1""",
     # a row for each company and period; 3 months, 6 and 9 cumulated, 12 as FY
     "income": """
 SELECT p.cik, c.ticker, last_day(make_date(fiscal_year, quarter * 3, 1)) AS period_end_date, fiscal_year, CASE WHEN months = 12 THEN 'FY' ELSE concat('Q', CAST(quarter AS VARCHAR(9))) END AS period_type, months AS period_length_months,
@@ -65,8 +69,8 @@ FROM {documents}""",
 }
 
 
-def _needed(sql: str) -> list[str]:
-    """Views that the text reads, with those that they read, in order."""
+def _needed(sql: str, given: dict[str, str] | None = None) -> list[str]:
+    """Views that the text reads, with those that they read, in order; what is given reads nothing."""
     found: set[str] = set()
     todo = [sql]
     while todo:
@@ -74,7 +78,8 @@ def _needed(sql: str) -> list[str]:
         for name in VIEWS:
             if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 found.add(name)
-                todo.append(VIEWS[name])
+                if name not in (given or {}):
+                    todo.append(VIEWS[name])
     return [n for n in VIEWS if n in found]
 
 
@@ -86,14 +91,22 @@ def oracle(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; only the columns that a query uses are read."""
-    text = VIEWS[name]
-    heads = [f"{n} AS ({VIEWS[n]})" for n in _needed(text)]
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, str] | None = None) -> DataFrame:
+    """A view as a DataFrame; only the columns that a query uses are read. given: views that are tables already, by name (see based())."""
+    text, given = VIEWS[name], given or {}
+    needed = [n for n in _needed(text, given) if n != name]
+    heads = [f"{n} AS (SELECT * FROM {given[n]})" if n in given else f"{n} AS ({VIEWS[n]})" for n in needed]
     text = ("WITH " + ", ".join(heads) + " " if heads else "") + text
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
+def based(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The sums of sales by company and period as a table, for plans that read several views of them: the sales are scanned once."""
+    name = f"parts_{uuid.uuid4().hex}"
+    written(view(spark, sf_dir, "parts")).createOrReplaceTempView(name)
+    return {"parts": name}
+
+
 def shared(spark: SparkSession, sf_dir: str, name: str, key: str = "cik") -> DataFrame:
     """A view that a plan reads several times (a few rows a company and period, however many sales they sum up): dealt out by company once and kept, so that the sales are scanned once, and windows and joins by company need no further exchange. What an executor loses is computed again. It stays with the session until spark.catalog.clearCache(), which a long session has to call between reports, as bench.py does between queries."""
     return view(spark, sf_dir, name).repartition(key).persist()
