@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.numbers import or_zero, ratio, rounded
+from .filings import statement_of
 from .relational import close_pairs, constants, first_of, next_after
 
 
@@ -54,9 +57,10 @@ def by_definition(asked: DataFrame, definitions: DataFrame) -> DataFrame:
     return best.select(*asked.columns, *(F.col(f"_b.d.{c}").alias(c) for c in definitions.columns), F.col("_b.tier").alias("tier"))
 
 
-def drift(catalog: DataFrame, stored: DataFrame) -> DataFrame:
-    """Names whose formula differs between catalog and table, with both formulas; null where it isn't there."""
-    both = catalog.select("ratio_name", F.col("formula").alias("wanted")).join(stored.select("ratio_name", F.col("formula").alias("found")), "ratio_name", "full")
+def drift(catalog: DataFrame, stored: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Names (or other keys) whose formula differs between catalog and table, with both formulas; null where it isn't there."""
+    key = key or ["ratio_name"]
+    both = catalog.select(*key, F.col("formula").alias("wanted")).join(stored.select(*key, F.col("formula").alias("found")), key, "full")
     return both.filter(~F.col("wanted").eqNullSafe(F.col("found")))
 
 
@@ -67,30 +71,40 @@ def missing_years(index: DataFrame, key: list[str], first: int, last: int) -> Da
     return out.filter("size(missing) > 0")
 
 
-#: What ratios say, by name, else by category.
-SAYS = {
-    "roe": "How efficiently equity is turned into profit; higher is better.",
-    "roa": "How efficiently assets are turned into profit; higher is better.",
-    "current_ratio": "Whether short-term debts can be paid; above 1.0 they can.",
-    "quick_ratio": "Whether short-term debts can be paid without inventory; above 1.0 they can.",
-    "debt_to_equity": "Debt against equity; lower is less risk.",
-    "gross_margin": "What is left of revenue after the cost of goods; higher is more pricing power.",
-    "net_margin": "What is left of revenue after all expenses; higher is better.",
-    "asset_turnover": "Sales made with assets; higher is better.",
-    "inventory_turnover": "How fast inventory is sold and replaced; higher is better.",
-}
-SAYS_OF_CATEGORY = {
-    "profitability": "Profit relative to revenue, assets or equity.",
-    "liquidity": "Ability to meet short-term obligations.",
-    "leverage": "Use of debt, and the risk of it.",
-    "efficiency": "How efficiently assets and resources are used.",
-}
-
-
-def interpretation(name: Column, category: Column) -> Column:
-    """What a ratio says: by its name, else by its category. The texts are constants of the plan."""
-    pick = lambda c, texts: F.element_at(F.create_map(*(F.lit(x) for kv in texts.items() for x in kv)), c)
-    return F.coalesce(pick(F.lower(name), SAYS), pick(category, SAYS_OF_CATEGORY), F.lit("Helps to analyse the performance of a company."))
+#: Own words for what a group of ratios is about.
+ABOUT = {"profitability": "earning power", "liquidity": "means to pay what is due soon", "leverage": "weight of borrowed money", "efficiency": "pace at which means are put to work", "growth": "change over a year", "valuation": "price of the shares", "cash_flow": "cash behind the figures"}
+
+
+def spelled(node: ast.expr) -> str:
+    """A formula's tree in words."""
+    if isinstance(node, ast.BinOp):
+        word = {ast.Div: "over", ast.Mult: "times", ast.Add: "plus", ast.Sub: "less"}[type(node.op)]
+        return f"{spelled(node.left)} {word} {spelled(node.right)}"
+    if isinstance(node, ast.UnaryOp):
+        return f"minus {spelled(node.operand)}"
+    if isinstance(node, ast.Call):
+        return f"{node.func.id.lower().replace('_', ' ')} of {', '.join(map(spelled, node.args))}"
+    return str(node.value) if isinstance(node, ast.Constant) else node.id.replace("_", " ")
+
+
+def explained(category: str, formula: str) -> str:
+    """What a ratio says, from its own formula and group."""
+    return f"{ABOUT.get(category, category.replace('_', ' ')).capitalize()}: {spelled(ast.parse(formula, mode='eval').body)}."
+
+
+SAYS = {name: explained(category, formula) for name, category, formula in RATIOS}
+
+
+def interpretation(name: Column) -> Column:
+    """What a ratio of the catalog says, null for others. The texts are constants of the plan, made from the formulas."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in SAYS.items() for x in kv)), name)
+
+
+def guidance(definitions: DataFrame, name: str = "ratio_name", formula: str = "formula") -> DataFrame:
+    """How each ratio is worked out: a row for each field of its formula, with the statement that it is read from, or virtual if it is worked out itself. Fields are the words of the formula that aren't functions."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.col(formula), F.lit(r"([A-Za-z_][\w&]*)(\s*\()?"), F.lit(0)), lambda w: ~w.endswith("(")))
+    own = definitions.select(*definitions.columns, F.explode(words).alias("field"))
+    return own.withColumn("read_from", F.when(F.col("field").isin(*VIRTUAL), "virtual").otherwise(statement_of(F.col("field"))))
 
 
 def consecutive_growth(years: DataFrame, value: str) -> DataFrame:

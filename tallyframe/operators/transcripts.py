@@ -75,7 +75,7 @@ def parsed(raw: DataFrame, call: str, text_col: str) -> DataFrame:
     return own.withColumn("speaker", F.coalesce(F.last("named", ignorenulls=True).over(_upto(call, "seq")), F.lit("Unknown"))).select(call, "seq", "speaker", "content")
 
 
-#: What cleaning replaces, one after the other.
+#: What cleaning replaces, one after the other.
 CLEANING = (
     (r"\s+", " "),
     (r"\[.*?\](?=\s|$)", ""),  # stage directions

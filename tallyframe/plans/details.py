@@ -68,27 +68,42 @@ FROM (SELECT DISTINCT cik, tag, "end", filed, CASE WHEN fp = 'FY' THEN 12 ELSE 3
 
 
 # definitions --------------------------------------------------------------------------------------------------------
-def _definitions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(None, n, c, f, True, None) for n, c, f in RATIOS], "company_id bigint, name string, category string, formula string, active boolean, updated_at timestamp")
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common definitions, and for every company own ones of a fifth of the names."""
+    common = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"), F.lit(f).alias("formula"), F.lit(k).alias("k")) for k, (n, c, f) in enumerate(RATIOS)))
+    own = view(spark, sf_dir, "company").select(F.col("cik").cast("bigint").alias("company_id"), F.inline(common)).filter("(company_id + k) % 5 = 0")
+    own = own.select("company_id", "name", "category", F.concat(F.col("company_id").cast("string"), F.lit(" * ("), "formula", F.lit(")")).alias("formula"))
+    names = spark.createDataFrame([(None, n, c, f) for n, c, f in RATIOS], "company_id bigint, name string, category string, formula string")
+    return own.unionByName(names).withColumns({"active": F.lit(True), "updated_at": F.lit(None).cast("timestamp")})
 
 
-_DEFS = "defs AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', '{f}')" for n, c, f in RATIOS) + ") x(name, category, formula))"
+_NAMED = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', '{f}', {k})" for k, (n, c, f) in enumerate(RATIOS)) + ") x(name, category, formula, k))"
+_DEFS = f"{_NAMED}, defs AS (SELECT CAST(cik AS BIGINT) AS company_id, n.name, n.category, CAST(cik AS VARCHAR) || ' * (' || formula || ')' AS formula FROM company, names n WHERE (cik + k) % 5 = 0 UNION ALL SELECT NULL, name, category, formula FROM names)"
 
 
 def definitions_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions after a change, a soft deletion, an export and an import."""
-    rows = _definitions(spark)
+    """All companies' definitions after a change, a soft deletion, an export and an import."""
+    rows = _definitions(spark, sf_dir)
     changes = rows.filter("category = 'liquidity'").select("company_id", "name", F.lit(None).cast("string").alias("category"), F.concat(F.lit("1 * "), "formula").alias("formula"))
     state = de.retired(de.updated(rows, changes, AT), rows.filter("category = 'growth'"), AT)
-    return de.imported(de.exported(state), AT).select("name", "category", "formula", "active")
+    return de.imported(de.exported(state), AT).select("company_id", "name", "category", "formula", "active")
+
+
+def formula_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of every company that differ from the catalogue's, and names that it lacks."""
+    rows = _definitions(spark, sf_dir)
+    stored = rows.filter("company_id is not null").select("company_id", F.col("name").alias("ratio_name"), F.when(F.col("company_id") % 2 == 0, F.regexp_extract("formula", r"\((.*)\)$", 1)).otherwise(F.col("formula")).alias("formula"))
+    common = F.array(*(F.struct(F.lit(n).alias("ratio_name"), F.lit(f).alias("formula")) for n, _, f in RATIOS))
+    catalog = view(spark, sf_dir, "company").select(F.col("cik").cast("bigint").alias("company_id"), F.inline(common))
+    return su.drift(catalog, stored, ["company_id", "ratio_name"])
 
 
 def used_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = su.nested(fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False), ["cik", "period_end_date"])
-    return de.used_in(reports, _definitions(spark), ["cik", "period_end_date"])
+    return de.used_in(reports, _definitions(spark, sf_dir).filter("company_id is null"), ["cik", "period_end_date"])
 
 
-USED = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), {_DEFS}, u AS (SELECT ratio_name AS name, count(DISTINCT (cik, period_end_date)) AS reports FROM long_ WHERE v IS NOT NULL GROUP BY ratio_name) SELECT name, reports, category, formula FROM u JOIN defs USING (name)")
+USED = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), {_NAMED}, u AS (SELECT ratio_name AS name, count(DISTINCT (cik, period_end_date)) AS reports FROM long_ WHERE v IS NOT NULL GROUP BY ratio_name) SELECT name, reports, category, formula FROM u JOIN names USING (name)")
 
 
 # state --------------------------------------------------------------------------------------------------------------
@@ -271,8 +286,9 @@ QUERIES = {
     "ltm_subset": (lambda s, d: relational._statements(s, d).filter("data_source = 'LTM'").select("cik", "period_end_date", "total_revenue"), oracle(f"WITH {relational._ST} SELECT cik, period_end_date, total_revenue FROM st WHERE data_source = 'LTM'")),
     "statement_kinds": (statement_kinds, oracle("SELECT cik, fiscal_year, count(DISTINCT t) AS kinds FROM (SELECT cik, fiscal_year, 'i' AS t FROM income UNION ALL SELECT cik, fiscal_year, 'c' FROM cash_flow UNION ALL SELECT cik, fiscal_year, 'b' FROM balance) GROUP BY ALL")),
     "raw_value": (raw_value, RAW),
-    "definitions_state": (definitions_state, f"WITH {_DEFS} SELECT name, category, CASE WHEN category = 'liquidity' THEN '1 * ' || formula ELSE formula END AS formula, true AS active FROM defs WHERE category <> 'growth'"),
-    "ratio_categories": (lambda s, d: de.categories(_definitions(s)).select("category", "n", F.array_join("names", ",").alias("names")), f"WITH {_DEFS} SELECT category, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM defs GROUP BY category"),
+    "definitions_state": (definitions_state, oracle(f"WITH {_DEFS} SELECT company_id, name, category, CASE WHEN category = 'liquidity' THEN '1 * ' || formula ELSE formula END AS formula, true AS active FROM defs WHERE category <> 'growth'")),
+    "formula_drift": (formula_drift, oracle(f"WITH {_NAMED} SELECT CAST(cik AS BIGINT) AS company_id, n.name AS ratio_name, formula AS wanted, CASE WHEN (cik + k) % 5 = 0 THEN CAST(cik AS VARCHAR) || ' * (' || formula || ')' END AS found FROM company, names n WHERE (cik + k) % 5 <> 0 OR cik % 2 = 1")),
+    "ratio_categories": (lambda s, d: de.categories(_definitions(s, d)).select("category", "n", F.array_join("names", ",").alias("names")), oracle(f"WITH {_DEFS} SELECT category, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM defs GROUP BY category")),
     "used_definitions": (used_definitions, USED),
     "reverse_mapping": (lambda s, d: de.tags_of_columns(fundamentals._fact(s, d)).select("column", F.array_join("tags", ",").alias("tags")), fundamentals._fact_oracle("""SELECT "column", string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT tag, CASE WHEN lower(tag) IN ('revenues', 'salesrevenuenet') THEN 'total_revenue' WHEN tag = 'CostOfRevenue' THEN 'cost_of_revenue' WHEN tag = 'NetIncomeLoss' THEN 'net_income' END AS "column" FROM fact WHERE tag <> 'UnknownTag') GROUP BY "column" """)),
     "company_reset": (company_reset, oracle("SELECT cik, count(*) AS n FROM income WHERE cik NOT IN (SELECT cik FROM company WHERE sector = 'ASIA') GROUP BY cik")),

@@ -47,21 +47,22 @@ NESTED = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, l
 
 
 def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("roe",), ("Margin",), ("cash",), ("turnover",), ("none such",)], "asked string")
-    return su.by_definition(asked, _catalog(spark)).select("asked", "ratio_name", "category", "tier")
+    """What every company asks for: a name in full, parts of names, and one that there isn't."""
+    asked = view(spark, sf_dir, "company").select("cik", F.element_at(F.array(*map(F.lit, ASKED)), (F.col("cik") % len(ASKED) + 1).cast("int")).alias("asked"))
+    return su.by_definition(asked, _catalog(spark)).select("cik", "asked", "ratio_name", "category", "tier")
 
 
-def formula_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _catalog(spark).filter("ratio_name <> 'ROE'").withColumn("formula", F.when(F.col("category") == "growth", "changed").otherwise(F.col("formula")))
-    return su.drift(_catalog(spark), stored)
+ASKED = ("roe", "Margin", "cash", "turnover", "none such")
+LOOKUP = oracle(f"""WITH {_NAMES}, a AS (SELECT cik, list_extract({list(ASKED)}, CAST(cik % {len(ASKED)} + 1 AS INT)) AS asked FROM company), m AS (SELECT a.cik, a.asked, n.*, CASE WHEN lower(asked) = lower(ratio_name) THEN 0 ELSE 1 END AS tier FROM a JOIN names n ON contains(lower(ratio_name), lower(asked)))
+SELECT cik, asked, ratio_name, category, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY tier, length(ratio_name), ratio_name) AS rn FROM m) WHERE rn = 1""")
 
 
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fu.ratios(fundamentals._periods(spark, sf_dir), RATIOS, VIRTUAL, False).groupBy("ratio_name", "category").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("ratio_name", "n", su.interpretation(F.col("ratio_name"), F.col("category")).alias("says"))
+    return rows.select("ratio_name", "n", su.interpretation(F.col("ratio_name")).alias("says"))
 
 
-_SAYS = "CASE lower(ratio_name) " + " ".join(f"WHEN '{n}' THEN '" + t.replace("'", "''") + "'" for n, t in su.SAYS.items()) + " ELSE CASE category " + " ".join(f"WHEN '{n}' THEN '" + t.replace("'", "''") + "'" for n, t in su.SAYS_OF_CATEGORY.items()) + " ELSE 'Helps to analyse the performance of a company.' END END"
+_SAYS = "CASE ratio_name " + " ".join(f"WHEN '{n}' THEN '" + t.replace("'", "''") + "'" for n, t in su.SAYS.items()) + " END"
 INTERPRET = oracle(f"WITH {fundamentals._PERIODS}, {fundamentals._virtual_sql()}, long_ AS ({fundamentals._ratio_sql()}), r AS (SELECT ratio_name, category, count(*) AS n FROM long_ WHERE v IS NOT NULL GROUP BY ALL) SELECT ratio_name, n, {_SAYS} AS says FROM r")
 
 
@@ -101,8 +102,7 @@ QUERIES = {
     "latest_ltm": (latest_ltm, oracle(f"WITH {fundamentals._LTM_INCOME} SELECT cik, period_end_date, total_revenue, calculation_method FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY period_end_date DESC) AS rn FROM ltm_) WHERE rn = 1")),
     "adhoc_metric": (lambda s, d: su.adhoc(view(s, d, "income"), "metric", ["total_revenue"], ["cost_of_revenue", "research_and_development"]).select("cik", "period_end_date", "period_length_months", "metric"), oracle("SELECT cik, period_end_date, period_length_months, coalesce(total_revenue, 0) - coalesce(cost_of_revenue, 0) - coalesce(research_and_development, 0) AS metric FROM income")),
     "nested_ratios": (nested_ratios, NESTED),
-    "definition_lookup": (definition_lookup, f"WITH {_NAMES}, m AS (SELECT a.asked, n.*, CASE WHEN lower(asked) = lower(ratio_name) THEN 0 ELSE 1 END AS tier FROM (VALUES ('roe'), ('Margin'), ('cash'), ('turnover'), ('none such')) a(asked) JOIN names n ON contains(lower(ratio_name), lower(asked))) SELECT asked, ratio_name, category, tier FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY tier, length(ratio_name), ratio_name) AS rn FROM m) WHERE rn = 1"),
-    "formula_drift": (formula_drift, f"WITH {_NAMES} SELECT ratio_name, formula AS wanted, CASE WHEN ratio_name <> 'ROE' THEN 'changed' END AS found FROM names WHERE ratio_name = 'ROE' OR category = 'growth'"),
+    "definition_lookup": (definition_lookup, LOOKUP),
     "ratio_interpretation": (interpretations, INTERPRET),
     "consecutive_growth": (lambda s, d: su.consecutive_growth(view(s, d, "income").filter("period_type = 'FY' and total_revenue is not null"), "total_revenue"), oracle("SELECT a.cik, a.fiscal_year, floor(CAST(a.total_revenue - b.total_revenue AS DOUBLE) / b.total_revenue * 1e6 + 0.5) / 1e6 AS growth FROM income a JOIN income b ON a.cik = b.cik AND b.fiscal_year = a.fiscal_year - 1 AND b.period_type = 'FY' WHERE a.period_type = 'FY' AND a.total_revenue IS NOT NULL AND b.total_revenue <> 0")),
     "quarter_sort": (quarter_sort, oracle("SELECT DISTINCT concat(period_type, '-', CAST(fiscal_year AS VARCHAR)) AS label, CASE WHEN period_type <> 'FY' THEN fiscal_year END AS year, CASE WHEN period_type <> 'FY' THEN CAST(substr(period_type, 2, 1) AS INT) END AS quarter FROM income")),

@@ -70,7 +70,7 @@ def filing_stats(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.min("filing_date").alias("first"), F.max("filing_date").alias("last"))
 
 
-#: Header lines of filings: name and pattern.
+#: Header lines of filings, name and pattern.
 HEADER = {
     "company_name": r"COMPANY CONFORMED NAME:\s*([^\r\n]+)",
     "form_type": r"CONFORMED SUBMISSION TYPE:\s*([^\r\n]+)",

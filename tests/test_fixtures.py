@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import fiscal, formula, period, text as tx
 from tallyframe.functions.catalog import RATIOS, TAGS, VIRTUAL
-from tallyframe.operators import alignment as al, chunks, facts, fundamentals as fu, news, prices, relational as rel, search, transcripts, usage
+from tallyframe.operators import alignment as al, chunks, facts, fundamentals as fu, news, prices, relational as rel, search, summaries as su, transcripts, usage
 
 HEAD = "cik long, ticker string, period_end_date date, fiscal_year int, period_type string, period_length_months int"
 D = dt.date.fromisoformat
@@ -396,6 +396,15 @@ def test_sections():
     assert tx.nearest_section("MD&A", allowed) == allowed[0]
     assert tx.nearest_section("risk factor", allowed) == allowed[1]
     assert tx.nearest_section("Financial Statements", allowed) == allowed[2] and tx.nearest_section("", allowed) is None
+    assert tx.nearest_section("Liquidity", allowed) is None and tx.nearest_section(None, allowed) is None and tx.nearest_section("Risk", []) is None
+
+
+def test_ratios_in_words(spark):
+    assert su.SAYS["ROE"] == "Earning power: net income over total stockholders equity." and len(su.SAYS) == len(RATIOS)
+    assert su.SAYS["Revenue_Growth_YoY"] == "Change over a year: yoy growth of total revenue."
+    df = spark.createDataFrame([("ROE", "net_income / total_stockholders_equity"), ("x", "COALESCE(ebitda, 0) - 2 * odd")], "ratio_name string, formula string")
+    got = sorted((r.ratio_name, r.field, r.read_from) for r in su.guidance(df).collect())
+    assert got == [("ROE", "net_income", "income_statement"), ("ROE", "total_stockholders_equity", "balance_sheet"), ("x", "ebitda", "virtual"), ("x", "odd", "unknown")]
     out = dict(chunks.item_sections("x " * 80 + "Item 1. Business we do things Item 1A. Risk Factors many risks", {"business": r"item 1\. ", "risk": r"item 1a\. "}))
     assert out["business"].startswith("Item 1. Business") and "many risks" in out["risk"] and out["unclassified"].startswith("x x")
 
