@@ -1,10 +1,10 @@
 """Exact duplicates through static binary-fuse filters.
 
-A batch of documents is held against an immutable snapshot. For each bucket of digests the snapshot has one binary-fuse
-filter (9 bits a digest). Digests of the batch are first grouped among themselves, map-side, so that a group of copies of
-any size is one row; the groups pass through the filter of their bucket; what passes joins the snapshot's exact digests,
-and the two representatives are compared byte for byte. No group is ever gathered in one task: all that moves by digest
-are partial counts, and the join that hands each document its group may be split by AQE.
+A batch of documents is held against an immutable snapshot, a set of tables written once: the digests of its different texts, and for each bucket
+of digests one binary-fuse filter (9 bits a digest). Any number of batches can be screened by it (`snapshot_of`, `open_snapshot`, `screened`). Digests of the batch are first grouped among
+themselves, map-side, so that a group of copies of any size is one row; the groups pass through the filter of their bucket, a large batch in parts of a bucket;
+what passes joins the snapshot's exact digests, and the two representatives are compared byte for byte. No group is ever gathered in one task: all that
+moves by digest are partial counts, and the join that hands each document its group may be split by AQE.
 
 Defined results: null text counts as empty; rows that repeat a doc_id and its text are members of one group, of which one
 row stays; a null doc_id is smaller than any other; an empty table gives an empty result; other columns are not touched.
@@ -12,9 +12,11 @@ row stays; a null doc_id is smaller than any other; an empty table gives an empt
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -120,6 +122,42 @@ def _digested(docs: DataFrame, text_col: str) -> DataFrame:
 KEY = ["digest", "n_bytes", "second"]
 
 
+@dataclass
+class Snapshot:
+    """groups: KEY, top (id and rid of the row that stays), size, one row for each different text. filters: bucket and its filter. Both are stored; neither ever changes."""
+
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def snapshot_of(groups: DataFrame) -> Snapshot:
+    """The snapshot of groups of equal texts (a stored table): its filters are built and written once."""
+    buckets = max(LEAST_BUCKETS, -(-groups.count() // KEYS_A_BUCKET))
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
+    return Snapshot(groups, stored(groups.select(bucket, "digest").groupBy("bucket").applyInArrow(_build, "bucket long, filter binary"), "filters"), buckets)
+
+
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Writes a snapshot to a folder, for open_snapshot()."""
+    snapshot.groups.write.parquet(f"{path}/groups")
+    snapshot.filters.withColumn("buckets", F.lit(snapshot.buckets)).write.parquet(f"{path}/filters")
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    filters = spark.read.parquet(f"{path}/filters")
+    first = filters.select("buckets").first()
+    return Snapshot(spark.read.parquet(f"{path}/groups"), filters.drop("buckets"), first[0] if first else LEAST_BUCKETS)
+
+
+def screened(new: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """digest: those of new (digest, ..., a row each) that the snapshot's filters let pass: all that the snapshot has, and one other in 256. A group is a part of a bucket, of about KEYS_A_BUCKET digests at most."""
+    parts = max(1, -(-new.count() // (snapshot.buckets * KEYS_A_BUCKET)))
+    bucket, part = F.pmod(F.xxhash64("digest"), F.lit(snapshot.buckets)), F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(parts))
+    filters = snapshot.filters.select(F.col("bucket").alias("of"), "filter", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("of_part"))
+    return new.select(bucket.alias("bucket"), part.alias("part"), "digest").groupBy("bucket", "part").cogroup(filters.groupBy("of", "of_part")).applyInArrow(_screen, "digest binary")
+
+
 def find_copies(docs: DataFrame, in_snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, groups) of equal texts in the snapshot and the batch together.
 
@@ -130,11 +168,7 @@ def find_copies(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     documents = stored(_digested(own, "own_text").drop("own_text").withColumn("rid", F.monotonically_increasing_id()), "digests")
     both = stored(documents.groupBy(*KEY, "snap").agg(F.max(F.struct("id", "rid")).alias("top"), F.count(F.lit(1)).alias("size")), "copygroups")
     old, new = both.filter("snap").drop("snap"), both.filter("not snap").drop("snap")
-    most = both.groupBy("snap").count().agg(F.max("count")).first()[0] or 0  # the larger side: a task holds a bucket of each
-    buckets = max(LEAST_BUCKETS, -(-most // KEYS_A_BUCKET))
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
-    filters = old.select(bucket, "digest").groupBy("bucket").applyInArrow(_build, "bucket long, filter binary")
-    hits = new.select(bucket, "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "digest binary")
+    hits = screened(new, snapshot_of(old))
     exact = old.select(*KEY, F.col("top").alias("old_top"), F.col("size").alias("old_size"))
     positives = stored(new.join(hits, "digest", "left_semi").join(exact, KEY), "positives")
     merged = positives.join(_equal_bytes(own, positives), "digest", "left_semi").select(*KEY, F.greatest("top", "old_top").alias("top"), (F.col("size") + F.col("old_size")).alias("size"))

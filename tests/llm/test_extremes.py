@@ -65,7 +65,7 @@ def test_copies_among_rows_of_one_id(spark):
 
 
 def test_batch_far_larger_than_snapshot(spark, monkeypatch):
-    """Buckets follow the larger side."""
+    """A bucket of a large batch goes in parts."""
     monkeypatch.setattr(dedup, "LEAST_BUCKETS", 1)
     monkeypatch.setattr(dedup, "KEYS_A_BUCKET", 100)
     rows = [(i, f"t{i % 3000}") for i in range(6000)]
@@ -73,3 +73,16 @@ def test_batch_far_larger_than_snapshot(spark, monkeypatch):
     documents, groups = dedup.find_copies(docs, F.col("doc_id") < 5)
     got = {r.id: r.keep for r in documents.join(groups, dedup.KEY).select("id", F.col("top.id").alias("keep")).collect()}
     assert got == {i: i % 3000 + 3000 for i in range(6000)}
+
+
+def test_snapshot_is_kept_with_its_filters(spark, tmp_path):
+    """A saved snapshot screens several batches: no digest of it is ever missed, few others pass."""
+    texts = lambda low, high: spark.createDataFrame([(f"t{i}",) for i in range(low, high)], "text string")
+    digests = lambda low, high: dedup._digested(texts(low, high), "text").select(*dedup.KEY, F.struct(F.lit(1).cast("long").alias("id"), F.lit(2).cast("long").alias("rid")).alias("top"), F.lit(1).cast("long").alias("size"))
+    dedup.save_snapshot(dedup.snapshot_of(digests(0, 5000)), f"file://{tmp_path}/s")
+    kept = dedup.open_snapshot(spark, f"file://{tmp_path}/s")
+    for low, high, least in ((0, 5000, 5000), (2500, 7500, 2500), (6000, 9000, 0)):
+        passed = dedup.screened(digests(low, high), kept)
+        n = passed.count()
+        assert passed.join(kept.groups, "digest", "left_semi").count() == least and n - least < 80
+    assert dedup.screened(digests(0, 0), kept).count() == 0
