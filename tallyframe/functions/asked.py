@@ -54,6 +54,25 @@ def filters_of(question: str, given: dict | None = None) -> dict:
     return last_quarter_is_the_year(single(out))
 
 
+#: Words by which a question on calls means a kind of speaker or a part of the call; the first kind that is met decides.
+ROLES = {"ceo": ["ceo", "chief executive"], "cfo": ["cfo", "chief financial"], "management": ["management", "executives", "leadership"], "analyst": ["analyst", "analysts", "analyst questions"]}
+PARTS = {"remarks": ["outlook", "guidance", "forecast", "future"], "questions": ["question", "q&a", "analyst question"]}
+
+
+def call_filters(question: str, names: dict[str, list[str]] | None = None) -> dict:
+    """Filters that a question on calls names: the first quarter, a role (a kind of ROLES, or by the names of a company's people, given by role), a part of the call."""
+    low, out = question.lower(), {}
+    if quarters := filters_of(question).get("fiscal_quarter") or re.findall(r"\bq4\b", low):
+        out["quarter"] = f"Q{sorted(quarters)[0].removeprefix('q')}"
+    elif "fourth quarter" in low:
+        out["quarter"] = "Q4"
+    for kind, table, more in (("role", ROLES, names or {}), ("part", PARTS, {})):
+        found = next((k for k, words in table.items() if any(w in low for w in [*words, *(n.lower() for n in more.get(k, []))])), None)
+        if found:
+            out[kind] = found
+    return out
+
+
 def single(filters: dict) -> dict:
     """Lists of one value as the value."""
     return {k: v[0] if isinstance(v, list) and len(v) == 1 and k != "periods" else v for k, v in filters.items()}

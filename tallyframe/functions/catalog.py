@@ -195,3 +195,23 @@ RATIOS = [
     ("Revenue_Growth_YoY", "growth", "YOY_GROWTH(total_revenue)"),
     ("EBITDA_Growth_YoY", "growth", "YOY_GROWTH(ebitda)"),
 ]
+
+#: Other names by which ratios are asked for, by category.
+ASKED_RATIOS = {
+    "liquidity": "current_ratio quick_ratio cash_ratio working_capital_ratio".split(),
+    "leverage": "debt_to_equity debt_to_assets interest_coverage_ratio debt_service_coverage equity_ratio financial_leverage".split(),
+    "efficiency": "working_capital_turnover asset_turnover receivables_turnover inventory_turnover days_sales_outstanding days_inventory_outstanding days_payable_outstanding cash_conversion_cycle".split(),
+    "profitability": "gross_margin operating_margin ebitda_margin net_margin return_on_equity return_on_assets return_on_invested_capital".split(),
+    "growth": "revenue_growth earnings_growth asset_growth".split(),
+    "valuation": "price_to_earnings price_to_book ev_to_ebitda price_to_sales peg_ratio ev_to_sales price_to_free_cash_flow".split(),
+}
+#: Parts of an unknown ratio's name that tell its category, the first list with a match deciding; else it is the last.
+CATEGORY_WORDS = {
+    "liquidity": "liquid current quick".split(),
+    "leverage": "debt leverage coverage".split(),
+    "efficiency": "turnover days efficiency".split(),
+    "profitability": "margin return profit".split(),
+    "growth": ["growth"],
+    "valuation": "price ev valuation".split(),
+}
+OTHER_CATEGORY = "profitability"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import TAGS
+from ..functions.catalog import ASKED_RATIOS, CATEGORY_WORDS, OTHER_CATEGORY, RATIOS, TAGS
 
 DEFINITION = "struct<company_id: bigint, name: string, category: string, formula: string>"
 KEY = ["company_id", "name"]
@@ -62,3 +62,19 @@ def tags_of_columns(facts: DataFrame, tags: dict[str, str] = TAGS) -> DataFrame:
     from .facts import mapped
 
     return mapped(facts, tags).select("column", "tag").distinct().groupBy("column").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+
+
+def categories_asked(asked: DataFrame, key: list[str], names: str = "ratios") -> DataFrame:
+    """key and the categories (in order, without repeats) of the ratios asked for (an array): by the catalog's names or the others that they go by, in any case, spaces and dashes as underscores; of an unknown name by a part of it. Null names have none. The dimension is a constant of the plan."""
+    known = {n.lower(): c for n, c, _ in RATIOS} | {n: c for c, own in ASKED_RATIOS.items() for n in own}
+    dimension = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+
+    def category(name: Column) -> Column:
+        plain = F.translate(F.lower(F.trim(name)), " -", "__")
+        guess = F.lit(OTHER_CATEGORY)
+        for c, words in reversed(CATEGORY_WORDS.items()):
+            guess = F.when(plain.rlike("|".join(words)), c).otherwise(guess)
+        return F.when(name.isNotNull(), F.coalesce(F.try_element_at(dimension, plain), guess))
+
+    found = F.filter(F.transform(names, category), lambda c: c.isNotNull())
+    return asked.select(*key, F.array_sort(F.array_distinct(found)).alias("categories"))

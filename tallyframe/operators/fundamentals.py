@@ -312,6 +312,13 @@ def ratios(periods: DataFrame, definitions: list[tuple[str, str, str]], virtual:
     return wide.select(*head, F.inline(F.array(*parts))).filter("ratio_value is not null")
 
 
+def with_ratios(periods: DataFrame, long: DataFrame, names: list[str]) -> DataFrame:
+    """periods (cik, period_end_date, data_source, ...) with a column for each ratio of names, from rows of ratios(); null where it can't be computed."""
+    key = ["cik", "period_end_date", "data_source"]
+    wide = long.groupBy(*key).agg(*(F.max(F.when(F.col("ratio_name") == n, F.col("ratio_value"))).alias(n) for n in names))
+    return periods.join(wide, key, "left")
+
+
 def growth(periods: DataFrame, fields: list[str], low: int = 330, high: int = 450) -> DataFrame:
     """Year-over-year growth: of the periods 330 to 450 days before, the one nearest to 365 (a tie goes to the later date, then to LTM). No row if it is 0 or null.
 

@@ -146,9 +146,12 @@ def relaxed(rows: DataFrame, filters: list[Column]) -> DataFrame:
 
 
 def last_reports(rows: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """Rows of the n latest reports of each key: fiscal year, and in it the yearly report after the quarters."""
+    """Rows of the n latest reports of each key: fiscal year, and in it the yearly report after the quarters. Reports are ranked, not their rows: however many rows a report has, a task gets one of it."""
     order = F.col("fiscal_year").cast("int") * 10 + F.when(F.col("form_type") == "10-K", 5).otherwise(F.expr("try_cast(fiscal_quarter as int)"))
-    return rows.withColumn("report", order).withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc("report")))).filter(F.col("_r") <= n).drop("_r")
+    own = rows.withColumn("report", order)
+    latest = own.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("report").alias("_report")).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*(f"_{k}" for k in key)).orderBy(F.desc("_report")))).filter(F.col("_r") <= n)
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*key, "report"]))
+    return own.join(latest, on, "left_semi")
 
 
 def filter_summary(rows: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:

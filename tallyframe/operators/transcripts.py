@@ -55,6 +55,25 @@ def features(rows: DataFrame, call: str = "conv_id", seq: str = "seq") -> DataFr
     )
 
 
+#: What calls say of their results, their outlook and their business; a pattern doesn't go beyond a line.
+INSIGHTS = {
+    "beat_consensus": "beat|exceed|above consensus",
+    "missed_estimates": "miss|below|disappointed",
+    "guidance_raised": r"\b(?:raise|raising|increased|improving)\b.*\b(?:guidance|outlook)\b",
+    "guidance_lowered": r"\b(?:lower|lowering|reduced|cut)\b.*\b(?:guidance|outlook)\b",
+    "new_products_mentioned": r"\b(?:new product|launch|introduce)\b",
+    "partnerships_mentioned": r"\b(?:partnership|alliance|collaboration)\b",
+    "acquisitions_mentioned": r"\b(?:acquisition|acquire|merger|bought)\b",
+    "expansion_mentioned": r"\b(?:expansion|expand|growing|growth)\b",
+}
+
+
+def insights(rows: DataFrame, call: str = "conv_id", text: str = "content") -> DataFrame:
+    """A row for each call and a flag for each of INSIGHTS: whether any turn says it. Partial before it moves; no text is gathered."""
+    low = F.lower(text)
+    return rows.groupBy(call).agg(*(F.coalesce(F.bool_or(low.rlike(pattern)), F.lit(False)).alias(name) for name, pattern in INSIGHTS.items()))
+
+
 def speaker_chunks(rows: DataFrame, call: str = "conv_id", seq: str = "seq", words: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
     """Turns in pieces of so many words, every piece of a long turn; with further columns to keep."""
     split = F.filter(F.split("content", r"\s+"), lambda w: w != "")

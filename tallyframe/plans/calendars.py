@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendars as ca, fundamentals as fu, structure as sr
+from ..functions.catalog import ASKED_RATIOS, CATEGORY_WORDS, RATIOS
+from ..operators import calendars as ca, definitions as de, fundamentals as fu, structure as sr, transcripts as tr
 from ..sources import landed_calls as lc
 from ..sources.partitioned import Partitioned
 from ..sources.scratch import folder
@@ -146,7 +147,38 @@ STRUCTURE = oracle(f"""WITH {_STRUCTURE} SELECT conv_id, section, md5(text) AS t
 RECORDS = oracle(f"""WITH {_STRUCTURE}, p AS (SELECT conv_id, string_agg(speaker, ',' ORDER BY f) AS participants FROM (SELECT conv_id, speaker, min(seq) AS f FROM s GROUP BY ALL) GROUP BY conv_id)
 SELECT conv_id, participants, CAST(sum(turns) AS BIGINT) AS turns, md5(string_agg(upper(section) || chr(10) || repeat('-', length(section)) || chr(10) || text, chr(10) || chr(10) ORDER BY section)) AS text_md5 FROM x JOIN p USING (conv_id) GROUP BY conv_id, participants""")
 
+#: What the calls of one in seven companies say, put in by key.
+SAID = ("we beat consensus", "they were disappointed", "raising our full year guidance", "we cut the outlook", "a new product", "an alliance and a merger", "")
+
+
+def call_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "entry")
+    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("seq")) % len(SAID) + 1).cast("int"))
+    return tr.insights(rows.withColumn("content", F.concat("content", F.lit("\nWell, "), said)))
+
+
+_FLAGS = ", ".join(f"bool_or(regexp_matches(low, '{p}')) AS {n}" for n, p in tr.INSIGHTS.items())
+CALL_INSIGHTS = oracle(f"WITH l AS (SELECT conv_id, lower(content || chr(10) || 'Well, ' || list_extract({list(SAID)}, CAST((conv_id + seq) % {len(SAID)} + 1 AS INT))) AS low FROM entry) SELECT conv_id, {_FLAGS} FROM l GROUP BY conv_id")
+
+
+#: Names of the catalog, other names, and names of no ratio that is known.
+ASKS = ["ROE", "Cash Ratio", "Revenue_Growth_YoY", *(n for own in ASKED_RATIOS.values() for n in own), "quick look", "days of debt", "price level", "no such ratio"]
+
+
+def asked_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of the four ratios that every company asks for."""
+    picked = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.element_at(F.array(*map(F.lit, ASKS)), (F.pmod(F.col("cik") * (j + 1) + j * 11, F.lit(len(ASKS))) + 1).cast("int")))
+    return de.categories_asked(view(spark, sf_dir, "company").select("cik", picked.alias("ratios")), ["cik"]).select("cik", F.array_join("categories", ",").alias("categories"))
+
+
+_KNOWN = ", ".join(f"('{n}', '{c}')" for n, c in ({n.lower(): c for n, c, _ in RATIOS} | {n: c for c, own in ASKED_RATIOS.items() for n in own}).items())
+_GUESS = "CASE " + " ".join(f"WHEN regexp_matches(n, '{'|'.join(words)}') THEN '{c}'" for c, words in CATEGORY_WORDS.items()) + " ELSE 'profitability' END"
+ASKED_FOR = oracle(f"""WITH a AS (SELECT cik, translate(lower(list_extract({ASKS}, CAST((cik * (j + 1) + j * 11) % {len(ASKS)} + 1 AS INT))), ' -', '__') AS n FROM company, range(0, 4) t(j)), k(n, c) AS (VALUES {_KNOWN})
+SELECT cik, string_agg(DISTINCT coalesce(c, {_GUESS}), ',' ORDER BY coalesce(c, {_GUESS})) AS categories FROM a LEFT JOIN k USING (n) GROUP BY cik""")
+
 QUERIES = {
+    "call_insights": (call_insights, CALL_INSIGHTS),
+    "asked_categories": (asked_categories, ASKED_FOR),
     "fiscal_info": (fiscal_info, INFO),
     "fiscal_calendar": (fiscal_calendar, CALENDAR),
     "fiscal_sales": (fiscal_sales, SALES),

@@ -289,6 +289,16 @@ def ratios_ltm_fy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(fu.growth_ratios(written(grown), RATIOS, {}).select(*plain.columns))
 
 
+def company_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame of every company: LTM and fiscal years with figures of all three statements and their ratios."""
+    periods = _all_periods(spark, sf_dir)
+    long = fu.ratios(periods, RATIOS, VIRTUAL, False)
+    return fu.with_ratios(periods.select("cik", "period_end_date", "data_source", "total_revenue", "net_cash_from_operating_activities", "inventory"), long, FRAME)
+
+
+FRAME = ["ROE", "Net_Margin", "Current_Ratio", "Debt_to_Equity", "Asset_Turnover"]
+
+
 def growth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth of revenue, EBIT and EBITDA over LTM and fiscal years."""
     periods = with_virtual_fields(_all_periods(spark, sf_dir), VIRTUAL).select("cik", "ticker", "period_end_date", "data_source", "total_revenue", "ebit", "ebitda")
@@ -301,6 +311,8 @@ grown AS (SELECT n.*, p.period_end_date AS prior_date, p.value AS prior, row_num
   FROM flat n JOIN flat p ON n.cik = p.cik AND n.field = p.field AND date_diff('day', p.period_end_date, n.period_end_date) BETWEEN 330 AND 450),
 growth_ AS (SELECT cik, field, period_end_date, data_source, prior_date, floor((value - prior) / nullif(prior, 0) * 1e6 + 0.5) / 1e6 AS growth FROM grown WHERE rn = 1 AND value IS NOT NULL AND prior <> 0)"""
 _WITH_SOURCE = _ratio_sql().replace("SELECT cik, period_end_date,", "SELECT cik, period_end_date, data_source,")
+COMPANY_FRAME = oracle(f"""WITH {_ALL_PERIODS}, {_virtual_sql()}, long_ AS ({_WITH_SOURCE}), w AS (SELECT cik, period_end_date, data_source, {", ".join(f'max(CASE WHEN ratio_name = {chr(39)}{n}{chr(39)} THEN floor(v * 1e6 + 0.5) / 1e6 END) AS {chr(34)}{n}{chr(34)}' for n in FRAME)} FROM long_ GROUP BY ALL)
+SELECT p.cik, p.period_end_date, p.data_source, p.total_revenue, p.net_cash_from_operating_activities, p.inventory, {", ".join(f'"{n}"' for n in FRAME)} FROM periods p LEFT JOIN w ON p.cik = w.cik AND p.period_end_date = w.period_end_date AND p.data_source = w.data_source""")
 GROWTH_ALL = oracle(f"WITH {_ALL_PERIODS}, {_virtual_sql()}, {_GROWN} SELECT * FROM growth_")
 RATIOS_LTM_FY = oracle(f"""WITH {_ALL_PERIODS}, {_virtual_sql()}, {_GROWN}, long_ AS ({_WITH_SOURCE})
 SELECT cik, period_end_date, data_source, ratio_name, category, floor(v * 1e6 + 0.5) / 1e6 AS ratio_value FROM long_ WHERE v IS NOT NULL
@@ -379,6 +391,7 @@ QUERIES = {
     "ratio_inputs_json": (ratio_inputs, RATIO_INPUTS),
     "growth_yoy": (growth_yoy, GROWTH_YOY),
     "ratios_ltm_fy": (ratios_ltm_fy, RATIOS_LTM_FY),
+    "company_frame": (company_frame, COMPANY_FRAME),
     "growth_all": (growth_all, GROWTH_ALL),
     "fact_pivot_max": (fact_pivot, FACT_PIVOT),
     "fact_fiscal_year_unify": (fact_year, FACT_YEAR),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fiscal, formula, period, text as tx
+from tallyframe.functions import asked, fiscal, formula, period, text as tx
 from tallyframe.functions.catalog import RATIOS, TAGS, VIRTUAL
 from tallyframe.operators import alignment as al, chunks, facts, fundamentals as fu, news, prices, relational as rel, search, summaries as su, transcripts, usage
 
@@ -399,6 +399,12 @@ def test_sections():
     assert tx.nearest_section("Liquidity", allowed) is None and tx.nearest_section(None, allowed) is None and tx.nearest_section("Risk", []) is None
 
 
+def test_filters_of_questions_on_calls():
+    assert asked.call_filters("What did the CEO say in Q3 about guidance?") == {"quarter": "Q3", "role": "ceo", "part": "remarks"}
+    assert asked.call_filters("fourth quarter: what did analysts ask in the Q&A") == {"quarter": "Q4", "role": "analyst", "part": "questions"}
+    assert asked.call_filters("What does Jane Doe expect?", {"cfo": ["Jane Doe"]}) == {"role": "cfo"} and asked.call_filters("") == {}
+
+
 def test_ratios_in_words(spark):
     assert su.SAYS["ROE"] == "Earning power: net income over total stockholders equity." and len(su.SAYS) == len(RATIOS)
     assert su.SAYS["Revenue_Growth_YoY"] == "Change over a year: yoy growth of total revenue."
