@@ -121,7 +121,8 @@ def with_ebitda(income: DataFrame, cash_flow: DataFrame) -> DataFrame:
 
 def completeness(prefix: str, names: list[str]) -> Column:
     """Percentage of fields that are neither null nor zero (0 if there is no such row)."""
-    return reduce(lambda a, b: a + b, (F.coalesce(truthy(F.col(f"{prefix}{n}")).cast("int"), F.lit(0)) for n in names)) * F.lit(100.0) / F.lit(float(len(names)))
+    held = " + ".join(f"coalesce(int({prefix}{n} <> 0), 0)" for n in names)
+    return F.expr(f"({held}) * 100.0D / {len(names)}.0D")
 
 
 def _renamed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
@@ -137,14 +138,14 @@ def _first(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
 MONTHS = {1: (-12, -10), 2: (-13, -10), 11: (-14, -11), 12: (-14, -12)}
 
 
-def _with_year_before(statements: DataFrame, names: list[str]) -> DataFrame:
-    """statements with is_full (the last FY row of a fiscal year), of_full (FY, or of the date of such a row), the values of the fiscal year before (y_...) and of the same months of the calendar year before (p_...: months of the year at most 2 apart, without wrapping; the latest).
+def _with_year_before(statements: DataFrame, names: list[str], need: list[str]) -> DataFrame:
+    """statements with _filled (completeness by the fields of need), is_full (the last FY row of a fiscal year), of_full (FY, or of the date of such a row), and as structs the values of the fiscal year before (_y) and of the same months of the calendar year before (_p: months of the year at most 2 apart, without wrapping; the latest).
 
     All by windows of one company, so rows that lie by company already move no more."""
     month = F.year("period_end_date") * 12 + F.month("period_end_date")
     yearly = F.col("period_type") == "FY"
     rank = F.row_number().over(Window.partitionBy("cik", "fiscal_year", "period_type").orderBy(F.desc("period_end_date")))
-    rows = statements.withColumn("is_full", yearly & (rank == 1)).withColumn("_month", month).withColumn("_values", F.struct("period_end_date", *names))
+    rows = statements.withColumn("_filled", completeness("", need)).withColumn("is_full", yearly & (rank == 1)).withColumn("_month", month).withColumn("_values", F.struct("period_end_date", "_filled", *names))
     rows = rows.withColumn("of_full", yearly | F.max("is_full").over(Window.partitionBy("cik", "period_end_date")))
     years = Window.partitionBy("cik").orderBy("fiscal_year").rangeBetween(-1, -1)
     rows = rows.withColumn("_y", F.max(F.when(F.col("is_full"), F.col("_values"))).over(years))
@@ -153,9 +154,7 @@ def _with_year_before(statements: DataFrame, names: list[str]) -> DataFrame:
     before = F.when(F.month("period_end_date").between(3, 10), seen(-14, -10))
     for m, (low, high) in MONTHS.items():
         before = before.when(F.month("period_end_date") == m, seen(low, high))
-    rows = rows.withColumn("_p", before)
-    out = rows.select(*statements.columns, "is_full", "of_full", *(F.col(f"_{k}.{n}").alias(f"{k}_{n}") for k in "yp" for n in names), *(F.when(F.col(f"_{k}").isNotNull(), True).alias(f"{k}_here") for k in "yp"))
-    return out
+    return rows.withColumn("_p", before).drop("_month", "_values")
 
 
 def ltm(statements: DataFrame, kind: str = "income") -> DataFrame:
@@ -166,16 +165,16 @@ def ltm(statements: DataFrame, kind: str = "income") -> DataFrame:
     (a row of type FY) are left out. Shares are those of the period."""
     names = measures(statements)
     fields = [n for n in names if n not in SHARES]
-    base = _with_year_before(statements, names)
-    full = base.filter("is_full").select(*statements.columns)
+    base = _with_year_before(statements, names, REQUIRED[kind])
+    full = base.filter("is_full").select(*statements.columns, "_filled")
     base = base.filter("not of_full").drop("is_full", "of_full")
     now = base.select(*statements.columns)
     need = REQUIRED[kind]
-    y, p = F.col("y_here").isNotNull(), F.col("p_here").isNotNull()
-    score = F.when(y & p, (completeness("", need) + completeness("y_", need) + completeness("p_", need)) / 3 > 50).when(y, (completeness("", need) + completeness("y_", need)) / 2 > 40).when(p, (completeness("", need) + completeness("p_", need)) / 2 > 40).otherwise(False)
+    y, p = F.col("_y").isNotNull(), F.col("_p").isNotNull()
+    score = F.when(y & p, (F.col("_filled") + F.col("_y._filled") + F.col("_p._filled")) / 3 > 50).when(y, (F.col("_filled") + F.col("_y._filled")) / 2 > 40).when(p, (F.col("_filled") + F.col("_p._filled")) / 2 > 40).otherwise(False)
     expected = F.element_at(F.create_map(*(F.lit(x) for x in ("Q1", 3, "Q2", 6, "Q3", 9))), F.col("period_type"))
     standard = base.filter((F.col("period_length_months") == expected) & y & ((F.col("period_type") == "Q1") | score))
-    values = {n: F.when(p, F.col(f"y_{n}") + F.col(n) - F.col(f"p_{n}")).otherwise(F.col(f"y_{n}") + F.col(n)) for n in fields}
+    values = {n: F.expr(f"CASE WHEN _p IS NOT NULL THEN _y.{n} + {n} - _p.{n} ELSE _y.{n} + {n} END") for n in fields}
     by_year = standard.select(*HEAD, F.when(p, "standard").otherwise("standard_fy_only").alias("calculation_method"), *(v.alias(n) for n, v in values.items()), *(n for n in names if n in SHARES))
     by_quarter = _quarter_sums(now, full, names, need).join(by_year.select("cik", "period_end_date"), ["cik", "period_end_date"], "left_anti")
     return by_year.unionByName(by_quarter)
@@ -190,17 +189,17 @@ def _quarter_sums(now: DataFrame, full: DataFrame, names: list[str], need: list[
     near = target.join(quarters, "cik").filter((F.col("q_type") <= F.col("period_type")) & F.col("q_year").between(F.col("fiscal_year") - 1, F.col("fiscal_year")))
     this = F.col("q_year") == F.col("fiscal_year")
     aggregates = [F.count_if(this).alias("n_now")]
-    for mark, which in (("c_", this), ("l_", ~this)):
-        aggregates += [F.sum(F.when(which, F.col(f"q_{n}"))).alias(f"{mark}{n}") for n in fields] + [F.count(F.when(which, F.col(f"q_{n}"))).alias(f"{mark}n_{n}") for n in fields]
+    for mark, which, year in (("c_", this, "q_year = fiscal_year"), ("l_", ~this, "q_year <> fiscal_year")):
+        aggregates += [F.expr(f"{how}(CASE WHEN {year} THEN q_{n} END) AS {mark}{name}{n}") for how, name in (("sum", ""), ("count", "n_")) for n in fields]
         aggregates += [F.sum(F.when(which, completeness("q_", need))).alias(f"{mark}score")]
     head = ["cik", "ticker", "period_end_date", "fiscal_year", "period_type", "period_length_months", *[n for n in names if n in SHARES]]
-    sums = near.groupBy(*head).agg(*aggregates).join(_renamed(full, "y_", ["cik", (F.col("fiscal_year") + 1).alias("fiscal_year")]), ["cik", "fiscal_year"])
+    sums = near.groupBy(*head).agg(*aggregates).join(_renamed(full, "y_", ["cik", (F.col("fiscal_year") + 1).alias("fiscal_year"), "_filled"]), ["cik", "fiscal_year"])
     n = F.substring("period_type", 2, 1).try_cast("int")
-    whole = completeness("y_", need)
+    whole = F.col("_filled")
     viable = (whole > 20) & (F.col("n_now") >= n * 0.5) & ((whole + F.coalesce(F.col("c_score"), F.lit(0.0)) / n + F.coalesce(F.col("l_score"), F.lit(0.0)) / n) / 3 > 30)
     least = F.greatest(F.lit(1), F.floor(n / 2))
-    value = lambda f: F.when(F.col(f"c_n_{f}") >= least, F.col(f"y_{f}") + F.col(f"c_{f}") - F.when(F.col(f"l_n_{f}") >= least, F.col(f"l_{f}")).otherwise(0))
-    return sums.filter(viable).select(*HEAD, F.lit("quarterly_sum").alias("calculation_method"), *(value(f).alias(f) for f in fields), *[s for s in names if s in SHARES])
+    value = lambda f: F.expr(f"CASE WHEN c_n_{f} >= _least THEN y_{f} + c_{f} - CASE WHEN l_n_{f} >= _least THEN l_{f} ELSE 0 END END")
+    return sums.filter(viable).withColumn("_least", least).select(*HEAD, F.lit("quarterly_sum").alias("calculation_method"), *(value(f).alias(f) for f in fields), *[s for s in names if s in SHARES])
 
 
 def repaired(df: DataFrame, tolerance: float = 0.1) -> DataFrame:
@@ -262,8 +261,12 @@ def replaced(old: DataFrame, new: DataFrame, at: str, key: list[str] | None = No
 def best_method(rows: DataFrame) -> DataFrame:
     """One LTM row for each company and date: the best method, then the latest calculation."""
     rank = F.coalesce(*(F.when(F.col("calculation_method") == m, k) for k, m in enumerate(METHODS, 1)), F.lit(99))
-    order = [rank, *([F.desc("ltm_calculation_date")] if "ltm_calculation_date" in rows.columns else [])]
-    return _first(rows, ["cik", "period_end_date"], *order, F.col("period_type"))
+    key = ["cik", "period_end_date"]
+    if "ltm_calculation_date" in rows.columns:
+        return _first(rows, key, rank, F.desc("ltm_calculation_date"), F.col("period_type"))
+    values = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(rank, "period_type")).alias("_v"))  # partial before it moves
+    return best.select(*(c if c in key else F.col(f"_v.{c}").alias(c) for c in rows.columns))
 
 
 def nearest(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, key: list[str] = COMPANY) -> DataFrame:
