@@ -113,13 +113,19 @@ class _Text(HTMLParser):
                 self.cell.append(data)
 
 
+def parsed_page(html: str | None) -> _Text:
+    """A page, also one that breaks off within a reference or a tag."""
+    parser = _Text()
+    parser.feed(html or "")
+    parser.close()
+    return parser
+
+
 def html_lines(html: str | None) -> list[str]:
     """Lines of a page's text; those with under 40 % letters and digits, or one character over 10 times in a row, go."""
     import re
 
-    parser = _Text()
-    parser.feed(html or "")
-    lines = (" ".join(x.split()) for x in "".join(parser.parts).split("\n"))
+    lines = (" ".join(x.split()) for x in "".join(parsed_page(html).parts).split("\n"))
     return [x for x in lines if x and sum(c.isalnum() for c in x) >= 0.4 * len(x) and not re.search(r"(.)\1{10,}", x)]
 
 
@@ -131,9 +137,7 @@ def html_tables(df: DataFrame, id_col: str, html_col: str, most_chars: int | Non
     """A row for each table row of a page (cells joined by tabs). If asked for, tables over a size are left out, and rows over a number; by default all are kept."""
 
     def rows(html: str | None) -> list[str]:
-        parser = _Text()
-        parser.feed(html or "")
-        tables = (t for t in parser.tables if most_chars is None or sum(len(c) for r in t for c in r) <= most_chars)
+        tables = (t for t in parsed_page(html).tables if most_chars is None or sum(len(c) for r in t for c in r) <= most_chars)
         return ["\t".join(r) for t in tables for r in t[:most_rows] if r]
 
     return generated(df, id_col, html_col, rows)

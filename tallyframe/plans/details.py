@@ -9,7 +9,7 @@ from ..functions import period, text as tx
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..functions.synonyms import NARRATIVE, NARRATIVE_CUES, PHRASES, SYNONYMS
 from ..operators import chunks as ch, definitions as de, facts, filings as fi, fundamentals as fu, news as nw, prices as pr, relational as re_, search as se, summaries as su, transcripts as tr
-from . import fundamentals, relational, retrieval
+from . import chunk_sql, fundamentals, relational, retrieval
 from .views import oracle, shared, view
 
 AT = "2024-06-01 12:00:00"
@@ -301,9 +301,9 @@ QUERIES = {
     "missing_reports": (missing_reports, oracle("WITH t AS (SELECT DISTINCT ticker FROM chunk), e AS (SELECT ticker, '10-K' AS form_type, CAST(y AS INT) AS fiscal_year, 'FY' AS fiscal_quarter FROM t, range(2014, 2021) r(y) UNION ALL SELECT ticker, '10-Q', CAST(y AS INT), q FROM t, range(2014, 2021) r(y), (VALUES ('1'), ('2'), ('3')) k(q)) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.ticker = e.ticker AND c.form_type = e.form_type AND CAST(c.fiscal_year AS INT) = e.fiscal_year AND (e.form_type = '10-K' OR c.fiscal_quarter = e.fiscal_quarter))")),
     "filing_ticker": (filing_ticker, oracle("SELECT cik, CASE cik % 4 WHEN 0 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'ABCDEFGHIJ') WHEN 1 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'ABCDEFGHIJ') WHEN 2 THEN translate(substr(CAST(cik + 1000 AS VARCHAR), 2, 3), '0123456789', 'KLMNOPQRST') END AS found FROM company")),
     "statement_types": (statement_types, fundamentals._fact_oracle("SELECT tag, CASE WHEN tag = 'UnknownTag' THEN 'unknown' ELSE 'income_statement' END AS statement_type, count(*) AS n FROM fact GROUP BY tag")),
-    "call_chunks": (_call_chunks(ch.call_chunks), None),
-    "turn_chunks": (_call_chunks(ch.turn_chunks), None),
-    "remark_chunks": (_call_chunks(ch.remark_chunks), None),
+    "call_chunks": (_call_chunks(ch.call_chunks), chunk_sql.CALLS),
+    "turn_chunks": (_call_chunks(ch.turn_chunks), chunk_sql.TURNS),
+    "remark_chunks": (_call_chunks(ch.remark_chunks), chunk_sql.REMARKS),
     "call_shares": (call_shares, oracle(r"SELECT speaker, count(*) AS n, floor(sum(length(content)) / count(*) * 10000.0 + 0.5) / 10000.0 AS mean_length, floor(sum(len(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> ''))) / count(*) * 10000.0 + 0.5) / 10000.0 AS mean_words, floor(sum(is_analyst) / count(*) * 10000.0 + 0.5) / 10000.0 AS analysts FROM entry GROUP BY speaker")),
     "call_texts": (call_texts, oracle("WITH s AS (SELECT *, CASE WHEN max(is_analyst) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) = 1 THEN 'questions' ELSE 'remarks' END AS section FROM entry), n AS (SELECT conv_id, section, speaker, count(*) AS n FROM s GROUP BY ALL) SELECT * FROM (SELECT conv_id, section, md5(string_agg(speaker || ': ' || content, chr(10) ORDER BY seq)) AS text_md5 FROM s GROUP BY ALL) JOIN (SELECT conv_id, section, '{{' || string_agg('\"' || speaker || '\":' || CAST(n AS VARCHAR), ',' ORDER BY speaker) || '}}' AS turns FROM n GROUP BY ALL) USING (conv_id, section)".replace("{{", "{").replace("}}", "}"))),
     "money_formats": (money_formats, MONEY),

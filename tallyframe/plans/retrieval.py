@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fiscal, text as tx
 from ..functions.numbers import rounded
 from ..operators import chunks as ch, news as nw, search as se, transcripts as tr, usage as us
+from . import chunk_sql
 from .views import oracle, view
 
 QUERY = "is the of that idiot"
@@ -128,6 +129,12 @@ def _cut(make):
     return lambda spark, sf_dir: make(_chunks(spark, sf_dir), "id", "content").select("id", "seq", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def adaptive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines taken for paragraphs: the texts have no empty lines, so only here short ones are put together."""
+    lines = _chunks(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+    return ch.paragraph_chunks(lines, "id", "content").select("id", "seq", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "news")
 
@@ -198,10 +205,11 @@ QUERIES = {
     "chunk_enrichment": (enrichment, ENRICHMENT),
     "chunk_dedup": (chunk_dedup, DEDUP),
     "text_hash": (hash_dedup, oracle("SELECT text_hash, id, ticker FROM (SELECT id, ticker, md5(content) AS text_hash, row_number() OVER (PARTITION BY md5(content) ORDER BY id) AS rn FROM chunk) WHERE rn = 1")),
-    "sentence_chunks": (_cut(ch.sentence_chunks), None),
-    "adaptive_chunks": (_cut(ch.paragraph_chunks), None),
-    "micro_chunks": (_cut(ch.micro_chunks), None),
-    "html_text": (html_text, None),
+    "sentence_chunks": (_cut(ch.sentence_chunks), chunk_sql.SENTENCES),
+    "adaptive_chunks": (_cut(ch.paragraph_chunks), chunk_sql.PARAGRAPHS),
+    "adaptive_lines": (adaptive_lines, chunk_sql.LINES),
+    "micro_chunks": (_cut(ch.micro_chunks), chunk_sql.MICRO),
+    "html_text": (html_text, chunk_sql.PAGES),
     "section_split": (lambda s, d: tr.split_at_first_analyst(_entries(s, d)).select("conv_id", "seq", "section"), oracle(f"SELECT conv_id, seq, CASE WHEN max(is_analyst) {_U} = 1 THEN 'questions' ELSE 'remarks' END AS section FROM entry")),
     "qa_groups": (lambda s, d: tr.question_chunks(_entries(s, d)).select("conv_id", "group", "primary", "entries", F.md5("text").alias("text_md5")), oracle(f'WITH g AS (SELECT *, CAST(sum(is_analyst) {_U} AS INT) AS g FROM entry) SELECT conv_id, g AS "group", min_by(speaker, seq) FILTER (is_analyst = 0) AS "primary", CAST(count(*) AS INT) AS entries, md5(string_agg(speaker || \': \' || content, chr(10) || chr(10) ORDER BY seq)) AS text_md5 FROM g WHERE g > 0 GROUP BY conv_id, g')),
     "qa_pairs": (lambda s, d: tr.pairs(_entries(s, d)).select("conv_id", "seq", "pair"), oracle(f"WITH {_LOW}, p AS (SELECT conv_id, seq, CAST(sum(CASE WHEN {_ASKED} THEN 1 ELSE 0 END) {_U} AS INT) AS pair FROM l) SELECT * FROM p WHERE pair > 0")),

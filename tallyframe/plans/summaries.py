@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import RATIOS, VIRTUAL
 from ..operators import alignment as al, chunks as ch, facts, fundamentals as fu, news as nw, relational as rel, summaries as su, transcripts as tr, usage as us
-from . import fundamentals, relational
+from . import chunk_sql, fundamentals, relational
 from .views import oracle, shared, view
 
 
@@ -110,7 +110,7 @@ QUERIES = {
     "metadata_correction": (metadata_correction, CORRECTION),
     "html_tables": (html_tables, "SELECT page_id, CASE k WHEN 0 THEN 'k|' || CAST(page_id AS VARCHAR) ELSE 'v|a b' END AS cells FROM pages, (VALUES (0), (1)) x(k)"),
     "period_summaries": (lambda s, d: al.summaries(al.cluster_quarters(relational._aligned(s, d))), relational.SUMMARIES),
-    "speakers": (lambda s, d: tr.question_chunks(view(s, d, "entry").withColumn("speaker", F.initcap("speaker"))).select("conv_id", "group", F.array_join(tr.speakers_of(F.col("text")), ",").alias("speakers")).filter("speakers <> ''").groupBy("speakers").agg(F.count(F.lit(1)).alias("n")), None),
+    "speakers": (lambda s, d: tr.question_chunks(view(s, d, "entry").withColumn("speaker", F.initcap("speaker"))).select("conv_id", "group", F.array_join(tr.speakers_of(F.col("text")), ",").alias("speakers")).filter("speakers <> ''").groupBy("speakers").agg(F.count(F.lit(1)).alias("n")), chunk_sql.SPEAKERS),
     "news_key_points": (lambda s, d: nw.key_points(view(s, d, "news").join(view(s, d, "chunk").select(F.col("id").alias("chunk_id"), "content"), "chunk_id"), "content").select("chunk_id", "point"), oracle("WITH r AS (SELECT chunk_id, published, content FROM news JOIN (SELECT id AS chunk_id, content FROM chunk) USING (chunk_id) ORDER BY published DESC, chunk_id LIMIT 10) SELECT chunk_id, trim(split_part(content, '.', 1)) AS point FROM r WHERE length(trim(split_part(content, '.', 1))) > 20 ORDER BY published DESC, chunk_id LIMIT 8")),
     "confidence_level": (lambda s, d: nw.sentiment(view(s, d, "news"), ["company"]).select("company", us.confidence(F.col("confidence")).alias("c")).agg(us.confidence_level(F.avg("c")).alias("level")), oracle("SELECT CASE WHEN avg(c) >= 2.5 THEN 'high' WHEN avg(c) >= 1.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT CASE WHEN count(*) >= 5 THEN 3 WHEN count(*) >= 2 THEN 2 ELSE 1 END AS c FROM news GROUP BY company)")),
 }

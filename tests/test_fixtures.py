@@ -420,6 +420,12 @@ def test_html():
     assert chunks.html_lines(page) == ["Some plain text here.", "a", "1"] or "Some plain text here." in chunks.html_lines(page)
 
 
+def test_pages_that_break_off():
+    assert chunks.html_lines("<p>One of many</p><p>Salt &amp") == ["One of many", "Salt &"]
+    assert chunks.html_lines("<p>Salt &am") == ["Salt &am"] and chunks.html_lines("<p>Words <b")[0].startswith("Words")
+    assert chunks.html_lines(None) == chunks.html_lines("") == []
+
+
 def test_speaker_chunks_keep_every_piece(spark):
     df = spark.createDataFrame([(1, 0, "A", " ".join(map(str, range(1200))))], "conv_id int, seq int, speaker string, content string")
     assert " ".join(r.text for r in transcripts.speaker_chunks(df).orderBy("piece").collect()) == " ".join(map(str, range(1200)))
