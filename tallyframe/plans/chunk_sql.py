@@ -70,18 +70,30 @@ SENTENCES = recursive(f"{numbered('pieces', 'chunk', _LONG.format(sentences(flat
 MICRO = recursive(f"{numbered('pieces', '(SELECT id, content FROM chunk WHERE length(content) > 350)', sentences('content', '0-9'))}, {packed('made', 'pieces', '300', 'right(s.cur, 60)', 0)} {result('made')}")
 
 # paragraphs of over 1200 characters by sentences; runs of shorter ones filled up to 800, a chunk under 400 with a piece of what comes next
-def paragraphs(content: str) -> str:
-    return recursive(f"""{numbered("pieces", f"(SELECT id, {content} AS content FROM chunk)", f"list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: {stripped('x')}), lambda x: x <> '')")},
+def paragraphs(content: str, source: str = "chunk") -> str:
+    """CTE `ordered` (id, k, c)."""
+    return f"""{numbered("pieces", f"(SELECT id, {content} AS content FROM {source})", f"list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: {stripped('x')}), lambda x: x <> '')")},
 {numbered("cuts", "(SELECT id, k AS place, p AS whole FROM pieces WHERE length(p) > 1200)", by_sentence("whole"), "id, place")}, {packed("long", "cuts", "1200", key="id, place")},
 short_s AS (SELECT id, k, p AS cur, CAST(length(p) AS BIGINT) AS n, length(p) > 1200 AS far, CAST(NULL AS VARCHAR) AS c FROM pieces WHERE k = 1
 UNION ALL SELECT id, k, CASE WHEN far OR was THEN p WHEN n + length(p) <= 800 THEN cur || chr(10) || chr(10) || p WHEN fill THEN {stripped("substr(p, room + 1)")} ELSE p END, CAST(CASE WHEN far OR was THEN length(p) WHEN n + length(p) <= 800 THEN n + length(p) + 2 WHEN fill THEN length({stripped("substr(p, room + 1)")}) ELSE length(p) END AS BIGINT), far,
 CASE WHEN was THEN NULL WHEN far THEN cur WHEN n + length(p) <= 800 THEN NULL WHEN fill THEN cur || chr(10) || chr(10) || substr(p, 1, room) ELSE cur END
 FROM (SELECT t.id, t.k, t.p, s.cur, s.n, s.far AS was, length(t.p) > 1200 AS far, CAST(799 - s.n AS INT) AS room, s.n < 400 AND 799 - s.n > 50 AS fill FROM short_s s JOIN pieces t ON t.id = s.id AND t.k = s.k + 1)),
 made AS (SELECT id, 2 * k - 1 AS a, 0 AS b, c FROM short_s WHERE c IS NOT NULL UNION ALL SELECT id, 2 * max(k), 0, max_by(cur, k) FROM short_s GROUP BY id HAVING NOT max_by(far, k) UNION ALL SELECT id, 2 * place, k, c FROM long),
-ordered AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, b) AS k, c FROM made) {result("ordered")}""")
+ordered AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY a, b) AS k, c FROM made)"""
 
 
-PARAGRAPHS, LINES = paragraphs("content"), paragraphs("replace(content, chr(10), chr(10) || chr(10))")
+PARAGRAPHS = recursive(f"{paragraphs('content')} {result('ordered')}")
+LINES = recursive(f"{paragraphs('replace(content, chr(10), chr(10) || chr(10))')} {result('ordered')}")
+
+
+def of_index(files: str) -> str:
+    """Chunks of the index of filings by batch, grain and company; files: SQL with path, batch, ticker, status, and id, the document. A text that an earlier batch has isn't indexed again, of equal ones of a batch the one of the smallest id of row stays."""
+    return recursive(f"""files AS ({files}), body AS (SELECT id, content FROM chunk JOIN (SELECT id FROM files WHERE status = 'indexed') USING (id)), {paragraphs("content", "body")},
+macro AS (SELECT id, k - 1 AS seq, c FROM ordered), {numbered("sentence", "(SELECT id, seq, c FROM macro WHERE length(c) > 350)", sentences("c", "0-9"), "id, seq")}, {packed("small", "sentence", "300", "right(s.cur, 60)", 0, "id, seq")},
+every AS (SELECT id, 'macro' AS granularity, seq, 0 AS part, c FROM macro UNION ALL SELECT id, 'micro', seq, row_number() OVER (PARTITION BY id, seq ORDER BY k) - 1, c FROM small),
+fresh AS (SELECT batch, granularity, ticker, c, row_number() OVER (PARTITION BY md5(c) ORDER BY batch, concat_ws('_', path, granularity, seq, part)) AS first FROM every JOIN files USING (id))
+SELECT batch, granularity, ticker, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS n_chars, count(DISTINCT md5(c)) AS texts FROM fresh WHERE first = 1 GROUP BY batch, granularity, ticker""")
+
 
 # a call is one text; its turns begin at a name and a colon
 _SAID = "string_agg(upper(speaker[1]) || substr(speaker, 2) || ': ' || content, chr(10) ORDER BY seq)"
