@@ -7,8 +7,8 @@ the same token, and the same pair, was last met in the text (powers of two). The
 square root of their number, is its log importance weight: what chance makes of clean text is then of like size for short and long texts.
 
 Documents are drawn without replacement by Gumbel top-k, from the weights to the power of 1 / HEAT. k is a share of the documents: that of the
-good ones among all labelled documents, at the upper end of its confidence interval of SIGMAS standard errors, so that an error
-of the share loses no clean text. HEAT is 1: noise of about 1.3 meets log weights of which clean text has -1 to 2 and junk -8 to -40, so what lies
+good ones among all labelled documents, at the upper end of its confidence interval of SIGMAS standard errors: one, so that an error
+of the share seldom costs clean text, and little junk takes its place. HEAT is 1: noise of about 1.3 meets log weights of which clean text has -1 to 2 and junk -8 to -40, so what lies
 between is drawn by lot, and no threshold on the weight gives the same documents.
 
 Counts are partial for each partition, hence CELLS rows a partition at most move, and the model that goes to the executors has CELLS entries whatever
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, kth_largest, mapped, sortable, stored, table, uniform
 
-FIT_ROWS, HEAT, SIGMAS, SEED = 4000, 1.0, 3.0, 20240
+FIT_ROWS, HEAT, SIGMAS, SEED = 4000, 1.0, 1.0, 20240
 CELL_BITS, GAP_BITS = 14, 4
 HASHED = 2 << CELL_BITS
 CELLS = HASHED + (2 << (GAP_BITS + 1))
