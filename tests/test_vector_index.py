@@ -51,3 +51,32 @@ def test_search_many(spark, tmp_path):
     assert got == {1: [4], 2: [2, 3], 3: [8, 7], 5: [1, 2], 6: [4]}
     where = {r.id for r in ki.keyword_scores(index, spark.createDataFrame([(1, "a e")], "qid long, query string"), {"kind": ["y"]}).collect()}
     assert where <= {2, 6} and ki.keyword_scores(index, spark.createDataFrame([(1, "a")], "qid long, query string"), {"kind": ["none"]}).count() == 0
+
+
+def test_pairs_of_query_and_row_stay_in_their_task(spark, tmp_path, monkeypatch):
+    """All rows hold a word that all queries ask for: of each shard only k rows of a query leave it, and these are the k best of all pairs, ties by id."""
+    monkeypatch.setattr(ki, "DOCS", 64)
+    monkeypatch.setattr(ki, "QUERIES", 16)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(["the", *(f"w{j}" for j in r.integers(0, 40, r.integers(0, 12)))]), "xyz"[i % 3]) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "id long, content string, kind string").repartition(2)
+    queries = spark.createDataFrame([(q, f"the w{q % 40} w{q * 7 % 40} the") for q in range(50)], "qid long, query string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        index = ki.build(chunks, f"file://{tmp_path}/k", ("kind",))
+        shards = index.table("postings").filter("word is null").count()
+        assert shards >= 6
+        for where in (None, {"kind": ["x", "z"]}):
+            every = {}
+            for row in ki.keyword_scores(index, queries, where).collect():
+                every.setdefault(row.qid, []).append((-row.score, row.id))
+            few = ki.keyword_scores(index, queries, where, 4)
+            assert few.count() <= 4 * shards * 50 < sum(map(len, every.values()))
+            got = {}
+            for row in ki.top_of_each(few, 4).orderBy("qid", "place").collect():
+                got.setdefault(row.qid, []).append((-row.score, row.id))
+            assert got == {q: sorted(found)[:4] for q, found in every.items()}
+            assert where is None or all(i % 3 != 1 for found in got.values() for _, i in found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
