@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.workers import mapped
+
+
+#: Characters and rows after which a task gives out what it has made.
+GIVEN, MOST = 1 << 20, 1 << 14
 
 
 def generated(df: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], list[str]]) -> DataFrame:
@@ -18,15 +23,24 @@ def generated(df: DataFrame, id_col: str, text_col: str, make: Callable[[str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seq, out = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, c in enumerate(make(text)):
-                    ids.append(i)
+            of, seq, out, size = [], [], [], 0
+
+            def rows(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["id", "seq", "text"])
+
+            for i, text in enumerate(batch.column(1)):  # one text at a time becomes a string of Python
+                for k, c in enumerate(make(text.as_py())):
+                    of.append(i)
                     seq.append(k)
                     out.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["id", "seq", "text"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, seq int, text string")
+                    size += len(c)
+                    if size >= GIVEN or len(out) >= MOST:
+                        yield rows()
+                        of, seq, out, size = [], [], [], 0
+            if out:
+                yield rows()
+
+    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, seq int, text string")
 
 
 def sentence_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 150) -> DataFrame:
