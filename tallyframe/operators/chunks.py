@@ -20,14 +20,15 @@ GIVEN, MOST = 1 << 20, 1 << 14
 def generated(df: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], list[str]]) -> DataFrame:
     """id, seq and text of every chunk that `make` cuts from a text."""
     kind = dict(df.dtypes)[id_col]
+    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), cutter(make), f"id {kind}, seq int, text string")
+
+
+def cutter(make: Callable[[str | None], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of ids and texts to batches of ids, seq and chunks: of about GIVEN characters, so a worker holds one batch and the chunks of one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, seq, out, size = [], [], [], 0
-
-            def rows(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["id", "seq", "text"])
-
             for i, text in enumerate(batch.column(1)):  # one text at a time becomes a string of Python
                 for k, c in enumerate(make(text.as_py())):
                     of.append(i)
@@ -35,12 +36,16 @@ def generated(df: DataFrame, id_col: str, text_col: str, make: Callable[[str | N
                     out.append(c)
                     size += len(c)
                     if size >= GIVEN or len(out) >= MOST:
-                        yield rows()
+                        yield _rows(batch, of, seq, out)
                         of, seq, out, size = [], [], [], 0
             if out:
-                yield rows()
+                yield _rows(batch, of, seq, out)
+
+    return run
+
 
-    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, seq int, text string")
+def _rows(batch: pa.RecordBatch, of: list[int], seq: list[int], out: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["id", "seq", "text"])
 
 
 def sentence_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 150) -> DataFrame:

@@ -116,3 +116,18 @@ def test_batches_take_all_tables(spark, tmp_path):
     assert store.committed() == [] and store.read("x").count() == 0
     assert store.commit("k", x=one, y=one.toDF("b")) and not store.commit("k", x=one, y=one.toDF("b"))
     assert rows(store.read("x"), "a", "batch") == [(1, "k")]
+
+
+def test_chunks_leave_a_worker_in_bounded_batches():
+    """One batch of texts gives many batches of chunks, none much over GIVEN characters or over MOST rows; order, ids and empty texts stay."""
+    import pyarrow as pa
+
+    from tallyframe.operators import chunks as ch
+
+    texts = ["x" * (1 << 18)] * 20 + [None, ""] + ["a b " * 5000] * 3
+    make = lambda t: [t[: len(t) // 2], t[len(t) // 2 :]] if t and t[0] == "x" else (t or "").split()
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([{"a": i} for i in range(len(texts))]), "text": pa.array(texts, pa.string())})
+    out = list(ch.cutter(make)(iter([batch])))
+    assert len(out) > 4 and all(sum(map(len, b.column(2).to_pylist())) < ch.GIVEN + (1 << 18) and len(b) <= ch.MOST for b in out)
+    got = [(i["a"], k, c) for b in out for i, k, c in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)]
+    assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(make(t))]
