@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,28 +24,45 @@ def generated(df: DataFrame, id_col: str, text_col: str, make: Callable[[str | N
 
 
 def cutter(make: Callable[[str | None], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of ids and texts to batches of ids, seq and chunks: of about GIVEN characters, so a worker holds one batch and the chunks of one text."""
+    """Batches of ids and texts to batches of ids, seq and chunks."""
+    return labelled_cutter(lambda text: enumerate(make(text)), {"seq": pa.int32()})
+
+
+def labelled_cutter(make: Callable[[str | None], Iterable[tuple]], labels: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same with labels of each chunk; make: (*labels, chunk) of a text. Batches are of about GIVEN characters, so a worker holds one batch of texts and the chunks of one text."""
+
+    def rows(batch: pa.RecordBatch, of: list[int], made: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), [*labels.values(), pa.string()], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), *columns], ["id", *labels, "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, seq, out, size = [], [], [], 0
+            of, made, size = [], [], 0
             for i, text in enumerate(batch.column(1)):  # one text at a time becomes a string of Python
-                for k, c in enumerate(make(text.as_py())):
+                for row in make(text.as_py()):
                     of.append(i)
-                    seq.append(k)
-                    out.append(c)
-                    size += len(c)
-                    if size >= GIVEN or len(out) >= MOST:
-                        yield _rows(batch, of, seq, out)
-                        of, seq, out, size = [], [], [], 0
-            if out:
-                yield _rows(batch, of, seq, out)
+                    made.append(row)
+                    size += len(row[-1])
+                    if size >= GIVEN or len(made) >= MOST:
+                        yield rows(batch, of, made)
+                        of, made, size = [], [], 0
+            if made:
+                yield rows(batch, of, made)
 
     return run
 
 
-def _rows(batch: pa.RecordBatch, of: list[int], seq: list[int], out: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["id", "seq", "text"])
+def grains(df: DataFrame, id_col: str, text_col: str, size: int = 300, overlap: int = 60) -> DataFrame:
+    """id, seq, part, granularity and text: chunks of a text by paragraph (macro), and small ones of each (micro, numbered by part), in one pass over the texts."""
+
+    def both(text: str | None) -> Iterator[tuple]:
+        for k, macro in enumerate(tx.paragraph_chunks(text)):
+            yield k, 0, "macro", macro
+            for part, micro in enumerate(tx.micro_chunks(macro, size, overlap)):
+                yield k, part, "micro", micro
+
+    kind = dict(df.dtypes)[id_col]
+    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labelled_cutter(both, {"seq": pa.int32(), "part": pa.int32(), "granularity": pa.string()}), f"id {kind}, seq int, part int, granularity string, text string")
 
 
 def sentence_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 150) -> DataFrame:

@@ -131,3 +131,19 @@ def test_chunks_leave_a_worker_in_bounded_batches():
     assert len(out) > 4 and all(sum(map(len, b.column(2).to_pylist())) < ch.GIVEN + (1 << 18) and len(b) <= ch.MOST for b in out)
     got = [(i["a"], k, c) for b in out for i, k, c in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)]
     assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(make(t))]
+
+
+def test_filing_chunks_cut_texts_once(spark):
+    """One Python stage makes the chunks of both grains; copies go before sections and densities are computed; rows are those of the two chunkers, one after the other."""
+    from tallyframe.operators import chunks as ch
+
+    texts = [(f"p{i}", "abc", "10-K", "2023", "FY", t) for i, t in enumerate([BODY, BODY, BODY.replace("revenue", "income"), "short", "", None])]
+    good = spark.createDataFrame(texts, "path string, ticker string, form_type string, fiscal_year string, fiscal_quarter string, body string")
+    made = ix.filing_chunks(good)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    macro = ch.paragraph_chunks(good, "path", "body")
+    micro = ch.micro_chunks(macro.select(F.struct("id", "seq").alias("of"), "text"), "of", "text").select("id.id", "id.seq", F.col("seq").alias("part"), "text")
+    every = macro.select("id", "seq", F.lit(0).alias("part"), "text", F.lit("macro").alias("g")).unionByName(micro.withColumn("g", F.lit("micro")))
+    want = ch.one_of_each_hash(every.select("*", F.md5("text").alias("text_hash"), F.concat_ws("_", "id", "g", "seq", "part").alias("row_id")), "row_id")
+    assert rows(made, "row_id", "seq", "part", "granularity", "text", "text_hash") == rows(want, "row_id", "seq", "part", "g", "text", "text_hash") != []
