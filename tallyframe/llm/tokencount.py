@@ -1,19 +1,19 @@
 """Token counts under a unigram model, by dynamic programming over a shared trie.
 
 The pieces are those of a public byte-level vocabulary. A piece's log-probability is its share of the tokens into which the public
-tokenizer cuts FIT_ROWS documents at most (those whose ids hash lowest), each piece counting PRIOR beforehand; in whole numbers of
-2**-16, so that sums are exact. The vocabulary itself is never changed. Different pre-tokens are inserted in a trie of bytes; a
+tokenizer cuts all documents, each piece counting PRIOR beforehand; in whole numbers of
+2**-16, so that sums are exact. The tokenizer never merges beyond a pre-token, so all pre-tokens are counted first and each different one is cut once. The vocabulary itself is never changed. Different pre-tokens are inserted in a trie of bytes; a
 node holds the forward score of its prefix, the best over all last pieces of (score of the prefix before, score of
 the piece), and how many pieces that takes; so a shared prefix is computed once. Last pieces are found by a walk back through a trie of reversed
 pieces. Where a pre-token ends, the number is its count, and a document's count is the sum over its pre-tokens. Of equal scores the
 segmentation with fewer pieces wins.
 
-Every document is by itself: a scan of the sample, a scan of all, one Python stage in each, and no shuffle but that of the sample's counts. A worker's trie
+Every document is by itself: two scans, one Python stage in each, and no shuffle but that of the counts of different pre-tokens. A worker's trie
 is given up when it has NODES nodes; pre-tokens of over LONG bytes are counted without one, in memory that doesn't grow with them. A lost executor
 costs its running tasks.
 
 Defined results: null text counts as empty and has 0 tokens; texts and pre-tokens of any length are counted whole; special
-tokens in a text are ordinary text; repeated rows each get a row; documents without an id aren't in the sample; an empty table gives an
+tokens in a text are ordinary text; repeated rows each get a row; documents without an id don't count for the model; an empty table gives an
 empty result (and a model of equal pieces); other columns are not read.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections import deque
+from collections import Counter as Counts, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,34 +33,63 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import kept_by, mapped, table
 
-FIT_ROWS, PRIOR, SEED = 2000, 0.5, 61
+PRIOR = 0.5
 UNIT = 1 << 16
 #: A score carries the number of pieces in its low bits, negative, so that one maximum decides by both.
 PIECE = 1 << 32
 #: Nodes and pre-tokens that a worker keeps; bytes from which a pre-token is counted by itself; characters of text that a worker works on at once.
 NODES, LONG, WORK = 400_000, 512, 1 << 19
+#: Different pre-tokens, and characters of them, that a worker counts before it gives them out.
+COUNTED, LETTERS = 200_000, 1 << 23
 
 
-def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> np.ndarray:
-    """How often the tokenizer's own segmentation of the sample has each piece, by id."""
-    sample = docs.select(F.col(id_col).cast("long").alias("fit_id")).filter("fit_id is not null").distinct().orderBy(F.xxhash64("fit_id", F.lit(SEED)), "fit_id").limit(rows)  # bounded by rows, so it may be broadcast
-    own = docs.select(F.col(id_col).cast("long").alias("fit_id"), F.col(text_col).alias("fit_text")).join(F.broadcast(sample), "fit_id", "left_semi")
+def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """How often the tokenizer's own segmentation of all documents has each piece, by id."""
+    own = docs.filter(F.col(id_col).cast("long").isNotNull()).select(F.col(text_col).alias("fit_text"))
     size = len(_spec(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, counts = bpe.loaded(path), np.zeros(size, np.int64)
         for batch in batches:
-            for ids in tokenizer.encode(batch.column(0).to_pylist()):
-                counts += np.bincount(np.array(ids, np.int64), minlength=size)
+            cut = tokenizer.encode_words([w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()])
+            often = np.repeat(np.asarray(batch.column(1)), [len(ids) for ids in cut])
+            np.add.at(counts, np.concatenate([np.zeros(0, np.int64), *cut]), often)
         piece = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(counts[piece])], ["piece", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in mapped(own.select("fit_text"), run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row a piece at most
+    for row in mapped(pretoken_counts(own, path), pieces, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row a piece at most
         counts[row["piece"]] = row["n"]
     return counts
 
 
+def pretoken_counts(texts: DataFrame, path: str) -> DataFrame:
+    """word and n of every different pre-token of a column of texts; special tokens are none."""
+    import public_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    pattern = public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        cut = regex.compile("|".join(map(regex.escape, special))).split if special else lambda text: [text]
+        seen: Counts[str] = Counts()
+        letters = 0
+        for batch in batches:
+            for text in batch.column(0):
+                for part in cut(text.as_py() or ""):
+                    known = len(seen)
+                    seen.update(split(part))
+                    letters += len(part) if len(seen) > known else 0
+                if len(seen) >= COUNTED or letters >= LETTERS:
+                    yield pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64())})
+                    seen, letters = Counts(), 0
+        yield pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+    return mapped(texts, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def _spec(path: str) -> dict[int, bytes | None]:
     """The bytes of each id; None for special tokens."""
     with open(path, encoding="utf-8") as f:

@@ -611,6 +611,20 @@ def test_token_count_rows(spark, tokenizer):
     assert tokencount.token_counts(documents(spark, []), bpe.vocabulary()).count() == 0
 
 
+def test_token_model_is_of_all_documents(spark, tokenizer):
+    """5,000 documents, special tokens and odd ones among them: pieces are counted as the tokenizer cuts all of them."""
+    r = random.Random(8)
+    words = ["the", "of", "l'été", "naïve", "12", "345", "\n\n", "  ", "it's", "!'s", "<|endoftext|>", "αβγ", "x" * 30]
+    rows = [*ODD, *((100 + i, " ".join(r.choice(words) + r.choice(["", ".", " ", "\t"]) for _ in range(r.randrange(12))) + str(i)) for i in range(5000))]
+    seen = collections.Counter()
+    for i, t in rows:
+        if i is not None:
+            seen.update(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    special = {i for i, b in tokencount._spec(bpe.vocabulary()).items() if b is None}
+    counts = tokencount.fit(documents(spark, rows), bpe.vocabulary())
+    assert {i: int(n) for i, n in enumerate(counts) if n} == {i: n for i, n in seen.items() if i not in special}
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 def brute_links(rows, counts=False):
     sets = []
