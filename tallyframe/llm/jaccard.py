@@ -9,7 +9,8 @@ with few bins, large ones few permutations with many); two sets at the threshold
    joins most groups of copies with as many comparisons as they have members;
 2. and 3. what shares a key but no component yet: tiles of classes of one size band or two next to each
    other, in which bitmap signatures bound the difference from below (7 * xor bits <= |x| + |y| must hold); first only
-   the nearest of each class goes on, then everything that the bound leaves.
+   the nearest of each class goes on (of one tile of each key), again while at least half of these are linked, then everything that the bound
+   leaves. Either way a pair goes on from the first key that it has in common, not from each of them.
 
 A key's classes are one tile, sorted by size and compared within the bounds of size only, if there are TILE of them and HELD shingles at most; else they are dealt
 by size band and, as far as a band has more than that, by hash. So a tile is bounded in rows and in bytes, whatever the group and the texts.
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, kept_by, mapped, stored, table
+from .common import as_matrix, drop_stored, kept_by, mapped, stored, table
 from .components import components
 
 SHINGLE, ROWS, BANDS, BITS = 5, 3, 40, 2048
@@ -48,6 +49,8 @@ TILE, HELD = 512, 1 << 19
 SLOTS = ROWS * BANDS
 #: Largest set of each class of sizes, and the bins of a permutation there; a class has SLOTS / bins permutations.
 SIZES = ((16, 1), (64, 4), (256, 15), (1024, 60), (1 << 62, 120))
+#: Pairs of a tile whose keys are compared at once.
+PAIRS = 1 << 14
 #: Words that a worker keeps hashed, and bytes of text that it works on at once.
 KEEP, WORK = 100_000, 1 << 19
 
@@ -110,8 +113,8 @@ def _sets(part: list[list[bytes]]) -> Iterator[np.ndarray]:
 
 
 def band_keys(x: np.ndarray) -> np.ndarray:
-    """Keys of a set, for its own class of sizes and that of the largest set to which it may be linked."""
-    out = []
+    """Keys of a set, for its own class of sizes and that of the largest set to which it may be linked: those of even classes first, then those of odd ones, by band; 0 where there is none. So a key of two sets stands at one place in both."""
+    out = np.zeros((2, BANDS), np.uint64)
     for kind in sorted({next(k for k, (most, _) in enumerate(SIZES) if n <= most) for n in (len(x), len(x) * 4 // 3)}):
         bins = SIZES[kind][1]
         perms = SLOTS // bins
@@ -126,8 +129,8 @@ def band_keys(x: np.ndarray) -> np.ndarray:
         key = np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS + 1)
         for row in slots:
             key = _mixed(key + row * np.uint64(0x9E3779B97F4A7C15))
-        out.append(key[full.any(axis=0)])
-    return np.concatenate(out).view(np.int64)
+        out[kind % 2] = np.where(full.any(axis=0), key, np.uint64(0))
+    return out.ravel().view(np.int64)
 
 
 def prefix_keys(x: np.ndarray) -> np.ndarray:
@@ -218,10 +221,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame | None, bound
     return _exact(pairs.join(texts.select(F.col("node").alias("a"), "text"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, once: int | None = None) -> DataFrame:
     """members (key, node, n, ...) with tile, side and lone: rows to compare are those of a tile (on different sides if not lone).
 
-    Groups of at most TILE rows and HELD shingles are one tile. Larger ones are dealt by size band and hash; a tile pair is of one band or of two next to each other."""
+    Groups of at most TILE rows and HELD shingles are one tile. Larger ones are dealt by size band and hash; a tile pair is of one band or of two next to each other.
+    With once, the number of a round, each row is in one tile of its key, with rows of its band that are others under each key and in each round: no group's tiles then hold more rows than the group."""
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
     banded = members.withColumn("band", band)
     counts = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"))
@@ -231,7 +235,9 @@ def _tiles(members: DataFrame) -> DataFrame:
     own = banded.join(whole, "key")
     carried = [c for c in members.columns if c != "key"]
     small = own.filter("small").select(*carried, F.struct("key", F.lit(None).cast("int").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("other"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone"))
-    large = own.filter("not small").withColumn("i", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band"))).cast("int"))
+    large = own.filter("not small").withColumn("i", F.pmod(F.xxhash64("node", *([] if once is None else ["key", F.lit(once)])), F.element_at("subs", F.col("band"))).cast("int"))
+    if once is not None:
+        return small.unionByName(large.select(*carried, F.struct("key", "band", "i", F.col("band").alias("other"), F.col("i").alias("j")).alias("tile"), F.lit(0).alias("side"), F.lit(True).alias("lone")))
     pair = lambda low, i, high, j, side, lone: F.struct(F.struct("key", low.alias("band"), i.alias("i"), high.alias("other"), j.alias("j")).alias("tile"), side.alias("side"), lone.alias("lone"))
     upto = lambda at: F.sequence(F.lit(0), F.element_at("subs", at) - 1)
     same = F.transform(upto(F.col("band")), lambda j: pair(F.col("band"), F.least(F.col("i"), j), F.col("band"), F.greatest(F.col("i"), j), (F.col("i") > j).cast("int"), F.col("i") == j))
@@ -270,7 +276,7 @@ def _compare(rows: list[np.ndarray], nearest: bool) -> tuple[np.ndarray, np.ndar
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _by_tile(members: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+def _by_tile(members: DataFrame, columns: list[str], work, schema: str, once: int | None = None) -> DataFrame:
     """work(rows of one tile) for every tile of members, one after the other; a tile has 2 * TILE rows or so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +296,7 @@ def _by_tile(members: DataFrame, columns: list[str], work, schema: str) -> DataF
         if held:
             yield work(pa.Table.from_batches(held))
 
-    tiles = _tiles(members).withColumn("tile", F.xxhash64("tile"))
+    tiles = _tiles(members, once).withColumn("tile", F.xxhash64("tile"))
     return mapped(tiles.repartition("tile").sortWithinPartitions("tile").select("tile", *columns, "side", "lone"), run, schema)
 
 
@@ -298,14 +304,34 @@ def _bits(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _candidates(members: DataFrame, nearest: bool) -> DataFrame:
-    """Different pairs (a, b) that share a key, carry different labels and pass the bound; of each class in each tile only its nearest, if asked for."""
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that each row of x has in common with that of y at the same place, 0 if none."""
+    same = (x == y) & (x != 0)
+    at = same.argmax(axis=1)
+    rows = np.arange(len(x))
+    return np.where(same[rows, at], x[rows, at], 0)
+
+
+def _candidates(members: DataFrame, once: int | None = None, exact: bool = False) -> DataFrame:
+    """Different pairs (a, b) that share a key, carry different labels and pass the bound; with once (see _tiles) of each class in its tile only its nearest.
+
+    Pairs have many band keys in common, copies nearly all of them: a pair leaves the tile of the first of these alone. Classes of different labels have no key in common that isn't in members."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        a, b = _compare([np.asarray(rows["node"]), np.asarray(rows["label"]), np.asarray(rows["n"]), _bits(rows), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())], nearest)
+        node = np.asarray(rows["node"])
+        a, b = _compare([node, np.asarray(rows["label"]), np.asarray(rows["n"]), _bits(rows), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())], once is not None)
+        if not exact:
+            own, met = as_matrix(rows["keys"], 2 * BANDS), np.asarray(rows["met"])
+            order = np.argsort(node, kind="stable")
+            i, j = (order[np.searchsorted(node, x, sorter=order)] for x in (a, b))
+            first = [first_shared(own[i[k : k + PAIRS]], own[j[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)]
+            keep = np.concatenate([np.zeros(0, np.int64), *first]) == met[i]
+            a, b = a[keep], b[keep]
+        a, b = np.unique(np.stack([a, b]), axis=1)  # found from both sides
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _by_tile(members, ["node", "label", "n", "bits"], work, "a long, b long").distinct()
+    carried = ["node", "label", "n", "bits"] if exact else ["node", "label", "n", "bits", "keys", "met"]
+    return _by_tile(members, carried, work, "a long, b long", once).distinct()
 
 
 def _links_of_tile(rows: pa.Table) -> pa.RecordBatch:
@@ -356,6 +382,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     documents = stored(sketches.select("rid", "doc_id", "n", "sig"), "documents")
     drop_stored(sketches)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = keyed if exact else keyed.filter("key <> 0")
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     met = stored(keyed.join(shared.hint("merge"), "key"), "met")
     star = met.filter("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", -F.col("pivot"))).alias("best"))
@@ -366,19 +393,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     drop_stored(star)
     labels = components(links, "labels", rows)
     drop_stored(links)
-    for nearest in (True, False):
+    once: int | None = 0  # the round of nearest ones, None for all that are left
+    while True:
         whole = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = whole.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("key")
-        members = stored(whole.select("key", "node", "label").join(mixed, "key", "left_semi").join(nodes.select("node", "n", "bits"), "node"), "mixed")
-        pairs = stored(_candidates(members, nearest), "pairs")
-        if pairs.isEmpty():
+        carried = nodes.select("node", "n", "bits") if exact else nodes.select("node", "n", "bits", "keys")
+        members = stored(whole.select("key", "node", "label", F.col("key").alias("met")).join(mixed, "key", "left_semi").join(carried, "node"), "mixed")
+        pairs = stored(_candidates(members, once, exact), "pairs")
+        if not (n_pairs := pairs.count()):
             drop_stored(members, pairs)
-            break
-        n_pairs = pairs.count()
+            if once is None:
+                break
+            once = None  # others may have met elsewhere
+            continue
         more = stored(_verified(pairs, nodes, texts, True), "links", n_pairs)
         drop_stored(members, pairs)
-        if more.isEmpty():
+        n_more, last = more.count(), once is None
+        once = once + 1 if once is not None and 2 * n_more >= n_pairs else None
+        if not n_more:
             drop_stored(more)
+            if last:
+                break
             continue
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
@@ -387,6 +422,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
         merged = stored(every.join(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels", rows)
         drop_stored(labels, more, higher)
         labels = merged
+        if last:
+            break
     labelled = stored(kinds.join(labels, "node", "left").select("sig", "node", "low", "size", F.coalesce("label", "node").alias("label")), "labelled", rows)
     drop_stored(kinds, met, labels)
     return Classes(documents, labelled, nodes.select("node", "n", "bits"), texts)

@@ -86,3 +86,24 @@ def test_snapshot_is_kept_with_its_filters(spark, tmp_path):
         n = passed.count()
         assert passed.join(kept.groups, "digest", "left_semi").count() == least and n - least < 80
     assert dedup.screened(digests(0, 0), kept).count() == 0
+
+
+def test_pairs_leave_one_tile(spark, monkeypatch):
+    """Near copies of one text, most of them below the threshold to the first: a pair goes on once, not from each key that it shares, and rounds of nearest ones give no more pairs than classes."""
+    r, base = random.Random(8), words(6, 150)
+    copy = lambda: [w if r.random() > 0.025 else f"y{r.randrange(10**6)}" for w in base]
+    rows = [(i, " ".join(copy())) for i in range(300)]
+    made, by_tile = [], jaccard._by_tile
+
+    def spied(*args, **kwargs):
+        out = by_tile(*args, **kwargs).cache()
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_by_tile", spied)
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.connected(docs).collect()}
+    assert len(made) > 1 and all(n == different for n, different in made) and all(n <= len(rows) for n, _ in made[:-1])
+    exact = {x.doc_id: x.component_id for x in jaccard.connected(docs, exact=True).collect()}
+    assert got == exact
