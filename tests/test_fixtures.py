@@ -115,6 +115,25 @@ def test_nearest(spark):
     assert nearest(spark, 0, 1) == 0
 
 
+def test_nearest_makes_no_pairs(spark):
+    dates = lambda n, step: [D("2020-01-01") + dt.timedelta(days=step * i) for i in range(n)]
+    left = spark.createDataFrame([(1, d) for d in dates(40, 30)], "cik long, at date")
+    right = spark.createDataFrame([(1, d, i) for i, d in enumerate(dates(40, 31))], "cik long, day date, i int")
+    out = fu.nearest(left, right, "at", "day", 90)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {d: max((-abs((e - d).days), e) for e in dates(40, 31))[1] for d in dates(40, 30)}
+    assert {r["at"]: r.day for r in out.collect()} == want
+
+
+def test_statements_of_one_scan(spark, sf_dir):
+    """Views over the sums of sales that are written once don't read the sales again."""
+    from tallyframe.plans import views
+
+    base = views.based(spark, sf_dir)
+    for name in ("income", "cash_flow", "balance"):
+        assert "l_suppkey" not in views.shared(spark, sf_dir, name, given=base)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_forward_and_fuzzy(spark):
     left = spark.createDataFrame([(1, D("2024-05-10"))], "cik long, a date")
     right = spark.createDataFrame([(1, D(d)) for d in ("2024-05-05", "2024-05-15", "2024-05-16")], "cik long, b date")
