@@ -2,14 +2,14 @@
 
 The pieces are those of a public byte-level vocabulary. A piece's log-probability is its share of the tokens into which the public
 tokenizer cuts all documents, each piece counting PRIOR beforehand; in whole numbers of
-2**-16, so that sums are exact. The tokenizer never merges beyond a pre-token, so all pre-tokens are counted first and each different one is cut once. The vocabulary itself is never changed. Different pre-tokens are inserted in a trie of bytes; a
+2**-16, so that sums are exact. The tokenizer never merges beyond a pre-token, so all pre-tokens are counted first and each different one is cut once. The vocabulary itself is never changed. Pre-tokens that a worker doesn't know are inserted in a trie of bytes; a
 node holds the forward score of its prefix, the best over all last pieces of (score of the prefix before, score of
 the piece), and how many pieces that takes; so a shared prefix is computed once. Last pieces are found by a walk back through a trie of reversed
-pieces. Where a pre-token ends, the number is its count, and a document's count is the sum over its pre-tokens. Of equal scores the
+pieces, for all nodes of a depth at a time. Where a pre-token ends, the number is its count, and a document's count is the sum over its pre-tokens. Of equal scores the
 segmentation with fewer pieces wins.
 
-Every document is by itself: two scans, one Python stage in each, and no shuffle but that of the counts of different pre-tokens. A worker's trie
-is given up when it has NODES nodes; pre-tokens of over LONG bytes are counted without one, in memory that doesn't grow with them. A lost executor
+Every document is by itself: two scans, one Python stage in each, and no shuffle but that of the counts of different pre-tokens. A trie is that of the
+new pre-tokens of WORK characters; a worker keeps the counts of KEEP pre-tokens, and those of the generation before. Pre-tokens of over LONG bytes are counted without a trie, in memory that doesn't grow with them. A lost executor
 costs its running tasks.
 
 Defined results: null text counts as empty and has 0 tokens; texts and pre-tokens of any length are counted whole; special
@@ -19,10 +19,12 @@ empty result (and a model of equal pieces); other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+import re
 from collections import Counter as Counts, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,33 @@ PRIOR = 0.5
 UNIT = 1 << 16
 #: A score carries the number of pieces in its low bits, negative, so that one maximum decides by both.
 PIECE = 1 << 32
-#: Nodes and pre-tokens that a worker keeps; bytes from which a pre-token is counted by itself; characters of text that a worker works on at once.
-NODES, LONG, WORK = 400_000, 512, 1 << 19
+#: Less than any score, and still a long when a score is added.
+NONE = -(1 << 62)
+#: Pre-tokens of a generation (a worker keeps two: what was met of late stays); bytes from which a pre-token is counted by itself; characters of text that a worker works on at once.
+KEEP, LONG, WORK = 200_000, 128, 1 << 20
 #: Different pre-tokens, and characters of them, that a worker counts before it gives them out.
 COUNTED, LETTERS = 200_000, 1 << 23
 
 
+@functools.cache
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """regex's findall of a pattern. Texts without characters beyond U+FFFF are cut by Python's re, at less than half the time, where the pattern's only classes are letters,
+    numbers and blanks: they are spelt out as regex knows them."""
+    slow = regex.compile(pattern).findall
+    if re.search(r"\\(?!p\{[LN]\}|[sS])|\(\?(?![!=:])", pattern):
+        return slow
+    every, spelt = "".join(map(chr, range(1 << 16))), {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        at = [m.span() for m in regex.finditer(f"{name}+", every)]
+        spelt[name] = "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in at)
+    inside = lambda text: re.sub(r"\\p\{[LN]\}|\\s", lambda m: spelt[m[0]], text)
+    plain = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\s|\\S", lambda m: inside(m[0]) if m[0][0] == "[" else f"[^{spelt[r'\s']}]" if m[0] == r"\S" else f"[{spelt[m[0]]}]", pattern)
+    if "\\S" in plain:  # within brackets
+        return slow
+    fast, beyond = re.compile(plain).findall, re.compile("[^\0-\uffff]").search
+    return lambda text: fast(text) if text.isascii() or not beyond(text) else slow(text)
+
+
 def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """How often the tokenizer's own segmentation of all documents has each piece, by id."""
     own = docs.filter(F.col(id_col).cast("long").isNotNull()).select(F.col(text_col).alias("fit_text"))
@@ -72,7 +95,7 @@ def pretoken_counts(texts: DataFrame, path: str) -> DataFrame:
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
+        split = splitter(pattern)
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else lambda text: [text]
         seen: Counts[str] = Counts()
         letters = 0
@@ -124,33 +147,51 @@ class Unigram:
 
 
 class Trie:
-    """Forward scores of all prefixes of the words inserted so far."""
+    """Forward scores of all prefixes of the words of the last insert_all()."""
 
     def __init__(self, model: Unigram):
-        self.model, self.next, self.forward = model, {}, [0]
+        self.model, self.forward = model, np.zeros(1, np.int64)
+        edges = np.array(list(model.back), np.int64)
+        order = np.argsort(edges)
+        self.edges, self.child = edges[order], np.array(list(model.back.values()), np.int64)[order]
+        self.ends = np.array([NONE if x is None else x for x in model.ends], np.int64)
 
     def insert(self, word: bytes) -> int:
         """The number of pieces of the word's best segmentation."""
-        follow, forward, back, ends = self.next, self.forward, self.model.back, self.model.ends
-        node, path = 0, [0]
-        for i, byte in enumerate(word):
-            edge = node << 8 | byte
-            node = follow.get(edge, 0)
-            if not node:
-                node = follow[edge] = len(forward)
-                best, at = None, 0
-                for start in range(i, -1, -1):
-                    at = back.get(at << 8 | word[start])
-                    if at is None:
-                        break
-                    piece = ends[at]
-                    if piece is not None:
-                        value = forward[path[start]] + piece
-                        if best is None or value > best:
-                            best = value
-                forward.append(best)
-            path.append(node)
-        return -forward[node] % PIECE
+        return self.insert_all([word])[0]
+
+    def insert_all(self, words: list[bytes]) -> list[int]:
+        """The same of many words, of at most 512 bytes each (scores are longs)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        letters, first = np.frombuffer(b"".join(words), np.uint8), (np.cumsum(size) - size)[order]
+        parent, letter, forward = (np.zeros(len(letters) + 1, np.int64) for _ in range(3))
+        node, made = np.zeros(len(words), np.int64), 1
+        for depth in range(int(size.max(initial=0))):
+            going = int((size > depth).sum())  # the longest come first
+            edge, at = np.unique(node[:going] << 8 | letters[first[:going] + depth], return_inverse=True)
+            new = np.arange(made, made + len(edge))
+            parent[new], letter[new] = edge >> 8, edge & 255
+            forward[new] = self._best(new, parent, letter, forward)
+            node[:going] = made + at
+            made += len(edge)
+        self.forward = forward[:made]
+        out = np.empty(len(words), np.int64)
+        out[order] = -forward[node] % PIECE
+        return out.tolist()
+
+    def _best(self, new: np.ndarray, parent: np.ndarray, letter: np.ndarray, forward: np.ndarray) -> np.ndarray:
+        """Forward scores of nodes whose ancestors have theirs: all walk back at once."""
+        best, rows, node, at = np.full(len(new), NONE), np.arange(len(new)), new, np.zeros(len(new), np.int64)
+        while len(rows):
+            edge = at << 8 | letter[node]
+            spot = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            some = self.edges[spot] == edge
+            rows, node, at = rows[some], parent[node[some]], self.child[spot[some]]
+            best[rows] = np.maximum(best[rows], forward[node] + self.ends[at])
+            inner = node > 0
+            rows, node, at = rows[inner], node[inner], at[inner]
+        return best
 
     def alone(self, word: bytes) -> int:
         """The same without a node: only the scores that a piece can reach back to are held."""
@@ -172,16 +213,18 @@ class Trie:
 
 
 class Counter:
-    """Token counts of texts; keeps a trie and the counts of known pre-tokens."""
+    """Token counts of texts; keeps the counts of known pre-tokens."""
 
     def __init__(self, path: str, counts: np.ndarray | None = None, pattern: str | None = None):
         if pattern is None:
             import public_tokenizers
 
             pattern = public_tokenizers.PATTERN
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.model = Unigram(path, counts)
-        self.trie, self.known = Trie(self.model), {}
+        self.trie = Trie(self.model)
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def counts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""
@@ -196,15 +239,20 @@ class Counter:
         yield from self._count(group)
 
     def _count(self, group: list[list[str]]) -> Iterator[tuple[int, int]]:
-        if len(self.trie.forward) > NODES or len(self.known) > NODES:
-            self.trie, self.known = Trie(self.model), {}
-        long = {}
-        for word in set().union(*group) - self.known.keys():
+        if len(self.known) > KEEP:
+            self.known, self.older = {}, self.known
+        met = set().union(*group) - self.known.keys()
+        again = met & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        long, short = {}, {}
+        for word in met - again:
             raw = word.encode("utf-8", "surrogatepass")
             if len(raw) > LONG:
                 long[word] = self.trie.alone(raw)
             else:
-                self.known[word] = self.trie.insert(raw)
+                short[word] = raw
+        if short:
+            self.known.update(zip(short, self.trie.insert_all(list(short.values())), strict=True))
         of = (self.known | long if long else self.known).__getitem__
         return [(sum(map(of, words)), len(words)) for words in group]
 

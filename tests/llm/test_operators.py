@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -592,6 +593,38 @@ def test_token_counts_are_the_best_segmentation():
     assert list(counter.counts(["x" * 1_000_000]))[0][1] == 1 and len(counter.trie.forward) == nodes
 
 
+def test_token_tries_take_many_words_at_once(monkeypatch):
+    """Words of all lengths in one trie, in half the time of one after the other; what is met again and again is inserted once."""
+    r = random.Random(6)
+    counter = tokencount.Counter(bpe.vocabulary(), np.array([r.randrange(1000) for _ in range(50257)]))
+    made = [b"", b"\0", b"a\0\0", b" " * 120, *(bytes(r.choice(b"aethion sXY9\0\xc3\xa9") for _ in range(r.randrange(1, 30))) for _ in range(40_000))]
+    before = time.process_time()
+    want = [counter.trie.alone(w) for w in made]
+    between = time.process_time()
+    assert counter.trie.insert_all(made) == want and 2 * (time.process_time() - between) < between - before
+    assert counter.trie.insert_all([bytes(range(256)) * 2]) == [best_segmentation(counter.model.score, bytes(range(256)) * 2)]
+    assert want[-50:] == [best_segmentation(counter.model.score, w) for w in made[-50:]] and counter.trie.insert_all([]) == []
+    monkeypatch.setattr(tokencount, "KEEP", 100)
+    monkeypatch.setattr(tokencount, "WORK", 400)
+    seen, insert_all = collections.Counter(), counter.trie.insert_all
+    monkeypatch.setattr(counter.trie, "insert_all", lambda words: (seen.update(words), insert_all(words))[1])
+    texts = ["the same" + "".join(f" {r.choice('abcde')}{r.randrange(10**6):x}" for _ in range(20)) for _ in range(300)]
+    assert [n for n, _ in counter.counts(texts)] == [sum(best_segmentation(counter.model.score, p.encode()) for p in counter.split(t)) for t in texts]
+    assert seen[b"the"] == seen[b" same"] == 1 and len(counter.known) + len(counter.older) < 400
+
+
+def test_fast_split_is_that_of_regex():
+    import public_tokenizers
+
+    r, pattern = random.Random(7), public_tokenizers.PATTERN
+    every = [chr(c) for c in range(1 << 16)]
+    texts = [f"{a}{b}  {a}'s{b}1" for a, b in zip(every, r.sample(every, len(every)), strict=True)]
+    texts += ["".join(r.choices(["a", "é", "ß", "1", "²", " ", "\n", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "'s", "'ll", "'", "_", "漢", "😀", "𝐀", "𝟏"], k=30)) for _ in range(3000)]
+    for p in (pattern, r" ?\p{L}+|\d+|\s+", r"(?i)'s|\p{N}|[\S]"):
+        split, want = tokencount.splitter(p), regex.compile(p).findall
+        assert all(split(t) == want(t) for t in texts)
+
+
 def test_token_count_rows(spark, tokenizer):
     """Model and counts by hand."""
     import math
