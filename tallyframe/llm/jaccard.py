@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_matrix, drop_stored, kept_by, mapped, stored, table
+from .common import drop_stored, kept_by, mapped, stored, table
 from .components import components
 
 SHINGLE, ROWS, BANDS, BITS = 5, 3, 40, 2048
@@ -276,8 +276,10 @@ def _compare(rows: list[np.ndarray], nearest: bool) -> tuple[np.ndarray, np.ndar
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _by_tile(members: DataFrame, columns: list[str], work, schema: str, once: int | None = None) -> DataFrame:
-    """work(rows of one tile) for every tile of members, one after the other; a tile has 2 * TILE rows or so."""
+def _by_tile(members: DataFrame, more: DataFrame, columns: list[str], work, schema: str, once: int | None = None) -> DataFrame:
+    """work(rows of one tile) for every tile of members, one after the other; a tile has 2 * TILE rows or so.
+
+    more: what is long of each node (bitmaps, keys, texts). It joins rows that have their tile, so it moves once by node, and once to each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -296,7 +298,7 @@ def _by_tile(members: DataFrame, columns: list[str], work, schema: str, once: in
         if held:
             yield work(pa.Table.from_batches(held))
 
-    tiles = _tiles(members, once).withColumn("tile", F.xxhash64("tile"))
+    tiles = _tiles(members, once).withColumn("tile", F.xxhash64("tile")).join(more, "node")
     return mapped(tiles.repartition("tile").sortWithinPartitions("tile").select("tile", *columns, "side", "lone"), run, schema)
 
 
@@ -312,16 +314,25 @@ def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(same[rows, at], x[rows, at], 0)
 
 
-def _candidates(members: DataFrame, once: int | None = None, exact: bool = False) -> DataFrame:
-    """Different pairs (a, b) that share a key, carry different labels and pass the bound; with once (see _tiles) of each class in its tile only its nearest.
+def _by_place(places: pa.ChunkedArray, keys: pa.ChunkedArray) -> np.ndarray:
+    """A row of 2 * BANDS keys from each list of keys and that of their places; 0 where there is none."""
+    places, keys = places.combine_chunks(), keys.combine_chunks()
+    out = np.zeros((len(keys), 2 * BANDS), np.int64)
+    out[np.repeat(np.arange(len(keys)), keys.value_lengths()), places.flatten()] = keys.flatten()
+    return out
+
+
+def _candidates(members: DataFrame, nodes: DataFrame, once: int | None = None, exact: bool = False) -> DataFrame:
+    """Different pairs (a, b) of members (key, place, node, label, n) that share a key, carry different labels and pass the bound; with once (see _tiles) of each class in its tile only its nearest.
 
-    Pairs have many band keys in common, copies nearly all of them: a pair leaves the tile of the first of these alone. Classes of different labels have no key in common that isn't in members."""
+    Pairs have many band keys in common, copies nearly all of them: a pair leaves the tile of the first of these alone. Classes of different labels have no key in common that isn't in members,
+    so a class brings only its keys there, a few of all."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         node = np.asarray(rows["node"])
         a, b = _compare([node, np.asarray(rows["label"]), np.asarray(rows["n"]), _bits(rows), np.asarray(rows["side"]), bool(rows["lone"][0].as_py())], once is not None)
         if not exact:
-            own, met = as_matrix(rows["keys"], 2 * BANDS), np.asarray(rows["met"])
+            own, met = _by_place(rows["places"], rows["keys"]), np.asarray(rows["met"])
             order = np.argsort(node, kind="stable")
             i, j = (order[np.searchsorted(node, x, sorter=order)] for x in (a, b))
             first = [first_shared(own[i[k : k + PAIRS]], own[j[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)]
@@ -330,8 +341,12 @@ def _candidates(members: DataFrame, once: int | None = None, exact: bool = False
         a, b = np.unique(np.stack([a, b]), axis=1)  # found from both sides
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    carried = ["node", "label", "n", "bits"] if exact else ["node", "label", "n", "bits", "keys", "met"]
-    return _by_tile(members, carried, work, "a long, b long", once).distinct()
+    bits = nodes.select("node", "bits")
+    if exact:
+        return _by_tile(members.select("key", "node", "label", "n"), bits, ["node", "label", "n", "bits"], work, "a long, b long", once).distinct()
+    held = members.groupBy("node").agg(F.collect_list(F.struct("place", "key")).alias("held"))  # a class has 2 * BANDS keys at most
+    more = bits.join(held.select("node", F.col("held.place").alias("places"), F.col("held.key").alias("keys")), "node")
+    return _by_tile(members.select("key", "node", "label", "n", F.col("key").alias("met")), more, ["node", "label", "n", "bits", "places", "keys", "met"], work, "a long, b long", once).distinct()
 
 
 def _links_of_tile(rows: pa.Table) -> pa.RecordBatch:
@@ -381,7 +396,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     nodes = stored(sketches.join(kinds.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").withColumnRenamed("rid", "node"), "nodes")
     documents = stored(sketches.select("rid", "doc_id", "n", "sig"), "documents")
     drop_stored(sketches)
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    keyed = keyed.withColumn("place", F.lit(0) if exact else F.col("place"))
     keyed = keyed if exact else keyed.filter("key <> 0")
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     met = stored(keyed.join(shared.hint("merge"), "key"), "met")
@@ -397,9 +413,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exa
     while True:
         whole = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = whole.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("key")
-        carried = nodes.select("node", "n", "bits") if exact else nodes.select("node", "n", "bits", "keys")
-        members = stored(whole.select("key", "node", "label", F.col("key").alias("met")).join(mixed, "key", "left_semi").join(carried, "node"), "mixed")
-        pairs = stored(_candidates(members, once, exact), "pairs")
+        members = stored(whole.select("key", "place", "node", "label", "n").join(mixed, "key", "left_semi"), "mixed")
+        pairs = stored(_candidates(members, nodes, once, exact), "pairs")
         if not (n_pairs := pairs.count()):
             drop_stored(members, pairs)
             if once is None:
@@ -435,8 +450,9 @@ def link_counts(found: Classes) -> DataFrame:
     Links never leave a component, so the classes of a component are dealt into tiles, each with its text once for each pair of tiles, and what a
     tile counts is added up; no pair is ever a row."""
     inside = found.kinds.withColumnRenamed("label", "key").join(found.kinds.groupBy(F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key"), "key", "left_semi")
-    members = stored(inside.select("key", "node", "size").join(found.nodes, "node").join(found.texts, "node").dropDuplicates(["node"]), "members")  # rows that repeat a document give its text twice
-    return _by_tile(members, ["node", "n", "size", "bits", "text"], _links_of_tile, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    members = stored(inside.select("key", "node", "size").join(found.nodes.select("node", "n"), "node"), "members")
+    more = found.nodes.select("node", "bits").join(found.texts, "node").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])  # rows that repeat a document give its text twice
+    return _by_tile(members, more, ["node", "n", "size", "bits", "text"], _links_of_tile, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -107,3 +107,28 @@ def test_pairs_leave_one_tile(spark, monkeypatch):
     assert len(made) > 1 and all(n == different for n, different in made) and all(n <= len(rows) for n, _ in made[:-1])
     exact = {x.doc_id: x.component_id for x in jaccard.connected(docs, exact=True).collect()}
     assert got == exact
+
+
+def test_tiles_are_dealt_from_short_rows(spark, monkeypatch):
+    """Bitmaps, keys and texts join rows that have their tile, once a class, and of keys only those that others have too: what moves by key grows with the number of rows that meet, not with all that they hold."""
+    r, base = random.Random(9), words(7, 150)
+    copy = lambda: [w if r.random() > 0.03 else f"y{r.randrange(10**6)}" for w in base]
+    rows = [(i, " ".join(copy() if i % 3 else words(1000 + i, 150))) for i in range(150)]
+    seen, kept, by_tile, stored = [], [], jaccard._by_tile, jaccard.stored
+
+    def spied(members, more, *args, **kwargs):
+        seen.append(({t for _, t in members.dtypes}, more.count(), more.select("node").distinct().count(), members.count(), sum(len(x.keys) for x in more.select("keys").collect()) if "keys" in more.columns else None))
+        return by_tile(members, more, *args, **kwargs)
+
+    def kept_as(df, label, rows=None):
+        kept.append((label, {t for _, t in df.dtypes}))
+        return stored(df, label, rows)
+
+    monkeypatch.setattr(jaccard, "_by_tile", spied)
+    monkeypatch.setattr(jaccard, "stored", kept_as)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.connected(docs, counts=True).collect()}
+    assert got[1] == min(i for i in range(150) if got[i] == got[1]) and all(got[i] == i for i in range(0, 150, 3))
+    assert len(seen) > 1 and all(types <= {"bigint", "int"} and n == nodes for types, n, nodes, _, _ in seen)
+    assert all(keys is None or keys == rows for _, _, _, rows, keys in seen)
+    assert all(types <= {"bigint", "int"} for label, types in kept if label in ("met", "mixed", "members"))
