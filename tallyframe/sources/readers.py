@@ -91,9 +91,9 @@ def filing_headers(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_body(text: Column) -> Column:
-    """The first document of a submission, without its wrapper."""
+    """The first document of a submission, without its wrapper, also if it is empty; without a wrapper the whole text."""
     body = F.regexp_extract(text, r"(?s)<TEXT>(.*?)</TEXT>", 1)
-    return F.when(body != "", body).otherwise(text)
+    return F.when((body != "") | text.contains("<TEXT></TEXT>"), body).otherwise(text)
 
 
 def prices(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:

@@ -147,3 +147,24 @@ def test_filing_chunks_cut_texts_once(spark):
     every = macro.select("id", "seq", F.lit(0).alias("part"), "text", F.lit("macro").alias("g")).unionByName(micro.withColumn("g", F.lit("micro")))
     want = ch.one_of_each_hash(every.select("*", F.md5("text").alias("text_hash"), F.concat_ws("_", "id", "g", "seq", "part").alias("row_id")), "row_id")
     assert rows(made, "row_id", "seq", "part", "granularity", "text", "text_hash") == rows(want, "row_id", "seq", "part", "g", "text", "text_hash") != []
+
+
+def test_blank_documents_of_a_filing(spark, tmp_path):
+    """The header of a submission without a text is no chunk; the queries agree with their SQL where texts are null, empty or blank."""
+    import duckdb
+
+    from tallyframe.plans import indexes
+
+    texts = {"/x/abc-1.txt": "", "/x/abc-2.txt": " \n", "/x/abc-3.txt": BODY}
+    index = ix.filing_index(spark, f"file://{tmp_path}/index")
+    ix.index_filings(spark.createDataFrame([(p, filing("10-Q", f"2023{3 * k:02}28", t)) for k, (p, t) in enumerate(texts.items(), 1)], "path string, text string"), index, "a")
+    assert rows(index.read("files"), "path", "status", F.col("n_chunks") > 0) == [("/x/abc-1.txt", "indexed", False), ("/x/abc-2.txt", "indexed", False), ("/x/abc-3.txt", "indexed", True)]
+    assert {r.path for r in index.read("chunks").select("path").distinct().collect()} == {"/x/abc-3.txt"}
+    odd = [(i, [None, "", " \n ", "short", f"Text {i}. {BODY}"][i % 5], "en" if i % 3 else "fr", f"src{i % 2}", 4000 if i % 2 else 10) for i in range(120)]
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/sf/documents.parquet/*.parquet'")
+    for name in ("index_filings", "indexed_chunks"):
+        query, sql = indexes.QUERIES[name]
+        got, found = query(spark, f"{tmp_path}/sf"), con.execute(sql)
+        assert rows(got, *(c[0] for c in found.description)) == sorted(found.fetchall(), key=repr)
