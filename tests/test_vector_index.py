@@ -80,3 +80,23 @@ def test_pairs_of_query_and_row_stay_in_their_task(spark, tmp_path, monkeypatch)
             assert where is None or all(i % 3 != 1 for found in got.values() for _, i in found)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_vectors_meet_queries_in_tasks(spark, monkeypatch):
+    """However many blocks of queries and parts of vectors there are, it is one step of the plan, and its rows are those of brute force, ties by id."""
+    monkeypatch.setattr(ki, "BLOCK", 16)
+    monkeypatch.setattr(ki, "PART", 150, raising=False)
+    monkeypatch.setattr(ki, "AT_ONCE", 1 << 11, raising=False)
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.standard_normal((500, 6)), np.tile(r.standard_normal((1, 6)), (100, 1)), r.integers(0, 2, (300, 6)), np.full((1, 6), np.nan)]).astype(np.float32)
+    v = np.concatenate([x[480:560:2], x[610:640]]).astype(np.float64)
+    scores = ki.vector_scores(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(-1, None)], "id long, vector array<float>"), frame(spark, v, "qid"), 7)
+    assert "Union" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for row in ki.top_of_each(scores, 7).orderBy("qid", "place").collect():
+        got.setdefault(row.qid, []).append((row.id, row.score))
+    want = {}
+    for q, vector in enumerate(v):
+        score = np.floor(-((x[:-1].astype(np.float64) - vector) ** 2).sum(1) * 1e6 + 0.5) / 1e6
+        want[q] = [(int(i), float(score[i])) for i in np.lexsort((np.arange(len(score)), -score))[:7]]
+    assert got == want
