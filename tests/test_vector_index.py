@@ -100,3 +100,33 @@ def test_vectors_meet_queries_in_tasks(spark, monkeypatch):
         score = np.floor(-((x[:-1].astype(np.float64) - vector) ** 2).sum(1) * 1e6 + 0.5) / 1e6
         want[q] = [(int(i), float(score[i])) for i in np.lexsort((np.arange(len(score)), -score))[:7]]
     assert got == want
+
+
+def test_texts_are_read_once(spark, tmp_path, monkeypatch):
+    """Words and rows by facet are added up from the shards, with nulls among facets; each row is read once."""
+    monkeypatch.setattr(ki, "DOCS", 50)
+    r = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{j}" for j in r.integers(0, 60, r.integers(0, 9))), [None, "x", "y"][i % 3], i % 4 if i % 7 else None) for i in range(400)]
+
+    def seen(batches):
+        for batch in batches:
+            with open(f"{tmp_path}/seen", "a") as f:
+                f.write("\n" * len(batch))
+            yield batch
+
+    kinds = "id long, content string, kind string, year int"
+    chunks = spark.createDataFrame(rows, kinds).repartition(3).mapInArrow(seen, kinds)
+    for facets in ((), ("kind", "year")):
+        before = (tmp_path / "seen").stat().st_size if facets else 0
+        index = ki.build(chunks, f"file://{tmp_path}/k{len(facets)}", facets)
+        assert (tmp_path / "seen").stat().st_size - before == len(rows)
+        df, of = {}, {}
+        for _, content, *kind in rows:
+            kind, words = tuple(kind[: len(facets)]), content.split()
+            if words:
+                docs, length = of.get(kind, (0, 0))
+                of[kind] = docs + 1, length + len(words)
+            for w in set(words):
+                df[w, *kind] = df.get((w, *kind), 0) + 1
+        assert {tuple(x)[:-1]: x.df for x in index.table("words").select("word", *facets, "df").collect()} == df
+        assert {tuple(x)[:-2]: tuple(x)[-2:] for x in index.table("rows").select(*facets, "docs", "length").collect()} == of
