@@ -107,6 +107,7 @@ def test_texts_are_read_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ki, "DOCS", 50)
     r = np.random.default_rng(9)
     rows = [(i, " ".join(f"w{j}" for j in r.integers(0, 60, r.integers(0, 9))), [None, "x", "y"][i % 3], i % 4 if i % 7 else None) for i in range(400)]
+    rows += [(400, None, "x", 1), (401, " \n\u00a0\u3000", "x", 1)]
 
     def seen(batches):
         for batch in batches:
@@ -122,7 +123,7 @@ def test_texts_are_read_once(spark, tmp_path, monkeypatch):
         assert (tmp_path / "seen").stat().st_size - before == len(rows)
         df, of = {}, {}
         for _, content, *kind in rows:
-            kind, words = tuple(kind[: len(facets)]), content.split()
+            kind, words = tuple(kind[: len(facets)]), (content or "").split()
             if words:
                 docs, length = of.get(kind, (0, 0))
                 of[kind] = docs + 1, length + len(words)
